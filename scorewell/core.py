@@ -40,6 +40,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_CONFIG_ROWS) -> DataFr
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def pin_config(df: DataFrame, max_rows: int = MAX_CONFIG_ROWS) -> DataFrame:
+    """Configuration table -> local relation with a broadcast hint, read once.
+
+    At most ``max_rows + 1`` rows reach the driver; a larger table is returned as it is, so the join
+    strategy stays with the optimizer.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables, below the cluster's ``spark.checkpoint.dir``.
 
