@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64
+from ..core import materialize
+
+RANGES = 256
+SMALL_HISTOGRAM = 100_000
 
 
 def value_range(df: DataFrame, value: str, ranges: int = RANGES) -> Column:
@@ -30,13 +33,27 @@ def value_range(df: DataFrame, value: str, ranges: int = RANGES) -> Column:
 def cumulative_histogram(
     df: DataFrame, by: Sequence[str], value: str, weight: Column | None = None, ranges: int = RANGES
 ) -> DataFrame:
-    """One row per (by, value): ``n`` rows there, ``n_before`` rows with a smaller value, ``n_total``."""
+    """One row per (by, value): ``n`` rows there, ``n_before`` rows with a smaller value, ``n_total``.
+
+    The histogram is written once to shared storage: it is read up to four times below, and the
+    input plan behind it must not run again for each. A histogram of few rows (counted, not guessed)
+    takes a plain window.
+    """
     by = list(by)
-    hist = (
+    hist = materialize(
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, value)
-        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")),
+        "histogram",
     )
+    if hist.count() <= SMALL_HISTOGRAM:
+        return hist.select(
+            *by,
+            value,
+            "n",
+            (F.sum("n").over(W.partitionBy(*by).orderBy(value)) - F.col("n")).alias("n_before"),
+            F.sum("n").over(W.partitionBy(*by)).alias("n_total"),
+        )
     hist = hist.withColumn("_range", value_range(hist, value, ranges))
     per_range = hist.groupBy(*by, "_range").agg(F.sum("n").alias("_in_range"))
     ordered = W.partitionBy(*by).orderBy("_range")
@@ -48,18 +65,8 @@ def cumulative_histogram(
     )
     inside = W.partitionBy(*by, "_range").orderBy(value)
     local = hist.withColumn("_local", F.sum("n").over(inside) - F.col("n"))
-    # null-safe: a NULL group is a group
-    joined = local.alias("l").join(
-        offsets.alias("o"),
-        [F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in by] + [F.col("l._range") == F.col("o._range")],
-    )
-    return joined.select(
-        *[F.col(f"l.{c}").alias(c) for c in by],
-        F.col(f"l.{value}").alias(value),
-        F.col("l.n").alias("n"),
-        (F.col("o._offset") + F.col("l._local")).alias("n_before"),
-        F.col("o.n_total").alias("n_total"),
-    )
+    joined = _join_null_safe(local, offsets, [*by, "_range"])
+    return joined.select(*by, value, "n", (F.col("_offset") + F.col("_local")).alias("n_before"), "n_total")
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -83,7 +90,7 @@ def ordinal_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, out: st
     A tied value is numbered in 256 slices by the first md5 byte, so one hot value is not one task.
     """
     keyed = df.filter(F.col(value).isNotNull()).withColumn("_md5", F.md5(F.col(tie).cast("string")))
-    keyed = keyed.withColumn("_slice", F.substring("_md5", 1, 2))
+    keyed = materialize(keyed.withColumn("_slice", F.substring("_md5", 1, 2)), "keyed")
     cells = keyed.groupBy(*by, value, "_slice").agg(F.count(F.lit(1)).alias("_cell"))
     within = W.partitionBy(*by, value).orderBy("_slice")
     cells = cells.withColumn("_slice_before", F.sum("_cell").over(within) - F.col("_cell"))

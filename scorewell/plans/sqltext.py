@@ -122,8 +122,8 @@ def beta_inc(a: str, b: str, x: str, terms: int = 3000) -> str:
     def series(a: str, b: str, x: str) -> str:
         return (
             f"(CASE WHEN ({x}) <= 0 THEN 0.0 ELSE exp(({a})*ln({x}) + ({b})*ln(1-({x})) - ln({a}) + lgamma(({a})+({b})) - lgamma({a}) - lgamma({b})"
-            f") * list_sum(list_transform(range(0, {terms}), lambda n: exp(lgamma(({a})+({b})+n) - lgamma(({a})+({b}))"
-            f" + lgamma(({a})+1) - lgamma(({a})+1+n) + n*ln({x})))) END)"
+            f") * list_sum(list_transform(range(0, {terms}), lambda j_: exp(lgamma(({a})+({b})+j_) - lgamma(({a})+({b}))"
+            f" + lgamma(({a})+1) - lgamma(({a})+1+j_) + j_*ln({x})))) END)"
         )
 
     return (
@@ -143,8 +143,8 @@ def f_sf(f: str, d1: str, d2: str) -> str:
 def norm_sf(z: str) -> str:
     """Upper normal tail: odd-factorial series near 0, continued expansion beyond 6 is below 1e-9."""
     s = (
-        f"(exp(-({z})*({z})/2)/sqrt(2*pi()) * list_sum(list_transform(range(0, 400), lambda k: "
-        f"exp((2*k+1)*ln(greatest(abs({z}), 1e-300)) - ((k+1)*ln(2) + lgamma(k+1.5) - 0.5*ln(pi()))))))"
+        f"(exp(-({z})*({z})/2)/sqrt(2*pi()) * list_sum(list_transform(range(0, 400), lambda j_: "
+        f"exp((2*j_+1)*ln(greatest(abs({z}), 1e-300)) - ((j_+1)*ln(2) + lgamma(j_+1.5) - 0.5*ln(pi()))))))"
     )
     return f"(CASE WHEN ({z}) >= 0 THEN 0.5 - {s} ELSE 0.5 + {s} END)"
 
@@ -153,6 +153,6 @@ def chi2_sf(x: str, k: str, terms: int = 2000) -> str:
     a = f"(({k})/2.0)"
     h = f"(({x})/2.0)"
     return (
-        f"(CASE WHEN ({x}) <= 0 THEN 1.0 ELSE 1 - list_sum(list_transform(range(0, {terms}), lambda n: "
-        f"exp(({a}+n)*ln({h}) - {h} - lgamma({a}+n+1)))) END)"
+        f"(CASE WHEN ({x}) <= 0 THEN 1.0 ELSE 1 - list_sum(list_transform(range(0, {terms}), lambda j_: "
+        f"exp(({a}+j_)*ln({h}) - {h} - lgamma({a}+j_+1)))) END)"
     )
