@@ -127,7 +127,7 @@ def beta_inc(a: str, b: str, x: str, terms: int = 3000) -> str:
         )
 
     return (
-        f"(CASE WHEN ({x}) <= 0 THEN 0.0 WHEN ({x}) >= 1 THEN 1.0 WHEN ({x}) <= (({a})+1)/(({a})+({b})+2) THEN {series(a, b, x)} "
+        f"(CASE WHEN ({x}) <= 0 THEN 0.0 WHEN ({x}) >= 1 THEN 1.0 WHEN ({x}) <= 0.5 THEN {series(a, b, x)} "
         f"ELSE 1 - {series(b, a, f'(1-({x}))')} END)"
     )
 
