@@ -95,6 +95,17 @@ def ratio(num: Column, den: Column, empty: float | None = None) -> Column:
     return F.when(den != 0, num / den).otherwise(F.lit(empty).cast("double"))
 
 
+def clip(c: Column, low: float, high: float) -> Column:
+    """``c`` limited to [low, high]; NULL stays NULL (least and greatest skip NULLs)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+
+
+def round_clean(c: Column, places: int) -> Column:
+    """Half-up rounding after floating-point noise beyond ten decimals is gone, so that sums taken in
+    another order cannot flip an exact half."""
+    return F.round(F.round(c, 10), places)
+
+
 def weighted_available(parts: Sequence[tuple[Column, float]]) -> Column:
     """Weighted mean over the parts that are present; NULL when none is."""
     top = reduce(lambda a, b: a + b, [F.coalesce(v * F.lit(w), F.lit(0.0)) for v, w in parts])

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..core import clip
+
 Z975 = 1.959963984540054  # fixed value: normal quantile at 0.975
 
 
@@ -17,8 +19,7 @@ def sigmoid(x: Column) -> Column:
 
 def normalized_gain(pre: Column, post: Column, top: float) -> Column:
     """(post - pre) / (top - pre) clipped to [-1, 1]; NULL at the ceiling."""
-    gain = (post - pre) / (F.lit(top) - pre)
-    return F.when(F.lit(top) > pre, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gain)))
+    return F.when(F.lit(top) > pre, clip((post - pre) / (F.lit(top) - pre), -1.0, 1.0))
 
 
 def spearman_brown(r: Column) -> Column:

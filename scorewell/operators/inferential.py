@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core import clip
 from ..functions.dist import p_value
 from ..functions.numbers import d_label, eta_label, normal_quantile, w_label
 from .ordered import average_rank, cumulative_histogram, quantiles
@@ -248,7 +249,7 @@ def signed_rank(diffs: DataFrame, diff: str = "diff", by: Sequence[str] = ()) ->
     exact = (m <= 50) & (F.col("_ties") == 0) & (F.col("n_zero") == 0)
     p = F.when(m.isNull() | (m == 0), F.lit(1.0)).when(
         exact, p_value("signed_rank_exact", F.when(exact, low), F.when(exact, m))
-    ).otherwise(F.least(F.lit(1.0), 2 * p_value("norm_sf", F.abs(z))))
+    ).otherwise(clip(2 * p_value("norm_sf", F.abs(z)), 0.0, 1.0))
     return out.select(
         *by, "n", F.coalesce("n_used", F.lit(0)).alias("n_used"), low.alias("statistic"), p.alias("p_value"),
         ((F.col("r_plus") - F.col("r_minus")) / (F.col("r_plus") + F.col("r_minus"))).alias("rank_biserial"),
@@ -407,7 +408,7 @@ def _two_group_tests(out: DataFrame) -> DataFrame:
     sigma = F.sqrt(na * nb / 12 * (total + 1 - F.col("tie_sum") / (total * (total - 1))))
     top = F.greatest(u, na * nb - u)
     exact = two & (F.least(na, nb) <= 8) & (F.col("tie_sum") == 0)
-    asymptotic = F.least(F.lit(1.0), 2 * p_value("norm_sf", F.when(two, (top - na * nb / 2 - 0.5) / sigma)))
+    asymptotic = clip(2 * p_value("norm_sf", F.when(two, (top - na * nb / 2 - 0.5) / sigma)), 0.0, 1.0)
     return (
         out.withColumn("t_stat", F.when(two & (pooled_var > 0), gap / F.sqrt(pooled_var * (1 / na + 1 / nb))))
         .withColumn("t_p_value", p_value("t_two_sided", F.col("t_stat"), na + nb - 2))
@@ -529,7 +530,7 @@ def repeated_measures(vectors: DataFrame, occasions: Sequence[str], alpha: float
     mean_rank = n * (k + 1) / 2
     kendall = 12 * sum_of(F.col("rank_sums"), lambda v: (v - mean_rank) * (v - mean_rank)) / (n * n * (k**3 - k))
     grand = sum_of(F.col("means"), lambda v: v) / k
-    out = agg.withColumn("friedman_stat", friedman).withColumn("kendalls_w", F.least(F.lit(1.0), F.greatest(F.lit(0.0), kendall)))
+    out = agg.withColumn("friedman_stat", friedman).withColumn("kendalls_w", clip(kendall, 0.0, 1.0))
     out = out.withColumn("p_value", p_value("chi2_sf", F.col("friedman_stat"), float(k - 1)))
     out = out.withColumn("grand", grand)
     out = out.withColumn("ss_time", n * sum_of(F.col("means"), lambda v: (v - F.col("grand")) * (v - F.col("grand"))))
@@ -580,7 +581,7 @@ def posthoc_pairs(vectors: DataFrame, occasions: Sequence[str], test: str = "pai
         out = out.withColumn("p_raw", p).withColumn("effect_size", F.when(varies, F.col("_m") / F.col("_sd")))
     else:
         out = signed_rank(long, "diff", keys).withColumnRenamed("p_value", "p_raw").withColumnRenamed("rank_biserial", "effect_size")
-    adjusted = F.least(F.lit(1.0), F.col("p_raw") * len(pairs))
+    adjusted = clip(F.col("p_raw") * len(pairs), 0.0, 1.0)
     return out.select(
         *keys, "n", "statistic", "p_raw", "effect_size", adjusted.alias("p_adj"), (adjusted < alpha).alias("significant")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import config_frame, first_row
+from ..core import clip, config_frame, first_row
 from ..functions import numbers as nb
 from ..functions.dist import p_value
 from ..functions.text import matches_base, natural_key, option_letter
@@ -105,7 +105,7 @@ def cronbach_alpha(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Alpha on complete cases, sample variances, clipped to [-1, 1]."""
     s = _scale_statistics(long, by)
     a = _alpha(F.col("n_items"), F.col("sum_var"), F.col("var_total"))
-    return s.select(*by, "n_items", "n_complete", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a)).alias("alpha"))
+    return s.select(*by, "n_items", "n_complete", clip(a, -1.0, 1.0).alias("alpha"))
 
 
 def kr20(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -192,7 +192,7 @@ def test_statistics(matrix: DataFrame) -> DataFrame:
     a = F.when(F.col("n_complete") >= 2, _alpha(F.col("n_items"), F.col("sum_pq"), F.col("var_total")))
     return s.join(F.broadcast(p), how="left").withColumn("kr20", a).select(
         F.col("n_items").alias("k_items"), F.col("n_subjects").alias("n_persons"), "n_complete", "mean_item_p", "mean_total", "sd_total", "kr20",
-        (F.col("sd_total") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("kr20")))).alias("sem"),
+        (F.col("sd_total") * F.sqrt(clip(1 - F.col("kr20"), 0.0, 1e9))).alias("sem"),
         F.round(nb.proportion_half_width(F.col("n_subjects"))).alias("worst_half_width_pct"),
     )
 
