@@ -52,6 +52,24 @@ def pin_config(df: DataFrame, max_rows: int = MAX_CONFIG_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="scorewell-ship-")) / package.name
+    path = shutil.make_archive(str(archive), "zip", root_dir=package.parent, base_dir=package.name)
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables, below the cluster's ``spark.checkpoint.dir``.
 

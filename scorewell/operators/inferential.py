@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..core import clip
 from ..functions.dist import p_value
@@ -29,6 +30,10 @@ EQUAL_VAR = "Consistent with equal variances (p ≥ .05)"
 UNEQUAL_VAR = "Deviates from equal variances (p < .05)"
 
 
+def _doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
 # -- normality ---------------------------------------------------------------------------------
 
 
@@ -61,7 +66,7 @@ def _order_scores(hist: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("struct<w:double,p:double>")
+@F.pandas_udf(_doubles("w", "p"))
 def _shapiro_wilk(
     n: pd.Series, ss: pd.Series, mm: pd.Series, mx: pd.Series, x1: pd.Series, x2: pd.Series, xp: pd.Series, xn: pd.Series
 ) -> pd.DataFrame:
@@ -460,7 +465,7 @@ def occasion_statistics(vectors: DataFrame, occasions: Sequence[str]) -> DataFra
     )
 
 
-@F.pandas_udf("struct<eps:double,w:double,p:double>")
+@F.pandas_udf(_doubles("eps", "w", "p"))
 def _sphericity(cov: pd.Series, n: pd.Series) -> pd.DataFrame:
     """Greenhouse-Geisser epsilon and Mauchly's W with p, from k x k covariances (row-major)."""
     from ..functions.dist import chi2_sf

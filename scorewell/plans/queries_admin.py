@@ -392,7 +392,7 @@ OUTCOME = """mc AS (SELECT user_id, avg(p) / 100 AS cpi_mcq, count(*) AS n_modul
    oi AS (SELECT mc.user_id, cpi_mcq, gk, gc, (cpi_mcq + coalesce(gk, 0) + coalesce(gc, 0)) / (1 + CASE WHEN gk IS NULL THEN 0 ELSE 1 END + CASE WHEN gc IS NULL THEN 0 ELSE 1 END) AS cpi_outcome, n_modules_mcq FROM mc JOIN gn2 USING (user_id))"""
 
 
-@query("cpi_outcome", sql(f"WITH {OUTCOME} SELECT user_id, round(round(cpi_mcq, 10), 4) AS cpi_mcq, round(round(gk, 10), 4) AS g_knowledge, round(round(gc, 10), 4) AS g_concept, round(round(cpi_outcome, 10), 4) AS cpi_outcome, n_modules_mcq FROM oi", "canon"))
+@query("cpi_outcome", sql(f"WITH {OUTCOME} SELECT user_id, round(CAST(cpi_mcq AS DECIMAL(18,10)), 4)::DOUBLE AS cpi_mcq, round(CAST(gk AS DECIMAL(18,10)), 4)::DOUBLE AS g_knowledge, round(CAST(gc AS DECIMAL(18,10)), 4)::DOUBLE AS g_concept, round(CAST(cpi_outcome AS DECIMAL(18,10)), 4)::DOUBLE AS cpi_outcome, n_modules_mcq FROM oi", "canon"))
 def _(spark, sf):
     return outcome(spark, sf)
 
@@ -407,7 +407,7 @@ def process(spark, sf):
     return ix.process_index(means(spark, sf), "engagement", "motivation", FLIPPED)
 
 
-@query("cpi_process", sql(f"WITH {PROCESS} SELECT user_id, round(round(e, 10), 4) AS engagement_mean, round(round(m, 10), 4) AS motivation_mean, round(round(p, 10), 4) AS cpi_process FROM pr", "canon"))
+@query("cpi_process", sql(f"WITH {PROCESS} SELECT user_id, round(CAST(e AS DECIMAL(18,10)), 4)::DOUBLE AS engagement_mean, round(CAST(m AS DECIMAL(18,10)), 4)::DOUBLE AS motivation_mean, round(CAST(p AS DECIMAL(18,10)), 4)::DOUBLE AS cpi_process FROM pr", "canon"))
 def _(spark, sf):
     return process(spark, sf)
 
@@ -446,9 +446,9 @@ def _(spark, sf):
     return ix.combined_index(ix.quant_ctt(t.scored(spark, sf), t.MCQ), qual(spark, sf), w1=0.6, w2=0.4)
 
 
-PLUS = f"""{OUTCOME}, {PROCESS}, {QUAL}, oi2 AS (SELECT user_id, round(round(cpi_outcome, 10), 4) AS o FROM oi), pr2 AS (SELECT user_id, round(round(p, 10), 4) AS p FROM pr),
+PLUS = f"""{OUTCOME}, {PROCESS}, {QUAL}, oi2 AS (SELECT user_id, round(CAST(cpi_outcome AS DECIMAL(18,10)), 4)::DOUBLE AS o FROM oi), pr2 AS (SELECT user_id, round(CAST(p AS DECIMAL(18,10)), 4)::DOUBLE AS p FROM pr),
    al AS (SELECT coalesce(oi2.user_id, pr2.user_id, ql.user_id) AS user_id, o, p, cpi_qual AS c FROM oi2 FULL JOIN pr2 ON oi2.user_id = pr2.user_id FULL JOIN ql ON ql.user_id = coalesce(oi2.user_id, pr2.user_id)),
-   pl AS (SELECT *, round(round((coalesce(o, 0) + coalesce(p, 0) + coalesce(c, 0)) / ((o IS NOT NULL)::INT + (p IS NOT NULL)::INT + (c IS NOT NULL)::INT), 10), 4) AS cpi_plus FROM al)"""
+   pl AS (SELECT *, round(CAST((coalesce(o, 0) + coalesce(p, 0) + coalesce(c, 0)) / ((o IS NOT NULL)::INT + (p IS NOT NULL)::INT + (c IS NOT NULL)::INT) AS DECIMAL(18,10)), 4)::DOUBLE AS cpi_plus FROM al)"""
 
 
 @query("cpi_plus", sql(f"WITH {PLUS} SELECT user_id, o AS cpi_outcome, p AS cpi_process, c AS cpi_qual, cpi_plus, CASE WHEN cpi_plus >= 0.75 THEN '🟢 High (≥0.75)' WHEN cpi_plus >= 0.5 THEN '🟡 Moderate (0.50–0.74)' WHEN cpi_plus >= 0.25 THEN '🟠 Developing (0.25–0.49)' ELSE '🔴 Emerging (<0.25)' END AS band FROM pl", "canon"))
@@ -601,7 +601,7 @@ def _(spark, sf):
 def _(spark, sf):
     """An import with planted faults: blanks, bad ids, clashes, repeats and unknown instruments."""
     df = imported(spark, sf).select(*va.REQUIRED_IMPORT)
-    n = F.regexp_extract("user_id", r"(\d+)$", 1).cast("int") % 100
+    n = F.regexp_extract("user_id", r"(\d+)\D*$", 1).cast("int") % 100
     broken = df.withColumn("user_id", F.when(n == 13, F.concat("user_id", F.lit(" !"))).otherwise(F.col("user_id"))).withColumn(
         "item_score", F.when(n == 17, "high").otherwise(F.col("item_score").cast("string")))
     broken = broken.unionByName(df.filter(n == 11).withColumn("item_score", F.lit("9")))
