@@ -113,6 +113,18 @@ def ratio(num: Column, den: Column, empty: float | None = None) -> Column:
     return F.when(den != 0, num / den).otherwise(F.lit(empty).cast("double"))
 
 
+def strip(c: Column | str) -> Column:
+    """Whitespace of any kind off both ends (``trim`` takes spaces only)."""
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(" \t\n\r\x0b\x0c"))
+
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over complete pairs, NULL when a side does not vary (``corr`` raises)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     """``c`` limited to [low, high]; NULL stays NULL (least and greatest skip NULLs)."""
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from ..core import strip
 from pyspark.sql import types as T
 
 _FENCE = re.compile(r"```(?:json)?\s*")
@@ -67,7 +69,7 @@ def reply_json(reply: Column) -> Column:
 
     Replies that already are one JSON object stay on the JVM; only the others reach Python.
     """
-    bare = F.trim(reply)
+    bare = strip(reply)
     fine = bare.startswith("{") & F.try_parse_json(bare).isNotNull()
     return F.when(fine, bare).otherwise(_repair(F.when(~F.coalesce(fine, F.lit(False)), reply)))
 

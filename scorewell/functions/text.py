@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..core import strip
+
 # Fixed values.
 COURSE_PREFIXES = ("precourse_", "postcourse_")
 DEMOGRAPHICS_KEY = "demographics_survey"
@@ -21,12 +23,12 @@ FILE_SUFFIXES = ("transcript", "interview", "recording", "reflection")
 
 def normalize_choice(c: Column) -> Column:
     """``"B: some text"`` -> ``"B"``; anything else is only trimmed."""
-    return F.trim(F.element_at(F.split(F.trim(c), ":"), 1))
+    return strip(F.element_at(F.split(strip(c), ":"), 1))
 
 
 def option_letter(c: Column) -> Column:
     """The leading option letter of ``"B: text"`` or ``"b"``; NULL when there is none."""
-    letter = F.upper(F.regexp_extract(F.trim(c), r"^([A-Za-z])\s*(?::|$)", 1))
+    letter = F.upper(F.regexp_extract(strip(c), r"^([A-Za-z])\s*(?::|$)", 1))
     return F.when(letter != "", letter)
 
 
@@ -38,13 +40,13 @@ def matches_base(c: Column, base: str) -> Column:
 def is_survey(c: Column, survey_bases: Sequence[str]) -> Column:
     hit = F.lit(False)
     for base in survey_bases:
-        hit = hit | matches_base(F.trim(c), base)
+        hit = hit | matches_base(strip(c), base)
     return hit
 
 
 def resolve_instrument_key(c: Column, survey_bases: Sequence[str]) -> Column:
     """Stored name -> canonical key: survey base, else course prefix off, else demographics, else itself."""
-    name = F.trim(c)
+    name = strip(c)
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for base in survey_bases:
         out = out.when(matches_base(name, base), F.lit(base))
@@ -110,9 +112,9 @@ def parse_option(raw: Column, index: Column) -> Column:
     label = F.upper(F.regexp_extract(raw, OPTION_PATTERN, 1))
     return F.when(
         label != "",
-        F.struct(label.alias("label"), F.trim(F.regexp_extract(raw, OPTION_PATTERN, 2)).alias("text")),
+        F.struct(label.alias("label"), strip(F.regexp_extract(raw, OPTION_PATTERN, 2)).alias("text")),
     ).otherwise(
-        F.struct(F.char(index + F.lit(65)).alias("label"), F.trim(raw).alias("text"))
+        F.struct(F.char(index + F.lit(65)).alias("label"), strip(raw).alias("text"))
     )
 
 
@@ -126,11 +128,11 @@ def item_hash(text: Column, options: Column) -> Column:
     pairs = F.array_join(
         F.transform(
             options,
-            lambda o: F.concat(F.lit("["), quoted(o["label"]), F.lit(", "), quoted(F.trim(o["text"])), F.lit("]")),
+            lambda o: F.concat(F.lit("["), quoted(o["label"]), F.lit(", "), quoted(strip(o["text"])), F.lit("]")),
         ),
         ", ",
     )
-    payload = F.concat(F.lit('{"o": ['), pairs, F.lit('], "t": '), quoted(F.trim(text)), F.lit("}"))
+    payload = F.concat(F.lit('{"o": ['), pairs, F.lit('], "t": '), quoted(strip(text)), F.lit("}"))
     return F.substring(F.sha2(payload, 256), 1, 16)
 
 
@@ -154,7 +156,7 @@ def matched_indicators(text: Column, quotes: Column, indicators: Column) -> Colu
     combined = F.concat(F.lower(text), F.lit(" "), F.lower(F.array_join(quotes, " ")))
 
     def keywords(ind: Column) -> Column:
-        bare = F.trim(F.regexp_replace(F.lower(ind), "['\"]", ""))
+        bare = strip(F.regexp_replace(F.lower(ind), "['\"]", ""))
         words = F.filter(F.split(bare, r"\s+"), lambda w: F.length(w) >= 4)
         return F.slice(words, 1, 3)
 

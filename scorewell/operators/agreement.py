@@ -177,7 +177,7 @@ def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
 def youden_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
     """The score threshold with the largest sensitivity + specificity - 1, and the AUC: one row."""
     pts = roc_points(df, score, label)
-    tpr, fpr = F.col("tp") / F.col("p"), F.col("fp") / F.col("q")
+    tpr, fpr = F.try_divide("tp", "p"), F.try_divide("fp", "q")
     # trapezoid of this step: width fp_here, heights before and after
     area = F.col("fp_here") * (F.col("tp") - F.col("tp_here") / 2)
     best = F.max(F.struct((tpr - fpr).alias("j"), F.col("threshold").alias("t"), tpr.alias("tpr"), fpr.alias("fpr"))).alias("b")

@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import ContractError, all_of, pin_config, require_columns
+from ..core import all_of, ContractError, pin_config, require_columns, strip
 from ..functions.text import infer_module
 from .scoring import rule_table, score_items
 
@@ -43,7 +43,7 @@ def attach_metadata(responses: DataFrame, packed_items: DataFrame) -> DataFrame:
     Questions of a defined instrument that its definition does not list keep that instrument's module.
     ``packed_items`` comes from ``pack_items``.
     """
-    df = responses.withColumn("question_id", F.trim("question_id")).withColumn("instrument_key", F.trim("instrument_key"))
+    df = responses.withColumn("question_id", strip("question_id")).withColumn("instrument_key", strip("instrument_key"))
     joined = df.join(packed_items, "instrument_key", "left")
     return joined.withColumn(
         "module_id", F.coalesce("_module", infer_module(F.col("instrument_key")))
@@ -62,7 +62,7 @@ def attach_cohort(df: DataFrame, cohort_map: DataFrame) -> DataFrame:
 def drop_excluded(df: DataFrame, excluded: list[str], column: str = "user_id") -> DataFrame:
     """Leave listed participants out, whatever the case or spacing of their id."""
     ids = sorted({e.strip().lower() for e in excluded if e and e.strip()})
-    return df.filter(~F.lower(F.trim(column)).isin(ids) | F.col(column).isNull()) if ids else df
+    return df.filter(~F.lower(strip(column)).isin(ids) | F.col(column).isNull()) if ids else df
 
 
 @dataclass

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import materialize
+from ..core import materialize, strip
 from ..functions.numbers import agreement_label
 from ..functions.vectors import unit
 
@@ -30,7 +30,7 @@ def distinct_vectors(codes: DataFrame, key: str = "code_id", vector: str = "embe
     v = F.col(vector).cast("array<double>")
     # a zero vector is similar to nothing, not even to its copies
     alone = F.when(F.forall(v, lambda x: x == 0), F.col(key))
-    return codes.groupBy(v.alias("v"), alone.alias("_z")).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n_copies")).drop("_z")
+    return codes.groupBy(v.alias("v"), alone.alias("_z")).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n_copies"))
 
 
 def _stack(vectors: pd.Series) -> np.ndarray:
@@ -46,7 +46,7 @@ def similar_pairs(codes: DataFrame, threshold: float, key: str = "code_id", vect
     a (home block, visiting block) pair is one row-sized task of a matrix product, so neither a cell
     nor a pair list is ever gathered, and only pairs over the threshold leave a task.
     """
-    reps = materialize(distinct_vectors(codes, key, vector).withColumn("u", unit(F.col("v"))).drop("v"), "vectors")
+    reps = materialize(distinct_vectors(codes, key, vector).withColumn("u", unit(F.col("v"))).drop("v", "_z"), "vectors")
     n = reps.count()
     k = int(max(1, min(512, round((n / BLOCK) ** 0.5))))
     # k pivots, k <= 512: the smallest hashes, the same in every run
@@ -146,13 +146,14 @@ def _leader_rounds(codes: DataFrame, threshold: float, key: str, vector: str) ->
         joined = materialize(rest.mapInPandas(join_leaders, "code bigint, u array<double>, leader bigint"), "round")
         settled.append(joined.filter("leader >= 0").select("code", "leader"))
         todo = joined.filter("leader < 0").select("code", "u")
-    out = settled[0]
-    for s in settled[1:]:
+    out = spark.createDataFrame([], "code bigint, leader bigint")
+    for s in settled:
         out = out.unionByName(s)
     # copies follow the representative of their vector
     full = codes.select(F.col(key).alias("code_id"), F.col(vector).cast("array<double>").alias("v"))
-    reps_of = distinct_vectors(codes, key, vector).select("v", "rep")
-    return full.join(reps_of, "v").join(out, F.col("rep") == F.col("code")).select("code_id", F.col("leader").alias("leader_id"))
+    reps_of = distinct_vectors(codes, key, vector).select("v", "_z", "rep")
+    mine = (full["v"] == reps_of["v"]) & (F.col("_z").isNull() | (F.col("_z") == F.col("code_id")))
+    return full.join(reps_of, mine).join(out, F.col("rep") == F.col("code")).select("code_id", F.col("leader").alias("leader_id"))
 
 
 def deduplicate_codes(codes: DataFrame, threshold: float = 0.85, key: str = "code_id", vector: str = "embedding") -> DataFrame:
@@ -168,9 +169,9 @@ def dedup_links(codes: DataFrame, threshold: float = 0.85, key: str = "code_id",
 
 def removed_codes(codes: DataFrame, kept: DataFrame, index: str = "chunk_index", name: str = "name") -> DataFrame:
     """Codes whose (chunk, lower-case name) no kept code has."""
-    tag = [F.col(index).alias("_c"), F.lower(F.trim(name)).alias("_n")]
+    tag = [F.col(index).alias("_c"), F.lower(strip(name)).alias("_n")]
     keys = kept.select(*tag).distinct()
-    return codes.withColumn("_c", F.col(index)).withColumn("_n", F.lower(F.trim(name))).join(keys, ["_c", "_n"], "left_anti").drop("_c", "_n")
+    return codes.withColumn("_c", F.col(index)).withColumn("_n", F.lower(strip(name))).join(keys, ["_c", "_n"], "left_anti").drop("_c", "_n")
 
 
 def cluster_codes(codes: DataFrame, threshold: float = 0.75, key: str = "code_id", vector: str = "embedding") -> DataFrame:
@@ -397,7 +398,7 @@ def top_quotes(linked: DataFrame, n: int = 3, order: str = "code_id", by: Sequen
     """First n non-blank quotes per theme, in code order."""
     from pyspark.sql import Window as W
 
-    quotes = linked.filter(F.trim("quote") != "").withColumn("_s", F.pmod(F.xxhash64(order), F.lit(64)))
+    quotes = linked.filter(strip("quote") != "").withColumn("_s", F.pmod(F.xxhash64(order), F.lit(64)))
     # first n per (theme, slice), then per theme among those: no theme is ever sorted whole
     few = quotes.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_s").orderBy(order))).filter(F.col("_r") <= n)
     ranked = few.withColumn("position", F.row_number().over(W.partitionBy(*by).orderBy(order)))

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from ..core import strip
 from pyspark.sql import types as T
 
 from ..functions.replies import reply_json, rubric_justification, rubric_scores
@@ -69,7 +71,7 @@ def chunk_transcripts(transcripts: DataFrame, chunk_size: int = 2500, order: str
     def pack(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"content": c, "within": w} for c, w in pack_text(t.strip(), chunk_size)])
 
-    docs = transcripts.filter(F.trim("content") != "").select(F.col(order).alias("_doc"), "participant_id", pack("content").alias("_chunks"))
+    docs = transcripts.filter(strip("content") != "").select(F.col(order).alias("_doc"), "participant_id", pack("content").alias("_chunks"))
     docs = docs.withColumn("_n", F.size("_chunks"))
     # only the counts go through the prefix sums, not the texts
     counts = docs.select("_doc", "participant_id", "_n")
@@ -184,7 +186,7 @@ def write_report(themes: DataFrame, quotes: DataFrame, model_fn: ModelFn, instru
     )
     lists = _lines(themes.join(cited, ["run", "theme"], "left"), ["run"], "theme_index", line, budget)
     called = call_model(lists, F.concat_ws("\n", F.lit(instruction), F.col("lines")), model_fn)
-    return called.select("run", "batch", F.col("n_lines").alias("n_themes"), F.trim("reply").alias("report_text"), "error")
+    return called.select("run", "batch", F.col("n_lines").alias("n_themes"), strip("reply").alias("report_text"), "error")
 
 
 # -- deductive coding --------------------------------------------------------------------------
@@ -203,7 +205,7 @@ def extract_evidence(transcripts: DataFrame, codebook: Sequence[dict], model_fn:
         )
         for c in codebook
     ])
-    text = F.trim("content")
+    text = strip("content")
     units = transcripts.filter(text != "").select("participant_id", text.alias("content"), F.explode(entries).alias("k")).select("participant_id", "content", "k.*")
     prompt = F.concat_ws(
         "\n", F.lit(instruction), F.concat(F.lit("Construct: "), F.initcap(F.translate("construct_name", "_", " "))), F.col("definition"),
@@ -229,7 +231,7 @@ def objective_evidence(transcripts: DataFrame, objectives: DataFrame, model_fn:
     or of a module without objectives, have no rows.
     """
     module = reflection_module(F.col("module_id"))
-    t = transcripts.filter((F.trim("content") != "") & module.rlike(r"^module_\d+$")).select("participant_id", module.alias("module_id"), F.trim("content").alias("content"))
+    t = transcripts.filter((strip("content") != "") & module.rlike(r"^module_\d+$")).select("participant_id", module.alias("module_id"), strip("content").alias("content"))
     units = t.join(objectives.select("module_id", "title", F.posexplode("objectives").alias("_i", "lo_text")), "module_id")
     units = units.withColumn("lo_index", F.col("_i") + 1).drop("_i")
     prompt = F.concat_ws("\n", F.lit(instruction), F.col("title"), F.concat(F.col("lo_index").cast("string"), F.lit(". "), F.col("lo_text")), F.col("content"))
@@ -243,7 +245,7 @@ def objective_evidence(transcripts: DataFrame, objectives: DataFrame, model_fn:
 def score_rubric(reflections: DataFrame, model_fn: ModelFn, instruction: str, dimensions: Sequence[str]) -> DataFrame:
     """Reflection -> clamped dimension scores, their share of the maximum, and the justification."""
     prompt = F.concat_ws("\n", F.lit(instruction), F.concat_ws(" ", "module_id", "question_id"), F.col("text"))
-    called = call_model(reflections.select("user_id", "module_id", "question_id", "text").filter(F.trim("text") != ""), prompt, model_fn)
+    called = call_model(reflections.select("user_id", "module_id", "question_id", "text").filter(strip("text") != ""), prompt, model_fn)
     clean = called.withColumn("_j", reply_json(F.col("reply")))
     error = F.when(F.col("error").isNull() & F.col("_j").isNull(), "no JSON object in reply").otherwise(F.col("error"))
     scores = rubric_scores(F.col("_j"), dimensions)
@@ -278,7 +280,7 @@ def rate_items(items: DataFrame, model_fn: ModelFn, instruction: str, models: Se
         F.lit("no answer key on file").alias("error"))
     rated = p.select(
         "instrument_key", "question_id", "item_hash", "model", "step", "repeat_no", error.isNull().alias("ok"), F.when(~bad, level).alias("bloom_level"),
-        F.when(F.col("key").isNotNull() & (solved != "unsure"), F.trim(solved) == F.trim("key")).alias("blind_matches_key"),
+        F.when(F.col("key").isNotNull() & (solved != "unsure"), strip(solved) == strip("key")).alias("blind_matches_key"),
         F.col("parsed.key_defensible").alias("key_defensible"), "tokens_used", error.alias("error"))
     return rated.unionByName(unkeyed)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import require_columns
+from ..core import require_columns, strip
 from ..functions.numbers import percent
 from ..functions.text import is_survey, module_number
 from .ordered import quantiles
@@ -57,14 +57,14 @@ def normalize_demographics(answers: DataFrame, grade_q: str, language_q: str, ge
         "user_id",
         "grade",
         grade_level(F.col("grade")).alias("grade_level"),
-        gender_or_null(F.trim("sex")).alias("gender"),
+        gender_or_null(strip("sex")).alias("gender"),
         strict_bool(F.col("lang")).alias("first_language_english"),
     )
 
 
 def grade_level(grade: Column) -> Column:
     pairs = [F.lit(x) for pair in GRADE_LEVELS.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), F.trim(grade))
+    return F.try_element_at(F.create_map(*pairs), strip(grade))
 
 
 def gender_or_null(c: Column) -> Column:
@@ -72,20 +72,20 @@ def gender_or_null(c: Column) -> Column:
 
 
 def strict_bool(c: Column) -> Column:
-    text = F.lower(F.trim(c))
+    text = F.lower(strip(c))
     return F.when(text == "true", True).when(text == "false", False)
 
 
 def lenient_bool(c: Column) -> Column:
     """Import vocabulary."""
-    text = F.lower(F.trim(c.cast("string")))
+    text = F.lower(strip(c.cast("string")))
     return F.when(text.isin("true", "1", "yes", "y"), True).when(text.isin("false", "0", "no", "n"), False)
 
 
 def normalize_import_demographics(demographics: DataFrame, canonical: DataFrame) -> DataFrame:
     """One cleaned row per imported student; students without a demographics row get NULLs."""
     users = canonical.groupBy("user_id").agg(F.min("cohort_id").alias("cohort_id"))
-    demo = demographics.groupBy(F.trim("user_id").alias("user_id")).agg(
+    demo = demographics.groupBy(strip("user_id").alias("user_id")).agg(
         F.min_by(F.struct("grade", "gender", "first_language_english"), F.struct("grade", "gender", F.col("first_language_english").cast("string"))).alias("d")
     )
     known = F.col("d.grade").isin(list(GRADE_LEVELS))
@@ -198,7 +198,7 @@ def excessive_missingness(canonical: DataFrame, instruments: Sequence[str], thre
 
 def straight_lining(canonical: DataFrame, surveys: Sequence[str], min_items: int = 3) -> DataFrame:
     """Users who gave one and the same answer to all (>= min_items) items of a survey."""
-    df = canonical.filter(is_survey(F.col("instrument_key"), surveys) & (F.trim("response_value") != ""))
+    df = canonical.filter(is_survey(F.col("instrument_key"), surveys) & (strip("response_value") != ""))
     counts = df.groupBy("user_id", "instrument_key").agg(
         F.count(F.lit(1)).alias("n_items"), F.count_distinct("response_value").alias("n_distinct_responses")
     )

@@ -22,7 +22,7 @@ def quant_ctt(canonical: DataFrame, base: str, weights: dict[str, float] | None
     if weights:
         table = F.create_map(*[x for q, w in weights.items() for x in (F.lit(q), F.lit(float(w)))])
         w = F.coalesce(F.try_element_at(table, F.col("question_id")), F.lit(1.0))
-        value = F.sum(F.col("item_score") * w) / F.sum(w)
+        value = F.try_divide(F.sum(F.col("item_score") * w), F.sum(w))
     else:
         value = F.avg("item_score")
     return df.groupBy("user_id").agg(round_clean(value, 4).alias("cpi_quant_ctt"), F.count(F.lit(1)).alias("n_items")).withColumn(

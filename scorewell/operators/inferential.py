@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import clip
+from ..core import clip, safe_corr
 from ..functions.dist import p_value
 from ..functions.numbers import d_label, eta_label, normal_quantile, w_label
 from .ordered import average_rank, cumulative_histogram, quantiles
@@ -250,14 +250,14 @@ def signed_rank(diffs: DataFrame, diff: str = "diff", by: Sequence[str] = ()) ->
     m = F.col("n_used")
     low = F.least("r_plus", "r_minus")
     se = F.sqrt((m * (m + 1) * (2 * m + 1) - F.col("_ties") / 2) / 24)
-    z = (low - m * (m + 1) / 4) / se
+    z = F.try_divide(low - m * (m + 1) / 4, se)
     exact = (m <= 50) & (F.col("_ties") == 0) & (F.col("n_zero") == 0)
     p = F.when(m.isNull() | (m == 0), F.lit(1.0)).when(
         exact, p_value("signed_rank_exact", F.when(exact, low), F.when(exact, m))
     ).otherwise(clip(2 * p_value("norm_sf", F.abs(z)), 0.0, 1.0))
     return out.select(
         *by, "n", F.coalesce("n_used", F.lit(0)).alias("n_used"), low.alias("statistic"), p.alias("p_value"),
-        ((F.col("r_plus") - F.col("r_minus")) / (F.col("r_plus") + F.col("r_minus"))).alias("rank_biserial"),
+        F.try_divide(F.col("r_plus") - F.col("r_minus"), F.col("r_plus") + F.col("r_minus")).alias("rank_biserial"),
         F.when(m > 0, F.when(exact, "exact").otherwise("normal")).alias("method"),
     )
 
@@ -297,12 +297,12 @@ def bland_altman(pairs: DataFrame) -> DataFrame:
     """Bias, limits of agreement at two standard deviations, and proportional bias: one row."""
     df = pairs.select((F.col("post") - F.col("pre")).alias("d"), ((F.col("pre") + F.col("post")) / 2).alias("m"))
     out = df.agg(
-        F.count("d").alias("n_pairs"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd_diff"), F.corr("d", "m").alias("_r")
+        F.count("d").alias("n_pairs"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd_diff"), safe_corr(F.col("d"), F.col("m")).alias("_r")
     )
     n = F.col("n_pairs")
     out = out.withColumn("proportional_bias_r", F.when(n >= 3, F.col("_r")))
     r = F.col("proportional_bias_r")
-    out = out.withColumn("proportional_bias_p", p_value("t_two_sided", r * F.sqrt((n - 2) / (1 - r * r)), n - 2))
+    out = out.withColumn("proportional_bias_p", p_value("t_two_sided", r * F.sqrt(F.try_divide(n - 2, 1 - r * r)), n - 2))
     return out.select(
         "n_pairs", "mean_diff", "sd_diff",
         (F.col("mean_diff") - 2 * F.col("sd_diff")).alias("loa_lower"),
@@ -366,14 +366,14 @@ def between_groups(scores: DataFrame, group: str, alpha: float = ALPHA) -> DataF
     k, n = F.col("n_groups"), F.col("n_total")
     ok = k >= 2
     between = F.col("_nmm") - n * F.col("grand_mean") ** 2
-    out = out.withColumn("f_stat", F.when(ok & (F.col("ss_within") > 0), (between / (k - 1)) / (F.col("ss_within") / (n - k))))
+    out = out.withColumn("f_stat", F.when(ok & (F.col("ss_within") > 0), F.try_divide(between / (k - 1), F.try_divide(F.col("ss_within"), n - k))))
     out = out.withColumn("anova_p", p_value("f_sf", F.col("f_stat"), k - 1, n - k))
     out = out.withColumn(
         "eta_squared", F.when(between + F.col("ss_within") > 0, between / (between + F.col("ss_within"))).otherwise(F.lit(0.0))
     )
     h = 12 / (n * (n + 1)) * F.col("_rr") - 3 * (n + 1)
     nn = n.cast("double")
-    out = out.withColumn("kruskal_stat", F.when(ok, h / (1 - F.col("tie_sum") / (nn * nn * nn - nn))))
+    out = out.withColumn("kruskal_stat", F.when(ok, F.try_divide(h, 1 - F.try_divide(F.col("tie_sum"), nn * nn * nn - nn))))
     out = out.withColumn("kruskal_p", p_value("chi2_sf", F.col("kruskal_stat"), k - 1))
     out = _two_group_tests(out)
     verdict = F.when(F.col("all_normal"), NORMAL).otherwise(NOT_NORMAL)
@@ -404,16 +404,16 @@ def _two_group_tests(out: DataFrame) -> DataFrame:
     two = F.col("n_groups") == 2
     a, b = F.try_element_at("groups", F.lit(1)), F.try_element_at("groups", F.lit(2))
     na, nb = a["n"].cast("double"), b["n"].cast("double")
-    pooled_var = ((na - 1) * a["var"] + (nb - 1) * b["var"]) / (na + nb - 2)
+    pooled_var = F.try_divide((na - 1) * a["var"] + (nb - 1) * b["var"], na + nb - 2)
     gap = a["mean"] - b["mean"]
     sa, sb = a["var"] / na, b["var"] / nb
-    welch_df = (sa + sb) ** 2 / (sa**2 / (na - 1) + sb**2 / (nb - 1))
+    welch_df = F.try_divide((sa + sb) ** 2, F.try_divide(sa**2, na - 1) + F.try_divide(sb**2, nb - 1))
     u = a["rank_sum"] - na * (na + 1) / 2
     total = na + nb
-    sigma = F.sqrt(na * nb / 12 * (total + 1 - F.col("tie_sum") / (total * (total - 1))))
+    sigma = F.sqrt(na * nb / 12 * (total + 1 - F.try_divide(F.col("tie_sum"), total * (total - 1))))
     top = F.greatest(u, na * nb - u)
     exact = two & (F.least(na, nb) <= 8) & (F.col("tie_sum") == 0)
-    asymptotic = clip(2 * p_value("norm_sf", F.when(two, (top - na * nb / 2 - 0.5) / sigma)), 0.0, 1.0)
+    asymptotic = clip(2 * p_value("norm_sf", F.when(two, F.try_divide(top - na * nb / 2 - 0.5, sigma))), 0.0, 1.0)
     return (
         out.withColumn("t_stat", F.when(two & (pooled_var > 0), gap / F.sqrt(pooled_var * (1 / na + 1 / nb))))
         .withColumn("t_p_value", p_value("t_two_sided", F.col("t_stat"), na + nb - 2))
@@ -473,7 +473,10 @@ def _sphericity(cov: pd.Series, n: pd.Series) -> pd.DataFrame:
     rows = []
     for flat, size in zip(cov, n):
         k = int(round(np.sqrt(len(flat))))
-        s = np.asarray(flat, dtype=float).reshape(k, k)
+        s = np.array([np.nan if v is None else v for v in flat], dtype=float).reshape(k, k)
+        if size < 2 or not np.isfinite(s).all():
+            rows.append((None, None, None))
+            continue
         centred = s - s.mean(0)[None, :] - s.mean(1)[:, None] + s.mean()
         trace = np.trace(centred)
         eps = min(1.0, trace**2 / ((k - 1) * (centred**2).sum())) if trace > 0 else np.nan
@@ -531,9 +534,10 @@ def repeated_measures(vectors: DataFrame, occasions: Sequence[str], alpha: float
     n = F.col("n").cast("double")
     sum_of = lambda arr, fn: F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + fn(v))
     rr = sum_of(F.col("rank_sums"), lambda v: v * v)
-    friedman = (12 / (n * k * (k + 1)) * rr - 3 * n * (k + 1)) / (1 - F.col("ties") / (n * k * (k * k - 1)))
+    tie_factor = 1 - F.try_divide(F.col("ties"), n * k * (k * k - 1))
+    friedman = F.try_divide(F.try_divide(12 * rr, n * k * (k + 1)) - 3 * n * (k + 1), tie_factor)
     mean_rank = n * (k + 1) / 2
-    kendall = 12 * sum_of(F.col("rank_sums"), lambda v: (v - mean_rank) * (v - mean_rank)) / (n * n * (k**3 - k))
+    kendall = F.try_divide(12 * sum_of(F.col("rank_sums"), lambda v: (v - mean_rank) * (v - mean_rank)), n * n * (k**3 - k))
     grand = sum_of(F.col("means"), lambda v: v) / k
     out = agg.withColumn("friedman_stat", friedman).withColumn("kendalls_w", clip(kendall, 0.0, 1.0))
     out = out.withColumn("p_value", p_value("chi2_sf", F.col("friedman_stat"), float(k - 1)))
@@ -543,7 +547,7 @@ def repeated_measures(vectors: DataFrame, occasions: Sequence[str], alpha: float
     out = out.withColumn("ss_within", n * sum_of(F.col("vars"), lambda v: v))
     out = out.withColumn("ss_error", F.col("ss_within") - F.col("ss_subject"))
     df1, df2 = float(k - 1), (k - 1) * (n - 1)
-    out = out.withColumn("rm_f", F.when(F.col("ss_error") > 0, (F.col("ss_time") / df1) / (F.col("ss_error") / df2)))
+    out = out.withColumn("rm_f", F.when(F.col("ss_error") > 0, F.try_divide(F.col("ss_time") / df1, F.try_divide(F.col("ss_error"), df2))))
     out = out.withColumn("rm_p_unc", p_value("f_sf", F.col("rm_f"), F.lit(df1), df2))
     out = out.withColumn("_sph", _sphericity(F.col("cov"), n))
     eps = F.col("_sph.eps")
@@ -559,7 +563,7 @@ def repeated_measures(vectors: DataFrame, occasions: Sequence[str], alpha: float
         F.col("n").alias("n_subjects"), F.lit(k).alias("n_occasions"), "friedman_stat", "p_value",
         (F.col("p_value") < alpha).alias("significant"), "kendalls_w", w_label(F.col("kendalls_w")).alias("effect_size_label"),
         "ss_time", "ss_subject", "ss_error", "rm_f", "rm_p_unc", "rm_p_gg", eps.alias("eps"),
-        (F.col("ss_time") / (F.col("ss_time") + F.col("ss_within"))).alias("eta_sq_gen"),
+        F.try_divide(F.col("ss_time"), F.col("ss_time") + F.col("ss_within")).alias("eta_sq_gen"),
         F.col("_sph.w").alias("w_spher"), F.col("_sph.p").alias("p_spher"), (F.col("_sph.p") > alpha).alias("sphericity"),
         verdict.alias("normality_verdict"), recommend_test(verdict, repeated=True).alias("recommended_test"),
         primary.alias("primary_p"), (primary < alpha).alias("run_posthoc"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import clip, config_frame, first_row
+from ..core import clip, config_frame, first_row, safe_corr
 from ..functions import numbers as nb
 from ..functions.dist import p_value
 from ..functions.text import matches_base, natural_key, option_letter
@@ -63,7 +63,7 @@ def reliability(long: DataFrame, by: Sequence[str]) -> DataFrame:
     out = s.withColumn("method", method)
     m = F.col("method")
     # two items: their covariance is half of what the total's variance has beyond the item variances
-    r = (F.col("var_total") - F.col("sum_var")) / 2 / F.sqrt("prod_var")
+    r = F.try_divide((F.col("var_total") - F.col("sum_var")) / 2, F.sqrt("prod_var"))
     alpha = _alpha(k, F.col("sum_var"), F.col("var_total"))
     out = out.withColumn("value", F.when(m == "spearman_brown", nb.spearman_brown(r)).when(m == "cronbach_alpha", alpha))
     v = F.col("value")
@@ -244,11 +244,11 @@ def distractor_analysis(
     key_row = keyed.filter(F.col("letter") == F.col("key")).select("question_id", F.col("cnt").alias("kc"), F.col("s").alias("ks"), F.col("ss").alias("kss"))
     full = keyed.join(key_row, "question_id", "left")
     both = F.col("cnt") + F.col("kc")
-    mean = (F.col("s") + F.col("ks")) / both
-    sd = F.sqrt((F.col("ss") + F.col("kss")) / both - mean * mean)
-    share_opt = F.col("cnt") / both
+    mean = F.try_divide(F.col("s") + F.col("ks"), both)
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("ss") + F.col("kss"), both) - mean * mean))
+    share_opt = F.try_divide(F.col("cnt"), both)
     # point-biserial from the two groups' sums
-    r = (F.col("s") / F.col("cnt") - F.col("ks") / F.col("kc")) * F.sqrt(share_opt * (1 - share_opt)) / sd
+    r = F.try_divide((F.try_divide("s", "cnt") - F.try_divide("ks", "kc")) * F.sqrt(share_opt * (1 - share_opt)), sd)
     usable = (F.col("letter") != F.col("key")) & (both >= 5) & (F.col("cnt") > 0) & (F.col("kc") > 0) & (sd > 0)
     share = F.col("cnt") / F.col("n")
     out = full.withColumn("distractor_r", F.when(usable, r))
@@ -290,12 +290,12 @@ def correlation_matrix(long: DataFrame, variables: Sequence[str], unit: str = "u
         ])
         cells = wide.select(F.explode(entries).alias("e")).select("e.*").na.drop(subset=["x", "y"])
         ranked = average_rank(average_rank(cells, ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
-        return ranked.groupBy("a", "b").agg(F.corr("rx", "ry").alias("r"), F.count(F.lit(1)).alias("n"))
+        return ranked.groupBy("a", "b").agg(safe_corr(F.col("rx"), F.col("ry")).alias("r"), F.count(F.lit(1)).alias("n"))
     both = lambda i, j: F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull()
     row = wide.agg(*[
         F.struct(
             F.lit(variables[i]).alias("a"), F.lit(variables[j]).alias("b"),
-            F.corr(F.when(both(i, j), F.col(f"v{i}")), F.when(both(i, j), F.col(f"v{j}"))).alias("r"), F.count_if(both(i, j)).alias("n"),
+            safe_corr(F.col(f"v{i}"), F.col(f"v{j}")).alias("r"), F.count_if(both(i, j)).alias("n"),
         ).alias(f"p{i}_{j}")
         for i, j in pairs
     ])
@@ -315,11 +315,11 @@ def rm_corr(long: DataFrame, predictors: Sequence[str], outcome: str, unit: str
         F.sum(F.col("n") * F.col("vy")).alias("syy"), F.sum(F.col("n") * F.col("cxy")).alias("sxy"),
     )
     enough = (F.col("n_subjects") >= 3) & (F.col("n_obs") >= 6) & (F.col("sxx") > 0) & (F.col("syy") > 0)
-    out = s.withColumn("r", F.when(enough, F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))))
+    out = s.withColumn("r", F.when(enough, F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))))
     out = out.withColumn("dof", F.col("n_obs") - F.col("n_subjects") - 1)
     r, dof = F.col("r"), F.col("dof")
-    out = out.withColumn("p_unc", p_value("t_two_sided", r * F.sqrt(dof / (1 - r * r)), dof))
-    half = nb.Z975 / F.sqrt(dof - 1)
+    out = out.withColumn("p_unc", p_value("t_two_sided", r * F.sqrt(F.try_divide(dof, 1 - r * r)), dof))
+    half = F.when(dof > 1, nb.Z975 / F.sqrt(dof - 1))
     out = out.withColumn("ci_low", F.tanh(F.atanh(r) - half)).withColumn("ci_high", F.tanh(F.atanh(r) + half))
     out = out.withColumn("power", p_value("correlation_power", r, dof))
     adjusted = fdr_bh(out, "p_unc", "predictor", alpha)

@@ -31,7 +31,7 @@ def latest_suggestion(results: DataFrame, by_model: bool = True) -> DataFrame:
 
 def latest_key_review(results: DataFrame) -> DataFrame:
     """Newest successful key review per item."""
-    from ..core import last_row
+    from ..core import last_row, strip
 
     ok = results.filter(F.col("ok") & (F.col("step") == "key"))
     return last_row(ok, ITEM, [F.col("created_at"), F.col("id")], ["key_defensible", "model", "run_id"])
@@ -50,7 +50,7 @@ def decision(final: Column, blind: Column, model_levels: Column, rationale: Colu
     return (
         F.when(final.isNull(), F.lit(None).cast("string"))
         .when(final == blind, "kept")
-        .when(F.coalesce(F.trim(rationale), F.lit("")) == "", F.lit(None).cast("string"))
+        .when(F.coalesce(strip(rationale), F.lit("")) == "", F.lit(None).cast("string"))
         .when(F.array_contains(model_levels, final), "adopted_llm")
         .otherwise("changed")
     )

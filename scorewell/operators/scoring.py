@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import require_columns
+from ..core import require_columns, strip
 from ..functions.text import normalize_choice
 
 
@@ -19,7 +19,7 @@ def rule_table(scoring: DataFrame) -> DataFrame:
         lambda a, b: F.when(a["until"] < b["until"], -1).when(a["until"] > b["until"], 1).otherwise(0),
     )
     return scoring.select(
-        F.trim("instrument_key").alias("instrument_key"),
+        strip("instrument_key").alias("instrument_key"),
         "scoring_type",
         _clean(F.col("correct_answers")).alias("current_key"),
         versions.alias("versions"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import require_columns
+from ..core import require_columns, strip
 from ..functions.text import STUDENT_ID_PATTERN
 from .descriptive import normalize_import_demographics
 
@@ -32,13 +32,13 @@ def validate_import(
     require_columns(canonical, REQUIRED_IMPORT, "import file")
     text = ("user_id", "module_id", "instrument_key", "question_id", "construct", "cohort_id")
     c = canonical.select(
-        *[F.coalesce(F.trim(F.col(x).cast("string")), F.lit("")).alias(x) for x in text], "response_value",
+        *[F.coalesce(strip(F.col(x).cast("string")), F.lit("")).alias(x) for x in text], "response_value",
         F.col("item_score").try_cast("double").alias("score"),
     )
     blank = lambda x: F.col(x).isin("", "nan", "None")
     ids = c.groupBy("user_id").agg(F.count_distinct("cohort_id").alias("k"))
     bad_ids = ids.filter(~F.col("user_id").rlike(STUDENT_ID_PATTERN))
-    clash = ids.join(known_users.select(F.trim("user_id").alias("user_id")).distinct(), "user_id", "left_semi")
+    clash = ids.join(known_users.select(strip("user_id").alias("user_id")).distinct(), "user_id", "left_semi")
     multi = ids.filter(F.col("k") > 1)
     cohorts = c.select("cohort_id").distinct().filter(F.col("cohort_id").isin(list(registered_cohorts)))
     dup = c.groupBy("user_id", "instrument_key", "question_id").agg((F.count(F.lit(1)) - 1).alias("extra")).filter(F.col("extra") > 0)
@@ -74,7 +74,7 @@ def normalize_ground_truth(df: DataFrame) -> DataFrame:
     if require:
         raise ValueError(f"missing required column(s): {', '.join(require)}")
     cols = [
-        (F.trim(F.col(f"`{found[c]}`").cast("string")) if c in found else F.lit("")).alias(c)
+        (strip(F.col(f"`{found[c]}`").cast("string")) if c in found else F.lit("")).alias(c)
         for c in (*GROUND_TRUTH_REQUIRED, *GROUND_TRUTH_OPTIONAL)
     ]
     out = df.select(*cols).na.fill("")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import require_columns
+from ..core import require_columns, strip
 from ..functions.text import depends_on_figure, item_hash, parse_option
 
 RESPONSE_COLUMNS = ("user_id", "instrument_name", "question_id", "response_value", "submitted_at")
@@ -46,7 +46,7 @@ def flatten_definitions(definitions: DataFrame) -> DataFrame:
     """
     require_columns(definitions, ["instrument_key", "module_id"], "definitions")
     have = set(definitions.columns)
-    base = [F.trim("instrument_key").alias("instrument_key"), _module(definitions).alias("module_id")]
+    base = [strip("instrument_key").alias("instrument_key"), _module(definitions).alias("module_id")]
     parts = []
     for rank, column in enumerate(("sections", "blocks")):
         if column in have:
@@ -72,7 +72,7 @@ def flatten_definitions(definitions: DataFrame) -> DataFrame:
     flat = parts[0]
     for p in parts[1:]:
         flat = flat.unionByName(p)
-    flat = flat.withColumn("question_id", F.trim("q.id"))
+    flat = flat.withColumn("question_id", strip("q.id"))
     best = F.max(F.struct("_layout", "construct", "module_id")).alias("b")
     return (
         flat.groupBy("instrument_key", "question_id")
@@ -132,7 +132,7 @@ def item_records(bank: DataFrame, keys: DataFrame | None = None, selection: list
     ``instrument_key, question_id, answer``.
     """
     require_columns(bank, ["instrument_key", "question_id", "question", "options"], "item bank")
-    text = F.trim("question")
+    text = strip("question")
     options = F.transform("options", lambda raw, i: parse_option(raw, i))
     items = bank.select("instrument_key", "question_id", text.alias("text"), options.alias("options"))
     items = items.withColumn("item_hash", item_hash(F.col("text"), F.col("options"))).withColumn(
@@ -140,7 +140,7 @@ def item_records(bank: DataFrame, keys: DataFrame | None = None, selection: list
         depends_on_figure(F.concat_ws(" ", "text", F.array_join(F.col("options.text"), " "))),
     )
     if keys is not None:
-        answer = keys.select("instrument_key", "question_id", F.trim("answer").alias("key"))
+        answer = keys.select("instrument_key", "question_id", strip("answer").alias("key"))
         items = items.join(answer, ["instrument_key", "question_id"], "left")
     else:
         items = items.withColumn("key", F.lit(None).cast("string"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import first_row
+from ..core import first_row, strip
 from ..functions.text import FILE_SUFFIXES, participant_from_file, reflection_module
 
 # Line shapes of a caption file.
@@ -26,7 +26,7 @@ def read_transcripts(df: DataFrame, source_type: str | None = None, cohort_ids:
 
 def reflections_as_transcripts(responses: DataFrame, part: str = "module_reflections", module: str | None = None) -> DataFrame:
     """Non-blank free-text answers of reflection instruments as transcripts."""
-    df = responses.filter(F.col("instrument_name").contains(part) & (F.trim("response_value") != ""))
+    df = responses.filter(F.col("instrument_name").contains(part) & (strip("response_value") != ""))
     if module:
         df = df.filter(F.col("instrument_name").contains(module))
     return df.select(
@@ -37,7 +37,7 @@ def reflections_as_transcripts(responses: DataFrame, part: str = "module_reflect
 
 def reflection_texts(canonical: DataFrame, part: str = "module_reflections", modules: Sequence[str] | None = None, questions: Sequence[str] | None = None) -> DataFrame:
     """Non-blank reflections, the first per (user, question)."""
-    df = canonical.filter(F.col("instrument_key").contains(part) & (F.trim("response_value") != ""))
+    df = canonical.filter(F.col("instrument_key").contains(part) & (strip("response_value") != ""))
     if modules:
         df = df.filter(F.col("module_id").isin(list(modules)))
     if questions:
@@ -48,7 +48,7 @@ def reflection_texts(canonical: DataFrame, part: str = "module_reflections", mod
 
 def caption_text(raw: Column) -> Column:
     """Spoken text of a caption file: header, cue times, notes, numbers and speaker labels removed."""
-    lines = F.transform(F.split(raw, r"\r\n|\r|\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(raw, r"\r\n|\r|\n"), lambda x: strip(x))
     spoken = F.filter(
         lines, lambda x: (x != "") & (x != "WEBVTT") & ~x.rlike(CUE) & ~x.startswith("NOTE") & ~x.rlike(r"^\d+$")
     )
@@ -61,7 +61,7 @@ def parse_captions(files: DataFrame, suffixes: Sequence[str] = FILE_SUFFIXES) ->
     caption = F.lower("path").endswith(".vtt")
     return files.select(
         participant_from_file(F.col("path"), suffixes).alias("participant_id"),
-        F.when(caption, caption_text(F.col("value"))).otherwise(F.trim("value")).alias("content"),
+        F.when(caption, caption_text(F.col("value"))).otherwise(strip("value")).alias("content"),
     )
 
 
