@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import require_columns, strip
+from ..core import materialize, require_columns, strip
 from ..functions.numbers import percent
 from ..functions.text import is_survey, module_number
 from .ordered import quantiles
@@ -209,6 +209,7 @@ def straight_lining(canonical: DataFrame, surveys: Sequence[str], min_items: int
 def outliers(df: DataFrame, value: str, by: Sequence[str], method: str = "iqr") -> DataFrame:
     """Flag each row against its group's Tukey fences or |z| > 3; groups under three rows never flag."""
     require_columns(df, [*by, "user_id", value], "scores")
+    df = materialize(df.select(*by, "user_id", value), "scores")  # read three times below, computed once
     stats = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd")
     )

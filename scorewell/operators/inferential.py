@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import clip, safe_corr
+from ..core import clip, materialize, safe_corr
 from ..functions.dist import p_value
 from ..functions.numbers import d_label, eta_label, normal_quantile, w_label
-from .ordered import average_rank, cumulative_histogram, quantiles
+from .ordered import cumulative_histogram, quantiles_of
 
 ALPHA = 0.05
 LOW_N_NORMALITY = 20  # fixed value
@@ -174,17 +174,22 @@ def levene(df: DataFrame, value: str, group: str, by: Sequence[str] = (), center
     keys = [*by, group]
     clean = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     clean = clean.select(*keys, F.col(value).cast("double").alias(value))
-    hist = cumulative_histogram(clean, keys, value).withColumn("w", F.col("n"))
+    full = cumulative_histogram(clean, keys, value)
+    hist = full.withColumn("w", F.col("n"))
     if center == "trimmed":
         cut = F.floor(F.lit(trim) * F.col("n_total"))
         kept = F.least(F.col("n_before") + F.col("n"), F.col("n_total") - cut) - F.greatest(F.col("n_before"), cut)
         hist = hist.withColumn("w", F.greatest(F.lit(0), kept)).filter(F.col("w") > 0)
     wmean = (F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("_c")
     if center == "median":
-        middle = quantiles(clean, keys, value, {"_c": 0.5})
+        middle = quantiles_of(full, keys, value, {"_c": 0.5})
     else:
         middle = hist.groupBy(*keys).agg(wmean)
-    raw = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_raw"), F.var_samp(value).alias("variance"))
+    w, v = F.col("n"), F.col(value)
+    shifted = full.join(full.groupBy(*keys).agg((F.sum(v * w) / F.sum(w)).alias("_mu")), keys)
+    raw = shifted.groupBy(*keys).agg(
+        F.sum(w).alias("n_raw"), F.try_divide(F.sum(w * (v - F.col("_mu")) ** 2), F.sum(w) - 1).alias("variance")
+    )
     dev = hist.join(middle, keys).withColumn("_z", F.abs(F.col(value) - F.col("_c")))
     per_group = dev.groupBy(*keys).agg(
         F.sum("w").alias("n_g"), F.sum(F.col("w") * F.col("_z")).alias("sz"), F.sum(F.col("w") * F.col("_z") ** 2).alias("szz")
@@ -234,6 +239,7 @@ def signed_rank(diffs: DataFrame, diff: str = "diff", by: Sequence[str] = ()) ->
     """
     by = list(by)
     d = F.col(diff)
+    diffs = materialize(diffs.select(*by, diff), "differences")
     totals = diffs.groupBy(*by).agg(F.count(diff).alias("n"), F.count_if(d == 0).alias("n_zero"))
     nz = diffs.filter(d != 0).select(*by, F.abs(d).alias("_abs"), (d > 0).alias("_up"))
     hist = cumulative_histogram(nz, by, "_abs")
@@ -264,7 +270,7 @@ def signed_rank(diffs: DataFrame, diff: str = "diff", by: Sequence[str] = ()) ->
 
 def paired_comparison(pairs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Paired t-test, effect size, normality of the differences, Wilcoxon, power: one row."""
-    df = pairs.withColumn("diff", F.col("post") - F.col("pre"))
+    df = materialize(pairs, "pairs").withColumn("diff", F.col("post") - F.col("pre"))
     base = df.agg(
         F.count("diff").alias("n_pairs"),
         F.avg("pre").alias("pre_mean"), F.stddev_samp("pre").alias("pre_std"),
@@ -330,9 +336,12 @@ def between_groups(scores: DataFrame, group: str, alpha: float = ALPHA) -> DataF
 
     ``scores`` has ``user_id, score`` and the group column.
     """
-    df = scores.filter(F.col("score").isNotNull() & F.col(group).isNotNull()).select(
-        F.col(group).cast("string").alias("g"), F.col("score").cast("double").alias("score")
-    )
+    df = materialize(
+        scores.filter(F.col("score").isNotNull() & F.col(group).isNotNull()).select(
+            F.col(group).cast("string").alias("g"), F.col("score").cast("double").alias("score")
+        ),
+        "scores",
+    )  # one row per user, read by every test below
     stats = df.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.coalesce(F.var_samp("score"), F.lit(0.0)).alias("var")
     )
@@ -502,6 +511,7 @@ def repeated_measures(vectors: DataFrame, occasions: Sequence[str], alpha: float
     its own row, so the whole test is one aggregation over units.
     """
     k = len(occasions)
+    vectors = materialize(vectors, "vectors")
     if k < 3:
         note = (
             "exactly 2 time points: use the paired comparison" if k == 2 else "need at least 2 time points"

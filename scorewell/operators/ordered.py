@@ -109,7 +109,11 @@ def ordinal_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, out: st
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group: one row per group, one column per entry."""
-    hist = cumulative_histogram(df, by, value)
+    return quantiles_of(cumulative_histogram(df, by, value), by, value, probs)
+
+
+def quantiles_of(hist: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """``quantiles`` of an existing cumulative histogram."""
     aggs = []
     for name, p in probs.items():
         spot = F.lit(float(p)) * (F.col("n_total") - 1)
@@ -127,8 +131,12 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
 
 def modes(df: DataFrame, by: Sequence[str], value: str, out: str = "mode") -> DataFrame:
     """Most frequent value per group; the smallest one on a tie."""
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    best = F.min(F.struct((-F.col("_n")).alias("k"), F.col(value).alias("v")))
+    return modes_of(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), by, value, out)
+
+
+def modes_of(hist: DataFrame, by: Sequence[str], value: str, out: str = "mode") -> DataFrame:
+    """``modes`` of an existing histogram."""
+    best = F.min(F.struct((-F.col("n")).alias("k"), F.col(value).alias("v")))
     return hist.groupBy(*by).agg(best.alias("_b")).select(*by, F.col("_b.v").alias(out))
 
 

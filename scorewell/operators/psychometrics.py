@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import clip, config_frame, first_row, safe_corr
+from ..core import clip, config_frame, first_row, materialize, safe_corr
 from ..functions import numbers as nb
 from ..functions.dist import p_value
 from ..functions.text import matches_base, natural_key, option_letter
@@ -29,6 +29,7 @@ def _scale_statistics(long: DataFrame, by: Sequence[str], pop: bool = False) ->
     ``long`` has the ``by`` columns, ``user_id, question_id, item_score`` with one row per cell.
     """
     by = list(by)
+    long = materialize(long.select(*by, "user_id", "question_id", "item_score"), "cells")
     var = F.var_pop if pop else F.var_samp
     sizes = long.groupBy(*by).agg(F.count_distinct("question_id").alias("n_items"), F.count_distinct("user_id").alias("n_subjects"))
     users = long.groupBy(*by, "user_id").agg(F.count(F.lit(1)).alias("_k"), F.sum("item_score").alias("_total"))
@@ -145,7 +146,7 @@ def item_analysis(matrix: DataFrame, n_options: dict[str, int] | None = None) ->
     ``matrix`` is long (``user_id, question_id, item_score`` in {0, 1}); correlations use persons who
     answered every item.
     """
-    m = matrix.filter(F.col("item_score").isNotNull())
+    m = materialize(matrix.filter(F.col("item_score").isNotNull()), "matrix")
     per_item = m.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.sum("item_score").alias("successes"))
     users = m.groupBy("user_id").agg(F.count(F.lit(1)).alias("_k"), F.sum("item_score").alias("_total"))
     k_items = per_item.agg(F.count(F.lit(1)).alias("k"))
@@ -186,7 +187,7 @@ def item_analysis(matrix: DataFrame, n_options: dict[str, int] | None = None) ->
 
 def test_statistics(matrix: DataFrame) -> DataFrame:
     """Whole-test row: items, complete cases, mean and sd of the total, KR-20, standard error."""
-    m = matrix.filter(F.col("item_score").isNotNull())
+    m = materialize(matrix.filter(F.col("item_score").isNotNull()), "matrix")
     s = _scale_statistics(m, [], pop=True)
     p = m.groupBy("question_id").agg(F.avg("item_score").alias("p")).agg(F.avg("p").alias("mean_item_p"))
     a = F.when(F.col("n_complete") >= 2, _alpha(F.col("n_items"), F.col("sum_pq"), F.col("var_total")))
@@ -217,7 +218,7 @@ def distractor_analysis(
         "letter", option_letter(F.col("response_value"))
     ).filter(F.col("letter").isNotNull())
     order = [F.col("submitted_at"), F.col("instrument_key"), F.col("item_score")]
-    cells = first_row(df, ["user_id", "question_id"], order, ["item_score", "letter"])
+    cells = materialize(first_row(df, ["user_id", "question_id"], order, ["item_score", "letter"]), "cells")
     totals = cells.groupBy("user_id").agg(F.sum("item_score").alias("_total"))
     g = cells.join(totals, "user_id").withColumn("rest", F.col("_total") - F.col("item_score")).drop("_total")
     binned = equal_count_bins(g, ["question_id"], "rest", "user_id", n_groups)

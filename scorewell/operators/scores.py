@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import ContractError, config_frame, require_columns
+from ..core import ContractError, config_frame, require_columns, round_clean
 from ..functions.text import is_survey, matches_base
-from .ordered import modes, quantiles
+from .ordered import cumulative_histogram, modes_of, quantiles_of
 
 CANONICAL_CONTRACT = ("user_id", "instrument_key", "question_id", "item_score", "construct")
 
@@ -86,9 +86,11 @@ def summarize_scores(scores: DataFrame, group_by: str | None = None, demographic
         require_columns(df, [group_by], "scores")
     keys = ["instrument_key", *(["construct"] if constructs else []), *([group_by] if group_by else [])]
     narrow = df.select(*keys, value)
-    base = narrow.groupBy(*keys).agg(F.count(value).alias("n_users"), F.round(F.avg(value), 4).alias(f"mean_{tag}"))
-    middle = quantiles(narrow, keys, value, {"_median": 0.5})
-    common = modes(narrow, keys, value, "_mode")
+    hist = cumulative_histogram(narrow, keys, value)  # the scores behind it are computed once
+    mean = F.sum(F.col(value) * F.col("n")) / F.sum("n")
+    base = hist.groupBy(*keys).agg(F.sum("n").alias("n_users"), round_clean(mean, 4).alias(f"mean_{tag}"))
+    middle = quantiles_of(hist, keys, value, {"_median": 0.5})
+    common = modes_of(hist, keys, value, "_mode")
     out = base
     for side in (middle, common):
         side = side.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], side.columns[-1])
