@@ -101,21 +101,23 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     joined = items.join(orders, items.l_orderkey == orders.o_orderkey)
     flag = F.col("l_returnflag")
-    base = F.when(flag == "A", MCQ).when(flag == "N", "engagement_survey").otherwise("motivation_survey")
+    kind = F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2)
+    # first attempts are found on narrow numeric keys; the text columns are made from the survivors
+    keyed = joined.select(
+        "o_custkey", (F.col("l_partkey") % 7 + 1).alias("_module"), kind.alias("_kind"), "l_linenumber",
+        F.col("l_shipdate").alias("submitted_at"), "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+    )
+    order = [F.col(c) for c in ("submitted_at", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")]
+    first = first_row(keyed, ["o_custkey", "_module", "_kind", "l_linenumber"], order, ["submitted_at", "l_quantity"])
     level = F.col("l_quantity").cast("int") % 4
     letter = F.concat(F.substring(F.lit("ABCD"), level + 1, F.lit(1)), F.lit(": option"))
-    value = F.when(flag == "A", letter).otherwise(F.element_at(F.array(*[F.lit(x) for x in LABELS]), level + 1))
-    keyed = joined.select(
+    bases = F.array(F.lit(MCQ), *[F.lit(x) for x in SURVEYS])
+    return first.select(
         _user("o_custkey").alias("user_id"),
-        F.concat(F.lit("module"), (F.col("l_partkey") % 7 + 1).cast("string"), F.lit("_"), base).alias("instrument_name"),
+        F.concat(F.lit("module"), F.col("_module").cast("string"), F.lit("_"), F.element_at(bases, F.col("_kind") + 1)).alias("instrument_name"),
         F.concat(F.lit("Q"), F.col("l_linenumber").cast("string")).alias("question_id"),
-        value.alias("response_value"),
-        F.col("l_shipdate").alias("submitted_at"),
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-    )
-    order = [F.col(c) for c in ("submitted_at", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")]
-    return first_row(
-        keyed, ["user_id", "instrument_name", "question_id"], order, ["response_value", "submitted_at"]
+        F.when(F.col("_kind") == 0, letter).otherwise(F.element_at(F.array(*[F.lit(x) for x in LABELS]), level + 1)).alias("response_value"),
+        "submitted_at",
     )
 
 
