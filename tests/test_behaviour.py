@@ -322,3 +322,29 @@ def test_rename_refuses_to_merge(spark):
     assert not out["report"].first()["renamed"] and sorted(r["cohort_id"] for r in out["users"].collect()) == ["X", "Y"]
     ok = sk.rename_cohort(u, u.limit(0), u.select("cohort_id"), "X", "Z")
     assert ok["report"].first()["users"] == 1 and sorted(r["cohort_id"] for r in ok["users"].collect()) == ["Y", "Z"]
+
+
+def test_text_timestamps_filter_and_bad_ones_drop(spark):
+    rows = [("u", "m", "i", "q", 1.0, None, None, d) for d in ("2025-01-01", "2025-01-02T10:00:00", "soon", None, "2025-01-03")]
+    schema = "user_id string, module_id string, instrument_key string, question_id string, item_score double, construct string, grade string, submitted_at string"
+    df = spark.createDataFrame(rows, schema)
+    kept = cn.FilterSpec(submitted_after="2025-01-01", submitted_before="2025-01-03").apply(df).collect()
+    assert [r["submitted_at"] for r in kept] == ["2025-01-02T10:00:00"]
+    assert cn.FilterSpec(module_ids=[], constructs=[]).apply(df).count() == 5
+
+
+def test_readers(spark, tmp_path):
+    import json
+
+    bank = tmp_path / "bank.json"
+    bank.write_text(json.dumps([{"id": "1", "question": " What? ", "options": ["A) yes", "no"]}]))
+    item = src.item_records(src.read_item_bank(spark, str(bank), "m")).first()
+    assert (item["question_id"], item["text"], item["key"]) == ("1", "What?", None)
+    assert [(o["label"], o["text"]) for o in item["options"]] == [("A", "yes"), ("B", "no")]
+    csv = tmp_path / "in.csv"
+    csv.write_text('user_id,item_score,note\n007,1,NA\nS2,,"a, ""b"""\n')
+    rows = src.read_import_csv(spark, str(csv)).collect()
+    assert [tuple(r) for r in rows] == [("007", "1", "NA"), ("S2", "", 'a, "b"')]
+    log = t.responses(spark, "/root/testdata/sf0.001").withColumn("extra", F.lit(1))
+    log.write.parquet(str(tmp_path / "log"))
+    assert src.read_responses(spark, str(tmp_path / "log")).columns == list(src.RESPONSE_COLUMNS)
