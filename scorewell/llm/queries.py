@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_pairs, fingerprints, language_id, packing, quality_classifier, quality_rules, recurrent_lm, secret_scan
+from . import byte_pairs, fingerprints, language_id, near_duplicates, packing, quality_classifier, quality_rules, recurrent_lm, repeats, secret_scan
 from .base import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.group(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(documents(spark, sf_dir, "doc_id", "text"))
