@@ -113,8 +113,8 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             symbols.append(None if sig is None else (sig[:SYMBOLS] >> np.uint64(8)).astype(np.uint16).tobytes())
             sketches.append(None if sig is None else sig.astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(symbols, pa.binary()), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n_shingles", "digest", "symbols", "sketch"],
+            [batch["doc_id"], batch["text_hash"], pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(symbols, pa.binary()), pa.array(sketches, pa.binary())],
+            names=["doc_id", "text_hash", "n_shingles", "digest", "symbols", "sketch"],
         )
 
 
@@ -288,26 +288,32 @@ def link_classes(classes: DataFrame, texts: DataFrame, percent: int, size: int)
     return components(links.unionAll(late)) if late.limit(1).count() else labels
 
 
-def group(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``: links at ``percent`` of 100 of the union of sets."""
+def _grouped(docs: DataFrame, percent: int, size: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = materialize(
-        texts.mapInArrow(lambda batches: _sign(batches, size), "doc_id bigint, n_shingles bigint, digest binary, symbols binary, sketch binary"), "near-signed"
+    signed = texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        lambda batches: _sign(batches, size), "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, symbols binary, sketch binary"
     )
+    signed = materialize(signed, "near-signed")
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("symbols").alias("symbols"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     labels = link_classes(classes, texts, percent, size)
     named = classes.select("digest", "doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = materialize(named.join(smallest, "label").select("digest", "component_id"), "near-components")
-    linked = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(by_class, "digest").drop("digest")
-    alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = signed.filter("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "digest").join(by_class, "digest").drop("digest")
+    alone = signed.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def group(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``: links at ``percent`` of 100 of the union of sets."""
+    return _grouped(docs, percent, size).drop("text_hash")
+
+
 def keep_first(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """One document per component, the one that names it, with all columns of ``docs``; of repeated rows one stays."""
-    chosen = group(docs, percent, size).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    chosen = _grouped(docs, percent, size).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_text")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     packed = docs.select(row, F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_text"))
-    return packed.join(chosen, packed["_id"].eqNullSafe(chosen["_kept_id"]), "left_semi").dropDuplicates(["_id", "_text"]).select("row.*")
+    met = packed["_id"].eqNullSafe(chosen["_kept_id"]) & (packed["_text"] == chosen["_kept_text"])
+    return packed.join(chosen, met, "left_semi").dropDuplicates(["_id", "_text"]).select("row.*")

@@ -5,8 +5,7 @@ are the joined bytes of its words' ids. Only documents longer than a sequence ar
 
 Packing works on lengths alone. Pieces are dealt into cells of some ``CELL_PIECES`` by a hash, each cell is packed by
 best fit on falling lengths, and then a local search runs over the underfull bins: documents move, or are exchanged one for
-one or two for one, from the emptiest bin into fuller ones whenever that raises the sum of squared fills, until the emptiest
-bin is gone or nothing helps. A cell wastes at most part of one bin against its own optimum in practice, so the cell size
+one or two for one, whenever that raises the sum of squared fills, until bins are empty or nothing helps. A cell wastes at most part of one bin against its own optimum in practice, so the cell size
 bounds both memory and loss whatever the number of documents.
 
 Defined results: NULL text is empty and holds the end id alone; repeated rows are packed one by one; equal lengths are
@@ -28,7 +27,8 @@ from .base import materialize
 
 CAPACITY = 2048
 CELL_PIECES = 16_384
-SEARCH_ROUNDS = 2_000
+SEARCH_ROUNDS = 400
+SOURCES = 8
 MEMO_ENTRIES = 400_000
 END_ID = 0
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -121,68 +121,59 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = SEARCH_ROUNDS) -> list[list[int]]:
-    """Local search over underfull bins: empty the emptiest one by moves and exchanges that raise the squared fill."""
+    """Local search: the step between underfull bins that raises the sum of squared fills most, again and again.
+
+    Documents leave one of the ``SOURCES`` emptiest bins and may go to any underfull bin. The sum grows with every step, so
+    the search ends; it stops early when the total allows no fewer bins.
+    """
+    bins = [list(b) for b in bins if b]
     least = -(-sum(lengths) // capacity)
     fill = [sum(lengths[i] for i in b) for b in bins]
-    order = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (fill[k], k))
     alive = len(bins)
-    for at, donor in enumerate(order):
-        others = order[at + 1 :]
-        if alive <= least or sum(capacity - fill[k] for k in others) < fill[donor]:
+    for _ in range(rounds):
+        if alive <= least:
             break
-        _empty(donor, others, bins, fill, lengths, capacity, rounds)
-        if bins[donor]:
+        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
+        step = _best_step(under[:SOURCES], under, bins, fill, lengths, capacity)
+        if step is None:
             break
-        alive -= 1
-    return [b for b in bins if b]
-
-
-def _empty(donor: int, others: list[int], bins: list[list[int]], fill: list[int], lengths: list[int], capacity: int, rounds: int) -> None:
-    """Lower the donor's fill as far as moves, 1:1 and 2:1 exchanges with the other bins go."""
-    for _ in range(rounds):
-        mine = sorted(bins[donor], key=lambda i: (-lengths[i], i))
-        if not mine:
-            return
-        room = np.array([capacity - fill[k] for k in others])
-        best = None  # (gain, bin, items out of the donor, item out of the bin)
-        for i in mine:  # a move puts the whole document into the tightest room that takes it
-            fits = np.flatnonzero(room >= lengths[i])
-            if len(fits):
-                k = fits[room[fits].argmin()]
-                best = (lengths[i], others[k], (i,), None)
-                break
-        if best is None:
-            owner = np.array([k for k, o in enumerate(others) for _ in bins[o]], dtype=np.int64)
-            items = [j for o in others for j in bins[o]]
-            sizes = np.array([lengths[j] for j in items], dtype=np.int64)
-            if not len(sizes):
-                return
-            space = room[owner]
-            singles = [((i,), lengths[i]) for i in mine]
-            seen, pairs = set(), []
-            for x in range(len(mine)):
-                for y in range(x + 1, len(mine)):
-                    total = lengths[mine[x]] + lengths[mine[y]]
-                    if total <= capacity and total not in seen:
-                        seen.add(total)
-                        pairs.append(((mine[x], mine[y]), total))
-            for group, total in singles + pairs:
-                gain = total - sizes
-                gain = np.where((gain > 0) & (gain <= space), gain, 0)
-                j = int(gain.argmax())
-                if gain[j] > 0 and (best is None or gain[j] > best[0]):
-                    best = (int(gain[j]), others[owner[j]], group, items[j])
-        if best is None:
-            return
-        gain, target, group, back = best
-        for i in group:
-            bins[donor].remove(i)
+        source, target, out, back = step
+        for i in out:
+            bins[source].remove(i)
             bins[target].append(i)
+            fill[source] -= lengths[i]
+            fill[target] += lengths[i]
         if back is not None:
             bins[target].remove(back)
-            bins[donor].append(back)
-        fill[donor] -= gain
-        fill[target] += gain
+            bins[source].append(back)
+            fill[target] -= lengths[back]
+            fill[source] += lengths[back]
+        alive -= not bins[source]
+    return [b for b in bins if b]
+
+
+def _best_step(sources: list[int], under: list[int], bins: list[list[int]], fill: list[int], lengths: list[int], capacity: int) -> tuple | None:
+    """(source, target, documents out, document back or None) of the move, 1:1 or 2:1 exchange with the largest gain."""
+    owner = np.array([k for k in under for _ in bins[k]] + under, dtype=np.int64)  # the last ones stand for "nothing back"
+    items = [i for k in under for i in bins[k]] + [None] * len(under)
+    back = np.array([0 if i is None else lengths[i] for i in items], dtype=np.int64)
+    level = np.array([fill[k] for k in owner], dtype=np.int64)
+    room = capacity - level
+    best, found = 0, None
+    for source in sources:
+        mine = sorted(bins[source], key=lambda i: (-lengths[i], i))
+        groups = {lengths[i]: (i,) for i in reversed(mine)}
+        for x in range(len(mine)):
+            for y in range(x + 1, len(mine)):
+                groups.setdefault(lengths[mine[x]] + lengths[mine[y]], (mine[x], mine[y]))
+        allowed = owner != source
+        for total, group in groups.items():
+            moved = total - back
+            gain = np.where(allowed & (moved > 0) & (moved <= room), moved * (level - fill[source] + moved), 0)
+            j = int(gain.argmax())
+            if gain[j] > best:
+                best, found = int(gain[j]), (source, int(owner[j]), group, items[j])
+    return found
 
 
 def _pack_cell(capacity: int):
