@@ -35,6 +35,7 @@ CLASSES, SLOTS, HIDDEN = 32, 32, 16
 WIDTH = SLOTS + 1  # slot 0 is the rare slot
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
 TRAIN_LANES, TRAIN_WINDOW, SCORE_WINDOW = 512, 16, 64
+LEAST_WINDOWS = 64  # a stream too short for all lanes gets fewer, so that it still makes this many windows
 GRADIENT_EVERY = 4
 LEARNING_RATE = 0.01
 FAN_IN = 64
@@ -250,7 +251,7 @@ class Trainer:
         inputs[1:] = targets[:-1]
         inputs[starts] = end
         self.tokens += len(targets)
-        lanes = max(1, min(TRAIN_LANES, len(targets) // TRAIN_WINDOW))
+        lanes = max(1, min(TRAIN_LANES, len(targets) // (TRAIN_WINDOW * LEAST_WINDOWS)))
         length = -(-len(targets) // lanes)
         spare = lanes * length - len(targets)
 

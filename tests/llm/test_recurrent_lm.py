@@ -20,7 +20,7 @@ def corpus(n=240, seed=3):
 
 
 def test_counts_and_base_scores(docs):
-    rows = corpus()
+    rows = corpus(900)
     out = lm.score(docs(rows)).collect()
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
     c = Counter()
