@@ -32,14 +32,6 @@ def config_frame(spark: SparkSession, rows: Sequence, schema: str) -> DataFrame:
     return F.broadcast(df) if len(rows) <= MAX_CONFIG_ROWS else df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_CONFIG_ROWS) -> DataFrame:
-    """Broadcast a dimension only after counting that it is small; else leave the join to AQE.
-
-    The probe reads at most ``max_rows + 1`` rows and brings back one number.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def pin_config(df: DataFrame, max_rows: int = MAX_CONFIG_ROWS) -> DataFrame:
     """Configuration table -> local relation with a broadcast hint, read once.
 
@@ -97,17 +89,6 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
 
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    conditions = list(conditions)
-    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
-
-
-def clean_double(c: Column | str) -> Column:
-    """NaN and NULL become one NULL, so avg/sum/corr skip both."""
-    col = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return F.when(F.isnan(col), F.lit(None)).otherwise(col)
-
-
 def ratio(num: Column, den: Column, empty: float | None = None) -> Column:
     """num / den, or ``empty`` when the denominator is zero or NULL."""
     return F.when(den != 0, num / den).otherwise(F.lit(empty).cast("double"))

@@ -13,48 +13,42 @@ from pyspark.sql import functions as F
 from ..core import strip
 from pyspark.sql import types as T
 
-_FENCE = re.compile(r"```(?:json)?\s*")
-
-
-def _scan(text: str) -> tuple[str, bool, list[str]]:
-    """Text with line breaks inside strings blanked, whether a string stays open, and open brackets."""
-    out, in_string, escaped, stack = [], False, False, []
-    for ch in text:
-        if escaped:
-            escaped = False
-        elif in_string and ch == "\\":
-            escaped = True
-        elif ch == '"':
-            in_string = not in_string
-        elif in_string and ch in "\r\n":
-            ch = " "
-        elif not in_string and ch in "{[":
-            stack.append("}" if ch == "{" else "]")
-        elif not in_string and ch in "}]" and stack and stack[-1] == ch:
-            stack.pop()
-        out.append(ch)
-    return "".join(out), in_string, stack
+_PART = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]]', re.S)
+_PARTNER = {"}": "{", "]": "["}
+
+
+def _closers(text: str) -> str:
+    """What a cut-off JSON text lacks at its end: a quote for an open string, then brackets, innermost first."""
+    depth: list[str] = []
+    quote = ""
+    for part in _PART.findall(text):
+        if part[0] == '"':
+            quote = "" if len(part) > 1 and part[-1] == '"' else '"'
+        elif part in _PARTNER:
+            if depth and depth[-1] == _PARTNER[part]:
+                depth.pop()
+        else:
+            depth.append(part)
+    return quote + "".join("}" if x == "{" else "]" for x in reversed(depth))
 
 
 def repair_json(text: str | None) -> str | None:
-    """The JSON object in a reply as a JSON string: fences and chatter off, a cut-off tail closed."""
-    if not text:
-        return None
-    clean = _FENCE.sub("", _scan(text)[0]).strip()
-    start = clean.find("{")
-    if start < 0:
+    """The JSON object in a reply as a JSON string: chatter around it off, a cut-off tail closed.
+
+    Line breaks are blanks: between tokens they mean nothing, inside strings JSON does not allow them.
+    """
+    flat = (text or "").replace("\r", " ").replace("\n", " ")
+    body = flat[flat.find("{") :] if "{" in flat else ""
+    if not body:
         return None
-    end = clean.rfind("}")
-    if end >= start:
-        try:
-            return json.dumps(json.loads(clean[start : end + 1]), ensure_ascii=False)
-        except json.JSONDecodeError:
-            pass
-    tail = clean[start:].rstrip().rstrip(",").rstrip()
-    _, open_string, stack = _scan(tail)
-    closed = tail + ('"' if open_string else "") + "".join(reversed(stack))
     try:
-        return json.dumps(json.loads(closed), ensure_ascii=False)
+        found, _ = json.JSONDecoder().raw_decode(body)
+        return json.dumps(found, ensure_ascii=False)
+    except json.JSONDecodeError:
+        pass
+    cut = body.replace("```", " ").rstrip().removesuffix(",")
+    try:
+        return json.dumps(json.loads(cut + _closers(cut)), ensure_ascii=False)
     except json.JSONDecodeError:
         return None
 
@@ -75,33 +69,29 @@ def reply_json(reply: Column) -> Column:
 
 
 def schema_errors(reply: Column, required: Sequence[str], types: dict[str, str], enums: dict[str, Sequence[str]] | None = None) -> Column:
-    """Violations of a flat schema, as an array of texts: missing, unexpected, wrong type, outside enum.
+    """Violations of a flat schema as an array of ``code:key``; empty when there are none.
 
-    ``types`` maps key -> string | integer | boolean | array.
+    ``types`` maps key -> string | integer | boolean | array. Codes: ``missing``, ``unexpected``, ``type`` and ``value`` (outside
+    ``enums``); a reply that is no object has the single entry ``no_object``.
     """
-    v = F.try_parse_json(reply)
-    keys = F.json_object_keys(reply)
-    lit_keys = F.array(*[F.lit(k) for k in types])
-    checks = [
-        F.transform(F.array_except(F.array(*[F.lit(k) for k in required]), keys), lambda k: F.concat(F.lit("missing key '"), k, F.lit("'"))),
-        F.transform(F.array_except(keys, lit_keys), lambda k: F.concat(F.lit("unexpected key '"), k, F.lit("'"))),
-    ]
-    names = {"string": "a string", "integer": "an integer", "boolean": "true or false", "array": "a list of allowed letters"}
-    shapes = {"string": "^STRING", "integer": "^BIGINT", "boolean": "^BOOLEAN", "array": "^ARRAY"}
+    enums = enums or {}
+    shapes = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "array": "ARRAY"}
+    tree, keys = F.try_parse_json(reply), F.json_object_keys(reply)
+    known = F.array(*[F.lit(k) for k in types])
+    tagged = lambda code, names: F.transform(names, lambda k: F.concat(F.lit(f"{code}:"), k))
+    found = [tagged("missing", F.array_except(F.array(*[F.lit(k) for k in required]), keys)), tagged("unexpected", F.array_except(keys, known))]
     for key, kind in types.items():
-        path = f"$.{key}"
-        shape = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-        wrong = F.array_contains(keys, key) & ~F.coalesce(shape.rlike(shapes[kind]), F.lit(False))
-        allowed = (enums or {}).get(key)
-        if kind == "array" and allowed:
-            values = F.try_variant_get(v, path, "array<string>")
-            wrong = wrong | (F.array_contains(keys, key) & (F.size(F.array_except(values, F.array(*[F.lit(a) for a in allowed]))) > 0))
-        checks.append(F.when(wrong, F.array(F.lit(f"'{key}' must be {names[kind]}"))).otherwise(F.array().cast("array<string>")))
-        if allowed and kind != "array":
-            value = F.try_variant_get(v, path, "string")
-            outside = F.array_contains(keys, key) & ~F.coalesce(value.isin([str(a) for a in allowed]), F.lit(False))
-            checks.append(F.when(outside, F.array(F.lit(f"'{key}' has a value outside the allowed set"))).otherwise(F.array().cast("array<string>")))
-    return F.when(keys.isNull(), F.array(F.lit("Answer is not a JSON object."))).otherwise(F.concat(*checks))
+        at = f"$.{key}"
+        right = F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get(tree, at, "variant")), F.lit(shapes[kind])), F.lit(False))
+        if key not in enums:
+            good = F.lit(True)
+        elif kind == "array":
+            good = F.size(F.array_except(F.try_variant_get(tree, at, "array<string>"), F.array(*[F.lit(str(x)) for x in enums[key]]))) == 0
+        else:
+            good = F.try_variant_get(tree, at, "string").isin([str(x) for x in enums[key]])
+        fault = F.when(~right, f"type:{key}").when(~F.coalesce(good, F.lit(False)), f"value:{key}")
+        found.append(F.array_compact(F.array(F.when(F.array_contains(keys, key), fault))))
+    return F.when(keys.isNull(), F.array(F.lit("no_object"))).otherwise(F.concat(*found))
 
 
 def rubric_scores(reply: Column, dimensions: Sequence[str], low: int = 1, high: int = 4) -> Column:

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from string import Formatter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import strip
 from pyspark.sql import types as T
 
+from ..core import materialize, strip
+
 from ..functions.replies import reply_json, rubric_justification, rubric_scores
 from ..functions.text import matched_indicators, reflection_module, token_estimate
 from .ordered import cumulative_histogram, running_total
@@ -31,33 +33,40 @@ RUBRIC_MAX = 12.0  # fixed value: three dimensions of at most 4
 # -- chunks ------------------------------------------------------------------------------------
 
 
+def _cuts(costs: Sequence[int], budget: int, fixed: Sequence[bool] | None = None) -> list[int]:
+    """Start positions of consecutive runs whose cost stays within the budget; a fixed entry never starts one."""
+    starts, load = [0], 0
+    for at, cost in enumerate(costs):
+        if load and load + cost > budget and not (fixed and fixed[at]):
+            starts.append(at)
+            load = 0
+        load += cost
+    return [*starts, len(costs)]
+
+
 def pack_text(text: str, budget: int) -> list[tuple[str, bool]]:
-    """Greedy chunks of a text in its sentence order; the flag marks a chunk cut inside a sentence."""
+    """Chunks of whole sentences within a budget of estimated tokens; the flag marks chunks cut inside a sentence.
+
+    A sentence above the budget is cut between words: its full runs are chunks of their own, its last run is laid to the
+    sentences around it.
+    """
     cost = lambda s: max(1, len(s) // 4)
-    done: list[tuple[str, bool]] = []
-    open_parts: list[str] = []
-    used = 0
-    for sentence in _SENTENCE_END.split(text):
-        weight = cost(sentence)
-        if weight > budget:
-            run, load = [], 0
-            for word in sentence.split():
-                if run and load + cost(word) > budget:
-                    done.append((" ".join(run), True))
-                    run, load = [], 0
-                run.append(word)
-                load += cost(word)
-            open_parts += run
-            used += load
-            continue
-        if open_parts and used + weight > budget:
-            done.append((" ".join(open_parts), False))
-            open_parts, used = [], 0
-        open_parts.append(sentence)
-        used += weight
-    if open_parts:
-        done.append((" ".join(open_parts), False))
-    return done
+    units, costs, rest, inner = [], [], [], []
+    for at, sentence in enumerate(_SENTENCE_END.split(text)):
+        part, size = sentence, cost(sentence)
+        if over := size > budget:
+            words = sentence.split()
+            sizes = [cost(w) for w in words]
+            cuts = _cuts(sizes, budget)
+            inner += [(at, " ".join(words[i:j]), True) for i, j in zip(cuts, cuts[1:-1])]
+            part, size = " ".join(words[cuts[-2] :]), sum(sizes[cuts[-2] :])
+        units.append(part)
+        costs.append(size)
+        rest.append(over)
+    cuts = _cuts(costs, budget, rest)
+    whole = [(j, " ".join(units[i:j]), False) for i, j in zip(cuts, cuts[1:])]
+    # a run is complete where the next one starts, so chunks cut out of a sentence inside it come before it
+    return [(chunk, within) for _, chunk, within in sorted(inner + whole, key=lambda c: c[0]) if chunk]
 
 
 def chunk_transcripts(transcripts: DataFrame, chunk_size: int = 2500, order: str = "doc_order") -> DataFrame:
@@ -72,7 +81,7 @@ def chunk_transcripts(transcripts: DataFrame, chunk_size: int = 2500, order: str
         return texts.map(lambda t: [{"content": c, "within": w} for c, w in pack_text(t.strip(), chunk_size)])
 
     docs = transcripts.filter(strip("content") != "").select(F.col(order).alias("_doc"), "participant_id", pack("content").alias("_chunks"))
-    docs = docs.withColumn("_n", F.size("_chunks"))
+    docs = materialize(docs.withColumn("_n", F.size("_chunks")), "chunks")  # texts are packed once for the three uses below
     # only the counts go through the prefix sums, not the texts
     counts = docs.select("_doc", "participant_id", "_n")
     starts = running_total(counts, "_doc", "_n", "_start").select("_doc", "_start")
@@ -90,7 +99,10 @@ def chunk_transcripts(transcripts: DataFrame, chunk_size: int = 2500, order: str
 
 
 def call_model(df: DataFrame, prompt: Column, model_fn: ModelFn) -> DataFrame:
-    """One call per row; adds ``prompt, reply, error, tokens_used``. A raised error becomes a value."""
+    """One call per row; adds ``prompt, reply, error, tokens_used``. A raised error becomes a value.
+
+    Replies are stored before they are returned: whatever is done with the frame, a row is asked once.
+    """
     withp = df.withColumn("prompt", prompt)
     schema = T.StructType(
         withp.schema.fields
@@ -110,7 +122,17 @@ def call_model(df: DataFrame, prompt: Column, model_fn: ModelFn) -> DataFrame:
                 tokens.append(int(r.get("tokens_used") or 0))
             yield pdf.assign(reply=replies, error=errors, tokens_used=tokens)
 
-    return withp.mapInPandas(run, schema)
+    return materialize(withp.mapInPandas(run, schema), "replies")
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A caller's template with ``{name}`` fields as a column; a NULL value is an empty text, so no line is lost."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(text))
+        if name is not None:
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts)
 
 
 def _parsed(called: DataFrame, schema: str) -> DataFrame:
@@ -120,80 +142,159 @@ def _parsed(called: DataFrame, schema: str) -> DataFrame:
     return out.withColumn("error", F.when(failed, "JSON parse failed").otherwise(F.col("error"))).drop("_json")
 
 
-def _lines(rows: DataFrame, by: Sequence[str], order: str, line: Column, budget: int) -> DataFrame:
+def _lines(rows: DataFrame, by: Sequence[str], order: str, line: Column, budget: int, weight: Column | None = None) -> DataFrame:
     """Lines of a group joined in order, in batches of about ``budget`` estimated tokens.
 
     A list that fits one prompt is one row, as a single call would take it; a longer one becomes
-    several bounded prompts instead of one unbounded string.
+    several bounded prompts instead of one unbounded string. ``n_lines`` counts lines, or adds up ``weight``.
     """
     by = list(by)
-    sized = rows.select(*by, F.col(order).alias("_o"), line.alias("_line")).withColumn("_t", token_estimate(F.col("_line")))
+    weight = F.lit(1) if weight is None else weight
+    sized = rows.select(*by, F.col(order).alias("_o"), line.alias("_line"), weight.alias("_w")).withColumn("_t", token_estimate(F.col("_line")))
     before = cumulative_histogram(sized, by, "_o", F.col("_t")).select(*by, F.col("_o"), F.col("n_before"))
     placed = sized.join(before, [*by, "_o"]).withColumn("batch", F.floor(F.col("n_before") / budget).cast("int"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_line"))), lambda s: s["_line"]), "\n")
-    return placed.groupBy(*by, "batch").agg(joined.alias("lines"), F.count(F.lit(1)).alias("n_lines"))
+    return placed.groupBy(*by, "batch").agg(joined.alias("lines"), F.sum("_w").cast("bigint").alias("n_lines"))
 
 
-def code_chunks(chunks: DataFrame, model_fn: ModelFn, instruction: str, n_codes: int = 3) -> DataFrame:
-    """One call per chunk -> its codes. Ids come from the chunk, never from the reply; a failed chunk
-    stays as one row with its error."""
-    prompt = F.concat_ws(
-        "\n", F.lit(instruction), F.concat(F.lit("Codes: "), F.lit(str(n_codes))),
-        F.concat(F.lit("Chunk "), F.col("chunk_index").cast("string"), F.lit(" of "), F.col("participant_id")), F.col("content"),
-    )
-    parsed = _parsed(call_model(chunks.select("chunk_index", "participant_id", "content"), prompt, model_fn), CODES_SCHEMA)
-    return parsed.select("chunk_index", "participant_id", "error", F.posexplode_outer("parsed.codes").alias("position", "c")).select(
-        "chunk_index", "participant_id", "position", F.col("c.name").alias("name"), F.col("c.description").alias("description"), F.col("c.quote").alias("quote"), "error"
+CODE_PROMPT = "{instruction}\nCodes: {n_codes}\nPart {chunk_index} by {participant_id}\n{content}"
+CODE_LINE = "{number} | {name} | {description} | {participant_id} | {quote}"
+GROUP_PROMPT = "{instruction}\nWanted: {n_wanted}\n{lines}"
+MEMBER_LINE = "* {name} | {description} | {quote}"
+LIST_PROMPT = "{instruction}\n{lines}"
+THEME_LINE = "# {theme} | {summary}\n{quotes}"
+
+
+def code_chunks(
+    chunks: DataFrame, model_fn: ModelFn, instruction: str, n_codes: int = 3, run: str = "run", model: str = "model", template: str = CODE_PROMPT
+) -> DataFrame:
+    """One call per chunk -> its codes, named by ``run, code_id`` and ready for grouping, deduplication and reports.
+
+    Ids come from the chunk and the place in its reply, never from the reply's text; a failed chunk stays as one row with its
+    error and no ``code_id``.
+    """
+    asked = chunks.select("chunk_index", "participant_id", "content")
+    prompt = fill(template, instruction=F.lit(instruction), n_codes=F.lit(n_codes), **{c: F.col(c) for c in asked.columns})
+    parsed = _parsed(call_model(asked, prompt, model_fn), CODES_SCHEMA)
+    rows = parsed.select("chunk_index", "participant_id", "tokens_used", "error", F.posexplode_outer("parsed.codes").alias("position", "c"))
+    return rows.select(
+        F.lit(run).alias("run"), F.lit(model).alias("model"), (F.shiftleft(F.col("chunk_index").cast("bigint"), 20) + F.col("position")).alias("code_id"),
+        "chunk_index", "participant_id", "position", F.col("c.name").alias("name"), F.col("c.description").alias("description"), F.col("c.quote").alias("quote"), "tokens_used", "error",
     )
 
 
-def group_codes(codes: DataFrame, model_fn: ModelFn, instruction: str, n_themes: int | None = None, budget: int = 100_000) -> DataFrame:
+def _until_one(asked: DataFrame, by: Sequence[str], ask: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame, int], DataFrame], budget: int) -> DataFrame:
+    """Ask batch by batch; while a group has several batches, their answers are the lines of a further round.
+
+    The budget doubles from round to round, so that answers as long as their lines come to an end, too.
+    """
+    answers = ask(asked)
+    while answers.groupBy(*by).agg(F.count_distinct("batch").alias("n")).filter("n > 1").limit(1).count():
+        sizes = answers.groupBy(*by).agg(F.count_distinct("batch").alias("_batches"))
+        answers = materialize(answers.join(sizes, list(by)), "round")
+        single, budget = answers.filter("_batches = 1").drop("_batches"), 2 * budget
+        answers = materialize(single.unionByName(ask(again(answers.filter("_batches > 1").drop("_batches"), budget))), "round")
+    return answers
+
+
+def group_codes(
+    codes: DataFrame, model_fn: ModelFn, instruction: str, n_themes: int | None = None, budget: int = 100_000, template: str = GROUP_PROMPT, line: str = CODE_LINE
+) -> DataFrame:
     """Codes of a run (``run, code_id, chunk_index, name, description, quote, participant_id``) -> themes.
 
-    The number of themes defaults to a third of the codes, between 5 and 13.
+    The number of themes defaults to a third of the codes, between 5 and 13. A list above ``budget`` estimated tokens is asked
+    in parts, and the parts' themes are grouped again until one answer per run is left; their ``code_indices`` are united.
     """
-    line = F.concat(
-        F.col("chunk_index").cast("string"), F.lit(": '"), F.col("name"), F.lit("': "), F.coalesce("description", F.lit("")),
-        F.lit("  [participant: "), F.coalesce("participant_id", F.lit("unknown")), F.lit("]"),
-        F.when(F.coalesce("quote", F.lit("")) != "", F.concat(F.lit('  [Quote: "'), F.col("quote"), F.lit('"]'))).otherwise(""),
-    )
-    lists = _lines(codes, ["run"], "code_id", line, budget)
     wanted = F.lit(n_themes) if n_themes else F.greatest(F.lit(5), F.least(F.lit(13), F.floor(F.col("n_codes") / 3))).cast("int")
     totals = codes.groupBy("run").agg(F.count(F.lit(1)).alias("n_codes")).withColumn("n_wanted", wanted)
-    asked = lists.join(totals, "run")
-    prompt = F.concat_ws("\n", F.lit(instruction), F.concat(F.lit("Themes: "), F.col("n_wanted").cast("string")), F.col("lines"))
-    parsed = _parsed(call_model(asked.select("run", "batch", "n_codes", "n_wanted", "lines"), prompt, model_fn), THEMES_SCHEMA)
-    return parsed.select("run", "batch", "n_codes", "n_wanted", "error", F.posexplode_outer("parsed.themes").alias("theme_index", "t")).select(
-        "run", "batch", "n_codes", "n_wanted", "theme_index", F.col("t.name").alias("name"), F.col("t.description").alias("description"),
-        F.col("t.code_indices").alias("code_indices"), "error",
-    )
 
+    def prompts(rows: DataFrame, budget: int) -> DataFrame:
+        cells = {c: F.col(c) for c in ("number", "name", "description", "participant_id", "quote")}
+        return _lines(rows, ["run"], "_order", fill(line, **cells), budget).join(totals, "run")
+
+    def ask(lists: DataFrame) -> DataFrame:
+        prompt = fill(template, instruction=F.lit(instruction), n_wanted=F.col("n_wanted"), lines=F.col("lines"))
+        parsed = _parsed(call_model(lists.select("run", "batch", "n_codes", "n_wanted", "lines"), prompt, model_fn), THEMES_SCHEMA)
+        return parsed.select("run", "batch", "n_codes", "n_wanted", "error", F.posexplode_outer("parsed.themes").alias("theme_index", "t")).select(
+            "run", "batch", "n_codes", "n_wanted", "theme_index", F.col("t.name").alias("name"), F.col("t.description").alias("description"),
+            F.col("t.code_indices").alias("code_indices"), "error",
+        )
+
+    parts: list[DataFrame] = []
+
+    def again(answers: DataFrame, budget: int) -> DataFrame:
+        from pyspark.sql import Window as W
+
+        place = F.row_number().over(W.partitionBy("run").orderBy("batch", "theme_index"))  # themes of a run: at most 13 per batch
+        numbered = materialize(answers.filter(F.col("theme_index").isNotNull()).withColumn("number", place), "parts")
+        parts.append(numbered.select("run", "number", F.col("code_indices").alias("_under")))
+        return prompts(numbered.select("run", F.col("number").alias("_order"), "number", "name", "description", F.lit("").alias("participant_id"), F.lit("").alias("quote")), budget)
+
+    def ask_and_unite(lists: DataFrame) -> DataFrame:
+        themes = ask(lists)
+        if not parts:
+            return themes
+        under = themes.select("run", "batch", "theme_index", F.explode("code_indices").alias("number")).join(parts[-1], ["run", "number"])
+        united = under.groupBy("run", "batch", "theme_index").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_under")))).alias("_all"))
+        out = themes.join(united, ["run", "batch", "theme_index"], "left")
+        return out.withColumn("code_indices", F.coalesce("_all", F.array().cast("array<int>"))).drop("_all")
+
+    first = codes.select("run", F.col("code_id").alias("_order"), F.col("chunk_index").alias("number"), "name", "description", "participant_id", "quote")
+    return _until_one(prompts(first, budget), ["run"], ask_and_unite, again, budget)
+
+
+def define_themes(linked: DataFrame, model_fn: ModelFn, instruction: str, budget: int = 100_000, template: str = LIST_PROMPT, line: str = MEMBER_LINE) -> DataFrame:
+    """Final name and summary per theme from its codes (``run, theme, code_id, name, description, quote``); lists above the
+    budget are summarised in parts and the parts' summaries again."""
+    by = ["run", "theme"]
+    cells = {c: F.col(c) for c in ("name", "description", "quote")}
+
+    def ask(lists: DataFrame) -> DataFrame:
+        prompt = fill(template, instruction=F.lit(instruction), lines=F.col("lines"))
+        parsed = _parsed(call_model(lists, prompt, model_fn), "struct<name:string, summary:string>")
+        return parsed.select(*by, "batch", F.coalesce("parsed.name", "theme").alias("name"), F.col("parsed.summary").alias("summary"), "n_lines", "error")
+
+    def again(answers: DataFrame, budget: int) -> DataFrame:
+        rows = answers.withColumns({"description": F.col("summary"), "quote": F.lit("")})
+        return _lines(rows, by, "batch", fill(line, **cells), budget, F.col("n_lines"))
 
-def define_themes(linked: DataFrame, model_fn: ModelFn, instruction: str, budget: int = 100_000) -> DataFrame:
-    """Final name and summary per theme from its codes (``run, theme, code_id, name, description, quote``)."""
-    line = F.concat(F.lit("- Name: "), F.col("name"), F.lit("\n  Description: "), F.coalesce("description", F.lit("")), F.lit('\n  Quote: "'), F.coalesce("quote", F.lit("")), F.lit('"'))
-    lists = _lines(linked, ["run", "theme"], "code_id", line, budget)
-    parsed = _parsed(call_model(lists, F.concat_ws("\n", F.lit(instruction), F.col("lines")), model_fn), "struct<name:string, summary:string>")
-    return parsed.select("run", "theme", "batch", F.coalesce("parsed.name", "theme").alias("name"), F.col("parsed.summary").alias("summary"), "n_lines", "error")
+    return _until_one(_lines(linked, by, "code_id", fill(line, **cells), budget), by, ask, again, budget)
 
 
-def write_report(themes: DataFrame, quotes: DataFrame, model_fn: ModelFn, instruction: str, budget: int = 100_000) -> DataFrame:
-    """One narrative per run from its themes (``run, theme, theme_index, summary``) and top quotes."""
+def write_report(
+    themes: DataFrame, quotes: DataFrame, model_fn: ModelFn, instruction: str, budget: int = 100_000, template: str = LIST_PROMPT, line: str = THEME_LINE
+) -> DataFrame:
+    """One narrative per run from its themes (``run, theme, theme_index, summary``) and top quotes; runs whose themes do not
+    fit one prompt are written in parts, and the parts are written up again."""
     cited = quotes.groupBy("run", "theme").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "quote"))), lambda s: s["quote"]).alias("q"))
-    line = F.concat_ws(
-        "\n", F.concat(F.lit("Theme: "), F.col("theme")), F.concat(F.lit("Summary: "), F.coalesce("summary", F.lit(""))),
-        F.when(F.size("q") > 0, F.concat(F.lit("Supporting quotes:\n"), F.array_join(F.transform("q", lambda x: F.concat(F.lit('  - "'), x, F.lit('"'))), "\n"))),
-    )
-    lists = _lines(themes.join(cited, ["run", "theme"], "left"), ["run"], "theme_index", line, budget)
-    called = call_model(lists, F.concat_ws("\n", F.lit(instruction), F.col("lines")), model_fn)
-    return called.select("run", "batch", F.col("n_lines").alias("n_themes"), strip("reply").alias("report_text"), "error")
+    rows = themes.join(cited, ["run", "theme"], "left").withColumn("quotes", F.array_join(F.transform("q", lambda x: F.concat(F.lit("> "), x)), "\n"))
+    cells = {c: F.col(c) for c in ("theme", "summary", "quotes")}
+
+    def ask(lists: DataFrame) -> DataFrame:
+        called = call_model(lists, fill(template, instruction=F.lit(instruction), lines=F.col("lines")), model_fn)
+        return called.select("run", "batch", F.col("n_lines").alias("n_themes"), strip("reply").alias("report_text"), "error")
+
+    def again(answers: DataFrame, budget: int) -> DataFrame:
+        parts = answers.withColumns({"theme": F.lit(""), "summary": F.col("report_text"), "quotes": F.lit("")})
+        return _lines(parts, ["run"], "batch", fill(line, **cells), budget, F.col("n_themes"))
+
+    return _until_one(_lines(rows, ["run"], "theme_index", fill(line, **cells), budget), ["run"], ask, again, budget)
 
 
 # -- deductive coding --------------------------------------------------------------------------
 
 
-def extract_evidence(transcripts: DataFrame, codebook: Sequence[dict], model_fn: ModelFn, instruction: str) -> DataFrame:
-    """Transcript x construct -> evidence counts by valence and matched indicators.
+EVIDENCE_PROMPT = "{instruction}\n{focus}\nLook for: {construct}\n{definition}\n{indicators}\n{content}"
+GOAL_PROMPT = "{instruction}\n{title}\n{lo_index}. {lo_text}\n{indicators}\n{content}"
+RUBRIC_PROMPT = "{instruction}\n{module_id} {question_id}\n{text}"
+RATING_PROMPT = "{instruction}\n{step} {model} {repeat_no}\n{text}\n{key}"
+
+
+def extract_evidence(
+    transcripts: DataFrame, codebook: Sequence[dict], model_fn: ModelFn, instruction: str, focus: str = "", model: str = "model", template: str = EVIDENCE_PROMPT
+) -> DataFrame:
+    """Transcript x construct -> evidence counts by valence, the instances (quote, valence), matched indicators, and what a
+    later audit needs: model, prompt, reply, tokens.
 
     ``codebook`` entries: name, group, definition, indicators. The book is configuration and unfolds
     from a literal array on each row; the whole text goes into the prompt and the matching.
@@ -207,9 +308,9 @@ def extract_evidence(transcripts: DataFrame, codebook: Sequence[dict], model_fn:
     ])
     text = strip("content")
     units = transcripts.filter(text != "").select("participant_id", text.alias("content"), F.explode(entries).alias("k")).select("participant_id", "content", "k.*")
-    prompt = F.concat_ws(
-        "\n", F.lit(instruction), F.concat(F.lit("Construct: "), F.initcap(F.translate("construct_name", "_", " "))), F.col("definition"),
-        F.array_join(F.transform("indicators", lambda i: F.concat(F.lit('  - "'), i, F.lit('"'))), "\n"), F.col("content"),
+    prompt = fill(
+        template, instruction=F.lit(instruction), focus=F.lit(focus), construct=F.initcap(F.translate("construct_name", "_", " ")), definition=F.col("definition"),
+        indicators=F.array_join("indicators", "; "), content=F.col("content"),
     )
     p = _parsed(call_model(units, prompt, model_fn), EVIDENCE_SCHEMA)
     inst = F.coalesce("parsed.instances", F.array().cast("array<struct<quote:string,valence:string>>"))
@@ -220,21 +321,23 @@ def extract_evidence(transcripts: DataFrame, codebook: Sequence[dict], model_fn:
         F.when(ok, F.coalesce("parsed.evidence_count", F.size(inst))).otherwise(0).alias("evidence_count"),
         *[F.when(ok, n(v)).otherwise(0).alias(f"valence_{v}") for v in ("positive", "negative", "neutral")],
         F.when(ok, matched_indicators(F.col("content"), F.transform(inst, lambda i: F.coalesce(i["quote"], F.lit(""))), F.col("indicators"))).alias("matched_indicators"),
-        "error",
+        F.when(ok, inst).alias("instances"), F.lit(model).alias("model"), "prompt", "reply", "tokens_used", "error",
     )
 
 
-def objective_evidence(transcripts: DataFrame, objectives: DataFrame, model_fn: ModelFn, instruction: str) -> DataFrame:
+def objective_evidence(transcripts: DataFrame, objectives: DataFrame, model_fn: ModelFn, instruction: str, template: str = GOAL_PROMPT) -> DataFrame:
     """Transcript x objective of its module -> 0/1 and a quote.
 
-    ``objectives``: module_id, title, objectives array. Transcripts without a module number or text,
+    ``objectives``: module_id, title, objectives array, and optionally indicators, an array of texts per objective. Transcripts without a module number or text,
     or of a module without objectives, have no rows.
     """
     module = reflection_module(F.col("module_id"))
     t = transcripts.filter((strip("content") != "") & module.rlike(r"^module_\d+$")).select("participant_id", module.alias("module_id"), strip("content").alias("content"))
-    units = t.join(objectives.select("module_id", "title", F.posexplode("objectives").alias("_i", "lo_text")), "module_id")
-    units = units.withColumn("lo_index", F.col("_i") + 1).drop("_i")
-    prompt = F.concat_ws("\n", F.lit(instruction), F.col("title"), F.concat(F.col("lo_index").cast("string"), F.lit(". "), F.col("lo_text")), F.col("content"))
+    signs = F.col("indicators") if "indicators" in objectives.columns else F.array().cast("array<array<string>>")
+    listed = objectives.select("module_id", "title", signs.alias("_signs"), F.posexplode("objectives").alias("_i", "lo_text"))
+    units = t.join(listed.withColumn("indicators", F.coalesce(F.array_join(F.get("_signs", F.col("_i")), "; "), F.lit(""))), "module_id")
+    units = units.withColumn("lo_index", F.col("_i") + 1).drop("_i", "_signs")
+    prompt = fill(template, instruction=F.lit(instruction), **{c: F.col(c) for c in ("title", "lo_index", "lo_text", "indicators", "content")})
     p = _parsed(call_model(units, prompt, model_fn), "struct<evidence_present:int, evidence_quote:string>")
     return p.select(
         "participant_id", "module_id", "lo_index", "lo_text", F.coalesce("parsed.evidence_present", F.lit(0)).alias("evidence_present"),
@@ -242,10 +345,17 @@ def objective_evidence(transcripts: DataFrame, objectives: DataFrame, model_fn:
     )
 
 
-def score_rubric(reflections: DataFrame, model_fn: ModelFn, instruction: str, dimensions: Sequence[str]) -> DataFrame:
-    """Reflection -> clamped dimension scores, their share of the maximum, and the justification."""
-    prompt = F.concat_ws("\n", F.lit(instruction), F.concat_ws(" ", "module_id", "question_id"), F.col("text"))
-    called = call_model(reflections.select("user_id", "module_id", "question_id", "text").filter(strip("text") != ""), prompt, model_fn)
+def score_rubric(reflections: DataFrame, model_fn: ModelFn, instruction: str, dimensions: Sequence[str], template: str = RUBRIC_PROMPT) -> DataFrame:
+    """Reflection -> clamped dimension scores, their share of the maximum, and the justification.
+
+    A blank reflection is not sent to the model; it stays as a row with the error ``blank text``.
+    """
+    rows = reflections.select("user_id", "module_id", "question_id", "text")
+    prompt = fill(template, instruction=F.lit(instruction), **{c: F.col(c) for c in ("module_id", "question_id", "text")})
+    empty = F.coalesce(strip("text"), F.lit("")) == ""
+    called = call_model(rows.filter(~empty), prompt, model_fn)
+    none = F.lit(None).cast("string")
+    called = called.unionByName(rows.filter(empty).withColumns({"prompt": none, "reply": none, "error": F.lit("blank text"), "tokens_used": F.lit(0).cast("bigint")}))
     clean = called.withColumn("_j", reply_json(F.col("reply")))
     error = F.when(F.col("error").isNull() & F.col("_j").isNull(), "no JSON object in reply").otherwise(F.col("error"))
     scores = rubric_scores(F.col("_j"), dimensions)
@@ -257,6 +367,12 @@ def score_rubric(reflections: DataFrame, model_fn: ModelFn, instruction: str, di
     )
 
 
+def rubric_long(scored: DataFrame, max_score: int = 4) -> DataFrame:
+    """Rubric results in long form, one row per dimension, as the rubric index takes them; rows with an error have none."""
+    rows = scored.filter(F.col("error").isNull()).select("participant_id", "module_id", "question_id", F.explode("scores").alias("s"))
+    return rows.select("participant_id", "module_id", "question_id", F.col("s.dimension").alias("dimension"), F.col("s.score").alias("score"), F.lit(max_score).alias("max_score"))
+
+
 def rate_items(items: DataFrame, model_fn: ModelFn, instruction: str, models: Sequence[str], repeats: int = 1, steps: Sequence[str] = ("blind", "key")) -> DataFrame:
     """Items x model x step x repeat (blind step only, 1..5 repeats) -> validated ratings."""
     repeats = max(1, min(int(repeats), 5))
@@ -266,8 +382,8 @@ def rate_items(items: DataFrame, model_fn: ModelFn, instruction: str, models: Se
     ])
     units = items.select("instrument_key", "question_id", "item_hash", "text", "key", F.explode(fan).alias("f")).select(
         "instrument_key", "question_id", "item_hash", "text", "key", "f.*")
-    prompt = F.concat_ws("\n", F.lit(instruction), F.concat(F.lit("Step: "), F.col("step"), F.lit(" model: "), F.col("model"), F.lit(" repeat: "), F.col("repeat_no").cast("string")),
-                         F.col("text"), F.when(F.col("step") == "key", F.concat(F.lit("Key: "), F.col("key"))))
+    shown = F.when(F.col("step") == "key", F.col("key"))
+    prompt = fill(RATING_PROMPT, instruction=F.lit(instruction), key=shown, **{c: F.col(c) for c in ("step", "model", "repeat_no", "text")})
     asked = units.filter((F.col("step") == "blind") | F.col("key").isNotNull())
     p = _parsed(call_model(asked, prompt, model_fn), "struct<bloom_level:int, solved_answer:string, key_defensible:string>")
     level = F.col("parsed.bloom_level")
@@ -299,7 +415,7 @@ def summarize_corpus(texts: DataFrame, n: int, model_fn: ModelFn, instruction: s
     few = sliced.withColumn("_r", F.row_number().over(W.partitionBy(by, "_s").orderBy(order))).filter(F.col("_r") <= n)
     picked = few.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(order))).filter(F.col("_r") <= n)
     hashes = content_hash(picked, text, [by])
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(text).alias("t")))), lambda s: F.concat(F.lit("[Text "), s["_r"].cast("string"), F.lit("]\n"), s["t"])), "\n\n---\n\n")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(text).alias("t")))), lambda s: F.concat(F.lit("("), s["_r"].cast("string"), F.lit(") "), s["t"])), "\n\n")
     jobs = picked.groupBy(by).agg(body.alias("body")).join(hashes, by)
     if stored is not None:
         known = stored.select("content_hash", F.col("summary").alias("_old")).dropDuplicates(["content_hash"])

@@ -15,23 +15,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import config_frame, materialize
+from ..core import clip, materialize
 from ..functions.numbers import rasch_size_note, twopl_size_note
 from ..functions.text import natural_key
 from .ordered import cumulative_histogram
 
-MAX_ITEMS = 5000
 MIN_N_HARD, MIN_N_WARN, FEW_ITEMS = 10, 100, 10  # fixed values
 EAP_GRID = np.linspace(-4, 4, 41)  # fixed value
 CLIP = 1e-10  # fixed value
 
 
 def item_order(matrix: DataFrame, item: str = "question_id") -> list[str]:
-    """Items in natural order; an item bank is configuration and its size is checked."""
-    rows = matrix.select(item).distinct().orderBy(natural_key(F.col(item)), item).limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items")
-    return [r[0] for r in rows]
+    """Items in natural order. A fitted model has some numbers per item on the driver, so its item list is there too."""
+    return [r[0] for r in matrix.select(item).distinct().orderBy(natural_key(F.col(item)), item).collect()]
 
 
 def response_patterns(matrix: DataFrame, items: Sequence[str], missing: str = "skip") -> DataFrame:
@@ -54,15 +50,19 @@ def _grid(nodes: int = 41, width: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
     return z, np.log(w / w.sum())
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * x))
+
+
 def _log_categories(model: str, params: dict, theta: np.ndarray) -> np.ndarray:
     """log P(category) as items x categories x nodes."""
     if model == "grm":
         a, cuts = params["a"], params["cuts"]
-        above = 1 / (1 + np.exp(-a[:, None, None] * (theta[None, None, :] - cuts[:, :, None])))
+        above = _logistic(a[:, None, None] * (theta[None, None, :] - cuts[:, :, None]))
         one = np.ones((len(a), 1, len(theta)))
         return np.log(np.clip(np.concatenate([one, above], 1) - np.concatenate([above, 0 * one], 1), CLIP, 1.0))
     eta = params["a"][:, None] * theta[None, :] - params["d"][:, None]
-    p = np.clip(1 / (1 + np.exp(-eta)), CLIP, 1 - CLIP)
+    p = np.clip(_logistic(eta), CLIP, 1 - CLIP)
     return np.log(np.stack([1 - p, p], axis=1))
 
 
@@ -162,7 +162,7 @@ def _varying(matrix: DataFrame) -> tuple[DataFrame, list[str]]:
     """Matrix without constant items, and those items."""
     from .scores import constant_items, drop_constant_items
 
-    flat = [r[0] for r in constant_items(matrix).limit(MAX_ITEMS).collect()]
+    flat = [r[0] for r in constant_items(matrix).collect()]  # a part of the item bank, as large as the model itself
     return (drop_constant_items(matrix) if flat else matrix), flat
 
 
@@ -188,7 +188,7 @@ def fit_binary(matrix: DataFrame, model: str = "rasch", missing: str = "skip", m
         right, total = counts[:, 1, :], counts.sum(1)
         old = np.concatenate([a, d])
         for _ in range(6):
-            p = 1 / (1 + np.exp(-(a[:, None] * z[None, :] - d[:, None])))
+            p = _logistic(a[:, None] * z[None, :] - d[:, None])
             gap, w = right - total * p, total * p * (1 - p)
             info = w.sum(1) + (1 / tau2 if item_prior else 0.0)
             grad_d = -gap.sum(1) - ((d - mu) / tau2 if item_prior else 0.0)
@@ -278,17 +278,17 @@ def ability_eap(matrix: DataFrame, params: DataFrame, missing: str = "skip") ->
     Each answer brings the log-likelihood of its item at 41 nodes; a person's answers are 41 sums in
     one aggregation. ``missing="wrong"`` counts unanswered items as wrong.
     """
-    rows = []
-    for r in params.limit(MAX_ITEMS + 1).collect():  # item parameters are model-sized
-        p = np.clip(1 / (1 + np.exp(-r["a"] * (EAP_GRID - r["b"]))), CLIP, 1 - CLIP)
-        rows.append((r["item_id"], [float(x) for x in np.log(p)], [float(x) for x in np.log(1 - p)]))
-    spark = matrix.sparkSession
-    dim = config_frame(spark, rows, "question_id string, l1 array<double>, l0 array<double>")
+    right = [clip(1 / (1 + F.exp(-F.col("a") * (F.lit(float(t)) - F.col("b")))), CLIP, 1 - CLIP) for t in EAP_GRID]
+    dim = params.select(
+        F.col("item_id").alias("question_id"), F.array(*[F.log(p) for p in right]).alias("l1"), F.array(*[F.log(1 - p) for p in right]).alias("l0")
+    )
     cells = matrix.filter(F.col("item_score").isNotNull()).join(dim, "question_id")
     lp = F.when(F.col("item_score") == 1, F.col("l1")).otherwise(F.col("l0"))
     base = [0.0] * len(EAP_GRID)
     if missing == "wrong":
-        base = np.sum([r[2] for r in rows], axis=0).tolist() if rows else base
+        # every item starts as wrong: one row of 41 sums, whatever the number of items
+        sums = dim.agg(*[F.sum(F.element_at("l0", q + 1)) for q in range(len(EAP_GRID))]).first()
+        base = [x or 0.0 for x in sums]
         lp = F.when(F.col("item_score") == 1, F.zip_with("l1", "l0", lambda x, y: x - y)).otherwise(F.array(*[F.lit(0.0)] * len(EAP_GRID)))
     sums = [(F.sum(F.element_at("_l", q + 1)) + F.lit(float(base[q]))).alias(f"s{q}") for q in range(len(EAP_GRID))]
     summed = cells.withColumn("_l", lp).groupBy("user_id").agg(*sums)
@@ -297,11 +297,12 @@ def ability_eap(matrix: DataFrame, params: DataFrame, missing: str = "skip") ->
 
 def ability_eap_graded(matrix: DataFrame, params: DataFrame) -> DataFrame:
     """EAP for graded items; ``params``: item_id, a, thresholds; scores count from 1."""
-    rows = []
-    for r in params.limit(MAX_ITEMS + 1).collect():
-        lp = _log_categories("grm", {"a": np.array([r["a"]]), "cuts": np.array([r["thresholds"]])}, EAP_GRID)[0]
-        rows += [(r["item_id"], k + 1, [float(x) for x in lp[k]]) for k in range(lp.shape[0])]
-    dim = config_frame(matrix.sparkSession, rows, "question_id string, _score int, lp array<double>")
+    nodes = F.array(*[F.lit(float(t)) for t in EAP_GRID])
+    edges = F.concat(F.array(F.lit(float("-inf"))), F.col("thresholds"), F.array(F.lit(float("inf"))))
+    above = lambda t, cut: 1 / (1 + F.exp(-F.col("a") * (t - cut)))
+    by_score = params.select(F.col("item_id").alias("question_id"), "a", F.posexplode(F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda low, i: F.struct(low.alias("low"), F.get(edges, i + 1).alias("high")))).alias("_k", "_cut"))
+    p = F.transform(nodes, lambda t: F.log(F.greatest(F.lit(CLIP), above(t, F.col("_cut.low")) - above(t, F.col("_cut.high")))))
+    dim = by_score.select("question_id", (F.col("_k") + 1).cast("int").alias("_score"), p.alias("lp"))
     cells = matrix.withColumn("_score", F.col("item_score").cast("int")).join(dim, ["question_id", "_score"])
     summed = cells.groupBy("user_id").agg(*[F.sum(F.element_at("lp", q + 1)).alias(f"s{q}") for q in range(len(EAP_GRID))])
     return _eap(summed.select("user_id", F.array(*[F.col(f"s{q}") for q in range(len(EAP_GRID))]).alias("ll")))
@@ -310,7 +311,7 @@ def ability_eap_graded(matrix: DataFrame, params: DataFrame) -> DataFrame:
 def _residuals(matrix: DataFrame, abilities: DataFrame, params: DataFrame) -> DataFrame:
     dim = params.select(F.col("item_id").alias("question_id"), "b")
     p = 1 / (1 + F.exp(-(F.col("theta") - F.col("b"))))
-    df = matrix.filter(F.col("item_score").isNotNull()).join(F.broadcast(dim), "question_id").join(abilities.select("user_id", "theta"), "user_id")
+    df = matrix.filter(F.col("item_score").isNotNull()).join(dim, "question_id").join(abilities.select("user_id", "theta"), "user_id")
     df = df.withColumn("p", F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), p)))
     return df.withColumn("w", F.col("p") * (1 - F.col("p"))).withColumn("r2", (F.col("item_score") - F.col("p")) ** 2)
 
@@ -388,7 +389,7 @@ def item_difficulty_glmm(matrix: DataFrame, item_effects: str = "auto", max_iter
         fitted, meta = spark.createDataFrame(rows, schema), (fit.params.get("sigma_item"), fit.params.get("sigma_person"), fit.converged)
         error = fit.error
     d, se = F.col("difficulty"), F.col("se")
-    items = stats.join(F.broadcast(fitted), "item", "left").select("item", "n", "p", "difficulty", "se", (d - 1.96 * se).alias("ci_low"), (d + 1.96 * se).alias("ci_high"))
+    items = stats.join(fitted, "item", "left").select("item", "n", "p", "difficulty", "se", (d - 1.96 * se).alias("ci_low"), (d + 1.96 * se).alias("ci_high"))
     flat = stats.filter((F.col("p") == 0) | (F.col("p") == 1)).agg(F.count(F.lit(1)).alias("n_degenerate"))
     head = spark.createDataFrame(
         [(mode, meta[0], meta[1], size["u"], size["i"], size["o"], meta[2], mode == "random" and size["i"] < FEW_ITEMS, error)],

@@ -1,9 +1,9 @@
 """Ranks, running totals and exact quantiles without a single-task window.
 
 ``Window.orderBy`` with no (or a hot) partition key sorts everything in one task. Here rows are first
-collapsed to one row per (group, value), cut into value ranges by approximate quantiles (a pure
-function of the value, so recomputed tasks agree), totalled per range, and only then numbered inside
-each range with the total of the earlier ranges as offset.
+collapsed to one row per (group, value), dealt into value ranges (stored, so every later read sees the
+same ones), totalled per range, and only then numbered inside each range with the total of the earlier
+ranges as offset.
 """
 
 from __future__ import annotations
@@ -16,45 +16,23 @@ from pyspark.sql import functions as F
 
 from ..core import materialize
 
-RANGES = 256
-SMALL_HISTOGRAM = 100_000
 
 
-def value_range(df: DataFrame, value: str, ranges: int = RANGES) -> Column:
-    """Index of the value range a row falls into; ranges hold about equally many rows."""
-    cuts = df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))
-    cuts = sorted({float(c) for c in cuts})
-    if not cuts:
-        return F.lit(0)
-    edges = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(edges, lambda e: e < F.col(value)))
+def ranged(df: DataFrame, value: str, name: str = "ranged") -> DataFrame:
+    """``df`` stored with ``_range``, the number of its value's range: ranges follow the order of any sortable type and hold
+    about equally many rows. Their number is the session's shuffle partitions; storing pins which row is in which."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, value).withColumn("_range", F.spark_partition_id()), name)
 
 
-def cumulative_histogram(
-    df: DataFrame, by: Sequence[str], value: str, weight: Column | None = None, ranges: int = RANGES
-) -> DataFrame:
+def cumulative_histogram(df: DataFrame, by: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """One row per (by, value): ``n`` rows there, ``n_before`` rows with a smaller value, ``n_total``.
 
-    The histogram is written once to shared storage: it is read up to four times below, and the
-    input plan behind it must not run again for each. A histogram of few rows (counted, not guessed)
-    takes a plain window.
+    The histogram is stored once: it is read several times below, and the input plan behind it must not run again.
     """
     by = list(by)
-    hist = materialize(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")),
-        "histogram",
-    )
-    if hist.count() <= SMALL_HISTOGRAM:
-        return hist.select(
-            *by,
-            value,
-            "n",
-            (F.sum("n").over(W.partitionBy(*by).orderBy(value)) - F.col("n")).alias("n_before"),
-            F.sum("n").over(W.partitionBy(*by)).alias("n_total"),
-        )
-    hist = hist.withColumn("_range", value_range(hist, value, ranges))
+    total = (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")
+    hist = ranged(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(total), value, "histogram")
     per_range = hist.groupBy(*by, "_range").agg(F.sum("n").alias("_in_range"))
     ordered = W.partitionBy(*by).orderBy("_range")
     offsets = per_range.select(
@@ -141,14 +119,14 @@ def modes_of(hist: DataFrame, by: Sequence[str], value: str, out: str = "mode")
 
 
 def running_total(df: DataFrame, order: str, weight: str, out: str) -> DataFrame:
-    """Sum of ``weight`` over the rows with a smaller ``order`` (a numeric key, unique per row)."""
-    ranged = df.withColumn("_range", value_range(df, order))
-    sums = ranged.groupBy("_range").agg(F.sum(weight).alias("_sum"))
-    # at most RANGES rows: the window over all of them is bounded
+    """Sum of ``weight`` over the rows with a smaller ``order`` (unique per row)."""
+    rows = ranged(df, order)
+    sums = rows.groupBy("_range").agg(F.sum(weight).alias("_sum"))
+    # one row per range: the window over all of them is as long as the number of shuffle partitions
     offsets = sums.select("_range", (F.sum("_sum").over(W.orderBy("_range")) - F.col("_sum")).alias("_offset"))
     local = F.sum(weight).over(W.partitionBy("_range").orderBy(order)) - F.col(weight)
     return (
-        ranged.withColumn("_local", local)
+        rows.withColumn("_local", local)
         .join(F.broadcast(offsets), "_range")
         .withColumn(out, F.col("_offset") + F.col("_local"))
         .drop("_range", "_local", "_offset")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..core import clip, config_frame, first_row, materialize, safe_corr
 from ..functions import numbers as nb
 from ..functions.dist import p_value
-from ..functions.text import matches_base, natural_key, option_letter
+from ..functions.text import matches_base, natural_key, normalize_choice
 from .ordered import average_rank, ordinal_rank
 from .scores import binary_items, construct_means
 
@@ -141,7 +141,7 @@ def reliability_report(items: DataFrame, matrix: DataFrame, slope: str | None, l
 
 
 def item_analysis(matrix: DataFrame, n_options: dict[str, int] | None = None) -> DataFrame:
-    """Difficulty with Wilson interval, corrected item-rest correlation, KR-20 without the item, flags.
+    """Difficulty with Wilson interval, corrected item-rest correlation, KR-20 without the item, flag codes.
 
     ``matrix`` is long (``user_id, question_id, item_score`` in {0, 1}); correlations use persons who
     answered every item.
@@ -173,10 +173,10 @@ def item_analysis(matrix: DataFrame, n_options: dict[str, int] | None = None) ->
     out = out.withColumn("chance", F.when(options >= 2, 1.0 / options))
     out = out.withColumn("p_below_chance", p_value("binom_cdf", F.when(F.col("chance").isNotNull(), F.round("successes")), n, F.col("chance")))
     flags = F.concat_ws(
-        "; ",
-        F.when(p < P_HARD, "very hard").when(p > P_EASY, "very easy"),
-        F.when(F.col("r_it") < 0, "NEGATIVE discrimination: check the answer key").when(F.col("r_it") < R_WEAK, "weak discrimination"),
-        F.when(F.col("p_below_chance") < BELOW_CHANCE_ALPHA, "accuracy BELOW chance: check the answer key"),
+        ",",
+        F.when(p < P_HARD, "p_low").when(p > P_EASY, "p_high"),
+        F.when(F.col("r_it") < 0, "r_negative").when(F.col("r_it") < R_WEAK, "r_low"),
+        F.when(F.col("p_below_chance") < BELOW_CHANCE_ALPHA, "p_under_guessing"),
     )
     return out.select(
         F.col("question_id").alias("item"), "n", "p", nb.wilson_low(s, n).alias("p_ci_low"), nb.wilson_high(s, n).alias("p_ci_high"),
@@ -210,13 +210,14 @@ def equal_count_bins(df: DataFrame, by: Sequence[str], value: str, tie: str, k:
 def distractor_analysis(
     canonical: DataFrame, base: str, n_groups: int = 5, option_letters: dict[str, Sequence[str]] | None = None
 ) -> DataFrame:
-    """Per (item, option): share, keyed flag, share in each rest-score group, point-biserial, flags.
+    """Per (item, option): share, keyed flag, share in each rest-score group, point-biserial, flag codes.
 
-    The key of an item is the most frequent letter among right answers.
+    An option is the text before the first colon, or the whole answer; blank answers are left out. The key of an item is the
+    most frequent option among right answers.
     """
     df = binary_items(canonical.filter(matches_base(F.col("instrument_key"), base))).withColumn(
-        "letter", option_letter(F.col("response_value"))
-    ).filter(F.col("letter").isNotNull())
+        "letter", normalize_choice(F.col("response_value"))
+    ).filter(F.col("letter") != "")
     order = [F.col("submitted_at"), F.col("instrument_key"), F.col("item_score")]
     cells = materialize(first_row(df, ["user_id", "question_id"], order, ["item_score", "letter"]), "cells")
     totals = cells.groupBy("user_id").agg(F.sum("item_score").alias("_total"))
@@ -256,9 +257,9 @@ def distractor_analysis(
     not_key = F.coalesce(F.col("letter") != F.col("key"), F.lit(True))
     p_key = F.coalesce(F.col("kc") / F.col("n"), F.lit(0.0))
     flags = F.concat_ws(
-        "; ",
-        F.when(not_key & (share < NONFUNCTIONING_SHARE) & ~(p_key > P_EASY), "non-functioning (< 5% chose it)"),
-        F.when(not_key & (F.col("distractor_r") > 0), "attracts stronger students than the keyed option"),
+        ",",
+        F.when(not_key & (share < NONFUNCTIONING_SHARE) & ~(p_key > P_EASY), "share_low"),
+        F.when(not_key & (F.col("distractor_r") > 0), "r_positive"),
     )
     return out.select(
         F.col("question_id").alias("item"), F.col("letter").alias("option"), (F.col("letter") == F.col("key")).alias("keyed"), "n",

@@ -225,11 +225,11 @@ def imported(spark, sf):
 
 IMP = """imp AS (SELECT CASE WHEN CAST(substr(user_id, 2) AS INT) % 2 = 1 THEN concat('x', user_id) ELSE user_id END AS user_id, module_id, instrument_key, question_id, response_value, item_score, construct, grade,
    submitted_at, completed_at, concat('C', substr(user_id, length(user_id), 1)) AS cohort_id FROM canon WHERE module_id = 'module_2')"""
-PLAT = "pl AS (SELECT user_id, module_id, instrument_key, question_id, response_value, item_score, construct, grade, submitted_at, completed_at, cohort_id FROM canon WHERE module_id <> 'module_2' AND length(user_id) < 5)"
+PLAT = "pl AS (SELECT user_id, module_id, instrument_key, question_id, response_value, item_score, construct, grade, submitted_at, completed_at, cohort_id FROM canon WHERE module_id <> 'module_2')"
 
 
 def platform(spark, sf):
-    return t.canonical(spark, sf).filter((F.col("module_id") != "module_2") & (F.length("user_id") < 5))
+    return t.canonical(spark, sf).filter(F.col("module_id") != "module_2")
 
 
 @query("union_without_clash", sql(f"WITH {IMP}, {PLAT} SELECT user_id, instrument_key, question_id, cohort_id FROM pl UNION ALL SELECT user_id, instrument_key, question_id, cohort_id FROM imp WHERE user_id NOT IN (SELECT user_id FROM pl)", "canon"))
@@ -312,13 +312,14 @@ def _(spark, sf):
     return out
 
 
-@query("save_and_load_results", sql("SELECT concat('run', CAST(label % 4 AS VARCHAR)) AS run_id, CAST(2 AS INT) AS phase, vec_id, label FROM embeddings"))
+@query("save_and_load_results", sql("SELECT concat('run', CAST(label % 4 AS VARCHAR)) AS run_id, CAST(p AS INT) AS phase, vec_id, label FROM embeddings CROSS JOIN (SELECT unnest([1, 2]) AS p) WHERE p = 1 OR vec_id % 2 = 0"))
 def _(spark, sf):
     e = t.table(spark, sf, "embeddings").select("vec_id", "label")
     path = shared_dir(spark, "results")
     run = F.concat(F.lit("run"), (F.col("label") % 4).cast("string"))
     sk.save_results(e, path, run, F.lit(1))
-    sk.save_results(e, path, run, F.lit(2))  # the same runs saved again
+    sk.save_results(e, path, run, F.lit(2))  # another phase of the same runs
+    sk.save_results(e.filter("vec_id % 2 = 0"), path, run, F.lit(2))  # that phase saved again
     return sk.load_results(spark, path, "vec_id bigint, label int")
 
 
@@ -611,12 +612,12 @@ def _(spark, sf):
 @query("validate_import_duplicates", sql(f"""WITH {IMP}, c AS (SELECT * FROM imp UNION ALL SELECT * FROM imp WHERE user_id LIKE '%11')
    SELECT 'duplicate_rows' AS "check", 'error' AS severity, (SELECT sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM c GROUP BY user_id, instrument_key, question_id)) AS n
    UNION ALL SELECT 'cohort_already_registered', 'error', 1
-   UNION ALL SELECT 'id_of_platform_user', 'error', (SELECT count(DISTINCT user_id) FROM c WHERE user_id IN (SELECT user_id FROM responses WHERE length(user_id) < 4))
+   UNION ALL SELECT 'id_of_platform_user', 'error', (SELECT count(DISTINCT user_id) FROM c WHERE user_id IN (SELECT user_id FROM responses WHERE instrument_name LIKE 'module3%'))
    UNION ALL SELECT 'score_not_numeric', 'warning', (SELECT count(*) FROM c WHERE item_score IS NULL)""", "canon", "responses"))
 def _(spark, sf):
     df = imported(spark, sf).select(*va.REQUIRED_IMPORT)
     doubled = df.unionByName(df.filter(F.col("user_id").endswith("11")))
-    known = t.responses(spark, sf).filter(F.length("user_id") < 4)
+    known = t.responses(spark, sf).filter(F.col("instrument_name").startswith("module3"))
     found = va.validate_import(doubled, t.demographics(spark, sf), known, ["C3", "Z"])
     return found.filter(F.col("check").isin("duplicate_rows", "cohort_already_registered", "id_of_platform_user", "score_not_numeric")).drop("sample")
 

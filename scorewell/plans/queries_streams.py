@@ -37,9 +37,12 @@ def _incoming(spark, sf) -> DataFrame:
         SELECT user_id, instrument_key, max(submitted_at) AS submitted_at, arg_max(coalesce(score, -1), submitted_at) AS score, arg_max(n_answers, submitted_at) AS n_answers FROM s GROUP BY 1, 2""", "scored"),
 )
 def _(spark, sf):
-    table = KeyedTable(spark, shared_dir(spark, "scores"), ["user_id", "instrument_key"], "submitted_at")
-    jobs.stream_scores(_incoming(spark, sf), t.rulebook(spark).rules, table, shared_dir(spark, "ckpt")).awaitTermination()
-    return table.read().withColumn("score", F.coalesce("score", F.lit(-1.0)))
+    table = KeyedTable(spark, shared_dir(spark, "scores"), ["user_id", "instrument_key", "question_id"], "submitted_at")
+    # every submission is split: odd and even questions arrive in different batches, one part of them twice
+    odd = F.length("user_id") % 2 == F.substring("question_id", 2, 9).cast("int") % 2
+    stream = as_stream(spark, t.responses(spark, sf), [odd, ~odd, odd & (F.col("question_id") < "Q4")])
+    jobs.stream_scores(stream, t.rulebook(spark).rules, table, shared_dir(spark, "ckpt")).awaitTermination()
+    return jobs.latest_totals(table.read()).withColumn("score", F.coalesce("score", F.lit(-1.0)))
 
 
 COMPLETIONS = "SELECT user_id, concat('module_', CAST(module_num AS VARCHAR)) AS module_id, instrument_name AS instrument_key, min(submitted_at) AS completed_at FROM parsed GROUP BY 1, 2, 3"

@@ -179,7 +179,7 @@ def _(spark, sf):
     return e.select("event_id", parsed["k"].alias("k"), parsed["s"].alias("s"))
 
 
-@query("schema_errors", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'missing key ''level''' WHEN 2 THEN 'unexpected key ''extra''' WHEN 3 THEN '''level'' must be an integer; ''level'' has a value outside the allowed set' ELSE '''letters'' must be a list of allowed letters' END AS errors FROM events""")
+@query("schema_errors", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'missing:level' WHEN 2 THEN 'unexpected:extra' WHEN 3 THEN 'type:level' ELSE 'value:letters' END AS errors FROM events""")
 def _(spark, sf):
     e = t.table(spark, sf, "events")
     j = (
@@ -333,17 +333,17 @@ def stub_codes(prompt: str) -> dict:
 def stub_themes(prompt: str) -> dict:
     lines = prompt.split("\n")[2:]
     wanted = int(prompt.split("\n")[1].split(": ")[1])
-    idx = [int(l.split(":")[0]) for l in lines if l.split(":")[0].isdigit()]
-    out = [{"name": f"theme {i}", "description": "d", "code_indices": sorted(set(idx[i::wanted]))[:20]} for i in range(wanted)]
+    idx = [int(l.split(" | ")[0]) for l in lines if l.split(" | ")[0].isdigit()]
+    out = [{"name": f"theme {i}", "description": "d", "code_indices": sorted(set(idx[i::wanted]))} for i in range(wanted)]
     return {"text": json.dumps({"themes": out}), "error": None, "tokens_used": 1}
 
 
 def stub_summary(prompt: str) -> dict:
-    return {"text": json.dumps({"name": f"N{len(prompt) % 100}", "summary": f"{prompt.count('- Name')} codes"}), "error": None, "tokens_used": 1}
+    return {"text": json.dumps({"name": f"N{len(prompt) % 100}", "summary": f"{sum(x.startswith('* ') for x in prompt.splitlines())} codes"}), "error": None, "tokens_used": 1}
 
 
 def stub_report(prompt: str) -> dict:
-    return {"text": f" report over {prompt.count('Theme: ')} themes ", "error": None, "tokens_used": 1}
+    return {"text": f" report over {sum(x.startswith('# ') for x in prompt.splitlines())} themes ", "error": None, "tokens_used": 1}
 
 
 def stub_evidence(prompt: str) -> dict:
@@ -404,7 +404,7 @@ BOOK = [
 @query("extract_evidence")
 def _(spark, sf):
     df = co.extract_evidence(documents(spark, sf), BOOK, stub_evidence, "Find evidence.")
-    return df.withColumn("matched_indicators", F.array_join("matched_indicators", "|"))
+    return df.drop("prompt", "reply").withColumn("matched_indicators", F.array_join("matched_indicators", "|")).withColumn("instances", F.to_json("instances"))
 
 
 @query("objective_evidence")

@@ -31,9 +31,9 @@ def insert_if_absent(existing: DataFrame | None, incoming: DataFrame, keys: Sequ
     return existing.unionByName(first.join(existing.select(*keys), list(keys), "left_anti"))
 
 
-def replace_partitions(df: DataFrame, path: str, column: str) -> None:
+def replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
     """Overwrite exactly the partitions that occur in ``df``; the others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
 def delete_where(df: DataFrame, user: str | None = None, instrument: str | None = None, instrument_column: str = "instrument_key") -> DataFrame:
@@ -86,13 +86,13 @@ def export_canonical_csv(canonical: DataFrame, path: str) -> None:
 
 
 def save_results(df: DataFrame, path: str, run_id: Column, phase: Column) -> None:
-    """Results as JSON payloads, partitioned by run; saving a run again replaces that run."""
+    """Results as JSON payloads, partitioned by run and phase; saving a phase again replaces that phase of that run only."""
     payload = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
-    replace_partitions(df.select(run_id.alias("run_id"), phase.alias("phase"), payload.alias("payload")), path, "run_id")
+    replace_partitions(df.select(run_id.alias("run_id"), phase.alias("phase"), payload.alias("payload")), path, "run_id", "phase")
 
 
 def load_results(spark: SparkSession, path: str, schema: str, run_id: str | None = None, phase: int | None = None) -> DataFrame:
-    df = spark.read.schema("phase int, payload string, run_id string").parquet(path)
+    df = spark.read.schema("payload string, run_id string, phase int").parquet(path)
     if run_id is not None:
         df = df.filter(F.col("run_id") == run_id)
     if phase is not None:

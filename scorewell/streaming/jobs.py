@@ -18,18 +18,24 @@ from .tables import KeyedTable
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def latest_totals(answers: DataFrame) -> DataFrame:
+    """Score of the latest submission per (user, instrument) from scored answers."""
+    last = answers.groupBy("user_id", "instrument_key").agg(F.max("submitted_at").alias("submitted_at"))
+    return answers.join(last, ["user_id", "instrument_key", "submitted_at"]).groupBy("user_id", "instrument_key", "submitted_at").agg(
+        F.sum("item_score").alias("score"), F.count(F.lit(1)).alias("n_answers")
+    )
+
+
 def stream_scores(responses: DataFrame, rules: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
-    """Score each submission on arrival and keep the latest score per (user, instrument).
+    """Score answers on arrival; ``latest_totals`` of the table is the latest score per (user, instrument).
 
-    The rules are a static broadcast side; a submission is all answers of one (user, instrument, time).
+    The table is keyed by (user, instrument, question) and keeps the latest answer, so a submission whose answers arrive in
+    several batches, late or twice adds up to the same score as in one batch.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         scored = score_items(normalize_schema(batch), rules)
-        totals = scored.groupBy("user_id", "instrument_key", "submitted_at").agg(
-            F.sum("item_score").alias("score"), F.count(F.lit(1)).alias("n_answers")
-        )
-        table.upsert(totals, batch_id)
+        table.upsert(scored.select("user_id", "instrument_key", "question_id", "submitted_at", "item_score"), batch_id)
 
     return responses.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

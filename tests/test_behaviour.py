@@ -14,6 +14,7 @@ from scorewell.operators import canonical as cn
 from scorewell.operators import codes as cd
 from scorewell.operators import coding as co
 from scorewell.operators import descriptive as de
+from scorewell.operators import psychometrics as ps
 from scorewell.operators import registry as rg
 from scorewell.operators import scores as sc
 from scorewell.operators import scoring as sg
@@ -227,14 +228,59 @@ def test_code_chunks_keep_failed_rows_and_stamp_ids(spark):
     assert "down" in out[1]["error"] and out[2]["error"] == "JSON parse failed"
 
 
-def test_long_code_list_becomes_several_prompts(spark):
-    seen = lambda p: {"text": '{"themes": [{"name": "t%d", "code_indices": [1]}]}' % p.count("participant:"), "error": None}
+def test_long_code_list_is_asked_in_parts_and_merged(spark):
+    def seen(prompt):
+        numbers = [int(x.split(" | ")[0]) for x in prompt.split("\n")[2:]]
+        return {"text": '{"themes": [{"name": "t%d", "code_indices": %s}]}' % (len(numbers), numbers), "error": None}
+
     rows = [("r", i, i, f"code {i}", "d" * 30, "", "p") for i in range(40)]
     df = spark.createDataFrame(rows, "run string, code_id bigint, chunk_index bigint, name string, description string, quote string, participant_id string")
     one = co.group_codes(df, seen, "x").collect()
     many = co.group_codes(df, seen, "x", budget=100).collect()
     assert len(one) == 1 and one[0]["name"] == "t40" and one[0]["n_wanted"] == 13
-    assert len(many) > 1 and sum(int(r["name"][1:]) for r in many) == 40
+    assert len(many) == 1 and sorted(many[0]["code_indices"]) == list(range(40)) and int(many[0]["name"][1:]) < 40
+
+
+def test_names_that_are_null_stay_in_the_prompt(spark):
+    df = spark.createDataFrame([("r", "T", 1, None, "d", "q"), ("r", "T", 2, "n", None, None)], "run string, theme string, code_id bigint, name string, description string, quote string")
+    reply = lambda p: {"text": '{"name": "x", "summary": "%d"}' % sum(x.startswith("* ") for x in p.splitlines()), "error": None}
+    assert co.define_themes(df, reply, "x").first()["summary"] == "2"
+
+
+def test_calls_are_made_once(spark, tmp_path):
+    def model(prompt):
+        (tmp_path / str(abs(hash(prompt)))).open("a").write("x")
+        return {"text": '{"codes": [{"name": "n"}]}', "error": None}
+
+    chunks = spark.createDataFrame([(i, "a", f"text {i}") for i in range(5)], "chunk_index bigint, participant_id string, content string")
+    out = co.code_chunks(chunks, model, "x")
+    assert out.count() == 5 and out.select("code_id").distinct().count() == 5
+    assert [f.read_text() for f in tmp_path.iterdir()] == ["x"] * 5
+
+
+def test_blank_reflections_become_error_rows(spark):
+    df = spark.createDataFrame([("u", "module_1", "q", " "), ("v", "module_1", "q", "text")], "user_id string, module_id string, question_id string, text string")
+    out = {r["participant_id"]: r for r in co.score_rubric(df, lambda p: {"text": '{"scores": {"depth": 3}}', "error": None}, "x", ["depth"]).collect()}
+    assert out["u"]["error"] == "blank text" and out["v"]["error"] is None
+    long = co.rubric_long(co.score_rubric(df, lambda p: {"text": '{"scores": {"depth": 3}}', "error": None}, "x", ["depth"])).collect()
+    assert [(r["participant_id"], r["dimension"], r["score"]) for r in long] == [("v", "depth", 3)]
+
+
+def test_saving_a_phase_keeps_the_other_phases(spark, tmp_path):
+    from scorewell.sources import sinks
+
+    df, path = spark.createDataFrame([(1,), (2,)], "x int"), str(tmp_path / "results")
+    for phase, rows in ((1, df), (2, df), (2, df.filter("x = 1"))):
+        sinks.save_results(rows, path, F.lit("r"), F.lit(phase))
+    got = sorted((r["phase"], r["x"]) for r in sinks.load_results(spark, path, "x int").collect())
+    assert got == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_options_are_any_text_before_the_colon(spark):
+    rows = [(f"u{i}", "m1_quiz", "module_1", f"Q{q}", v, float(v.startswith("True")), "2024-01-01") for i in range(20) for q, v in enumerate(["True" if i % 3 else "False", "AB: x" if i % 2 else "True: y"])]
+    df = spark.createDataFrame(rows, "user_id string, instrument_key string, module_id string, question_id string, response_value string, item_score double, submitted_at string")
+    out = {(r["item"], r["option"]) for r in ps.distractor_analysis(df, "quiz", 2).collect()}
+    assert out == {("Q0", "True"), ("Q0", "False"), ("Q1", "AB"), ("Q1", "True")}
 
 
 def good_import(spark):

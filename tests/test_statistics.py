@@ -72,7 +72,7 @@ def test_miskeyed_item_is_flagged(spark):
         bad = int(rng.random() < 1 / (1 + math.exp(1.5 * t)))
         rows[f"u{u}"] = "".join(map(str, good + [bad]))
     flags = {r["item"]: r["flags"] for r in ps.item_analysis(long_matrix(spark, rows)).collect()}
-    assert "NEGATIVE" in flags["Q7"] and not any("NEGATIVE" in flags[f"Q{i}"] for i in range(1, 7))
+    assert "r_negative" in flags["Q7"] and not any("r_negative" in flags[f"Q{i}"] for i in range(1, 7))
 
 
 def test_paired_and_signed_rank_edge_cases(spark):
@@ -124,22 +124,40 @@ def test_small_group_normality_branches(spark):
     assert out["three"]["statistic"] == pytest.approx(w) and out["three"]["low_n_warning"]
 
 
-def test_ordered_operators_with_hot_value_take_the_same_result_on_both_paths(spark, monkeypatch):
+def test_ordered_operators_with_hot_value(spark):
     rng = np.random.default_rng(1)
     values = np.where(rng.random(3000) < 0.4, 7.0, rng.integers(0, 400, 3000).astype(float))
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "v": values, "id": np.arange(3000)})
     df = spark.createDataFrame(pdf)
     want = pdf.groupby("g")["v"].rank().to_numpy()
-    for small in (od.SMALL_HISTOGRAM, 0):
-        monkeypatch.setattr(od, "SMALL_HISTOGRAM", small)
-        got = od.average_rank(df, ["g"], "v").toPandas().sort_values("id")["rank"].to_numpy()
-        assert np.allclose(got, want)
-        pos = od.ordinal_rank(df, ["g"], "v", "id").toPandas()
-        for _, part in pos.groupby("g"):
-            assert sorted(part["position"]) == list(range(1, len(part) + 1))
-            assert part.sort_values("position")["v"].is_monotonic_increasing
-        q = od.quantiles(df, ["g"], "v", {"q": 0.3}).toPandas().sort_values("g")["q"].to_numpy()
-        assert np.allclose(q, pdf.groupby("g")["v"].quantile(0.3).to_numpy())
+    got = od.average_rank(df, ["g"], "v").toPandas().sort_values("id")["rank"].to_numpy()
+    assert np.allclose(got, want)
+    pos = od.ordinal_rank(df, ["g"], "v", "id").toPandas()
+    for _, part in pos.groupby("g"):
+        assert sorted(part["position"]) == list(range(1, len(part) + 1))
+        assert part.sort_values("position")["v"].is_monotonic_increasing
+    q = od.quantiles(df, ["g"], "v", {"q": 0.3}).toPandas().sort_values("g")["q"].to_numpy()
+    assert np.allclose(q, pdf.groupby("g")["v"].quantile(0.3).to_numpy())
+
+
+def test_ranks_of_dates_and_texts(spark):
+    import datetime
+
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(days=i % 11) for i in range(200)]
+    pdf = pd.DataFrame({"g": 1, "d": days, "s": [f"w{(i * 7) % 13:02d}" for i in range(200)]})
+    df = spark.createDataFrame(pdf)
+    for column in ("d", "s"):
+        got = sorted((r[column], r["rank"]) for r in od.average_rank(df, ["g"], column).collect())
+        assert got == sorted(zip(pdf[column], pdf[column].rank(), strict=True))
+
+
+def test_abilities_use_every_item(spark):
+    n = 6000
+    params = spark.range(n).select(F.concat(F.lit("q"), "id").alias("item_id"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    matrix = params.select(F.lit("u").alias("user_id"), F.col("item_id").alias("question_id"), F.lit(1.0).alias("item_score")).unionByName(
+        spark.sql("SELECT 'v' AS user_id, 'q5999' AS question_id, 1.0D AS item_score"))
+    out = {r["user_id"]: r["theta"] for r in irt.ability_eap(matrix, params).collect()}
+    assert set(out) == {"u", "v"} and out["u"] > 3.5 > out["v"] > 0
 
 
 def test_equal_count_bins_like_pandas(spark):
