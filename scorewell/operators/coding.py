@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..core import materialize, strip
 
-from ..functions.replies import reply_json, rubric_justification, rubric_scores
+from ..functions.replies import reply_json, rubric_justification, rubric_scores, schema_errors
 from ..functions.text import matched_indicators, reflection_module, token_estimate
 from .ordered import cumulative_histogram, running_total
 
@@ -373,32 +373,68 @@ def rubric_long(scored: DataFrame, max_score: int = 4) -> DataFrame:
     return rows.select("participant_id", "module_id", "question_id", F.col("s.dimension").alias("dimension"), F.col("s.score").alias("score"), F.lit(max_score).alias("max_score"))
 
 
-def rate_items(items: DataFrame, model_fn: ModelFn, instruction: str, models: Sequence[str], repeats: int = 1, steps: Sequence[str] = ("blind", "key")) -> DataFrame:
-    """Items x model x step x repeat (blind step only, 1..5 repeats) -> validated ratings."""
+RATING_TYPES = {"bloom_level": "integer", "solved_answer": "string", "key_defensible": "string", "needs_figure": "boolean"}
+
+
+def call_checked(df: DataFrame, prompt: Column, model_fn: ModelFn, faults: Callable[[Column], Column]) -> DataFrame:
+    """``call_model``; rows whose reply has faults are asked once more, with the faults below the prompt.
+
+    Adds ``json`` and ``faults`` (of the last reply); tokens of both calls are added up.
+    """
+
+    def judged(called: DataFrame) -> DataFrame:
+        return called.withColumn("json", reply_json(F.col("reply"))).withColumn("faults", F.when(F.col("error").isNull(), F.coalesce(faults(F.col("json")), F.array(F.lit("no_object")))))
+
+    first = judged(call_model(df, prompt, model_fn))
+    bad = F.coalesce(F.size("faults"), F.lit(0)) > 0
+    asked = first.filter(bad).withColumn("_before", F.col("tokens_used")).withColumn("_prompt", F.concat("prompt", F.lit("\n"), F.array_join("faults", "; ")))
+    again = judged(call_model(asked.drop("prompt", "reply", "error", "tokens_used", "json", "faults"), F.col("_prompt"), model_fn))
+    again = again.withColumn("tokens_used", F.col("tokens_used") + F.col("_before")).drop("_prompt", "_before")
+    return first.filter(~bad).unionByName(again)
+
+
+def rate_items(
+    items: DataFrame, model_fn: ModelFn, instruction: str, models: Sequence[str], repeats: int = 1, steps: Sequence[str] = ("blind", "key"),
+    run_id: str = "run", provider: str = "provider", created_at: str | None = None, template: str = RATING_PROMPT,
+) -> DataFrame:
+    """Items x model x step x repeat (blind step only, 1..5 repeats) -> validated ratings.
+
+    A reply is checked against the rating's schema and asked for once more when it fails. The rows are what
+    ``latest_suggestion``, ``latest_key_review`` and ``rating_run_rollup`` take.
+    """
     repeats = max(1, min(int(repeats), 5))
     fan = F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(s).alias("step"), F.lit(r).alias("repeat_no"))
         for m in models for s in steps for r in range(repeats if s == "blind" else 1)
     ])
-    units = items.select("instrument_key", "question_id", "item_hash", "text", "key", F.explode(fan).alias("f")).select(
-        "instrument_key", "question_id", "item_hash", "text", "key", "f.*")
+    names = ["instrument_key", "question_id", "item_hash", "model", "step", "repeat_no"]
+    units = items.select(*names[:3], "text", "key", F.explode(fan).alias("f")).select(*names[:3], "text", "key", "f.*")
     shown = F.when(F.col("step") == "key", F.col("key"))
-    prompt = fill(RATING_PROMPT, instruction=F.lit(instruction), key=shown, **{c: F.col(c) for c in ("step", "model", "repeat_no", "text")})
+    prompt = fill(template, instruction=F.lit(instruction), key=shown, **{c: F.col(c) for c in ("step", "model", "repeat_no", "text")})
     asked = units.filter((F.col("step") == "blind") | F.col("key").isNotNull())
-    p = _parsed(call_model(asked, prompt, model_fn), "struct<bloom_level:int, solved_answer:string, key_defensible:string>")
-    level = F.col("parsed.bloom_level")
-    bad = (F.col("step") == "blind") & ~F.coalesce(level.between(1, 6), F.lit(False))
-    error = F.when(F.col("error").isNull() & bad, "out-of-range level").otherwise(F.col("error"))
-    solved = F.col("parsed.solved_answer")
-    unkeyed = units.filter((F.col("step") == "key") & F.col("key").isNull()).select(
-        "instrument_key", "question_id", "item_hash", "model", "step", "repeat_no", F.lit(False).alias("ok"), F.lit(None).cast("int").alias("bloom_level"),
-        F.lit(None).cast("boolean").alias("blind_matches_key"), F.lit(None).cast("string").alias("key_defensible"), F.lit(0).cast("bigint").alias("tokens_used"),
-        F.lit("no answer key on file").alias("error"))
+
+    def faults(reply: Column) -> Column:
+        blind = schema_errors(reply, ["bloom_level"], RATING_TYPES, {"bloom_level": ["1", "2", "3", "4", "5", "6"]})
+        return F.when(F.col("step") == "blind", blind).otherwise(schema_errors(reply, ["key_defensible"], RATING_TYPES))
+
+    p = call_checked(asked, prompt, model_fn, faults)
+    p = p.withColumn("parsed", F.from_json("json", "struct<bloom_level:int, solved_answer:string, key_defensible:string, needs_figure:boolean>"))
+    error = F.when(F.col("error").isNull() & (F.size("faults") > 0), F.array_join("faults", "; ")).otherwise(F.col("error"))
+    solved, level = F.col("parsed.solved_answer"), F.col("parsed.bloom_level")
     rated = p.select(
-        "instrument_key", "question_id", "item_hash", "model", "step", "repeat_no", error.isNull().alias("ok"), F.when(~bad, level).alias("bloom_level"),
+        *names, error.isNull().alias("ok"), F.when(level.between(1, 6), level).alias("bloom_level"),
         F.when(F.col("key").isNotNull() & (solved != "unsure"), strip(solved) == strip("key")).alias("blind_matches_key"),
-        F.col("parsed.key_defensible").alias("key_defensible"), "tokens_used", error.alias("error"))
-    return rated.unionByName(unkeyed)
+        F.col("parsed.key_defensible").alias("key_defensible"), F.coalesce("parsed.needs_figure", F.lit(False)).alias("needs_figure"), "tokens_used",
+        token_estimate(F.col("prompt")).alias("tokens_in"), F.coalesce(token_estimate(F.col("reply")), F.lit(0)).alias("tokens_out"), error.alias("error"))
+    none = lambda kind: F.lit(None).cast(kind)
+    zero = F.lit(0).cast("bigint")
+    unkeyed = units.filter((F.col("step") == "key") & F.col("key").isNull()).select(
+        *names, F.lit(False).alias("ok"), none("int").alias("bloom_level"), none("boolean").alias("blind_matches_key"), none("string").alias("key_defensible"),
+        F.lit(False).alias("needs_figure"), zero.alias("tokens_used"), zero.cast("int").alias("tokens_in"), zero.cast("int").alias("tokens_out"), F.lit("no key").alias("error"))
+    when = F.lit(created_at).cast("timestamp") if created_at else F.current_timestamp()
+    return rated.unionByName(unkeyed).select(
+        F.lit(run_id).alias("run_id"), F.lit(provider).alias("provider"), when.alias("created_at"), F.xxhash64(*names).alias("id"), "*"
+    )
 
 
 def summarize_corpus(texts: DataFrame, n: int, model_fn: ModelFn, instruction: str, stored: DataFrame | None = None, by: str = "cohort_id", order: str = "doc_order", text: str = "content") -> DataFrame:

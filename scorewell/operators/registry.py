@@ -49,6 +49,13 @@ def cohort_usage(cohorts: DataFrame, users: DataFrame, transcripts: DataFrame) -
     return df.withColumn("deletable", (F.col("users") == 0) & (F.col("transcripts") == 0))
 
 
+def delete_cohorts(registry: DataFrame, users: DataFrame, transcripts: DataFrame, wanted: list[str]) -> DataFrame:
+    """The registry with ``deleted`` and ``reason`` per cohort: a wanted cohort goes only if nothing refers to it."""
+    usage = cohort_usage(registry, users, transcripts).select("cohort_id", "deletable")
+    asked = F.col("cohort_id").isin([w.strip() for w in wanted])
+    return usage.select("cohort_id", (asked & F.col("deletable")).alias("deleted"), F.when(asked & ~F.col("deletable"), "in use").alias("reason"))
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in tables.items():

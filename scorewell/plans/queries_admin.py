@@ -95,10 +95,11 @@ def _(spark, sf):
     return rg.role_counts(users(spark, sf), ["admin", "teacher", "student"])
 
 
-@query("zero_data_users", sql("SELECT user_id FROM cohort_map WHERE user_id NOT IN (SELECT user_id FROM responses) AND user_id NOT IN (SELECT concat('u', CAST(user_id AS VARCHAR)) FROM events WHERE event_type = 'purchase')", "cohort_map", "responses"))
+@query("zero_data_users", sql("SELECT user_id FROM cohort_map WHERE user_id NOT IN (SELECT user_id FROM responses WHERE instrument_name LIKE 'module1%') AND user_id NOT IN (SELECT concat('u', CAST(user_id AS VARCHAR)) FROM events WHERE event_type = 'purchase')", "cohort_map", "responses"))
 def _(spark, sf):
     events = t.table(spark, sf, "events").filter("event_type = 'purchase'").select(t._user("user_id").alias("user_id"))
-    return rg.zero_data_users(users(spark, sf), t.responses(spark, sf), events).select("user_id")
+    first = t.responses(spark, sf).filter(F.col("instrument_name").startswith("module1"))  # a study of one module
+    return rg.zero_data_users(users(spark, sf), first, events).select("user_id")
 
 
 def score_tables(spark, sf):
@@ -142,6 +143,19 @@ def _(spark, sf):
     return rg.cohort_usage(co, u, tr)
 
 
+@query(
+    "delete_cohorts",
+    sql(f"""WITH {USERS}, us_in AS (SELECT DISTINCT cohort_id FROM us WHERE cohort_id IS NOT NULL)
+        SELECT n_name AS cohort_id, n_nationkey % 2 = 0 AND n_name NOT IN (SELECT cohort_id FROM us_in) AS deleted,
+        CASE WHEN n_nationkey % 2 = 0 AND n_name IN (SELECT cohort_id FROM us_in) THEN 'in use' END AS reason FROM nation""", "cohort_map"),
+)
+def _(spark, sf):
+    nations = t.table(spark, sf, "nation")
+    wanted = [r[0] for r in nations.filter("n_nationkey % 2 = 0").select("n_name").collect()]  # a caller's list
+    registry = nations.select(F.col("n_name").alias("cohort_id"))
+    return rg.delete_cohorts(registry, users(spark, sf), transcripts(spark, sf), wanted)
+
+
 @query("recent_log", sql("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50"))
 def _(spark, sf):
     return rg.recent_log(t.table(spark, sf, "events").select("event_id", "ts", "event_type"), "ts", 50, "event_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..core import first_row
+from ..core import first_row, shared_dir
 from ..functions import text as tx
 from ..operators import canonical as cn
 from ..operators import descriptive as de
@@ -21,7 +21,9 @@ COLS = "user_id, module_id, instrument_key, question_id, response_value, item_sc
 
 @query("read_responses", sql("SELECT * FROM responses", "responses"))
 def _(spark, sf):
-    return t.responses(spark, sf).select(*src.RESPONSE_COLUMNS)
+    path = shared_dir(spark, "response-log")
+    t.responses(spark, sf).withColumn("device", F.lit("web")).write.parquet(path)
+    return src.read_responses(spark, path)
 
 
 @query("canonical_dataset", sql(f"SELECT {COLS} FROM canon", "canon"))

@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions.vectors import cosine
 from ..operators import codes as cd
 from ..operators import coding as co
+from ..operators import ratings as ra
 from ..sources import responses as src
 from ..sources import texts as st
 from . import tables as t
@@ -362,7 +363,7 @@ def stub_rubric(prompt: str) -> dict:
 
 
 def stub_rating(prompt: str) -> dict:
-    return {"text": json.dumps({"bloom_level": len(prompt) % 8, "solved_answer": "ABC"[len(prompt) % 3], "key_defensible": "yes"}), "error": None, "tokens_used": 5}
+    return {"text": json.dumps({"bloom_level": len(prompt) % 8, "needs_figure": len(prompt) % 2 == 0, "solved_answer": "ABC"[len(prompt) % 3], "key_defensible": "yes"}), "error": None, "tokens_used": 5}
 
 
 @query("chunk_transcripts")
@@ -370,6 +371,14 @@ def _(spark, sf):
     return co.chunk_transcripts(documents(spark, sf), 500)
 
 
+@query("chunk_words", r"SELECT concat('d', CAST(doc_id AS VARCHAR)) AS participant_id, len(list_filter(string_split_regex(text, '[\s]+'), lambda x: x <> '')) AS n_words, true AS in_order FROM documents WHERE trim(text) <> ''")
+def _(spark, sf):
+    """Chunks lose no word, and their numbers run through without a gap."""
+    c = co.chunk_transcripts(documents(spark, sf), 500)
+    n = F.sum(F.size(F.filter(F.split("content", r"\s+"), lambda x: x != "")))
+    return c.groupBy("participant_id").agg(n.alias("n_words"), (F.max("chunk_index") - F.min("chunk_index") + 1 == F.count(F.lit(1))).alias("in_order"))
+
+
 @query("code_chunks")
 def _(spark, sf):
     return co.code_chunks(co.chunk_transcripts(documents(spark, sf), 2500), stub_codes, "Name the codes.")
@@ -401,34 +410,67 @@ BOOK = [
 ]
 
 
-@query("extract_evidence")
+# the prompt's length modulo four is the number of instances; valences go round
+@query("extract_evidence", f"""WITH b AS (SELECT unnest(['self_efficacy', 'interest']) AS construct_name, unnest(['motivation', 'engagement']) AS construct_group,
+     unnest([length('Self Efficacy') + length('belief in oneself') + {len("; ".join(INDICATORS[:2]))}, length('Interest') + length('curiosity') + {len(INDICATORS[2])}]) AS k),
+   u AS (SELECT concat('d', CAST(doc_id AS VARCHAR)) AS participant_id, construct_name, construct_group, (length('Find evidence.') + 1 + 4 + 1 + length('Look for: ') + 1 + 1 + 1 + k + length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) % 4 AS n
+     FROM documents, b WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')
+   SELECT participant_id, construct_name, construct_group, CAST(n AS INT) AS evidence_count, CAST(n >= 1 AS INT) AS valence_positive, CAST(n >= 2 AS INT) AS valence_negative, CAST(n >= 3 AS INT) AS valence_neutral,
+   CASE n WHEN 0 THEN '' WHEN 1 THEN 'q0' WHEN 2 THEN 'q0,q1' ELSE 'q0,q1,q2' END AS quotes, 'm1' AS model, 1 AS tokens_used, CAST(NULL AS VARCHAR) AS error FROM u""")
 def _(spark, sf):
-    df = co.extract_evidence(documents(spark, sf), BOOK, stub_evidence, "Find evidence.")
-    return df.drop("prompt", "reply").withColumn("matched_indicators", F.array_join("matched_indicators", "|")).withColumn("instances", F.to_json("instances"))
+    df = co.extract_evidence(documents(spark, sf), BOOK, stub_evidence, "Find evidence.", "goal", "m1")
+    return df.drop("prompt", "reply", "matched_indicators").withColumn("quotes", F.array_join("instances.quote", ",")).drop("instances")
 
 
-@query("objective_evidence")
+@query("objective_evidence", """WITH t AS (SELECT concat('d', CAST(doc_id AS VARCHAR)) AS participant_id, doc_id % 9 AS m, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS c FROM documents),
+   u AS (SELECT *, substr(string_split(c, chr(10))[-1], 1, 5) AS tail FROM t WHERE c <> '' AND m <> 8)
+   SELECT participant_id, concat('module_', CAST(m AS VARCHAR)) AS module_id, i AS lo_index, CASE i WHEN 1 THEN 'name parts' ELSE 'compare parts' END AS lo_text, CAST(contains(tail, 'a') AS INT) AS evidence_present, CAST(NULL AS VARCHAR) AS error FROM u, (SELECT CAST(unnest([1, 2]) AS INT) AS i)""")
 def _(spark, sf):
     docs = documents(spark, sf).withColumn("module_id", F.concat(F.lit("module"), (F.col("doc_order") % 9).cast("string"), F.lit("_module_reflections")))
     goals = docs.select(tx.reflection_module(F.col("module_id")).alias("module_id")).distinct().filter("module_id <> 'module_8'").select(
         "module_id", F.concat(F.lit("On "), F.col("module_id")).alias("title"), F.array(F.lit("name parts"), F.lit("compare parts")).alias("objectives"))
-    return co.objective_evidence(docs, goals, stub_objective, "Check the objective.")
+    return co.objective_evidence(docs, goals, stub_objective, "Check the objective.").drop("evidence_quote")
 
 
-@query("score_rubric")
+@query("score_rubric", f"""WITH {REFL}, f AS (SELECT user_id, arg_min(m, doc_id) AS m, question_id, arg_min(text, doc_id) AS text FROM rf GROUP BY 1, 3),
+   n AS (SELECT *, length('Score it.') + 1 + length(concat('module_', CAST(m AS VARCHAR))) + 1 + length(question_id) + 1 + length(text) AS n FROM f),
+   s AS (SELECT *, greatest(1, least(4, n % 7)) AS depth, greatest(1, least(4, n % 5)) AS transfer FROM n)
+   SELECT user_id AS participant_id, concat('module_', CAST(m AS VARCHAR)) AS module_id, question_id, CAST(depth AS INT) AS depth, CAST(transfer AS INT) AS transfer, 1 AS voice,
+   round((depth + transfer + 1) / 12.0, 4) AS cpi_qual_q, 500 AS why, CAST(NULL AS VARCHAR) AS error FROM s""")
 def _(spark, sf):
     r = reflections(spark, sf).withColumnRenamed("instrument_name", "instrument_key").withColumn("module_id", tx.reflection_module(F.col("instrument_key")))
     df = co.score_rubric(st.reflection_texts(r), stub_rubric, "Score it.", ["depth", "transfer", "voice"])
-    return df.withColumn("scores", F.to_json("scores"))
+    s = F.col("scores")
+    return df.select("participant_id", "module_id", "question_id", s[0]["score"].alias("depth"), s[1]["score"].alias("transfer"), s[2]["score"].alias("voice"), "cpi_qual_q", F.length("justification").alias("why"), "error")
+
+
+# a prompt's length decides the stand-in's reply; levels 0 and 7 are asked again with "value:bloom_level" below the prompt
+RATED = """it AS (SELECT CAST(p_partkey AS VARCHAR) AS question_id, trim(p_name) AS text, CASE WHEN length(CAST(p_partkey AS VARCHAR)) % 2 = 0 THEN 'A' END AS k FROM part),
+   fan AS (SELECT question_id, k, m AS model, s AS step, r AS repeat_no, 8 + 1 + length(s) + 1 + 2 + 1 + 1 + 1 + length(text) + 1 + CASE WHEN s = 'key' THEN coalesce(length(k), 0) ELSE 0 END AS n
+     FROM it, (SELECT unnest(['m1', 'm2']) AS m), (SELECT * FROM (VALUES ('blind', 0), ('blind', 1), ('key', 0)) v(s, r))),
+   rt AS (SELECT *, CASE WHEN step = 'blind' AND n % 8 IN (0, 7) THEN n + 18 ELSE n END AS e FROM fan WHERE step = 'blind' OR k IS NOT NULL)"""
 
 
-@query("rate_items")
+@query("rate_items", f"""WITH {RATED} SELECT question_id, model, step, CAST(repeat_no AS INT) AS repeat_no, true AS ok, CASE WHEN e % 8 BETWEEN 1 AND 6 THEN CAST(e % 8 AS INT) END AS bloom_level,
+   CASE WHEN k IS NOT NULL THEN substr('ABC', CAST(1 + e % 3 AS INT), 1) = k END AS blind_matches_key, e % 2 = 0 AS needs_figure, CASE WHEN e > n THEN 10 ELSE 5 END AS tokens_used, CAST(NULL AS VARCHAR) AS error FROM rt
+   UNION ALL SELECT question_id, model, step, CAST(repeat_no AS INT), false, NULL, NULL, false, 0, 'no key' FROM fan WHERE step = 'key' AND k IS NULL""")
 def _(spark, sf):
+    return rated(spark, sf).select("question_id", "model", "step", "repeat_no", "ok", "bloom_level", "blind_matches_key", "needs_figure", "tokens_used", "error")
+
+
+@query("rated_suggestions", f"""WITH {RATED} SELECT question_id, model, count(*) AS n_runs, median(e % 8)::DOUBLE AS level_median, CAST(min(e % 8) AS INT) AS level_min, CAST(max(e % 8) AS INT) AS level_max,
+   bool_or(e % 2 = 0) AS needs_figure FROM rt WHERE step = 'blind' GROUP BY 1, 2""")
+def _(spark, sf):
+    """Ratings of a run straight into the suggestions of the review."""
+    return ra.latest_suggestion(rated(spark, sf)).select("question_id", "model", "n_runs", "level_median", "level_min", "level_max", "needs_figure")
+
+
+def rated(spark, sf):
     p = t.table(spark, sf, "part")
     options = F.array(F.concat(F.lit("A) "), F.col("p_type")), F.concat(F.lit("B) "), F.col("p_brand")))
     bank = p.select(F.lit("bank").alias("instrument_key"), F.col("p_partkey").cast("string").alias("question_id"), F.col("p_name").alias("question"), options.alias("options"))
     keys = bank.filter(F.length("question_id") % 2 == 0).select("instrument_key", "question_id", F.lit("A").alias("answer"))
-    return co.rate_items(src.item_records(bank, keys), stub_rating, "Rate it.", ["m1", "m2"], 2)
+    return co.rate_items(src.item_records(bank, keys), stub_rating, "Rate it.", ["m1", "m2"], 2, created_at="2024-01-01")
 
 
 @query("summarize_corpus", "SELECT source, least(5, count(*)) AS n_texts, source IN ('src1', 'src2') AS from_cache FROM documents GROUP BY 1")
