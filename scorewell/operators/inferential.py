@@ -268,35 +268,44 @@ def signed_rank(diffs: DataFrame, diff: str = "diff", by: Sequence[str] = ()) ->
     )
 
 
-def paired_comparison(pairs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Paired t-test, effect size, normality of the differences, Wilcoxon, power: one row."""
-    df = materialize(pairs, "pairs").withColumn("diff", F.col("post") - F.col("pre"))
+PAIRED_PARTS = ("normality", "ranks", "power")
+
+
+def paired_comparison(pairs: DataFrame, alpha: float = ALPHA, parts: Sequence[str] = PAIRED_PARTS) -> DataFrame:
+    """Paired t-test, effect size, normality of the differences, Wilcoxon, power: one row.
+
+    ``parts`` beyond the t-test run only when named; a plain t-test is one aggregation and stores nothing.
+    """
+    stored = materialize(pairs, "pairs") if {"normality", "ranks"} & set(parts) else pairs
+    df = stored.withColumn("diff", F.col("post") - F.col("pre"))
     base = df.agg(
         F.count("diff").alias("n_pairs"),
         F.avg("pre").alias("pre_mean"), F.stddev_samp("pre").alias("pre_std"),
         F.avg("post").alias("post_mean"), F.stddev_samp("post").alias("post_std"),
         F.avg("diff").alias("mean_diff"), F.stddev_samp("diff").alias("sd_diff"),
     )
-    norm = normality(df, "diff").select(
-        F.col("statistic").alias("diff_shapiro_w"), F.col("p_value").alias("diff_shapiro_p"), F.col("verdict").alias("diff_verdict")
-    )
-    rank = signed_rank(df).select(F.col("statistic").alias("wilcoxon_stat"), F.col("p_value").alias("wilcoxon_p"))
-    out = base.join(norm, how="left").join(rank, how="left")  # three single-row frames
+    out = base
+    if "normality" in parts:  # every part is a single row
+        out = out.join(normality(df, "diff").select(
+            F.col("statistic").alias("diff_shapiro_w"), F.col("p_value").alias("diff_shapiro_p"), F.col("verdict").alias("diff_verdict")
+        ), how="left")
+    if "ranks" in parts:
+        out = out.join(signed_rank(df).select(F.col("statistic").alias("wilcoxon_stat"), F.col("p_value").alias("wilcoxon_p")), how="left")
     n, sd = F.col("n_pairs"), F.col("sd_diff")
     out = out.withColumn("t_stat", F.when(sd > 0, F.col("mean_diff") / (sd / F.sqrt(n))))
     out = out.withColumn("t_p_value", p_value("t_two_sided", F.col("t_stat"), n - 1))
     out = out.withColumn("cohens_d", F.when(sd > 0, F.col("mean_diff") / sd).otherwise(F.lit(0.0)))
     d = F.col("cohens_d")
-    return (
-        out.withColumn("significant", F.col("t_p_value") < alpha)
-        .withColumn("effect_size_label", d_label(d))
-        .withColumn("recommended_test", recommend_test(F.col("diff_verdict"), paired=True))
-        .withColumn("power_achieved", p_value("paired_power", n, d, alpha))
-        .withColumn("n_needed_80", p_value("paired_n_needed", d, 0.80, alpha).cast("int"))
-        .withColumn("n_needed_95", p_value("paired_n_needed", d, 0.95, alpha).cast("int"))
-        .withColumn("low_n_warning", n < LOW_N)
-        .withColumn("error", F.when(n < 2, "fewer than 2 pairs"))
-    )
+    out = out.withColumn("significant", F.col("t_p_value") < alpha).withColumn("effect_size_label", d_label(d))
+    if "normality" in parts:
+        out = out.withColumn("recommended_test", recommend_test(F.col("diff_verdict"), paired=True))
+    if "power" in parts:
+        out = (
+            out.withColumn("power_achieved", p_value("paired_power", n, d, alpha))
+            .withColumn("n_needed_80", p_value("paired_n_needed", d, 0.80, alpha).cast("int"))
+            .withColumn("n_needed_95", p_value("paired_n_needed", d, 0.95, alpha).cast("int"))
+        )
+    return out.withColumn("low_n_warning", n < LOW_N).withColumn("error", F.when(n < 2, "fewer than 2 pairs"))
 
 
 def bland_altman(pairs: DataFrame) -> DataFrame:
@@ -331,11 +340,16 @@ def bland_altman_points(pairs: DataFrame) -> DataFrame:
 # -- independent groups ------------------------------------------------------------------------
 
 
-def between_groups(scores: DataFrame, group: str, alpha: float = ALPHA) -> DataFrame:
-    """One-way ANOVA, Kruskal-Wallis, Levene, and for two groups t, Welch, Mann-Whitney: one row.
+BETWEEN_PARTS = ("checks", "power")
+
 
-    ``scores`` has ``user_id, score`` and the group column.
+def between_groups(scores: DataFrame, group: str, alpha: float = ALPHA, parts: Sequence[str] = BETWEEN_PARTS) -> DataFrame:
+    """One-way ANOVA, Kruskal-Wallis, and for two groups t, Welch, Mann-Whitney: one row.
+
+    ``scores`` has ``user_id, score`` and the group column. ``checks`` (normality per group, Levene, the recommended test) and
+    ``power`` run only when named in ``parts``.
     """
+    checks = "checks" in parts
     df = materialize(
         scores.filter(F.col("score").isNotNull() & F.col(group).isNotNull()).select(
             F.col(group).cast("string").alias("g"), F.col("score").cast("double").alias("score")
@@ -352,10 +366,12 @@ def between_groups(scores: DataFrame, group: str, alpha: float = ALPHA) -> DataF
         F.sum(F.col("c") * F.col("rank")).alias("rank_sum")
     )
     ties = ranked.agg(F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("tie_sum"))
-    norm = normality(df, "score", ["g"]).select(
-        "g", F.coalesce(F.col("verdict").startswith("Consistent with normality"), F.lit(False)).alias("normal")
-    )
-    per_group = stats.join(rank_sums, "g").join(norm, "g")
+    per_group = stats.join(rank_sums, "g")
+    if checks:
+        norm = normality(df, "score", ["g"]).select(
+            "g", F.coalesce(F.col("verdict").startswith("Consistent with normality"), F.lit(False)).alias("normal")
+        )
+        per_group = per_group.join(norm, "g")
     entry = F.struct("g", "n", "mean", F.sqrt("var").alias("sd"), "rank_sum", "var")
     total = per_group.agg(
         F.count(F.lit(1)).alias("n_groups"),
@@ -365,13 +381,15 @@ def between_groups(scores: DataFrame, group: str, alpha: float = ALPHA) -> DataF
         F.sum(F.col("n") * F.col("mean") ** 2).alias("_nmm"),
         F.sum((F.col("n") - 1) * F.col("var")).alias("ss_within"),
         F.sum(F.col("rank_sum") ** 2 / F.col("n")).alias("_rr"),
-        F.min("normal").alias("all_normal"),
+        *([F.min("normal").alias("all_normal")] if checks else []),
         F.sort_array(F.collect_list(entry)).alias("groups"),
     )
-    lev = levene(df, "score", "g").select(
-        F.col("statistic").alias("levene_stat"), F.col("p_value").alias("levene_p"), F.col("verdict").alias("levene_verdict")
-    )
-    out = total.join(ties, how="left").join(lev, how="left")
+    out = total.join(ties, how="left")
+    if checks:
+        lev = levene(df, "score", "g").select(
+            F.col("statistic").alias("levene_stat"), F.col("p_value").alias("levene_p"), F.col("verdict").alias("levene_verdict")
+        )
+        out = out.join(lev, how="left")
     k, n = F.col("n_groups"), F.col("n_total")
     ok = k >= 2
     between = F.col("_nmm") - n * F.col("grand_mean") ** 2
@@ -385,6 +403,20 @@ def between_groups(scores: DataFrame, group: str, alpha: float = ALPHA) -> DataF
     out = out.withColumn("kruskal_stat", F.when(ok, F.try_divide(h, 1 - F.try_divide(F.col("tie_sum"), nn * nn * nn - nn))))
     out = out.withColumn("kruskal_p", p_value("chi2_sf", F.col("kruskal_stat"), k - 1))
     out = _two_group_tests(out)
+    eta = F.col("eta_squared")
+    out = (
+        out.withColumn("effect_size_label", eta_label(eta))
+        .withColumn("significant", F.when(k == 2, F.col("t_p_value") < alpha).otherwise(F.col("anova_p") < alpha))
+        .withColumn("low_n_warning", F.col("min_n") < LOW_N)
+        .withColumn("error", F.when(~ok, "need at least 2 groups with data"))
+        .drop("_nmm", "_rr", "groups", "tie_sum")
+    )
+    if "power" in parts:
+        out = out.withColumn("power_achieved", p_value("oneway_power", F.bround(n / k), k, eta, alpha)).withColumn(
+            "n_needed_80", p_value("oneway_n_needed", k, eta, 0.80, alpha).cast("int")
+        )
+    if not checks:
+        return out
     verdict = F.when(F.col("all_normal"), NORMAL).otherwise(NOT_NORMAL)
     unequal = ~F.coalesce(F.col("levene_verdict").startswith("Consistent with equal variances"), F.lit(True)) & ~F.coalesce(
         F.col("levene_verdict").startswith("Not tested"), F.lit(True)
@@ -394,19 +426,7 @@ def between_groups(scores: DataFrame, group: str, alpha: float = ALPHA) -> DataF
         .when(unequal, "Kruskal-Wallis")
         .otherwise(recommend_test(verdict, n_groups=k))
     )
-    mean_n = F.bround(n / k)
-    eta = F.col("eta_squared")
-    return (
-        out.withColumn("effect_size_label", eta_label(eta))
-        .withColumn("significant", F.when(k == 2, F.col("t_p_value") < alpha).otherwise(F.col("anova_p") < alpha))
-        .withColumn("normality_verdict", verdict)
-        .withColumn("recommended_test", rec)
-        .withColumn("power_achieved", p_value("oneway_power", mean_n, k, eta, alpha))
-        .withColumn("n_needed_80", p_value("oneway_n_needed", k, eta, 0.80, alpha).cast("int"))
-        .withColumn("low_n_warning", F.col("min_n") < LOW_N)
-        .withColumn("error", F.when(~ok, "need at least 2 groups with data"))
-        .drop("_nmm", "_rr", "all_normal", "groups", "tie_sum")
-    )
+    return out.withColumn("normality_verdict", verdict).withColumn("recommended_test", rec).drop("all_normal")
 
 
 def _two_group_tests(out: DataFrame) -> DataFrame:

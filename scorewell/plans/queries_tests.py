@@ -161,7 +161,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cols = ["n_pairs", "pre_mean", "pre_std", "post_mean", "post_std", "mean_diff", "t_stat", "t_p_value", "cohens_d"]
-    return rounded(inf.paired_comparison(paired(spark, sf)).select(*cols))
+    return rounded(inf.paired_comparison(paired(spark, sf), parts=()).select(*cols))
 
 
 @query("paired_comparison")
@@ -233,7 +233,7 @@ def _between_sql(column: str) -> str:
 )
 def _(spark, sf):
     cols = ["n_groups", "n_total", "f_stat", "anova_p", "eta_squared", "kruskal_stat", "kruskal_p"]
-    return rounded(inf.between_groups(grouped(spark, sf, "grade"), "grade").select(*cols))
+    return rounded(inf.between_groups(grouped(spark, sf, "grade"), "grade", parts=()).select(*cols))
 
 
 @query(
@@ -253,7 +253,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cols = ["t_stat", "t_p_value", "welch_t_stat", "welch_t_p", "mannwhitney_stat", "mannwhitney_p", "cohens_d_indep"]
-    return rounded(inf.between_groups(grouped(spark, sf, "gender"), "gender").select(*cols))
+    return rounded(inf.between_groups(grouped(spark, sf, "gender"), "gender", parts=()).select(*cols))
 
 
 @query("between_groups")

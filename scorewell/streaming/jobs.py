@@ -78,53 +78,56 @@ def stream_progress(responses: DataFrame, completions: KeyedTable, progress: Key
     return responses.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _bucket_processor(window_us: int, lock_us: int, threshold: int, bucket_us: int) -> StatefulProcessor:
+def _bucket_processor(window_us: int, bucket_us: int) -> StatefulProcessor:
     """The processor class lives in this function so that it travels by value: the streaming runner of
     the driver does not see files added for executors."""
 
     class BucketProcessor(StatefulProcessor):
-        """Buffers one (user, time bucket) and answers for all its attempts once the watermark passes it."""
+        """Answers the attempts of one (user, time bucket) as they come, from the failures seen so far."""
 
-        def __init__(self, window_us: int, lock_us: int, threshold: int, bucket_us: int):
-            self.window_us, self.lock_us, self.threshold, self.bucket_us = window_us, lock_us, threshold, bucket_us
+        def __init__(self, window_us: int, bucket_us: int):
+            self.window_us, self.bucket_us = window_us, bucket_us
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.rows = handle.getListState("rows", "event_id bigint, us bigint, failed boolean, home boolean")
+            self.fails = handle.getListState("fails", "us bigint")
             self.timer = handle.getValueState("timer", "at bigint")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            for pdf in rows:
-                self.rows.appendList([(int(e), int(u), bool(f), bool(h)) for e, u, f, h in zip(pdf["event_id"], pdf["us"], pdf["failed"], pdf["home"])])
+            came = pd.concat(list(rows))
+            new = came.loc[came["failed"], "us"]
+            if len(new):
+                self.fails.appendList([(int(u),) for u in new])
             if not self.timer.exists():
                 at = (int(key[1]) + 1) * self.bucket_us // 1000
                 self.timer.update((at,))
                 self.handle.registerTimer(at)
-            yield pd.DataFrame({"user_id": [], "event_id": [], "us": [], "n_failures": [], "first_us": []}).astype("int64")
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            kept = pd.DataFrame(list(self.rows.get()), columns=["event_id", "us", "failed", "home"])
-            fails = kept.loc[kept["failed"], "us"].sort_values().to_numpy()
-            mine = kept[kept["home"]].sort_values("us")
-            times = mine["us"].to_numpy()
+            fails = pd.Series([r[0] for r in self.fails.get()], dtype="int64").sort_values().to_numpy()
+            mine = came[came["home"]].sort_values("us")
+            times = mine["us"].to_numpy(dtype="int64")
             low = fails.searchsorted(times - self.window_us, side="left")
             high = fails.searchsorted(times, side="right")
             first = [int(fails[l]) if h > l else -1 for l, h in zip(low, high)]
             yield pd.DataFrame({"user_id": int(key[0]), "event_id": mine["event_id"].to_numpy(), "us": times, "n_failures": high - low, "first_us": first}).astype("int64")
-            self.rows.clear()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.fails.clear()
             self.timer.clear()
+            yield pd.DataFrame({"user_id": [], "event_id": [], "us": [], "n_failures": [], "first_us": []}).astype("int64")
 
         def close(self) -> None:
             pass
 
-    return BucketProcessor(window_us, lock_us, threshold, bucket_us)
+    return BucketProcessor(window_us, bucket_us)
 
 
 def stream_lockouts(attempts: DataFrame, window_s: int = 300, threshold: int = 3, lock_s: int = 300, watermark: str = "10 minutes") -> DataFrame:
     """Rolling failures per attempt as a stream: ``user_id bigint, event_id, ts, failed`` in.
 
-    State is keyed by (user, time bucket) with look-back copies, so a hot user spreads over tasks, and
-    a bucket's state is dropped when the watermark has passed it. Needs the RocksDB state store.
+    An attempt is answered in the micro-batch that brings it, so a lock is known at the failure that causes it; an attempt
+    that comes late is counted from then on, but answers already given stay. State is keyed by (user, time bucket) with
+    look-back copies, so a hot user spreads over tasks, and is dropped when the watermark has passed the bucket. Needs the
+    RocksDB state store.
     """
     bucket_us = max(4 * window_s, 3600) * 1_000_000
     us = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -134,7 +137,7 @@ def stream_lockouts(attempts: DataFrame, window_s: int = 300, threshold: int = 3
     df = df.withColumn("home", F.explode(F.when(tail, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
     df = df.withColumn("bucket", F.when(F.col("home"), F.col("bucket")).otherwise(F.col("bucket") + 1))
     out = df.groupBy("user_id", "bucket").transformWithStateInPandas(
-        _bucket_processor(window_s * 1_000_000, lock_s * 1_000_000, threshold, bucket_us),
+        _bucket_processor(window_s * 1_000_000, bucket_us),
         "user_id bigint, event_id bigint, us bigint, n_failures bigint, first_us bigint", "Append", "eventTime",
     )
     left = F.floor((F.col("first_us") + lock_s * 1_000_000 - F.col("us")) / 1_000_000)
