@@ -106,3 +106,68 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(documents(spark, sf_dir, "doc_id", "text"))
+
+
+ORACLES["op6_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON s.doc_id = c.doc_id
+"""
+
+ORACLES["op10_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first_id FROM win) WHERE first_id < doc_id),
+cut AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS fresh FROM hit),
+isl AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM cut),
+sp AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM isl GROUP BY doc_id, k),
+gap AS (SELECT doc_id, k, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS f, a AS t FROM sp
+  UNION ALL SELECT doc_id, max(k) + 1, max(b), NULL FROM sp GROUP BY doc_id),
+kept AS (SELECT gap.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (coalesce(t, length(h) // 2) - f)), '' ORDER BY k) AS h FROM gap JOIN d ON gap.doc_id = d.doc_id GROUP BY gap.doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM sp GROUP BY doc_id)
+SELECT d.doc_id, length(d.h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+_SPANS = """
+{k}_m AS (SELECT doc_id, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS al, regexp_extract_all(t, {p}, {g}) AS te FROM d WHERE regexp_matches(t, {p})),
+{k}_s AS (SELECT doc_id, '{k}' AS kind, {o} AS o, a AS start, a + length(m) AS stop, m FROM (
+  SELECT doc_id, al[i] AS m, te[i] AS c, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(al[1:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(al) + 1)) AS i FROM {k}_m)) WHERE length(c) >= {n})"""
+
+
+def _secret_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = {**secret_scan.BASE_KINDS, **secret_scan.WEAK_KINDS}
+    spans = ",".join(_SPANS.format(k=k, p=quote(p), g=g, n=n, o=secret_scan.ORDER[k]) for k, (p, g, n) in kinds.items())
+    base = " UNION ALL ".join(f"SELECT * FROM {k}_s" for k in secret_scan.BASE_KINDS)
+    part = "CASE " + " ".join(f"WHEN kind = '{k}' THEN '{v}'" for k, v in secret_scan.PART.items()) + " END"
+    near = lambda p: f"EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = w.doc_id AND q.part = '{p}' AND abs(q.start - w.start) <= {secret_scan.SCOPE})"
+    needs = " OR ".join(f"w.kind = '{k}' AND " + " AND ".join(near(p) for p in v) for k, v in secret_scan.NEEDS.items())
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),{spans},
+base AS ({base}),
+cand AS (SELECT * FROM login_s UNION ALL SELECT * FROM endpoint_s UNION ALL
+  SELECT * FROM opaque_s WHERE regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')),
+weak AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.stop AND c.start < b.stop)),
+parts AS (SELECT doc_id, start, {part} AS part FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
+linked AS (SELECT * FROM weak w WHERE {needs}),
+b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, o) AS x FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, o) AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.x, '')) AS base_sha256, coalesce(a.x, '') AS spans
+FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
+ORACLES["op5_secret_scan"] = _secret_sql()
