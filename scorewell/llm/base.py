@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import materialize, shared_dir, ship_package
 
 __all__ = [
-    "ASCII_SPACE", "SPACE_CLASS", "barrier", "documents", "fold", "fresh", "materialize", "shared_dir", "ship_package", "text_bytes", "whole_text",
+    "ASCII_SPACE", "SPACE_CLASS", "arrow_rows", "barrier", "documents", "fold", "fresh", "materialize", "shared_dir", "ship_package", "text_bytes", "whole_text",
 ]
 
 # The characters between words.
@@ -47,6 +50,18 @@ def barrier(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(packed))).select(*df.columns, *[F.col(f"{name}.{k}").alias(k) for k in columns])
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this block jobs exchange record batches of so many rows with Python workers: whole texts make rows large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column: one number from one scan."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import TARGET_BYTES, materialize, partitions_for, text_bytes, whole_text
+from .base import arrow_rows, materialize, partitions_for, text_bytes, whole_text
 
 WINDOW = 50
 GRAM = 16
 SPAN = WINDOW - GRAM + 1  # q-grams per window
 HOT_ROWS = 50_000
-CHUNK_ROWS = 40_000
-RANGE_BYTES = 32 << 20
+CHUNK_ROWS = 20_000
+BATCH_ROWS = 1_000
+UNIT_BYTES = 8 << 20
+RANGE_BYTES = 8 << 20  # of text: the hashes of so much text, spread over all units, are one range
 LAST_ID = (1 << 63) - 1
 _POSITION_BITS = 26
 _POSITION_MASK = np.uint64((1 << _POSITION_BITS) - 1)
@@ -383,7 +385,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 def text_table(docs: DataFrame) -> tuple[str, int]:
     """Distinct texts with their smallest id in a table bucketed by unit; the table's name and its number of units."""
     rows = _identified(docs)
-    n_units = partitions_for(docs, text_bytes(docs))
+    n_units = partitions_for(docs, text_bytes(docs), UNIT_BYTES)
     unit = F.pmod(F.hash("digest"), F.lit(n_units)).cast("int")
     once = rows.select(unit.alias("unit"), "doc_id", "digest", "text").mapInArrow(_first_copies, "unit int, doc_id bigint, digest binary, text string")
     from pyspark.sql import Window
@@ -397,8 +399,8 @@ def text_table(docs: DataFrame) -> tuple[str, int]:
 
 def flagged(texts: DataFrame, n_units: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(unit, ord, start, length): byte runs of the distinct texts that start in a document with a smaller id."""
-    n_bytes = n_units * TARGET_BYTES
-    n_ranges = max(1, n_bytes // 2 // RANGE_BYTES, n_units // 4)
+    n_bytes = n_units * UNIT_BYTES
+    n_ranges = max(1, n_bytes // RANGE_BYTES)
     blobs = texts.select("unit", "text").mapInArrow(_gram_blobs(n_ranges), "range int, unit int, grams binary, counts binary")
     grams = materialize(blobs.groupBy("range").applyInArrow(_shared_grams(hot_rows), "unit int, shared binary, hot binary"), "repeat-grams")
     by_unit = texts.groupBy("unit")
@@ -415,20 +417,20 @@ def flagged(texts: DataFrame, n_units: int, hot_rows: int = HOT_ROWS) -> DataFra
     return flags
 
 
-def _per_text(docs: DataFrame, fn, ddl: str, hot_rows: int) -> tuple[DataFrame, str]:
+def _per_text(docs: DataFrame, fn, ddl: str, hot_rows: int) -> DataFrame:
+    """``fn`` over every unit's texts and flagged runs, stored; the table of texts is dropped again."""
     spark = docs.sparkSession
-    name, n_units = text_table(docs)
-    texts = spark.table(name)
-    out = texts.groupBy("unit").cogroup(flagged(texts, n_units, hot_rows).groupBy("unit")).applyInArrow(fn, ddl)
-    return out, name
+    with arrow_rows(spark, BATCH_ROWS):
+        name, n_units = text_table(docs)
+        texts = spark.table(name)
+        out = materialize(texts.groupBy("unit").cogroup(flagged(texts, n_units, hot_rows).groupBy("unit")).applyInArrow(fn, ddl), "repeat-texts")
+        spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def report(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``."""
-    spark = docs.sparkSession
-    found, table = _per_text(docs, _summary, "doc_id bigint, digest binary, n_removed bigint, n_spans bigint, kept_sha256 string", hot_rows)
-    found = materialize(found, "repeat-summary")
-    spark.sql(f"DROP TABLE {table}")
+    found = _per_text(docs, _summary, "doc_id bigint, digest binary, n_removed bigint, n_spans bigint, kept_sha256 string", hot_rows)
     rows = _identified(docs).select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"))
     out = rows.join(found, ["doc_id", "digest"], "left")
     copy, gone = F.col("n_removed").isNull(), F.col("n_bytes") >= WINDOW
@@ -442,10 +444,7 @@ def report(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def cut(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``docs`` with the repeated strings taken out of ``text`` (whole characters) and ``n_chars`` kept true if there."""
-    spark = docs.sparkSession
-    found, table = _per_text(docs, _shortened, "doc_id bigint, digest binary, rest string", hot_rows)
-    found = materialize(found, "repeat-rest")
-    spark.sql(f"DROP TABLE {table}")
+    found = _per_text(docs, _shortened, "doc_id bigint, digest binary, rest string", hot_rows)
     digest = F.unhex(F.sha2(whole_text("text").cast("binary"), 256))
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     size = F.octet_length(whole_text("text"))
