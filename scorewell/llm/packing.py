@@ -15,6 +15,8 @@ taken in order of id and place; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import json
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,39 +31,75 @@ CAPACITY = 2048
 CELL_PIECES = 16_384
 SEARCH_ROUNDS = 400
 SOURCES = 8
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 800_000
 END_ID = 0
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECE_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-class WordIds:
-    """Ids of white-space separated words as little-endian 32-bit bytes; unknown words are encoded together."""
+def _byte_letters() -> list[str]:
+    """Byte -> letter of byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+def _split_pattern(definition: str) -> str | None:
+    """The split pattern of a definition whose other steps are known: NFC, white space, lower case; split, bytes."""
+    steps = json.loads(definition)
+    normal = [x["type"] for x in (steps.get("normalizer") or {}).get("normalizers", [])]
+    before = (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if normal != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in before] != ["Split", "ByteLevel"] or before[1]["add_prefix_space"]:
+        return None
+    return before[0]["pattern"].get("Regex") if before[0]["invert"] and before[0]["behavior"] == "Removed" else None
+
+
+class WordIds(dict):
+    """Lower-cased word (bytes) -> its ids as little-endian 32-bit bytes.
+
+    Words of printable ASCII and Latin-1 letters, on which the normalizer only lowers letters, are split here and their parts
+    go straight to the tokenizer's model; all other words go through the whole tokenizer.
+    """
 
     def __init__(self, definition: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        pattern = _split_pattern(definition)
+        self.parts_of = regex.compile(pattern).findall if pattern else None
+        self.plain = regex.compile("[!-~\u00C0-\u00FF]+").fullmatch
+        self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
-            new = list(dict.fromkeys(words))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([memo[w] for w in words])
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").lower().split()))
+
+    def __missing__(self, word: bytes) -> bytes:
+        name = word.decode("utf-8", "replace")
+        if self.parts_of is not None and self.plain(name):
+            known = self.parts
+            ids = b"".join([known.get(x) or self._part(x) for x in self.parts_of(name.lower())])
+        else:
+            found = self.tokenizer.encode(name, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) <= 64:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        name = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        found = [t.id for t in self.model.tokenize(name)]
+        ids = struct.pack(f"<{len(found)}I", *found)
+        if len(part) <= 64:
+            if len(self.parts) >= MEMO_ENTRIES // 2:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
 
 
 _WORD_IDS: dict[int, WordIds] = {}

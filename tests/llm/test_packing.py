@@ -6,23 +6,32 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from scorewell.llm import packing
 
 DEFINITION = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+WORDS, LIBRARY = packing.WordIds(DEFINITION), Tokenizer.from_str(DEFINITION)
+LIBRARY.encode_special_tokens = True
 
 
 def want(text):
-    tok = Tokenizer.from_str(DEFINITION)
-    tok.encode_special_tokens = True
-    ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]
+    ids = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 0]
     return [(i // 2048, i, len(p), zlib.crc32(np.array(p, dtype="<u4").tobytes())) for i in range(0, len(ids), 2048) if (p := ids[i : i + 2048])]
 
 
 TEXTS = [None, "", " \t ", "Hello world", "it's 12 o'clock!!", "naïve STRASSE straße ΟΔΟΣ  x y é İ", "the quick brown fox " * 1500, "<|endoftext|> a", "x" * 9000, "\x1c\x85 áb"]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.text("abcDEé ß'st.,0129ÀÿÞ×÷ªµ-\n", max_size=60))
+def test_same_ids_as_the_library(text):
+    got = np.frombuffer(WORDS.encode(text), "<u4").tolist()
+    assert got == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def layout_is_sound(rows):
     by = {}
     for r in rows:
