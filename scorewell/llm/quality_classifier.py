@@ -7,7 +7,8 @@ on rows kept apart turns margins into scores.
 
 The fit runs on the driver over at most ``MAX_FIT_ROWS`` labelled rows, the ones with the smallest id hashes (a documented
 bound: a row is some thousand small integers). Counts cover every labelled row; they and the weights have ``BUCKETS``
-entries whatever the data. Scoring is one pass without a shuffle.
+entries whatever the data. Labels meet their texts without a shuffle of the texts while they are few (counted). Scoring is one
+pass without a shuffle.
 
 Defined results: NULL text is empty and scores by the bias alone; without both classes the score is the smoothed share of
 label 1; labels that are NULL are left out; repeated label rows count as often as they join; an empty table gives no rows.
@@ -26,6 +27,7 @@ from .base import fold, materialize
 
 BUCKETS = 1 << 18
 MAX_FIT_ROWS = 12_000
+BROADCAST_LABELS = 1_000_000  # counted: 12 bytes each; with more labels the join is shuffled
 EPOCHS = 12
 COST = 1.0
 SMOOTHING = 1.0
@@ -134,7 +136,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
 def _scaled(cells: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     v = ratio[cells]
     norm = np.sqrt(v @ v)
-    return v / norm if norm else v
+    return (v / norm if norm else v).astype(np.float32)
 
 
 def calibrate(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -214,4 +216,6 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus
     df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("held_out", fold("doc_id", modulus) == left_out)
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
     marks = marks.filter(F.col("label").isin(0, 1) & (fold("doc_id", modulus) != left_out))
+    if marks.count() <= BROADCAST_LABELS:
+        marks = F.broadcast(marks)
     return score(df, learn(df.filter(~F.col("held_out")).join(marks, "doc_id").select("doc_id", "text", "label")))
