@@ -7,9 +7,9 @@ A second signature of ``SKETCH`` bytes drops pairs that differ by five standard
 do on average (chance for a true pair: some 3e-6); what remains is decided on the exact sets of 64-bit shingle hashes.
 
 Equal sets are one class from the start. Pairs within a key's bucket are never listed whole: first every member meets the
-bucket's smallest member only; then, in buckets that still hold several components, members are compared in blocks and only
-pairs across components that pass the sketch go on. A pair is taken in the first of its common keys alone. Large buckets
-are split into blocks, so a group is bounded; sets travel once per block, not once per pair.
+bucket's smallest member (its leader) only; then the members of all buckets of one leader that still hold several components
+are compared in pairs of blocks, where pairs across components that pass the sketch are decided on the spot and only links
+between components leave the task. A block is bounded; sets travel once per pair of blocks, not once per pair of texts.
 
 Defined results: NULL, empty and blank texts have no shingles, are linked with nothing and are their own component; texts
 of one or two words are one shingle; repeated rows share a component; a NULL id never names a component unless no other id
@@ -32,7 +32,7 @@ from .base import materialize
 SYMBOLS, CHUNKS = 40, 8
 CHUNK = SYMBOLS // CHUNKS
 SKETCH = 256
-BLOCK = 1024
+BLOCK = 512
 SET_BLOCK = 256
 MEMO_ENTRIES = 400_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -92,16 +92,6 @@ def index_keys(symbols: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows of symbols, the first (chunk, error) key that both sides share; ``SYMBOLS`` if none."""
-    same = (a == b).reshape(len(a), CHUNKS, CHUNK)
-    errors = CHUNK - same.sum(axis=2)
-    chunk = (errors <= 1).argmax(axis=1)
-    rows = np.arange(len(a))
-    wrong = np.where(errors[rows, chunk] == 0, 0, (~same[rows, chunk]).argmax(axis=1))
-    return np.where(errors[rows, chunk] <= 1, chunk * CHUNK + wrong, SYMBOLS)
-
-
 def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, digests, symbols, sketches = [], [], [], []
@@ -135,49 +125,67 @@ def sketch_errors(percent: int) -> int:
     return math.ceil(SKETCH * p + 5 * math.sqrt(SKETCH * p * (1 - p)))
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch], errors: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j): pairs across components, close by sketch, first met under this key, without the leader."""
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` of 100 of their union."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.searchsorted(long, short)
+    shared = int((long[np.minimum(at, len(long) - 1)] == short).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _link_blocks(batches: Iterator[pa.RecordBatch], errors: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (leader, i, j): links between components of a pair of blocks, confirmed on the sets at once.
 
-    def compare(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    Once two components are linked, no further pair between them is looked at, so a block yields fewer links than it has
+    components, however many similar pairs it holds.
+    """
+
+    def links(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
         t = pa.Table.from_batches(rows)
-        place, leader, i, j = (t[c][0].as_py() for c in ("place", "leader", "i", "j"))
-        node, comp, block = (t[c].to_numpy() for c in ("node", "comp", "block"))
-        symbols = np.frombuffer(b"".join(t["symbols"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        node, block = t["node"].to_pylist(), t["block"].to_numpy()
+        names = t["comp"].to_pylist()
+        number: dict[int, int] = {}
+        comp = np.array([number.setdefault(c, len(number)) for c in names], dtype=np.int64)
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        cells = [np.frombuffer(c, np.uint64) for c in t["cells"].to_pylist()]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found_a, found_b = [], []
+        found = []
         for k, x in enumerate(left.tolist()):
             other = right[k + 1 :] if i == j else right
-            other = other[(comp[other] != comp[x]) & (node[other] != leader)]
-            if node[x] == leader or not len(other):
-                continue
-            other = other[(sketch[other] != sketch[x][None, :]).sum(axis=1) <= errors]
+            other = other[comp[other] != comp[x]]
             if not len(other):
                 continue
-            other = other[first_common(np.broadcast_to(symbols[x], (len(other), SYMBOLS)), symbols[other]) == place]
-            found_a.append(np.minimum(node[other], node[x]))
-            found_b.append(np.maximum(node[other], node[x]))
-        return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.empty(0, np.int64), np.empty(0, np.int64))
+            far = (sketch[other] != sketch[x][None, :]).sum(axis=1)
+            order = np.argsort(far, kind="stable")
+            for y in other[order[far[order] <= errors]].tolist():
+                if comp[y] != comp[x] and _similar(cells[x], cells[y], percent):
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
+                    comp[comp == comp[y]] = comp[x]
+        return found
 
     held: list[pa.RecordBatch] = []
     now = None
-    for batch in batches:
-        marks = list(zip(batch["key"].to_pylist(), batch["i"].to_pylist(), batch["j"].to_pylist(), strict=True))
-        start = 0
-        for at in range(len(marks) + 1):
-            if at < len(marks) and marks[at] == now:
-                continue
-            if at > start:
-                held.append(batch.slice(start, at - start))
-            if at < len(marks):
-                if held:
-                    a, b = compare(held)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                held, now, start = [], marks[at], at
-    if held:
-        a, b = compare(held)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    for batch in _with_end(batches):
+        marks = [] if batch is None else list(zip(batch["leader"].to_pylist(), batch["i"].to_pylist(), batch["j"].to_pylist(), strict=True))
+        changes = [at for at in range(len(marks)) if marks[at] != (marks[at - 1] if at else now)]
+        for start, end in zip([0, *changes], [*changes, len(marks)], strict=True):
+            if end > start:
+                held.append(batch.slice(start, end - start))
+            if held and (batch is None or end < len(marks)):
+                out = links(held)
+                held = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        if marks:
+            now = marks[-1]
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _sets_of(size: int):
@@ -197,43 +205,26 @@ def _sets_of(size: int):
 def _confirm(percent: int):
     def confirm(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         cells = {n: np.frombuffer(c, np.uint64) for n, c in zip(sets["node"].to_pylist(), sets["cells"].to_pylist(), strict=True)}
-        a, b = [], []
-        for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
-            sx, sy = cells[x], cells[y]
-            if 100 * min(len(sx), len(sy)) < percent * max(len(sx), len(sy)):
-                continue
-            short, long = (sx, sy) if len(sx) <= len(sy) else (sy, sx)
-            at = np.searchsorted(long, short)
-            shared = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-            if 100 * shared >= percent * (len(sx) + len(sy) - shared):
-                a.append(x)
-                b.append(y)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        good = [(x, y) for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True) if _similar(cells[x], cells[y], percent)]
+        return pa.table({"a": pa.array([x for x, _ in good], pa.int64()), "b": pa.array([y for _, y in good], pa.int64())})
 
     return confirm
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b, label_a, label_b) whose full sets are similar enough.
-
-    Nodes with one label share blocks of some ``SET_BLOCK`` nodes, so a set is sent once per pair of blocks that needs it.
-    """
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = ends.join(classes.select("node", F.col("doc_id").alias("first_id"), "digest"), "node")
+def sets_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(node, cells): the full shingle sets of some classes, from the texts that named them."""
+    wanted = nodes.join(classes.select("node", F.col("doc_id").alias("first_id"), "digest"), "node")
     met = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"])).select("node", "digest", "text")
-    sets = materialize(met.mapInArrow(_sets_of(size), "node bigint, cells binary").dropDuplicates(["node"]), "near-sets")
-    labels = pairs.select(F.col("a").alias("node"), F.col("label_a").alias("label")).unionAll(pairs.select(F.col("b").alias("node"), F.col("label_b").alias("label"))).distinct()
-    sizes = materialize(labels.groupBy("label").agg(F.ceil(F.count("*") / SET_BLOCK).alias("blocks")), "near-labels")
-    n_small = max(1, sizes.count() // 64)
+    return materialize(met.mapInArrow(_sets_of(size), "node bigint, cells binary").dropDuplicates(["node"]), "near-sets")
 
-    def block(node: str, label: str, blocks: str):
-        small = F.concat(F.lit("s"), F.pmod(F.xxhash64(label), F.lit(n_small)).cast("string"))
-        return F.when(F.col(blocks) == 1, small).otherwise(F.concat_ws("-", F.col(label), F.pmod(F.xxhash64(node), F.col(blocks))))
 
-    side = lambda x: sizes.select(F.col("label").alias(f"label_{x}"), F.col("blocks").alias(f"blocks_{x}"))
-    dealt = pairs.join(side("a"), "label_a").join(side("b"), "label_b").withColumns({"block_a": block("a", "label_a", "blocks_a"), "block_b": block("b", "label_b", "blocks_b")})
-    group = F.concat_ws("|", F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
-    dealt = materialize(dealt.select("a", "b", group.alias("group")), "near-pairs")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; pairs with the same ``a`` meet in blocks of some ``SET_BLOCK``."""
+    sizes = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / SET_BLOCK).alias("blocks")), "near-sizes")
+    n_small = max(1, sizes.count() // 64)
+    small = F.concat(F.lit("s"), F.pmod(F.xxhash64("a"), F.lit(n_small)).cast("string"))
+    group = F.when(F.col("blocks") == 1, small).otherwise(F.concat_ws("-", "a", F.pmod(F.xxhash64("b"), F.col("blocks"))))
+    dealt = materialize(pairs.join(sizes, "a").select("a", "b", group.alias("group")), "near-pairs")
     cell = F.col("group").alias("cell")
     needs = dealt.select(F.col("a").alias("node"), cell).unionAll(dealt.select(F.col("b").alias("node"), cell)).distinct()
     return dealt.groupBy("group").cogroup(needs.join(sets, "node").groupBy("cell")).applyInArrow(_confirm(percent), "a bigint, b bigint")
@@ -268,23 +259,22 @@ def link_classes(classes: DataFrame, texts: DataFrame, percent: int, size: int)
         x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SKETCH) for c in (a, b))
         return pa.array((x != y).sum(axis=1) <= errors)
 
-    star = materialize(star.filter(close("sketch_a", "sketch_b")).select("a", "b", F.col("a").alias("label_a"), F.col("a").alias("label_b")), "near-star")
-    links = materialize(confirmed(star, classes, texts, percent, size), "near-links")
+    star = materialize(star.filter(close("sketch_a", "sketch_b")).select("a", "b"), "near-star")
+    ends = star.select(F.col("a").alias("node")).unionAll(star.select(F.col("b").alias("node"))).distinct()
+    links = materialize(confirmed(star, sets_of(ends, classes, texts, size), percent), "near-links")
     labels = components(links)
-    mixed = buckets.filter("n > 2").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    mixed = materialize(mixed, "near-mixed")
-    several = mixed.filter(F.col("node") != F.col("leader")).groupBy("key", "place").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    several = materialize(several.select("key", "place"), "near-several")
-    rows = mixed.join(several, ["key", "place"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # what the first members have left open: pairs of other members, across components, of the buckets with one leader
+    members = buckets.filter("n > 2 AND node != leader").select("leader", "node").distinct()
+    mixed = materialize(members.join(labels, "node", "left").select("leader", "node", F.coalesce("label", "node").alias("comp")), "near-mixed")
+    several = mixed.groupBy("leader").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    several = materialize(several.select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-several")
+    rows = mixed.join(several, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = materialize(rows, "near-open")
+    sets = sets_of(rows.select("node").distinct(), classes, texts, size)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "place", "leader", "node", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.join(classes.select("node", "symbols", "sketch"), "node")
-    rows = rows.repartition("key", "place", "i", "j").sortWithinPartitions("key", "place", "i", "j", "node")
-    home = mixed.groupBy("node").agg(F.min("leader").alias("label"))
-    more = rows.mapInArrow(lambda batches: _compare_blocks(batches, errors), "a bigint, b bigint")
-    more = more.join(home.select(F.col("node").alias("a"), F.col("label").alias("label_a")), "a").join(home.select(F.col("node").alias("b"), F.col("label").alias("label_b")), "b")
-    late = materialize(confirmed(materialize(more, "near-more"), classes, texts, percent, size), "near-links")
+    rows = rows.select("leader", "node", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.join(sketches, "node").join(sets, "node").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "node")
+    late = materialize(rows.mapInArrow(lambda batches: _link_blocks(batches, errors, percent), "a bigint, b bigint"), "near-links")
     return components(links.unionAll(late)) if late.limit(1).count() else labels
 
 
