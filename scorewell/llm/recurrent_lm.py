@@ -2,9 +2,9 @@
 
 A token's probability is P(class | state) * P(slot | class, state) and, for the rare slot, * P(word | rare words of that
 class). A class is fixed by a word's spelling, its ``SLOTS`` most frequent words have slots of their own, all others share
-the rare slot and are told apart by their counts. Word counts come from every training row; every training row also passes
-through the network. The state runs through a whole document, window after window; gradients are truncated to a window and
-taken in every ``GRADIENT_EVERY``-th one.
+the rare slot and are told apart by their counts. Word counts come from every training row; every training row also trains
+the network. The state runs through a whole document, window after window; every window has a loss and a gradient, which is
+truncated to the window.
 
 Training is data-parallel: tasks start from one set of weights (biases at the log frequencies), each trains on its rows, and
 their weights are averaged by token counts over a tree of bounded groups. A first round over a sixteenth of the rows gives
@@ -19,6 +19,7 @@ all counts are 0 and every token has the add-one probability; an empty table giv
 
 from __future__ import annotations
 
+import ctypes
 import math
 import zlib
 from collections import Counter
@@ -36,7 +37,6 @@ WIDTH = SLOTS + 1  # slot 0 is the rare slot
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
 TRAIN_LANES, TRAIN_WINDOW, SCORE_WINDOW = 512, 16, 64
 LEAST_WINDOWS = 64  # a stream too short for all lanes gets fewer, so that it still makes this many windows
-GRADIENT_EVERY = 4
 LEARNING_RATE = 0.01
 FAN_IN = 64
 FLUSH_WORDS = 400_000
@@ -128,12 +128,25 @@ class Vocabulary:
         }
 
 
+class RareNumbers(dict):
+    """Word outside the head -> number of its class's rare slot; a bounded memory of words seen before."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = class_of(word) * WIDTH
+        if len(word) <= HEAD_BYTES:
+            if len(self) >= HEAD_WORDS:
+                self.clear()
+            self[word] = number
+        return number
+
+
 class Lookup:
     """Word -> place in the head, and the model's input and output number of any word."""
 
     def __init__(self, words: list[bytes], cls: np.ndarray, slot: np.ndarray) -> None:
         self.place = dict(zip(words, range(len(words)), strict=True))
         self.number = (cls.astype(np.int64) * WIDTH + slot).astype(np.int32)
+        self.rare = RareNumbers()
         end = self.place.get(END)
         self.end = int(self.number[end]) if end is not None else class_of(END) * WIDTH
 
@@ -142,96 +155,131 @@ class Lookup:
         get = self.place.get
         places = np.array([get(w, -1) for w in words] + [get(END, -1)], dtype=np.int64)
         numbers = self.number[places] if len(self.number) else np.zeros(len(places), np.int32)
-        for i in np.flatnonzero(places < 0).tolist():
-            numbers[i] = class_of(words[i]) * WIDTH if i < len(words) else self.end
+        rare = np.flatnonzero(places[:-1] < 0)
+        numbers[rare] = [self.rare[words[i]] for i in rare.tolist()]
+        numbers[-1] = self.end
         return places, numbers
 
 
 # ---------------------------------------------------------------- network
 
 
-def _step(x: np.ndarray, h: np.ndarray, u: np.ndarray, bu: np.ndarray) -> tuple[np.ndarray, ...]:
+def keep_memory() -> None:
+    """Let the C library reuse the memory of a window's arrays instead of mapping fresh pages for each of them."""
+    if set_option := getattr(ctypes.CDLL(None), "mallopt", None):
+        set_option(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        set_option(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
+def _columns(x: np.ndarray, h: np.ndarray, u: np.ndarray, bu: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step with a column per lane, so that every gate is one block of memory."""
     m = HIDDEN
-    hw = h @ u + bu
-    gates = 0.5 * np.tanh(0.5 * (x[:, : 2 * m] + hw[:, : 2 * m])) + 0.5
-    z, r = gates[:, :m], gates[:, m:]
-    n = np.tanh(x[:, 2 * m :] + r * hw[:, 2 * m :])
-    return n + z * (h - n), z, r, n, hw[:, 2 * m :]
+    hw = u.T @ h + bu[:, None]
+    with np.errstate(over="ignore"):
+        gates = 1 / (1 + np.exp(-(x[: 2 * m] + hw[: 2 * m])))
+        z, r = gates[:m], gates[m:]
+        n = 2 / (1 + np.exp(-2 * (x[2 * m :] + r * hw[2 * m :]))) - 1
+    return n + z * (h - n), z, r, n, hw[2 * m :]
+
+
+def _step(x: np.ndarray, h: np.ndarray, u: np.ndarray, bu: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same step with a row per lane."""
+    return tuple(a.T for a in _columns(x.T, h.T, u, bu))
+
+
+def _inputs(w: dict[str, np.ndarray], inputs: np.ndarray) -> np.ndarray:
+    """Input terms of a window (steps x lanes), columns by step."""
+    return np.ascontiguousarray(w["x"][inputs].transpose(0, 2, 1))
+
+
+def _softmax(a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each column and the log of its entry ``at``; works in ``a``."""
+    a -= a.max(axis=0)
+    own = a[at, np.arange(a.shape[1])]
+    np.exp(a, out=a)
+    total = a.sum(axis=0)
+    a /= total
+    return a, own - np.log(total)
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Order of the tokens by class, and where each class begins in it."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    return order, [0, *np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()]
 
 
 def token_logs(w: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of P(class) * P(slot | class) per row of ``states``."""
     cls, slot = targets // WIDTH, targets % WIDTH
-    out = _log_softmax(states @ w["wc"] + w["bc"])[np.arange(len(cls)), cls].astype(np.float64)
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    out = _softmax(w["wc"].T @ states.T + w["bc"][:, None], cls)[1].astype(np.float64)
+    order, ends = _by_class(cls)
+    rows, slot, inside = states[order], slot[order], np.empty(len(cls))
     for k in range(CLASSES):
-        rows = order[ends[k] : ends[k + 1]]
-        if len(rows):
-            out[rows] += _log_softmax(states[rows] @ w["ws"][k] + w["bs"][k])[np.arange(len(rows)), slot[rows]]
+        a, b = ends[k], ends[k + 1]
+        if a < b:
+            inside[a:b] = _softmax(w["ws"][k].T @ rows[a:b].T + w["bs"][k][:, None], slot[a:b])[1]
+    out[order] += inside
     return out
 
 
 def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Mean loss gradients of one window (steps x lanes) from state ``h``; returns (gradients, last state, loss)."""
     steps, lanes = inputs.shape
-    kept, m = [], HIDDEN
-    states = np.empty((steps, lanes, m), np.float32)
+    kept, m, h = [], HIDDEN, h.T
+    x, begins = _inputs(w, inputs), fresh.any(axis=1)
+    states, before = np.empty((steps, m, lanes), np.float32), np.empty((steps, m, lanes), np.float32)
     for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        new, z, r, n, c = _step(w["x"][inputs[t]], h, w["u"], w["bu"])
+        if begins[t]:
+            h = np.where(fresh[t], np.float32(0), h)
+        new, z, r, n, c = _columns(x[t], h, w["u"], w["bu"])
         kept.append((h, z, r, n, c))
-        states[t] = h = new
-    flat, y = states.reshape(-1, m), targets.reshape(-1)
+        before[t], states[t] = h, new
+        h = new
+    flat, y = states.transpose(0, 2, 1).reshape(-1, m), targets.reshape(-1)
     cls, slot = y // WIDTH, y % WIDTH
     count = np.float32(len(y))
-    lp = _log_softmax(flat @ w["wc"] + w["bc"])
-    loss = -lp[np.arange(len(y)), cls].sum()
-    d = np.exp(lp)
-    d[np.arange(len(y)), cls] -= 1
+    at = np.arange(len(y))
+    d, own = _softmax(w["wc"].T @ flat.T + w["bc"][:, None], cls)
+    loss = -own.sum()
+    d[cls, at] -= 1
     d /= count
-    g = {"wc": flat.T @ d, "bc": d.sum(axis=0), "ws": np.zeros_like(w["ws"]), "bs": np.zeros_like(w["bs"])}
-    dflat = d @ w["wc"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    g = {"wc": flat.T @ d.T, "bc": d.sum(axis=1), "ws": np.zeros_like(w["ws"]), "bs": np.zeros_like(w["bs"])}
+    dflat = d.T @ w["wc"].T
+    order, ends = _by_class(cls)
+    rows, slot, drows = flat[order], slot[order], np.empty_like(dflat)
     for k in range(CLASSES):
-        rows = order[ends[k] : ends[k + 1]]
-        if not len(rows):
+        a, b = ends[k], ends[k + 1]
+        if a == b:
             continue
-        lp = _log_softmax(flat[rows] @ w["ws"][k] + w["bs"][k])
-        at = np.arange(len(rows))
-        loss -= lp[at, slot[rows]].sum()
-        d = np.exp(lp)
-        d[at, slot[rows]] -= 1
+        d, own = _softmax(w["ws"][k].T @ rows[a:b].T + w["bs"][k][:, None], slot[a:b])
+        loss -= own.sum()
+        d[slot[a:b], at[: b - a]] -= 1
         d /= count
-        g["ws"][k], g["bs"][k] = flat[rows].T @ d, d.sum(axis=0)
-        dflat[rows] += d @ w["ws"][k].T
-    dstates = dflat.reshape(steps, lanes, m)
-    g["u"], g["bu"] = np.zeros_like(w["u"]), np.zeros_like(w["bu"])
-    dx = np.empty((steps, lanes, 3 * m), np.float32)
-    back = np.zeros((lanes, m), np.float32)
+        g["ws"][k], g["bs"][k] = rows[a:b].T @ d.T, d.sum(axis=1)
+        drows[a:b] = d.T @ w["ws"][k].T
+    dflat[order] += drows
+    dstates = np.ascontiguousarray(dflat.reshape(steps, lanes, m).transpose(0, 2, 1))
+    dx, dhw = (np.empty((steps, 3 * m, lanes), dflat.dtype) for _ in range(2))
+    back = np.zeros((m, lanes), dflat.dtype)
     for t in range(steps - 1, -1, -1):
         h, z, r, n, c = kept[t]
         dh = dstates[t] + back
         dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h - n) * z * (1 - z)
-        dr = dn * c * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dn], axis=1)
-        dhw = np.concatenate([dz, dr, dn * r], axis=1)
-        g["u"] += h.T @ dhw
-        g["bu"] += dhw.sum(axis=0)
-        back = np.where(fresh[t][:, None], np.float32(0), dh * z + dhw @ w["u"].T)
+        dx[t, :m] = dh * (h - n) * z * (1 - z)
+        dx[t, m : 2 * m] = dn * c * r * (1 - r)
+        dx[t, 2 * m :] = dn
+        dhw[t, : 2 * m] = dx[t, : 2 * m]
+        dhw[t, 2 * m :] = dn * r
+        back = dh * z + w["u"] @ dhw[t]
+        if begins[t]:
+            back = np.where(fresh[t], np.float32(0), back)
+    g["u"] = np.matmul(before, dhw.transpose(0, 2, 1)).sum(axis=0)
+    g["bu"] = dhw.sum(axis=(0, 2))
     ids = inputs.reshape(-1)
-    order = np.argsort(ids, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-    g["x"] = np.zeros_like(w["x"])
-    g["x"][ids[order][starts]] = np.add.reduceat(dx.reshape(-1, 3 * m)[order], starts, axis=0)
-    return g, states[-1], float(loss) / len(y)
+    g["x"] = np.empty_like(w["x"])
+    for j, column in enumerate(dx.transpose(1, 0, 2).reshape(3 * m, -1)):
+        g["x"][:, j] = np.bincount(ids, weights=column, minlength=len(w["x"]))
+    return g, states[-1].T, float(loss) / len(y)
 
 
 class Trainer:
@@ -241,7 +289,7 @@ class Trainer:
         self.w = {k: v.copy() for k, v in weights.items()}
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.steps = self.windows = self.tokens = 0
+        self.steps = self.tokens = 0
 
     def stream(self, numbers: list[np.ndarray], end: int) -> None:
         targets = np.concatenate(numbers)
@@ -262,12 +310,6 @@ class Trainer:
         h = np.zeros((lanes, HIDDEN), np.float32)
         for a in range(0, length, TRAIN_WINDOW):
             b = a + TRAIN_WINDOW
-            self.windows += 1
-            if self.windows % GRADIENT_EVERY:
-                for t in range(a, min(b, length)):
-                    h = np.where(fresh[t][:, None], np.float32(0), h)
-                    h = _step(self.w["x"][x[t]], h, self.w["u"], self.w["bu"])[0]
-                continue
             g, h, _ = gradients(self.w, x[a:b], y[a:b], fresh[a:b], h)
             self._update(g)
 
@@ -310,6 +352,7 @@ def train_round(rows: DataFrame, weights: dict[str, np.ndarray], vocabulary: Voc
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        keep_memory()
         start, words, cls, slot = shared.value
         lookup, trainer = Lookup(words, cls, slot), Trainer(start)
         held, size = [], 0
@@ -370,20 +413,21 @@ def text_logs(w: dict[str, np.ndarray], numbers: list[np.ndarray], end: int) ->
     alive = np.array([load[k] for k in lane_order])
     y, x, owner, fresh = (np.ascontiguousarray(a.T) for a in (y, x, owner, fresh))
     out = np.zeros(len(numbers))
-    h = np.zeros((lanes, HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, lanes), np.float32)
     for a in range(0, length, SCORE_WINDOW):
         b = min(a + SCORE_WINDOW, length)
         m = int((alive > a).sum())
-        h = h[:m]
-        states = np.empty((b - a, m, HIDDEN), np.float32)
-        for t in range(a, b):
-            if fresh[t, :m].any():
-                h = np.where(fresh[t, :m, None], np.float32(0), h)
-            h = _step(w["x"][x[t, :m]], h, w["u"], w["bu"])[0]
-            states[t - a] = h
+        h = h[:, :m]
+        states = np.empty((b - a, HIDDEN, m), np.float32)
+        terms, begins = _inputs(w, x[a:b, :m]), fresh[a:b, :m].any(axis=1)
+        for t in range(b - a):
+            if begins[t]:
+                h = np.where(fresh[a + t, :m], np.float32(0), h)
+            h = _columns(terms[t], h, w["u"], w["bu"])[0]
+            states[t] = h
         who = owner[a:b, :m].reshape(-1)
         real = who >= 0
-        logs = token_logs(w, states.reshape(-1, HIDDEN)[real], y[a:b, :m].reshape(-1)[real])
+        logs = token_logs(w, states.transpose(0, 2, 1).reshape(-1, HIDDEN)[real], y[a:b, :m].reshape(-1)[real])
         out += np.bincount(who[real], weights=logs, minlength=len(out))
     return out
 
@@ -404,6 +448,7 @@ def _score_rows(rows: DataFrame, weights: dict[str, np.ndarray], vocabulary: Voc
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        keep_memory()
         w, words, cls, slot, base_logs, inside_logs = shared.value
         lookup = Lookup(words, cls, slot)
         row = TaskContext.get().partitionId() << 40

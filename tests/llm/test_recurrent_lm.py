@@ -102,3 +102,25 @@ def test_probabilities_sum_to_one_and_state_spans_windows(monkeypatch):
     assert lm.text_logs(w, texts, 7) == pytest.approx(whole, rel=1e-4)
     for text, value in zip(texts, whole, strict=True):
         assert lm.text_logs(w, [text], 7)[0] == pytest.approx(value, rel=1e-4)
+
+
+def test_every_token_has_a_gradient(monkeypatch):
+    numbers = [np.random.default_rng(i).integers(0, 200, n).astype(np.int32) for i, n in enumerate([40, 3000, 7, 900])]
+    whole, seen, plain = np.concatenate(numbers), [], lm.gradients
+
+    def watched(w, x, y, fresh, h):
+        seen.append(y.reshape(-1).copy())
+        return plain(w, x, y, fresh, h)
+
+    monkeypatch.setattr(lm, "gradients", watched)
+    trainer = lm.Trainer(small_weights())
+    trainer.stream(numbers, 7)
+    got, want = np.bincount(np.concatenate(seen), minlength=200), np.bincount(whole, minlength=200)
+    assert (got >= want).all() and trainer.steps == len(seen)
+
+
+def test_a_lone_window_trains():
+    start = small_weights()
+    trainer = lm.Trainer(start)
+    trainer.stream([np.arange(lm.TRAIN_WINDOW, dtype=np.int32)], 7)
+    assert trainer.steps == 1 and not np.array_equal(trainer.w["bs"], start["bs"])
