@@ -2,7 +2,8 @@
 
 A token's probability is P(class | state) * P(slot | class, state) and, for the rare slot, * P(word | rare words of that
 class). A class is fixed by a word's spelling, its ``SLOTS`` most frequent words have slots of their own, all others share
-the rare slot and are told apart by their counts. Word counts come from every training row; every training row also trains
+the rare slot and are told apart by their counts, so the network knows at most ``CLASSES * SLOTS`` = 1,024 words whatever
+the corpus. Word counts come from every training row; every training row also trains
 the network. The state runs through a whole document, window after window; every window has a loss and a gradient, which is
 truncated to the window.
 
