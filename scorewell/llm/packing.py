@@ -5,8 +5,8 @@ are the joined bytes of its words' ids. Only documents longer than a sequence ar
 
 Packing works on lengths alone. Pieces are dealt into cells of some ``CELL_PIECES`` by a hash, each cell is packed by
 best fit on falling lengths, and then a local search runs over the underfull bins: documents move, or are exchanged one for
-one or two for one, whenever that raises the sum of squared fills, until bins are empty or nothing helps. A cell wastes at most part of one bin against its own optimum in practice, so the cell size
-bounds both memory and loss whatever the number of documents.
+one or two for one, whenever that raises the sum of squared fills, until no step of any bin helps or the total allows no
+fewer bins. The number of steps has no limit; a cell's size bounds the memory.
 
 Defined results: NULL text is empty and holds the end id alone; repeated rows are packed one by one; equal lengths are
 taken in order of id and place; an empty table gives no rows.
@@ -29,8 +29,6 @@ from .base import materialize
 
 CAPACITY = 2048
 CELL_PIECES = 16_384
-SEARCH_ROUNDS = 400
-SOURCES = 8
 MEMO_ENTRIES = 800_000
 END_ID = 0
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -158,60 +156,101 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = SEARCH_ROUNDS) -> list[list[int]]:
-    """Local search: the step between underfull bins that raises the sum of squared fills most, again and again.
+class _Places:
+    """Underfull bins by the lengths they hold and their fill; length 0 stands for "nothing" and is in every one of them.
 
-    Documents leave one of the ``SOURCES`` emptiest bins and may go to any underfull bin. The sum grows with every step, so
-    the search ends; it stops early when the total allows no fewer bins.
+    ``below[row, x]`` is the largest fill up to ``x`` of a bin that holds the row's length, or -1.
     """
-    bins = [list(b) for b in bins if b]
-    least = -(-sum(lengths) // capacity)
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    alive = len(bins)
-    for _ in range(rounds):
-        if alive <= least:
-            break
-        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
-        step = _best_step(under[:SOURCES], under, bins, fill, lengths, capacity)
-        if step is None:
-            break
-        source, target, out, back = step
-        for i in out:
-            bins[source].remove(i)
-            bins[target].append(i)
-            fill[source] -= lengths[i]
-            fill[target] += lengths[i]
-        if back is not None:
-            bins[target].remove(back)
-            bins[source].append(back)
-            fill[target] -= lengths[back]
-            fill[source] += lengths[back]
-        alive -= not bins[source]
-    return [b for b in bins if b]
-
 
-def _best_step(sources: list[int], under: list[int], bins: list[list[int]], fill: list[int], lengths: list[int], capacity: int) -> tuple | None:
-    """(source, target, documents out, document back or None) of the move, 1:1 or 2:1 exchange with the largest gain."""
-    owner = np.array([k for k in under for _ in bins[k]] + under, dtype=np.int64)  # the last ones stand for "nothing back"
-    items = [i for k in under for i in bins[k]] + [None] * len(under)
-    back = np.array([0 if i is None else lengths[i] for i in items], dtype=np.int64)
-    level = np.array([fill[k] for k in owner], dtype=np.int64)
-    room = capacity - level
-    best, found = 0, None
-    for source in sources:
-        mine = sorted(bins[source], key=lambda i: (-lengths[i], i))
+    def __init__(self, bins: list[list[int]], fill: list[int], lengths: list[int], capacity: int) -> None:
+        self.bins, self.fill, self.lengths, self.capacity = bins, fill, lengths, capacity
+        self.sizes = np.array(sorted({0, *lengths}), dtype=np.int64)
+        self.row = {n: r for r, n in enumerate(self.sizes.tolist())}
+        self.rows = np.arange(len(self.sizes))
+        self.below = np.full((len(self.sizes), capacity + 1), -1, np.int32)
+        self.holders: dict[tuple[int, int], dict[int, None]] = {}
+        for k in range(len(bins)):
+            self.add(k)
+
+    def _entries(self, k: int) -> list[tuple[int, int]]:
+        level = self.fill[k]
+        return [(self.row[n], level) for n in {0, *[self.lengths[i] for i in self.bins[k]]}] if 0 < level < self.capacity else []
+
+    def add(self, k: int) -> None:
+        for entry in self._entries(k):
+            if entry not in self.holders:
+                self.holders[entry] = {}
+                tail = self.below[entry[0], entry[1] :]
+                np.maximum(tail, entry[1], out=tail)
+            self.holders[entry][k] = None
+
+    def remove(self, k: int) -> None:
+        for entry in self._entries(k):
+            del self.holders[entry][k]
+            if not self.holders[entry]:
+                del self.holders[entry]
+                r, level = entry
+                end = level + int(np.searchsorted(self.below[r, level:], level, side="right"))
+                self.below[r, level:end] = self.below[r, level - 1]
+
+    def best_step(self, source: int) -> tuple | None:
+        """(target, documents out, document back or None) of the step from ``source``, itself removed, with the largest gain."""
+        lengths = self.lengths
+        mine = sorted(self.bins[source], key=lambda i: (-lengths[i], i))
         groups = {lengths[i]: (i,) for i in reversed(mine)}
         for x in range(len(mine)):
             for y in range(x + 1, len(mine)):
                 groups.setdefault(lengths[mine[x]] + lengths[mine[y]], (mine[x], mine[y]))
-        allowed = owner != source
-        for total, group in groups.items():
-            moved = total - back
-            gain = np.where(allowed & (moved > 0) & (moved <= room), moved * (level - fill[source] + moved), 0)
-            j = int(gain.argmax())
-            if gain[j] > best:
-                best, found = int(gain[j]), (source, int(owner[j]), group, items[j])
-    return found
+        total = np.array(list(groups), dtype=np.int64)
+        moved = total[:, None] - self.sizes
+        allowed = (moved > 0) & (moved < self.capacity)
+        level = self.below[self.rows, np.where(allowed, self.capacity - moved, 0)]
+        gain = np.where(allowed & (level >= 0), moved * (level - self.fill[source] + moved), 0)
+        g, r = divmod(int(gain.argmax()), len(self.sizes))
+        if gain[g, r] <= 0:
+            return None
+        target = next(iter(self.holders[r, int(level[g, r])]))
+        back = next((i for i in self.bins[target] if lengths[i] == self.sizes[r]), None) if r else None
+        return target, groups[int(total[g])], back
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search: moves, 1:1 and 2:1 exchanges between underfull bins that raise the sum of squared fills.
+
+    Each underfull bin, the emptiest first, gives documents by its best step until it has none; rounds over all bins go on
+    until one makes no step. The sum grows with every step, so the search ends; it stops early when the total allows no
+    fewer bins.
+    """
+    bins = [list(b) for b in bins if b]
+    least = -(-sum(lengths) // capacity)
+    alive = len(bins)
+    if alive <= least:
+        return bins
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    places = _Places(bins, fill, lengths, capacity)
+    moving = True
+    while moving and alive > least:
+        moving = False
+        for source in sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (fill[k], k)):
+            if not 0 < fill[source] < capacity:
+                continue
+            places.remove(source)
+            while bins[source] and (step := places.best_step(source)):
+                target, out, back = step
+                moving = True
+                places.remove(target)
+                change = [(source, target, i) for i in out] + ([(target, source, back)] if back is not None else [])
+                for giver, taker, i in change:
+                    bins[giver].remove(i)
+                    bins[taker].append(i)
+                    fill[giver] -= lengths[i]
+                    fill[taker] += lengths[i]
+                places.add(target)
+            places.add(source)
+            alive -= not bins[source]
+            if alive <= least:
+                break
+    return [b for b in bins if b]
 
 
 def _pack_cell(capacity: int):

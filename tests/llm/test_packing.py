@@ -78,3 +78,32 @@ def test_search_never_loses_items_or_adds_bins(seed):
 def test_search_empties_a_bin_that_best_fit_leaves():
     lengths = [6, 5, 5, 4, 4, 3, 3]  # 30 = 3 bins of 10: best fit makes 6+4, 5+5, 4+3+3
     assert len(packing.improve([[0, 5], [1, 3], [2, 4], [6]], lengths, 10)) == 3
+
+
+def test_search_goes_on_until_no_step_of_any_bin_helps():
+    rng = random.Random(5)
+    lengths = [rng.randint(532, 819) for _ in range(1500)]
+    start = packing.best_fit(lengths, 2048)
+    found = packing.improve(start, lengths, 2048)
+    assert sorted(i for b in found for i in b) == list(range(1500))
+    least = -(-sum(lengths) // 2048)
+    assert least < len(found) < len(start) - 20
+    fill = [sum(lengths[i] for i in b) for b in found]
+    assert max(fill) <= 2048
+    under = [k for k in range(len(found)) if fill[k] < 2048]
+    owner = np.array([k for k in under for _ in found[k]] + under)
+    back = np.array([lengths[i] for k in under for i in found[k]] + [0] * len(under))
+    level = np.array(fill)[owner]
+    for k in under:
+        mine = [lengths[i] for i in found[k]]
+        for total in {*mine, *[mine[x] + mine[y] for x in range(len(mine)) for y in range(x)]}:
+            moved = total - back
+            possible = (owner != k) & (moved > 0) & (level + moved <= 2048)
+            assert not (possible & (level - fill[k] + moved > 0)).any()
+
+
+def test_search_leaves_less_than_400_steps_did():
+    rng = random.Random(1)
+    lengths = [rng.randint(532, 819) for _ in range(16_384)]
+    start = packing.best_fit(lengths, 2048)
+    assert len(packing.improve(start, lengths, 2048)) < len(start) - 400
