@@ -8,9 +8,9 @@ eight bytes, refined by sorting on the bucket pointers of later offsets, where e
 before has written (depths 8, 16, 32, 50). Windows that end in one bucket are equal; the smallest id in a bucket decides.
 
 Scale: the texts are shuffled once, into a table bucketed by unit that later passes read in place; a unit, a hash range and
-a suffix chunk are bounded. A q-gram with more than ``HOT_ROWS`` rows leaves the suffix path: its windows become rows with
-128-bit digests, whose smallest ids are a map-side combined aggregation joined back, so a line that a third of all
-documents hold is no group.
+a suffix chunk are bounded. A shared q-gram with more than ``HOT_ROWS`` places, in one text or in many, leaves the suffix
+path: the distinct windows of each text become rows with 128-bit digests, whose smallest ids are a map-side combined
+aggregation joined back, so neither a line that a third of all documents hold nor a long text of short period is a group.
 
 Defined results: NULL text is empty; texts under ``WINDOW`` bytes lose nothing; repeated rows with one id keep their text
 (no id is smaller); a NULL id comes after all others; an empty table gives no rows.
@@ -32,7 +32,8 @@ from .base import arrow_rows, materialize, partitions_for, text_bytes, whole_tex
 WINDOW = 50
 GRAM = 16
 SPAN = WINDOW - GRAM + 1  # q-grams per window
-HOT_ROWS = 50_000
+HOT_ROWS = 50_000  # places; under LAST_COUNT, which a unit's count stops at
+LAST_COUNT = (1 << 16) - 1
 CHUNK_ROWS = 20_000
 BATCH_ROWS = 1_000
 UNIT_BYTES = 8 << 20
@@ -103,14 +104,14 @@ def _gram_blobs(n_ranges: int):
     edges = np.array([(r << 48) // n_ranges for r in range(n_ranges + 1)], dtype=np.uint64)
 
     def rows(unit: int, found: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(found), return_counts=True)
+        h, at, texts = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True, return_counts=True)
+        places = np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(h))
+        texts, places = np.minimum(texts, 2).astype(np.uint8), np.minimum(places, LAST_COUNT).astype("<u2")
         cut = np.searchsorted(h, edges)
-        out = [
-            (r, unit, _packed(h[a:b]), np.minimum(n[a:b], 65535).astype(np.uint16).tobytes()) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a
-        ]
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        columns = zip(*out, strict=True) if out else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["range", "unit", "grams", "counts"])
+        out = [(r, unit, _packed(h[a:b]), texts[a:b].tobytes(), places[a:b].tobytes()) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        columns = zip(*out, strict=True) if out else ([], [], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["range", "unit", "grams", "texts", "places"])
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found = None, []
@@ -122,7 +123,7 @@ def _gram_blobs(n_ranges: int):
                 now = unit
                 h = minimizers(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))[0]
                 if len(h):
-                    found.append(np.unique(_short(h)))
+                    found.append(np.unique(_short(h), return_counts=True))
         if found:
             yield rows(now, found)
 
@@ -133,14 +134,16 @@ def _shared_grams(hot_rows: int):
     def shared(group: pa.Table) -> pa.Table:
         units = group["unit"].to_pylist()
         parts = [_unpacked(c) for c in group["grams"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, np.uint16) for c in group["counts"].to_pylist()]).astype(np.int64)
         h, at = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(at, weights=counts, minlength=len(h))
+        n_texts, n_places = (
+            np.bincount(at, weights=np.concatenate([np.frombuffer(c, t) for c in group[k].to_pylist()]), minlength=len(h)) for k, t in (("texts", np.uint8), ("places", "<u2"))
+        )
         out, start = [], 0
         for unit, part in zip(units, parts, strict=True):
-            n = total[at[start : start + len(part)]]
+            mine = at[start : start + len(part)]
             start += len(part)
-            keep, hot = (n > 1) & (n <= hot_rows), n > hot_rows
+            common, many = n_texts[mine] > 1, n_places[mine] > hot_rows
+            keep, hot = common & ~many, common & many
             if keep.any() or hot.any():
                 out.append((unit, _packed(part[keep]), _packed(part[hot])))
         columns = zip(*out, strict=True) if out else ([], [], [])
@@ -196,18 +199,32 @@ def _hot_windows(texts: pa.Table, grams: pa.Table) -> pa.Table:
     ords, ids, starts, digests = [], [], [], []
     for place, doc_id, _, data in _ordered(texts) if len(known) else ():
         h, first, last = minimizers(np.frombuffer(data, np.uint8))
+        found: dict[bytes, list[int]] = {}
         for k in np.flatnonzero(_inside(_short(h), known)).tolist():
             for at in range(int(first[k]), int(last[k]) + 1):
-                ords.append(place)
-                ids.append(doc_id)
-                starts.append(at)
-                digests.append(hashlib.blake2b(data[at : at + WINDOW], digest_size=16).digest())
+                found.setdefault(data[at : at + WINDOW], []).append(at)
+        ords += [place] * len(found)
+        ids += [doc_id] * len(found)
+        starts += found.values()
+        digests += [hashlib.blake2b(window, digest_size=16).digest() for window in found]
     return pa.table({
         "unit": pa.array([unit] * len(ords), pa.int32()), "ord": pa.array(ords, pa.int32()), "doc_id": pa.array(ids, pa.int64()),
-        "start": pa.array(starts, pa.int32()), "digest": pa.array(digests, pa.binary()),
+        "starts": pa.array(starts, pa.list_(pa.int32())), "digest": pa.array(digests, pa.binary()),
     })
 
 
+def _window_runs(late: pa.Table) -> pa.Table:
+    """A unit's windows as runs of windows that begin one byte after another."""
+    starts = late["starts"].combine_chunks()
+    ord_, start = np.repeat(late["ord"].to_numpy(), starts.value_lengths().to_numpy()), starts.flatten().to_numpy()
+    order = np.lexsort((start, ord_))
+    ord_, start = ord_[order], start[order]
+    new = np.flatnonzero(np.r_[True, (ord_[1:] != ord_[:-1]) | (start[1:] != start[:-1] + 1)])
+    ends = np.r_[new[1:], len(start)] - 1
+    unit = np.full(len(new), late["unit"][0].as_py(), np.int32)
+    return pa.table({"unit": unit, "ord": ord_[new], "start": start[new], "length": (start[ends] - start[new] + WINDOW).astype(np.int32)})
+
+
 # ---------------------------------------------------------------- suffixes
 
 
@@ -401,7 +418,7 @@ def flagged(texts: DataFrame, n_units: int, hot_rows: int = HOT_ROWS) -> DataFra
     """(unit, ord, start, length): byte runs of the distinct texts that start in a document with a smaller id."""
     n_bytes = n_units * UNIT_BYTES
     n_ranges = max(1, n_bytes // RANGE_BYTES)
-    blobs = texts.select("unit", "text").mapInArrow(_gram_blobs(n_ranges), "range int, unit int, grams binary, counts binary")
+    blobs = texts.select("unit", "text").mapInArrow(_gram_blobs(n_ranges), "range int, unit int, grams binary, texts binary, places binary")
     grams = materialize(blobs.groupBy("range").applyInArrow(_shared_grams(hot_rows), "unit int, shared binary, hot binary"), "repeat-grams")
     by_unit = texts.groupBy("unit")
     segments = by_unit.cogroup(grams.filter(F.octet_length("shared") > 0).select("unit", "shared").groupBy("unit")).applyInArrow(_segments, SEGMENT_DDL)
@@ -409,11 +426,11 @@ def flagged(texts: DataFrame, n_units: int, hot_rows: int = HOT_ROWS) -> DataFra
     flags = dealt.mapInArrow(_flag, FLAG_DDL)
     hot = grams.filter(F.octet_length("hot") > 0)
     if hot.limit(1).count():
-        windows = by_unit.cogroup(hot.select("unit", "hot").groupBy("unit")).applyInArrow(_hot_windows, "unit int, ord int, doc_id bigint, start int, digest binary")
+        windows = by_unit.cogroup(hot.select("unit", "hot").groupBy("unit")).applyInArrow(_hot_windows, "unit int, ord int, doc_id bigint, starts array<int>, digest binary")
         windows = materialize(windows, "repeat-windows")
         smallest = materialize(windows.groupBy("digest").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).filter("smallest < largest"), "repeat-smallest")
-        late = windows.join(smallest, "digest").filter("smallest < doc_id").select("unit", "ord", "start", F.lit(WINDOW).cast("int").alias("length"))
-        flags = flags.unionByName(late)
+        late = windows.join(smallest, "digest").filter("smallest < doc_id").select("unit", "ord", "starts")
+        flags = flags.unionByName(late.groupBy("unit").applyInArrow(_window_runs, FLAG_DDL))
     return flags
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import covered_bytes, removal, text_without
 from pyspark.sql import functions as F
@@ -70,3 +71,24 @@ def test_equal_windows_pick_equal_grams():
     for w in range(351):
         assert at(h1, a1, b1, 333 + w) == at(h2, a2, b2, 70 + w) == at(h2, a2, b2, 470 + w)
     assert a1[0] == 0 and (a1[1:] == b1[:-1] + 1).all() and b1[-1] == 733 - 50
+
+
+PERIODIC = [(1, "abcdefghij klmno " * 400), (2, "xyz " + "abcdefghij klmno " * 300), (3, "0123456789 pqrst " * 500), (4, "plain words that only one text has, and that are not repeated")]
+
+
+def test_a_gram_is_hot_by_its_places():
+    batch = pa.RecordBatch.from_pydict({"unit": pa.array([0, 0, 1, 1], pa.int32()), "text": [text for _, text in PERIODIC]})
+    made = pa.Table.from_batches(repeats._gram_blobs(1)(iter([batch])))
+    out = repeats._shared_grams(100)(made)
+    texts = pa.table({"unit": pa.array([0, 0], pa.int32()), "doc_id": [1, 2], "digest": [b"a", b"b"], "text": [text for _, text in PERIODIC[:2]]})
+    rows = repeats._segments(texts, out)["h"].to_numpy()
+    assert len(rows) == 0 or np.unique(rows, return_counts=True)[1].max() <= 100
+    assert any(out["hot"].to_pylist())
+    windows = repeats._hot_windows(texts, out)
+    assert 0 < windows.num_rows < 200
+
+
+@pytest.mark.parametrize("hot_rows", [repeats.HOT_ROWS, 100])
+def test_short_periods_equal_brute_force(docs, hot_rows):
+    got = sorted(tuple(r) for r in repeats.report(docs(PERIODIC), hot_rows).collect())
+    assert got == sorted(removal(PERIODIC))
