@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_pairs, fingerprints, language_id, near_duplicates, packing, quality_classifier, quality_rules, recurrent_lm, repeats, secret_scan
+from . import byte_pairs, fingerprints, language_id, near_duplicates, packing, quality_classifier, quality_rules, recurrent_lm, repeats, secret_scan, tight_packing
 from .base import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), definition)
 
 
+@query
+def op11_tight_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    return tight_packing.pack(documents(spark, sf_dir, "doc_id", "text"), definition)
+
+
 @query
 def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score(documents(spark, sf_dir, "doc_id", "text"))
