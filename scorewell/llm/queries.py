@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_pairs, fingerprints, language_id, near_duplicates, packing, quality_classifier, quality_rules, recurrent_lm, repeats, secret_scan, tight_packing
+from . import byte_pairs, cell_clusters, fingerprints, hard_negatives, language_id, near_duplicates, packing, quality_classifier, quality_rules, recurrent_lm, repeats, secret_scan, tight_packing
 from .base import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +103,64 @@ def op11_tight_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tight_packing.pack(documents(spark, sf_dir, "doc_id", "text"), definition)
 
 
+@query
+def op12_cell_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cell_clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _round_sql(t: int, name: str) -> str:
+    """Assignment of all vectors to the centroids c{t}, by distance and then number."""
+    return f"""
+{name} AS (SELECT rid, vec_id, v, k, dist FROM (
+  SELECT rid, vec_id, v, k, dist, row_number() OVER (PARTITION BY rid ORDER BY dist, k) AS place FROM (
+    SELECT rid, vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS dist FROM x, c{t})) WHERE place = 1)"""
+
+
+def _cluster_sql() -> str:
+    rounds = []
+    for t in range(cell_clusters.ROUNDS):
+        rounds.append(_round_sql(t, f"a{t}"))
+        rounds.append(f"""
+e{t} AS (SELECT k, place, sum(value)::HUGEINT AS s, count(*) AS n FROM (SELECT k, unnest(v) AS value, unnest(range(1, {cell_clusters.DIMENSIONS + 1})) AS place FROM a{t}) GROUP BY k, place),
+m{t} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) AS c FROM e{t} GROUP BY k),
+c{t + 1} AS (SELECT c{t}.k, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} ON c{t}.k = m{t}.k)""")
+    last = cell_clusters.ROUNDS
+    return f"""
+WITH x AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({cell_clusters.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {cell_clusters.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY key, v) - 1 AS k, v AS c FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS key, v FROM x ORDER BY key, v LIMIT {cell_clusters.CLUSTERS})),
+{','.join(rounds)},{_round_sql(last, 'f')}
+SELECT f.vec_id, f.k::INT AS cluster, f.dist AS distance, (sum(f.dist) OVER (PARTITION BY f.k))::BIGINT AS cluster_inertia,
+  (sum(f.dist) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{last}.c, ',')) AS centroid_sha256
+FROM f JOIN c{last} ON f.k = c{last}.k"""
+
+
+ORACLES["op12_cell_clusters"] = _cluster_sql()
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH x AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS arow, a.vec_id AS anchor_id, b.rid AS brow, b.vec_id AS other_id, a.label IS NOT DISTINCT FROM b.label AS same,
+    coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0)::BIGINT AS score
+  FROM x a JOIN x b ON a.vec_id % 100 = 0 AND a.rid <> b.rid),
+p AS (SELECT arow, anchor_id, brow, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY arow ORDER BY score DESC, other_id NULLS LAST, brow) <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.other_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.arow, p.brow ORDER BY s.score DESC, s.other_id NULLS LAST, s.brow) AS place
+  FROM p JOIN s ON p.arow = s.arow AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, place::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 5
+"""
+
+
 @query
 def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score(documents(spark, sf_dir, "doc_id", "text"))
