@@ -1,7 +1,8 @@
 """Best-fit decreasing packing of tokenised documents, the open windows found in a segment tree over their rooms.
 
-Encoding is one pass. A text falls apart before every white space that follows another character, where no token of a
-byte-level vocabulary with this split reaches across; a worker asks the tokenizer only for parts it does not remember.
+Encoding is one pass. Plain text is split here and a worker asks the tokenizer's model only for pieces it does not remember. Other
+text falls apart before every white space that follows another character, where no token of a byte-level vocabulary with this
+split reaches across; its parts that are not plain go through the whole tokenizer.
 Overlong documents are cut into full windows at once: these are final rows. What is left of a document, always shorter than a
 window, goes on with its ids (two bytes each where the vocabulary allows).
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +32,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import arrow_rows, materialize
+from .packing import _byte_letters
 
 CAPACITY = 2048
 CELL_PIECES = 8192
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 800_000
 MEMO_CHARACTERS = 48
 END_ID = 1
 ROWS_PER_BATCH = 512
 
-# The characters with Unicode's White_Space property.
+# The characters with Unicode's White_Space property; letters and the split of byte-level vocabularies for text of
+# printable ASCII, the usual white space and Latin-1 letters.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
-_PARTS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
+
+_PARTS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+").findall
+_PIECES = re.compile(SPLIT).findall
+_PLAIN = re.compile(r"[\t\n\r -~\xc0-\xff]*").fullmatch
 
 OUTPUT_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _ENCODED = pa.schema([
@@ -51,26 +60,50 @@ _ENCODED_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, do
 _PACKED = pa.schema([(name, pa.int64()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
+class PieceIds(dict):
+    """Piece of plain text (one match of ``SPLIT``) -> its ids as little-endian 32-bit bytes; bounded, dropping it changes only speed."""
+
+    def __init__(self, tokenizer) -> None:
+        self.model, self.letters = tokenizer.model, dict(enumerate(_byte_letters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        name = piece if piece.isascii() else piece.encode().decode("latin-1")
+        ids = array("I", [t.id for t in self.model.tokenize(name.translate(self.letters))]).tobytes()
+        if len(piece) <= MEMO_CHARACTERS:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class PartIds(dict):
-    """Part of a text -> its ids as little-endian 32-bit bytes; bounded, since dropping it changes only speed."""
+    """Part of any text (white space, then other characters) -> its ids, for texts that are not plain."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.pieces = PieceIds(self.tokenizer)
         steps = json.loads(definition)
-        before = steps.get("pre_tokenizer") or {}
-        added = [t for t in steps.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(f"[{WHITE_SPACE}]", t["content"])]
-        self.separable = not steps.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and not added
+        before, added = steps.get("pre_tokenizer") or {}, steps.get("added_tokens", [])
+        odd = [t for t in added if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(f"[{WHITE_SPACE}]", t["content"])]
+        self.separable = not steps.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and not odd
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in added)).search if added else lambda _: None
         self.small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _PARTS.findall(text))) if self.separable else self[text]
+        if not self.separable:
+            return self[text]
+        if _PLAIN(text) and not self.special(text):
+            return b"".join(map(self.pieces.__getitem__, _PIECES(text)))
+        return b"".join(map(self.__getitem__, _PARTS(text)))
 
     def __missing__(self, part: str) -> bytes:
+        if self.separable and _PLAIN(part) and not self.special(part):
+            return b"".join(map(self.pieces.__getitem__, _PIECES(part)))
         ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(part) <= MEMO_CHARACTERS:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= MEMO_ENTRIES // 4:
                 self.clear()
             self[part] = ids
         return ids
