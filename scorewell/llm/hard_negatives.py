@@ -47,6 +47,7 @@ FEW_PAIRS = 0.08
 NO_ID = np.iinfo(np.int64).max
 
 _BLOCK_DDL = "number bigint, n int, vectors binary, vec_id binary, label binary, row binary"
+_BLOCK = pa.schema([("number", pa.int64()), ("n", pa.int32()), *[(name, pa.binary()) for name in ("vectors", "vec_id", "label", "row")]])
 _HIT_DDL = "anchor bigint, window int, score bigint, vec_id bigint, row bigint"
 _HIT_NAMES = ["anchor", "window", "score", "vec_id", "row"]
 
@@ -153,7 +154,7 @@ def _row_blocks(layout: Layout, size: int):
             for at in range(0, batch.num_rows, size):
                 piece = batch.slice(at, size)
                 packed = _pack(layout, piece, piece["row"][0].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([x]) if i else pa.array([x], pa.int64()) for i, x in enumerate(packed)], names=["number", "n", "vectors", "vec_id", "label", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(packed, _BLOCK.types, strict=True)], schema=_BLOCK)
 
     return run
 
