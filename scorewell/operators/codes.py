@@ -14,22 +14,26 @@ from pyspark.sql import functions as F
 
 from ..core import materialize, strip
 from ..functions.numbers import agreement_label
-from ..functions.vectors import unit
+from ..functions.vectors import dot, unit
+from .pairs import RECALL, indexed_pairs, ordered_leaders
 
-LEADER_BATCH = 2000  # undecided codes settled per round in one task
 BLOCK = 1024  # vectors per block of a block product
 MATCH_FLOOR = 0.3  # fixed value
 COSINE_WEIGHT, JACCARD_WEIGHT = 0.7, 0.3  # fixed values
 
 
+def _like_none(v: Column) -> Column:
+    return F.coalesce(F.forall(v, lambda x: x == 0), F.lit(True))
+
+
 def distinct_vectors(codes: DataFrame, key: str = "code_id", vector: str = "embedding") -> DataFrame:
     """One row per distinct vector: the first code that has it, and how many codes share it.
 
     Copies collapse before any comparison, so a vector held by a third of the table is compared once.
     """
     v = F.col(vector).cast("array<double>")
-    # a zero vector is similar to nothing, not even to its copies
-    alone = F.when(F.forall(v, lambda x: x == 0), F.col(key))
+    # a zero vector (or none at all) is similar to nothing, not even to its copies
+    alone = F.when(_like_none(v), F.col(key))
     return codes.groupBy(v.alias("v"), alone.alias("_z")).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n_copies"))
 
 
@@ -37,16 +41,31 @@ def _stack(vectors: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.empty((0, 0))
 
 
-def similar_pairs(codes: DataFrame, threshold: float, key: str = "code_id", vector: str = "embedding") -> DataFrame:
+def _unit_vectors(codes: DataFrame, key: str, vector: str) -> DataFrame:
+    return materialize(distinct_vectors(codes, key, vector).filter("_z IS NULL").select("rep", "n_copies", unit(F.col("v")).alias("u")), "vectors")
+
+
+def similar_pairs(codes: DataFrame, threshold: float, key: str = "code_id", vector: str = "embedding", exact: bool = False, recall: float = RECALL) -> DataFrame:
     """Pairs of distinct vectors with cosine >= threshold: ``a < b``, similarity (four decimals), copies.
 
+    Candidates come from banded sign signatures and are verified on the vectors, so no wrong pair is returned; a pair at
+    the threshold is found with probability ``recall``, pairs above it more surely. ``exact`` compares all pairs that an
+    angle bound cannot part (``pivot_pairs``), for any threshold and at the cost of that.
+    """
+    vectors = _unit_vectors(codes, key, vector)
+    pairs = pivot_pairs(vectors, threshold) if exact else indexed_pairs(vectors, threshold, recall)
+    return pairs.withColumn("similarity", F.round("similarity", 4))
+
+
+def pivot_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of unit vectors (``rep, n_copies, u``) at or above the threshold.
+
     Pivots cut the sphere into cells. By the triangle inequality on angles, a vector can only have a
     partner whose home cell is c if its angle to c's pivot is at most the angle to its own pivot plus
     twice the threshold angle; only those cells receive a copy of it. A cell is split into blocks, and
     a (home block, visiting block) pair is one row-sized task of a matrix product, so neither a cell
     nor a pair list is ever gathered, and only pairs over the threshold leave a task.
     """
-    reps = materialize(distinct_vectors(codes, key, vector).withColumn("u", unit(F.col("v"))).drop("v", "_z"), "vectors")
     n = reps.count()
     k = int(max(1, min(512, round((n / BLOCK) ** 0.5))))
     # k pivots, k <= 512: the smallest hashes, the same in every run
@@ -96,77 +115,35 @@ def similar_pairs(codes: DataFrame, threshold: float, key: str = "code_id", vect
                     "n_a": np.where(first, hc[i], gc[j]), "n_b": np.where(first, gc[j], hc[i]),
                 })
 
-    pairs = meet.select("cell", "hb", "gb", "gh", "h", "g").mapInPandas(
-        multiply, "a bigint, b bigint, similarity double, n_a bigint, n_b bigint"
-    )
-    return pairs.withColumn("similarity", F.round("similarity", 4))
+    return meet.select("cell", "hb", "gb", "gh", "h", "g").mapInPandas(multiply, "a bigint, b bigint, similarity double, n_a bigint, n_b bigint")
 
 
-def _leader_rounds(codes: DataFrame, threshold: float, key: str, vector: str) -> DataFrame:
-    """``code, leader`` under ordered greedy absorption: every code joins the earliest earlier leader
-    it is similar to, and is a leader itself when there is none.
+def dedup_links(
+    codes: DataFrame, threshold: float = 0.85, key: str = "code_id", vector: str = "embedding", exact: bool = False, recall: float = RECALL
+) -> DataFrame:
+    """Every code with the code that stands for it: the earliest earlier leader it is similar to, or itself.
 
-    A round settles the next batch of undecided codes exactly (in one task, bounded size), broadcasts
-    the new leaders (at most the batch) and lets every later code join the earliest that covers it.
-    Batches follow the order, so the first leader found is the earliest one: same result as the
-    sequential scan, with work proportional to codes x leaders and no pair list.
+    Same leaders as a scan in code order. Similar pairs are an edge list, leaders come from rounds of joins on it
+    (``ordered_leaders``); copies of a vector follow its first code. No vector reaches the driver.
     """
-    spark = codes.sparkSession
-    reps = distinct_vectors(codes, key, vector).withColumn("u", unit(F.col("v"))).select(F.col("rep").alias("code"), "u")
-    todo = materialize(reps, "undecided")
-    settled: list[DataFrame] = []
-    while True:
-        batch = todo.orderBy("code").limit(LEADER_BATCH).collect()  # bounded by LEADER_BATCH vectors
-        if not batch:
-            break
-        ids = np.array([r["code"] for r in batch])
-        vecs = np.vstack([np.asarray(r["u"], dtype=np.float64) for r in batch])
-        sims = vecs @ vecs.T
-        leader = np.full(len(ids), -1)
-        for i in range(len(ids)):
-            if leader[i] < 0:
-                leader[i] = i
-                later = np.arange(len(ids)) > i
-                leader[(leader < 0) & later & (sims[i] >= threshold)] = i
-        own = np.flatnonzero(leader == np.arange(len(ids)))
-        heads, head_ids, last = vecs[own], ids[own], int(ids[-1])
-        settled.append(spark.createDataFrame([(int(a), int(ids[b])) for a, b in zip(ids, leader)], "code bigint, leader bigint"))
-        shared = spark.sparkContext.broadcast((heads, head_ids))
-
-        def join_leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            h, hid = shared.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                hit = _stack(pdf["u"]) @ h.T >= threshold
-                found = np.where(hit.any(1), hid[hit.argmax(1)], -1)
-                yield pd.DataFrame({"code": pdf["code"], "u": pdf["u"], "leader": found})
-
-        rest = todo.filter(F.col("code") > last)
-        joined = materialize(rest.mapInPandas(join_leaders, "code bigint, u array<double>, leader bigint"), "round")
-        settled.append(joined.filter("leader >= 0").select("code", "leader"))
-        todo = joined.filter("leader < 0").select("code", "u")
-    out = spark.createDataFrame([], "code bigint, leader bigint")
-    for s in settled:
-        out = out.unionByName(s)
-    # copies follow the representative of their vector
     full = codes.select(F.col(key).alias("code_id"), F.col(vector).cast("array<double>").alias("v"))
-    reps_of = distinct_vectors(codes, key, vector).select("v", "_z", "rep")
-    mine = (full["v"] == reps_of["v"]) & (F.col("_z").isNull() | (F.col("_z") == F.col("code_id")))
-    return full.join(reps_of, mine).join(out, F.col("rep") == F.col("code")).select("code_id", F.col("leader").alias("leader_id"))
-
-
-def deduplicate_codes(codes: DataFrame, threshold: float = 0.85, key: str = "code_id", vector: str = "embedding") -> DataFrame:
-    """Kept codes with the number of later codes each absorbed."""
-    links = _leader_rounds(codes, threshold, key, vector)
+    reps = materialize(distinct_vectors(codes, key, vector), "distinct")
+    units = materialize(reps.filter("_z IS NULL").select("rep", "n_copies", unit(F.col("v")).alias("u")), "vectors")
+    pairs = pivot_pairs(units, threshold) if exact else indexed_pairs(units, threshold, recall)
+    led = ordered_leaders(pairs).withColumnRenamed("code", "rep")
+    # copies follow the representative of their vector; a zero vector stands for itself
+    own = F.when(_like_none(F.col("v")), F.col("code_id"))
+    keyed = full.withColumn("k", F.xxhash64("v", own)).withColumn("_z", own)
+    heads = reps.join(led, "rep", "left").select(F.xxhash64("v", "_z").alias("k"), F.col("v").alias("w"), F.col("_z").alias("y"), F.coalesce("leader", "rep").alias("leader_id"))
+    return keyed.join(heads, "k").filter(F.col("v").eqNullSafe(F.col("w")) & F.col("_z").eqNullSafe(F.col("y"))).select("code_id", "leader_id")
+
+
+def deduplicate_codes(codes: DataFrame, threshold: float = 0.85, key: str = "code_id", vector: str = "embedding", **search) -> DataFrame:
+    """Kept codes with the number of later codes each absorbed; ``search`` as in ``dedup_links``."""
+    links = dedup_links(codes, threshold, key, vector, **search)
     return links.groupBy(F.col("leader_id").alias(key)).agg((F.count(F.lit(1)) - 1).alias("merged_count"))
 
 
-def dedup_links(codes: DataFrame, threshold: float = 0.85, key: str = "code_id", vector: str = "embedding") -> DataFrame:
-    """Every code with the code that stands for it."""
-    return _leader_rounds(codes, threshold, key, vector)
-
-
 def removed_codes(codes: DataFrame, kept: DataFrame, index: str = "chunk_index", name: str = "name") -> DataFrame:
     """Codes whose (chunk, lower-case name) no kept code has."""
     tag = [F.col(index).alias("_c"), F.lower(strip(name)).alias("_n")]
@@ -174,13 +151,22 @@ def removed_codes(codes: DataFrame, kept: DataFrame, index: str = "chunk_index",
     return codes.withColumn("_c", F.col(index)).withColumn("_n", F.lower(strip(name))).join(keys, ["_c", "_n"], "left_anti").drop("_c", "_n")
 
 
-def cluster_codes(codes: DataFrame, threshold: float = 0.75, key: str = "code_id", vector: str = "embedding") -> DataFrame:
-    """Leader clusters: representative, size, mean pairwise similarity, label by descending size.
+def cluster_members(codes: DataFrame, threshold: float = 0.75, key: str = "code_id", vector: str = "embedding", **search) -> DataFrame:
+    """A row per code: its cluster's representative, its similarity to it, and the code's other columns."""
+    links = dedup_links(codes, threshold, key, vector, **search).withColumnRenamed("leader_id", "representative")
+    head = codes.select(F.col(key).alias("representative"), unit(F.col(vector)).alias("_h"))
+    rows = codes.withColumnRenamed(key, "code_id").join(links, "code_id").join(head, "representative")
+    near = F.when(F.col("code_id") == F.col("representative"), 1.0).otherwise(dot(unit(F.col(vector)), F.col("_h")))
+    return rows.withColumn("similarity", F.round(near, 4)).drop("_h", vector)
+
+
+def cluster_codes(codes: DataFrame, threshold: float = 0.75, key: str = "code_id", vector: str = "embedding", **search) -> DataFrame:
+    """Leader clusters: representative, size, mean pairwise similarity, by descending size; ``cluster_members`` has their rows.
 
     The mean over pairs of unit vectors is (|sum|^2 - sum of squared norms) / (m (m - 1)): element
     sums per cluster, no pairs.
     """
-    links = _leader_rounds(codes, threshold, key, vector)
+    links = dedup_links(codes, threshold, key, vector, **search)
     members = links.join(codes.select(F.col(key).alias("code_id"), unit(F.col(vector)).alias("u")), "code_id")
     parts = members.select("leader_id", F.posexplode("u").alias("d", "x")).groupBy("leader_id", "d").agg(
         F.sum("x").alias("s"), F.sum(F.col("x") ** 2).alias("q"), F.count(F.lit(1)).alias("m")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -213,22 +214,68 @@ UNIT = "un AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_pro
 
 @query("similar_pairs", f"WITH {UNIT} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e) / (a.nrm * b.nrm), 4) AS similarity, CAST(1 AS BIGINT) AS n_a, CAST(1 AS BIGINT) AS n_b FROM un a JOIN un b ON a.vec_id < b.vec_id AND list_dot_product(a.e, b.e) / (a.nrm * b.nrm) >= 0.3")
 def _(spark, sf):
-    return cd.similar_pairs(codes(spark, sf), 0.3)
+    return cd.similar_pairs(codes(spark, sf), 0.3, exact=True)
 
 
-@query("deduplicate_codes")
+def _noisy(weight, pair):
+    return pair["e"] + F.lit(weight) * pair["f"]
+
+
+def planted(spark, sf):
+    """All codes, and for every fifth of them noisy copies before and after it; for every tenth an exact copy too."""
+    e = t.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    both = e.filter("vec_id % 5 = 0").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f")), "vec_id")
+    out = e.select(F.col("vec_id").alias("code_id"), "label", F.col("e").alias("embedding"))
+    for number, weight, every in ((F.col("vec_id") + 1000000, 0.1, 5), (-1 - F.col("vec_id"), 0.25, 5), (F.col("vec_id") + 2000000, 0.4, 5), (F.col("vec_id") + 3000000, 0.0, 10)):
+        noisy = F.transform(F.arrays_zip("e", "f"), partial(_noisy, weight))
+        out = out.unionByName(both.filter(f"vec_id % {every} = 0").select(number.alias("code_id"), "label", noisy.alias("embedding")))
+    return out
+
+
+PLANTED = """RECURSIVE em AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+   bo AS (SELECT em.vec_id, em.label, em.e, n.e AS f FROM em JOIN em n ON n.vec_id = em.vec_id + 1 WHERE em.vec_id % 5 = 0),
+   pl AS (SELECT vec_id AS code_id, label, e FROM em
+     UNION ALL SELECT vec_id + 1000000, label, list_transform(list_zip(e, f), lambda p: p[1] + 0.1::DOUBLE * p[2]) FROM bo
+     UNION ALL SELECT -1 - vec_id, label, list_transform(list_zip(e, f), lambda p: p[1] + 0.25::DOUBLE * p[2]) FROM bo
+     UNION ALL SELECT vec_id + 2000000, label, list_transform(list_zip(e, f), lambda p: p[1] + 0.4::DOUBLE * p[2]) FROM bo
+     UNION ALL SELECT vec_id + 3000000, label, e FROM bo WHERE vec_id % 10 = 0),
+   dv AS (SELECT min(code_id) AS rep, count(*) AS n, e, sqrt(list_dot_product(e, e)) AS nrm FROM pl GROUP BY e),
+   pr AS (SELECT a.rep AS a, b.rep AS b, list_dot_product(a.e, b.e) / (a.nrm * b.nrm) AS s, a.n AS n_a, b.n AS n_b FROM dv a JOIN dv b ON a.rep < b.rep)"""
+# a scan in order: the state is the list of leaders so far
+LED = """od AS (SELECT dv.rep, row_number() OVER (ORDER BY dv.rep) AS i, coalesce(any_value(nb.l), []) AS l FROM dv LEFT JOIN (SELECT b, list(a) AS l FROM pr WHERE s >= {t} GROUP BY b) nb ON nb.b = dv.rep GROUP BY dv.rep),
+   g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS led UNION ALL SELECT od.i, CASE WHEN list_has_any(g.led, od.l) THEN g.led ELSE list_append(g.led, od.rep) END FROM g JOIN od ON od.i = g.i + 1),
+   fin AS (SELECT led FROM g ORDER BY i DESC LIMIT 1),
+   ld AS (SELECT od.rep, coalesce(list_min(list_intersect(od.l, fin.led)), od.rep) AS leader FROM od, fin),
+   lk AS (SELECT pl.code_id, pl.label, pl.e, dv.nrm, ld.leader AS leader_id FROM pl JOIN dv ON pl.e = dv.e JOIN ld ON ld.rep = dv.rep)"""
+
+
+for percent in (75, 85):
+
+    @query(f"similar_codes_{percent}", f"WITH {PLANTED} SELECT a, b, round(s, 4) AS similarity, n_a, n_b FROM pr WHERE s >= {percent / 100}")
+    def _(spark, sf, threshold=percent / 100):
+        return cd.similar_pairs(planted(spark, sf), threshold)
+
+
+@query("deduplicate_codes", f"WITH {PLANTED}, {LED.format(t=0.85)} SELECT leader_id AS code_id, count(*) - 1 AS merged_count FROM lk GROUP BY 1")
+def _(spark, sf):
+    return cd.deduplicate_codes(planted(spark, sf))
+
+
+@query("dedup_links", f"WITH {PLANTED}, {LED.format(t=0.85)} SELECT code_id, leader_id FROM lk")
 def _(spark, sf):
-    return cd.deduplicate_codes(codes(spark, sf), 0.3)
+    return cd.dedup_links(planted(spark, sf))
 
 
-@query("dedup_links")
+@query("cluster_codes", f"""WITH {PLANTED}, {LED.format(t=0.75)}, pm AS (SELECT x.leader_id, avg(list_dot_product(x.e, y.e) / (x.nrm * y.nrm)) AS m FROM lk x JOIN lk y ON x.leader_id = y.leader_id AND x.code_id < y.code_id GROUP BY 1)
+   SELECT lk.leader_id AS representative, count(*) AS cluster_size, round(coalesce(any_value(pm.m), 1.0), 4) AS avg_similarity FROM lk LEFT JOIN pm ON pm.leader_id = lk.leader_id GROUP BY 1""")
 def _(spark, sf):
-    return cd.dedup_links(codes(spark, sf), 0.35)
+    return cd.cluster_codes(planted(spark, sf))
 
 
-@query("cluster_codes")
+@query("cluster_members", f"""WITH {PLANTED}, {LED.format(t=0.75)} SELECT x.leader_id AS representative, x.code_id, x.label, round(CASE WHEN x.code_id = h.code_id THEN 1 ELSE list_dot_product(x.e, h.e) / (x.nrm * h.nrm) END, 4) AS similarity
+   FROM lk x JOIN lk h ON h.code_id = x.leader_id""")
 def _(spark, sf):
-    return cd.cluster_codes(codes(spark, sf), 0.3)
+    return cd.cluster_members(planted(spark, sf)).select("representative", "code_id", "label", "similarity")
 
 
 @query("removed_codes", "SELECT vec_id, label FROM embeddings WHERE (vec_id % 50, concat('code ', CAST(label AS VARCHAR))) NOT IN (SELECT vec_id % 50, concat('code ', CAST(label AS VARCHAR)) FROM embeddings WHERE vec_id % 3 = 0)")

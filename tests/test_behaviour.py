@@ -12,6 +12,7 @@ from scorewell.functions import replies as rp
 from scorewell.functions import text as tx
 from scorewell.operators import canonical as cn
 from scorewell.operators import codes as cd
+from scorewell.operators import pairs as pa
 from scorewell.operators import coding as co
 from scorewell.operators import descriptive as de
 from scorewell.operators import psychometrics as ps
@@ -134,18 +135,16 @@ def code_vectors(seed=0, n=300, dim=6):
     return v
 
 
-@pytest.mark.parametrize("batch", [17, 2000])
-def test_leader_rounds_equal_sequential_greedy(spark, monkeypatch, batch):
-    monkeypatch.setattr(cd, "LEADER_BATCH", batch)
+def test_leader_rounds_equal_sequential_greedy(spark):
     v = code_vectors()
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "code_id bigint, embedding array<double>")
     want = greedy(v, 0.85)
-    got = {r["code_id"]: r["leader_id"] for r in cd.dedup_links(df, 0.85).collect()}
+    got = {r["code_id"]: r["leader_id"] for r in cd.dedup_links(df, 0.85, exact=True).collect()}
     assert [got[i] for i in range(len(v))] == want.tolist()
-    kept = {r["code_id"]: r["merged_count"] for r in cd.deduplicate_codes(df, 0.85).collect()}
+    kept = {r["code_id"]: r["merged_count"] for r in cd.deduplicate_codes(df, 0.85, exact=True).collect()}
     assert kept == {int(l): int((want == l).sum() - 1) for l in np.unique(want)}
     u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
-    for r in cd.cluster_codes(df, 0.85).collect():
+    for r in cd.cluster_codes(df, 0.85, exact=True).collect():
         members = u[want == r["representative"]]
         m = len(members)
         assert m == r["cluster_size"]
@@ -164,13 +163,62 @@ def test_similar_pairs_equal_all_pairs(spark, monkeypatch, block):
     reps = sorted(first.values())
     u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
     want = {(a, b): u[a] @ u[b] for a, b in itertools.combinations(reps, 2) if u[a] @ u[b] >= 0.8}
-    rows = cd.similar_pairs(df, 0.8).collect()
+    rows = cd.similar_pairs(df, 0.8, exact=True).collect()
     got = {(r["a"], r["b"]): r["similarity"] for r in rows}
     assert len(rows) == len(got) and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
     assert max(max(r["n_a"], r["n_b"]) for r in rows) == (v == v[5]).all(1).sum()
 
 
+@pytest.mark.parametrize("threshold", [0.75, 0.85])
+def test_index_finds_nearly_all_pairs_and_no_others(spark, monkeypatch, threshold):
+    monkeypatch.setattr(pa, "HOT_BUCKET", 40)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(60, 32))
+    v = centre[rng.integers(0, 60, 900)] + rng.uniform(0.1, 0.7, (900, 1)) * rng.normal(size=(900, 32))
+    v[300:600] = v[5] + 0.2 * rng.normal(size=(300, 32))  # a third of the codes are near copies of one
+    v[7] = 0.0
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(900, None), (901, [])]
+    df = spark.createDataFrame(rows, "code_id bigint, embedding array<double>")
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
+    sims = np.triu(u @ u.T, 1)
+    want = set(zip(*(x.tolist() for x in np.nonzero(sims >= threshold)), strict=True))
+    got = [(r["a"], r["b"]) for r in cd.similar_pairs(df, threshold, recall=0.95).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want
+    assert len(got) >= 0.97 * len(want)
+    links = {r["code_id"]: r["leader_id"] for r in cd.dedup_links(df, threshold, exact=True).collect()}
+    assert [links[i] for i in range(900)] == greedy(v, threshold).tolist() and links[900] == 900 and links[901] == 901
+
+
+def test_band_plan_reaches_its_recall():
+    for n in (10, 10_000, 10**8):
+        for threshold in (0.6, 0.75, 0.85, 0.99, 1.0):
+            bands, bits = pa.band_plan(n, threshold, 0.95)
+            agree = 1 - max(0.05, np.arccos(threshold)) / np.pi
+            assert 1 - (1 - agree**bits) ** bands >= 0.95 and 2**bits >= n / 32
+
+
+def test_leader_rounds_are_few(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 3000, (6000, 2)).tolist() if a != b}
+    earlier = {}
+    for a, b in pairs:
+        earlier.setdefault(b, []).append(a)
+    want, leads = {}, set()
+    for i in range(3000):
+        mine = [a for a in earlier.get(i, []) if a in leads]
+        if mine:
+            want[i] = min(mine)
+        else:
+            leads.add(i)
+    writes = []
+    real = pa.materialize
+    monkeypatch.setattr(pa, "materialize", lambda df, name: writes.append(name) or real(df, name))
+    got = {r["code"]: r["leader"] for r in pa.ordered_leaders(spark.createDataFrame(sorted(pairs), "a bigint, b bigint")).collect()}
+    assert got == want
+    assert writes.count("followers") <= 2 * np.log2(3000)
+
+
 @pytest.mark.parametrize("shape", [(4, 4), (3, 5), (5, 3), (1, 4), (6, 6)])
 def test_assignment_is_optimal(shape):
     for seed in range(20):
