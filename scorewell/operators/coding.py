@@ -27,6 +27,7 @@ _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 CODES_SCHEMA = "struct<codes: array<struct<name:string, description:string, quote:string>>>"
 THEMES_SCHEMA = "struct<themes: array<struct<name:string, description:string, code_indices:array<int>>>>"
 EVIDENCE_SCHEMA = "struct<evidence_count: int, instances: array<struct<quote:string, valence:string>>>"
+UNREADABLE, EMPTY = "unreadable_reply", "empty_reply"
 RUBRIC_MAX = 12.0  # fixed value: three dimensions of at most 4
 
 
@@ -139,7 +140,7 @@ def _parsed(called: DataFrame, schema: str) -> DataFrame:
     clean = called.withColumn("_json", reply_json(F.col("reply")))
     out = clean.withColumn("parsed", F.from_json("_json", schema))
     failed = F.col("error").isNull() & F.col("_json").isNull()
-    return out.withColumn("error", F.when(failed, "JSON parse failed").otherwise(F.col("error"))).drop("_json")
+    return out.withColumn("error", F.when(failed, UNREADABLE).otherwise(F.col("error"))).drop("_json")
 
 
 def _lines(rows: DataFrame, by: Sequence[str], order: str, line: Column, budget: int, weight: Column | None = None) -> DataFrame:
@@ -183,18 +184,32 @@ def code_chunks(
     )
 
 
-def _until_one(asked: DataFrame, by: Sequence[str], ask: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame, int], DataFrame], budget: int) -> DataFrame:
+def _until_one(
+    asked: DataFrame, by: Sequence[str], ask: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame, int], DataFrame], budget: int, answered: str
+) -> DataFrame:
     """Ask batch by batch; while a group has several batches, their answers are the lines of a further round.
 
-    The budget doubles from round to round, so that answers as long as their lines come to an end, too.
+    The budget doubles from round to round, so that answers as long as their lines come to an end, too. A batch without an
+    ``answered`` column has failed: its lines are missing in the result, which says so in ``failed_parts`` and carries the
+    first error; a group of which every batch failed stays as one row with its error.
     """
+    by, ok, failures = list(by), F.col(answered).isNotNull(), None
     answers = ask(asked)
     while answers.groupBy(*by).agg(F.count_distinct("batch").alias("n")).filter("n > 1").limit(1).count():
-        sizes = answers.groupBy(*by).agg(F.count_distinct("batch").alias("_batches"))
-        answers = materialize(answers.join(sizes, list(by)), "round")
-        single, budget = answers.filter("_batches = 1").drop("_batches"), 2 * budget
-        answers = materialize(single.unionByName(ask(again(answers.filter("_batches > 1").drop("_batches"), budget))), "round")
-    return answers
+        sizes = answers.groupBy(*by).agg(F.count_distinct("batch").alias("_batches"), F.max(ok).alias("_some"))
+        answers = materialize(answers.join(sizes, by), "round")
+        several = answers.filter("_batches > 1")
+        lost = several.filter(~ok).select(*by, "batch", F.coalesce("error", F.lit(EMPTY)).alias("_error"))
+        failures = lost if failures is None else failures.unionByName(lost)
+        hopeless = several.filter("NOT _some AND batch = 0")  # one row stands for the group
+        single, budget = answers.filter("_batches = 1").unionByName(hopeless).drop("_batches", "_some"), 2 * budget
+        following = ask(again(several.filter(ok).drop("_batches", "_some"), budget))
+        answers = materialize(single.unionByName(following), "round")
+    if failures is None:
+        return answers.withColumn("failed_parts", F.lit(0).cast("bigint"))
+    told = failures.groupBy(*by).agg(F.count(F.lit(1)).alias("_failed"), F.min_by("_error", "batch").alias("_first"))
+    out = answers.join(told, by, "left").withColumns({"error": F.coalesce("error", "_first"), "failed_parts": F.coalesce("_failed", F.lit(0).cast("bigint"))})
+    return out.drop("_failed", "_first")
 
 
 def group_codes(
@@ -204,6 +219,7 @@ def group_codes(
 
     The number of themes defaults to a third of the codes, between 5 and 13. A list above ``budget`` estimated tokens is asked
     in parts, and the parts' themes are grouped again until one answer per run is left; their ``code_indices`` are united.
+    The codes of a part whose call failed are in no theme: ``failed_parts`` counts such parts, ``error`` has the first error.
     """
     wanted = F.lit(n_themes) if n_themes else F.greatest(F.lit(5), F.least(F.lit(13), F.floor(F.col("n_codes") / 3))).cast("int")
     totals = codes.groupBy("run").agg(F.count(F.lit(1)).alias("n_codes")).withColumn("n_wanted", wanted)
@@ -240,7 +256,7 @@ def group_codes(
         return out.withColumn("code_indices", F.coalesce("_all", F.array().cast("array<int>"))).drop("_all")
 
     first = codes.select("run", F.col("code_id").alias("_order"), F.col("chunk_index").alias("number"), "name", "description", "participant_id", "quote")
-    return _until_one(prompts(first, budget), ["run"], ask_and_unite, again, budget)
+    return _until_one(prompts(first, budget), ["run"], ask_and_unite, again, budget, "theme_index")
 
 
 def define_themes(linked: DataFrame, model_fn: ModelFn, instruction: str, budget: int = 100_000, template: str = LIST_PROMPT, line: str = MEMBER_LINE) -> DataFrame:
@@ -258,7 +274,7 @@ def define_themes(linked: DataFrame, model_fn: ModelFn, instruction: str, budget
         rows = answers.withColumns({"description": F.col("summary"), "quote": F.lit("")})
         return _lines(rows, by, "batch", fill(line, **cells), budget, F.col("n_lines"))
 
-    return _until_one(_lines(linked, by, "code_id", fill(line, **cells), budget), by, ask, again, budget)
+    return _until_one(_lines(linked, by, "code_id", fill(line, **cells), budget), by, ask, again, budget, "summary")
 
 
 def write_report(
@@ -278,7 +294,7 @@ def write_report(
         parts = answers.withColumns({"theme": F.lit(""), "summary": F.col("report_text"), "quotes": F.lit("")})
         return _lines(parts, ["run"], "batch", fill(line, **cells), budget, F.col("n_themes"))
 
-    return _until_one(_lines(rows, ["run"], "theme_index", fill(line, **cells), budget), ["run"], ask, again, budget)
+    return _until_one(_lines(rows, ["run"], "theme_index", fill(line, **cells), budget), ["run"], ask, again, budget, "report_text")
 
 
 # -- deductive coding --------------------------------------------------------------------------

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import require_columns, strip
+from ..core import materialize, require_columns, strip
 from ..functions.text import STUDENT_ID_PATTERN
 from .descriptive import normalize_import_demographics
 
@@ -16,55 +16,69 @@ GROUND_TRUTH_REQUIRED = ("category", "code_name", "quote")
 GROUND_TRUTH_OPTIONAL = ("participant_id", "page_ref", "researcher_initials", "notes")
 
 
-def _issue(df: DataFrame, check: str, severity: str, n: Column, sample: DataFrame | None = None) -> DataFrame:
-    out = df.agg(n.cast("bigint").alias("n")).select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), "n")
-    if sample is None:
-        return out.withColumn("sample", F.lit(None).cast("array<string>"))
-    # a sample is at most eight values
-    few = sample.select(F.col(sample.columns[0]).cast("string").alias("v")).distinct().orderBy("v").limit(8)
-    return out.join(few.agg(F.sort_array(F.collect_list("v")).alias("sample")), how="left")
+SAMPLE = 8  # values shown per check
+_ISSUE = "struct<check:string, severity:string, n:bigint, sample:array<string>>"
+
+
+def _counted(row: DataFrame, severity: dict[str, str]) -> DataFrame:
+    """A one-row frame of counts as findings."""
+    none = F.lit(None).cast("array<string>")
+    cells = [F.struct(F.lit(c).alias("check"), F.lit(severity[c]).alias("severity"), F.col(c).cast("bigint").alias("n"), none.alias("sample")).cast(_ISSUE) for c in row.columns]
+    return row.select(F.inline(F.array(*cells)))
 
 
 def validate_import(
     canonical: DataFrame, demographics: DataFrame, known_users: DataFrame, registered_cohorts: Sequence[str], known_instruments: Sequence[str] | None = None
 ) -> DataFrame:
-    """The import checks as ``check, severity, n, sample``; only findings (n > 0) are returned."""
+    """The import checks as ``check, severity, n, sample``; only findings (n > 0) are returned.
+
+    The file is read three times, whatever the number of checks: for counts over its rows, for the demographics of its users,
+    and for checks on groups. For these each row enters one aggregation under a key per kind of group (user, cohort,
+    instrument, answer slot, answer), combined before the shuffle; what is wrong with a group are rows, of which a check
+    shows the first ``SAMPLE`` values.
+    """
     require_columns(canonical, REQUIRED_IMPORT, "import file")
     text = ("user_id", "module_id", "instrument_key", "question_id", "construct", "cohort_id")
     c = canonical.select(
         *[F.coalesce(strip(F.col(x).cast("string")), F.lit("")).alias(x) for x in text], "response_value",
         F.col("item_score").try_cast("double").alias("score"),
     )
-    blank = lambda x: F.col(x).isin("", "nan", "None")
-    ids = c.groupBy("user_id").agg(F.count_distinct("cohort_id").alias("k"))
-    bad_ids = ids.filter(~F.col("user_id").rlike(STUDENT_ID_PATTERN))
-    clash = ids.join(known_users.select(strip("user_id").alias("user_id")).distinct(), "user_id", "left_semi")
-    multi = ids.filter(F.col("k") > 1)
-    cohorts = c.select("cohort_id").distinct().filter(F.col("cohort_id").isin(list(registered_cohorts)))
-    dup = c.groupBy("user_id", "instrument_key", "question_id").agg((F.count(F.lit(1)) - 1).alias("extra")).filter(F.col("extra") > 0)
-    uneven = c.groupBy("instrument_key", "question_id", "response_value").agg(F.count_distinct("score").alias("k")).filter(F.col("k") > 1)
+    blank = {f"empty_{x}": F.count_if(F.col(x).isin("", "nan", "None")) for x in text}
+    rows = c.agg(*[n.alias(check) for check, n in {**blank, "score_not_numeric": F.count_if(F.col("score").isNull())}.items()])
+
+    key = lambda kind, *columns: F.struct(
+        F.lit(kind).alias("kind"), *[(F.col(columns[i]) if i < len(columns) else F.lit("")).cast("string").alias(f"k{i}") for i in range(3)]
+    )
+    kinds = [key("user", "user_id"), key("cohort", "cohort_id"), key("slot", "user_id", "instrument_key", "question_id"), key("answer", "instrument_key", "question_id", "response_value")]
+    if known_instruments is not None:
+        kinds.append(key("instrument", "instrument_key"))
+    by = ["kind", "k0", "k1", "k2"]
+    groups = c.select(F.explode(F.array(*kinds)).alias("g"), "cohort_id", "score").select("g.*", "cohort_id", "score").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("m"), F.min("cohort_id").alias("c0"), F.max("cohort_id").alias("c1"), F.min("score").alias("s0"), F.max("score").alias("s1")
+    )
+    known = known_users.select(F.lit("user").alias("kind"), strip("user_id").alias("k0")).distinct().withColumn("_known", F.lit(True))
+    groups = groups.join(known, ["kind", "k0"], "left")
+    user, one = F.col("kind") == "user", F.lit(1).cast("bigint")
+    faults = [
+        ("bad_user_id", user & ~F.col("k0").rlike(STUDENT_ID_PATTERN), one, True),
+        ("id_of_platform_user", user & F.col("_known").isNotNull(), one, True),
+        ("user_in_several_cohorts", user & (F.col("c0") < F.col("c1")), one, True),
+        ("cohort_already_registered", (F.col("kind") == "cohort") & F.col("k0").isin(list(registered_cohorts)), one, True),
+        ("unknown_instrument", (F.col("kind") == "instrument") & ~F.col("k0").isin(list(known_instruments or [])), one, True),
+        ("duplicate_rows", (F.col("kind") == "slot") & (F.col("m") > 1), F.col("m") - 1, False),
+        ("several_scores_for_one_answer", (F.col("kind") == "answer") & (F.col("s0") < F.col("s1")), one, False),
+    ]
+    told = [F.when(bad, F.struct(F.lit(check).alias("check"), n.alias("n"), (F.col("k0") if shown else F.lit(None).cast("string")).alias("value"))) for check, bad, n, shown in faults]
+    wrong = materialize(groups.select(F.inline(F.filter(F.array(*told), lambda x: x.isNotNull()))), "findings")
+    place = F.row_number().over(Window.partitionBy("check").orderBy("value"))
+    few = wrong.filter("value IS NOT NULL").withColumn("_p", place).filter(F.col("_p") <= SAMPLE).groupBy("check").agg(F.sort_array(F.collect_list("value")).alias("sample"))
+    found = wrong.groupBy("check").agg(F.sum("n").alias("n")).join(few, "check", "left").select("check", F.lit("error").alias("severity"), "n", "sample")
+
     d = normalize_import_demographics(demographics, c)
     gaps = sum((F.col(x).isNull().cast("int") for x in ("grade", "gender", "first_language_english")), F.lit(0))
-    count = F.count(F.lit(1))
-    issues = [
-        *[_issue(c, f"empty_{x}", "error", F.count_if(blank(x))) for x in text],
-        _issue(bad_ids, "bad_user_id", "error", count, bad_ids.select("user_id")),
-        _issue(clash, "id_of_platform_user", "error", count, clash.select("user_id")),
-        _issue(multi, "user_in_several_cohorts", "error", count, multi.select("user_id")),
-        _issue(cohorts, "cohort_already_registered", "error", count, cohorts),
-        _issue(c, "score_not_numeric", "warning", F.count_if(F.col("score").isNull())),
-        _issue(dup, "duplicate_rows", "error", F.coalesce(F.sum("extra"), F.lit(0))),
-        _issue(uneven, "several_scores_for_one_answer", "error", count),
-        _issue(d, "no_demographics", "warning", F.count_if(gaps == 3)),
-        _issue(d, "partial_demographics", "warning", F.count_if((gaps > 0) & (gaps < 3))),
-    ]
-    if known_instruments is not None:
-        unknown = c.select("instrument_key").distinct().filter(~F.col("instrument_key").isin(list(known_instruments)))
-        issues.append(_issue(unknown, "unknown_instrument", "error", count, unknown))
-    out = issues[0]
-    for i in issues[1:]:
-        out = out.unionByName(i)
-    return out.filter(F.col("n") > 0)
+    people = d.agg(F.count_if(gaps == 3).alias("no_demographics"), F.count_if((gaps > 0) & (gaps < 3)).alias("partial_demographics"))
+    counted = _counted(rows, {**dict.fromkeys(blank, "error"), "score_not_numeric": "warning"}).unionByName(_counted(people, dict.fromkeys(people.columns, "warning")))
+    return counted.unionByName(found).filter(F.col("n") > 0)
 
 
 def normalize_ground_truth(df: DataFrame) -> DataFrame:

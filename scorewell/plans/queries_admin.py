@@ -353,13 +353,15 @@ def _(spark, sf):
     return back.groupBy("instrument_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query("read_import_csv", sql("SELECT c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey, count(*) AS n, count(*) FILTER (c_custkey % 5 = 0) AS empty_names FROM customer GROUP BY 1, 2"))
+@query("read_import_csv", sql("SELECT c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey, count(*) AS n, count(*) FILTER (c_custkey % 5 = 0) AS empty_names, count(*) FILTER (c_custkey % 5 <> 0 AND c_custkey % 3 = 0) AS two_lines FROM customer GROUP BY 1, 2"))
 def _(spark, sf):
     path = shared_dir(spark, "csv")
-    c = t.table(spark, sf, "customer").withColumn("c_name", F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")))
-    c.write.option("header", True).csv(path)
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit('\nof "two" lines'))).otherwise(F.col("c_name"))
+    c = t.table(spark, sf, "customer").withColumn("c_name", F.when(F.col("c_custkey") % 5 != 0, name))
+    c.write.option("header", True).option("escape", '"').csv(path)
     back = src.read_import_csv(spark, path)
-    return back.groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_name") == "").alias("empty_names"))
+    two = F.count_if(F.col("c_name").endswith('\nof "two" lines'))
+    return back.groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_name") == "").alias("empty_names"), two.alias("two_lines"))
 
 
 @query("import_summary", sql(f"WITH {IMP} SELECT cohort_id, count(DISTINCT user_id) AS students, count(*) AS rows, count(DISTINCT module_id) AS modules FROM imp GROUP BY 1", "canon"))

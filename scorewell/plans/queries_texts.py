@@ -444,13 +444,32 @@ def _(spark, sf):
     return df.select("run", "theme", "batch", "summary", "n_lines")
 
 
-@query("write_report", f"WITH {LINKED} SELECT run, 0 AS batch, count(DISTINCT label) AS n_themes, concat('report over ', CAST(count(DISTINCT label) AS VARCHAR), ' themes') AS report_text, CAST(NULL AS VARCHAR) AS error FROM tl GROUP BY 1")
+@query("write_report", f"WITH {LINKED} SELECT run, 0 AS batch, count(DISTINCT label) AS n_themes, concat('report over ', CAST(count(DISTINCT label) AS VARCHAR), ' themes') AS report_text, CAST(NULL AS VARCHAR) AS error, 0 AS failed_parts FROM tl GROUP BY 1")
 def _(spark, sf):
     base, th = themed(spark, sf)
     quotes = cd.top_quotes(cd.theme_codes(th, base))
     return co.write_report(th.withColumn("summary", F.lit("s")), quotes, stub_report, "Write it.")
 
 
+def stub_outage(prompt: str) -> dict:
+    """Answers like ``stub_report``, but not on parts about the themes T1, T5 and T9."""
+    if any(f"# T{i} |" in prompt for i in (1, 5, 9)):
+        return {"text": None, "error": "overloaded", "tokens_used": 0}
+    return stub_report(prompt)
+
+
+@query("report_with_failed_parts", """WITH tl AS (SELECT DISTINCT vec_id % 4 AS r, label FROM embeddings UNION ALL SELECT 9, 1 UNION ALL SELECT 9, 5)
+   SELECT concat('run', CAST(r AS VARCHAR)) AS run, greatest(1, count(*) FILTER (label NOT IN (1, 5, 9))) AS n_themes, count(*) FILTER (label IN (1, 5, 9)) AS failed_parts, 'overloaded' AS error,
+   count(*) FILTER (label NOT IN (1, 5, 9)) > 0 AS written FROM tl GROUP BY r""")
+def _(spark, sf):
+    """Every theme is a part of its own; some parts fail, and all parts of run9 do."""
+    _, th = themed(spark, sf)
+    th = th.select("run", "theme", "theme_index").unionByName(th.filter("theme_index IN (1, 5)").select(F.lit("run9").alias("run"), "theme", "theme_index").distinct())
+    quotes = spark.createDataFrame([], "run string, theme string, position int, quote string")
+    out = co.write_report(th.withColumn("summary", F.lit("s")), quotes, stub_outage, "Write it.", budget=1)
+    return out.select("run", "n_themes", "failed_parts", "error", F.col("report_text").isNotNull().alias("written"))
+
+
 BOOK = [
     {"name": "self_efficacy", "group": "motivation", "definition": "belief in oneself", "indicators": INDICATORS[:2]},
     {"name": "interest", "group": "engagement", "definition": "curiosity", "indicators": INDICATORS[2:]},

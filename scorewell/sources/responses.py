@@ -154,10 +154,11 @@ def read_item_bank(spark: SparkSession, path: str, instrument_key: str) -> DataF
     return raw.select(F.lit(instrument_key).alias("instrument_key"), F.col("id").alias("question_id"), "question", "options")
 
 
-def read_import_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_import_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Import file: every column a string, empty stays empty, nothing becomes NULL by inference.
 
-    A file is split over tasks; ``multi_line`` is for files with line breaks inside quotes, which Spark reads in one task each.
+    Quoted fields may hold line breaks, so a file is read in one task; many files are read side by side. Pass
+    ``multi_line=False`` for large files known to have no such breaks: Spark then splits each over tasks.
     """
     return spark.read.csv(
         path, header=True, inferSchema=False, multiLine=multi_line, escape='"', nullValue="\u0000", emptyValue=""

@@ -273,7 +273,7 @@ def test_code_chunks_keep_failed_rows_and_stamp_ids(spark):
     chunks = spark.createDataFrame([(0, "a", "fine"), (1, "b", "boom"), (2, "c", "bad")], "chunk_index bigint, participant_id string, content string")
     out = {r["chunk_index"]: r for r in co.code_chunks(chunks, model, "x").collect()}
     assert out[0]["name"] == "n" and out[0]["participant_id"] == "a" and out[0]["error"] is None
-    assert "down" in out[1]["error"] and out[2]["error"] == "JSON parse failed"
+    assert "down" in out[1]["error"] and out[2]["error"] == "unreadable_reply"
 
 
 def test_long_code_list_is_asked_in_parts_and_merged(spark):
@@ -289,6 +289,26 @@ def test_long_code_list_is_asked_in_parts_and_merged(spark):
     assert len(many) == 1 and sorted(many[0]["code_indices"]) == list(range(40)) and int(many[0]["name"][1:]) < 40
 
 
+def test_failed_parts_are_told(spark):
+    def some(prompt):
+        numbers = [int(x.split(" | ")[0]) for x in prompt.split("\n")[2:]]
+        if 0 in numbers and "code" in prompt:
+            return {"text": None, "error": "down"}
+        return {"text": '{"themes": [{"name": "t", "code_indices": %s}]}' % numbers, "error": None}
+
+    rows = [("r", i, i, f"code {i}", "d" * 30, "", "p") for i in range(40)]
+    df = spark.createDataFrame(rows, "run string, code_id bigint, chunk_index bigint, name string, description string, quote string, participant_id string")
+    (one,) = co.group_codes(df, some, "x", budget=100).collect()
+    left = sorted(one["code_indices"])
+    assert one["failed_parts"] == 1 and one["error"] == "down" and left == list(range(40 - len(left), 40)) and len(left) > 20
+    (none,) = co.group_codes(df, lambda p: {"text": None, "error": "down"}, "x", budget=100).collect()
+    assert none["name"] is None and none["error"] == "down" and none["failed_parts"] > 1
+    (empty,) = co.group_codes(df, lambda p: {"text": '{"themes": []}', "error": None}, "x", budget=100).collect()
+    assert empty["error"] == "empty_reply"
+    (whole,) = co.group_codes(df, lambda p: {"text": None, "error": "down"}, "x").collect()
+    assert whole["error"] == "down" and whole["failed_parts"] == 0
+
+
 def test_names_that_are_null_stay_in_the_prompt(spark):
     df = spark.createDataFrame([("r", "T", 1, None, "d", "q"), ("r", "T", 2, "n", None, None)], "run string, theme string, code_id bigint, name string, description string, quote string")
     reply = lambda p: {"text": '{"name": "x", "summary": "%d"}' % sum(x.startswith("* ") for x in p.splitlines()), "error": None}
@@ -436,9 +456,11 @@ def test_readers(spark, tmp_path):
     assert (item["question_id"], item["text"], item["key"]) == ("1", "What?", None)
     assert [(o["label"], o["text"]) for o in item["options"]] == [("A", "yes"), ("B", "no")]
     csv = tmp_path / "in.csv"
-    csv.write_text('user_id,item_score,note\n007,1,NA\nS2,,"a, ""b"""\n')
+    csv.write_text('user_id,item_score,note\n007,1,NA\nS2,,"a, ""b"""\nS3,2,"one\ntwo, ""three"""\n')
     rows = src.read_import_csv(spark, str(csv)).collect()
-    assert [tuple(r) for r in rows] == [("007", "1", "NA"), ("S2", "", 'a, "b"')]
+    assert [tuple(r) for r in rows] == [("007", "1", "NA"), ("S2", "", 'a, "b"'), ("S3", "2", 'one\ntwo, "three"')]
+    csv.write_text("user_id,note\nS1,a\nS2,\n")
+    assert [tuple(r) for r in src.read_import_csv(spark, str(csv), multi_line=False).collect()] == [("S1", "a"), ("S2", "")]
     log = t.responses(spark, "/root/testdata/sf0.001").withColumn("extra", F.lit(1))
     log.write.parquet(str(tmp_path / "log"))
     assert src.read_responses(spark, str(tmp_path / "log")).columns == list(src.RESPONSE_COLUMNS)
