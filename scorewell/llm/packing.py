@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -56,15 +57,19 @@ class WordIds(dict):
     """Lower-cased word (bytes) -> its ids as little-endian 32-bit bytes.
 
     Words of printable ASCII and Latin-1 letters, on which the normalizer only lowers letters, are split here and their parts
-    go straight to the tokenizer's model; all other words go through the whole tokenizer.
+    go straight to the tokenizer's model; all other words go through the whole tokenizer. A text that holds the string of a
+    special token goes through the library as it is.
     """
 
     def __init__(self, definition: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_str(definition)
+        names = [re.escape(t["content"]) for t in json.loads(definition).get("added_tokens", [])]
+        self.special = re.compile("|".join(names)).search if names else lambda _: None
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # a word only becomes a special token's string by lower-casing: it is none
         self.model = self.tokenizer.model
         pattern = _split_pattern(definition)
         self.parts_of = regex.compile(pattern).findall if pattern else None
@@ -73,6 +78,9 @@ class WordIds(dict):
         self.parts: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
+        if self.special(text):
+            found = self.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(found)}I", *found)
         return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").lower().split()))
 
     def __missing__(self, word: bytes) -> bytes:
