@@ -7,8 +7,9 @@ of its windows go, by that q-gram, to a task that sorts them as suffixes with bu
 eight bytes, refined by sorting on the bucket pointers of later offsets, where every refinement reuses the pointers the one
 before has written (depths 8, 16, 32, 50). Windows that end in one bucket are equal; the smallest id in a bucket decides.
 
-Scale: the texts are shuffled once, into a table bucketed by unit that later passes read in place; a unit, a hash range and
-a suffix chunk are bounded. A shared q-gram with more than ``HOT_ROWS`` places, in one text or in many, leaves the suffix
+Scale: the texts are shuffled once, into a table bucketed by unit (a bounded number of buckets, each with as many units as it
+takes) that later passes read in place; a unit, a hash range and a suffix chunk are bounded, and hashes go from units to
+ranges and back in passes with a bounded fan-out. A shared q-gram with more than ``HOT_ROWS`` places, in one text or in many, leaves the suffix
 path: the distinct windows of each text become rows with 128-bit digests, whose smallest ids are a map-side combined
 aggregation joined back, so neither a line that a third of all documents hold nor a long text of short period is a group.
 
@@ -19,12 +20,14 @@ Defined results: NULL text is empty; texts under ``WINDOW`` bytes lose nothing;
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import arrow_rows, materialize, partitions_for, text_bytes, whole_text
@@ -38,10 +41,13 @@ CHUNK_ROWS = 20_000
 BATCH_ROWS = 1_000
 UNIT_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20  # of text: the hashes of so much text, spread over all units, are one range
+FAN = 512  # pieces that a row of hashes is cut into at once
+MAX_BUCKETS = 20_000  # of the table of texts; Spark allows 100,000
 LAST_ID = (1 << 63) - 1
 _POSITION_BITS = 26
 _POSITION_MASK = np.uint64((1 << _POSITION_BITS) - 1)
 _M = np.uint64(0x9E3779B97F4A7C15)
+_SHORT = np.uint64((1 << 48) - 1)
 _P = [np.uint64(pow(0xD6E8FEB86659FD93, 1 << i, 1 << 64)) for i in range(4)]
 SEGMENT_DDL = "h bigint, unit int, ord int, doc_id bigint, start int, bytes binary"
 FLAG_DDL = "unit int, ord int, start int, length int"
@@ -86,7 +92,12 @@ def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _short(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(16)
+    """48 bits of a hash, mixed again one to one: minimizers are small hashes, but ranges of these hold equally many."""
+    x = h >> np.uint64(16)
+    for _ in range(2):
+        x = (x * _M) & _SHORT
+        x ^= x >> np.uint64(23)
+    return x
 
 
 def _packed(h: np.ndarray) -> bytes:
@@ -100,18 +111,55 @@ def _unpacked(cell: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _gram_blobs(n_ranges: int):
-    edges = np.array([(r << 48) // n_ranges for r in range(n_ranges + 1)], dtype=np.uint64)
+def range_of(h: np.ndarray, n_ranges: int) -> np.ndarray:
+    return (((h >> np.uint64(16)) * np.uint64(n_ranges)) >> np.uint64(32)).astype(np.int64)
 
+
+def fan_levels(n: int) -> int:
+    """Passes over packed hashes in which no row falls into more than ``FAN`` pieces."""
+    return max(1, math.ceil(math.log(max(n, 2)) / math.log(FAN) - 1e-9))
+
+
+class _Grams:
+    """Packed q-grams: unit, hash, and two small numbers each (before the merge texts and places, after it a flag)."""
+
+    NAMES = ("range", "family", "units", "sizes", "grams", "texts", "places")
+    DDL = "range bigint, family bigint, units binary, sizes binary, grams binary, texts binary, places binary"
+    TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+    @staticmethod
+    def read(group) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        flat = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), kind)
+        return np.repeat(flat("units", "<i4"), flat("sizes", "<i4")), _unpacked(b"".join(group["grams"].to_pylist())), flat("texts", np.uint8), flat("places", "<u2")
+
+    @classmethod
+    def rows(cls, range_: np.ndarray, family: np.ndarray, unit: np.ndarray, h: np.ndarray, texts: np.ndarray, places: np.ndarray) -> pa.Table:
+        """A row per (range, family), its entries by unit."""
+        order = np.lexsort((unit, family, range_))
+        range_, family, unit, h, texts, places = (x[order] for x in (range_, family, unit, h, texts, places))
+        out = []
+        ends = np.flatnonzero(np.r_[(range_[1:] != range_[:-1]) | (family[1:] != family[:-1]), True]) + 1 if len(h) else []
+        at = 0
+        for end in ends:
+            mine = unit[at:end]
+            first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+            sizes = np.diff(np.r_[first, len(mine)])
+            out.append((
+                int(range_[at]), int(family[at]), mine[first].astype("<i4").tobytes(), sizes.astype("<i4").tobytes(), _packed(h[at:end]),
+                texts[at:end].astype(np.uint8).tobytes(), places[at:end].astype("<u2").tobytes(),
+            ))
+            at = end
+        columns = zip(*out, strict=True) if out else ([] for _ in cls.NAMES)
+        return pa.table({k: pa.array(list(c), t) for k, c, t in zip(cls.NAMES, columns, cls.TYPES, strict=True)})
+
+
+def _gram_blobs(n_ranges: int, stride: int):
     def rows(unit: int, found: list[np.ndarray]) -> pa.RecordBatch:
         h, at, texts = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True, return_counts=True)
         places = np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(h))
-        texts, places = np.minimum(texts, 2).astype(np.uint8), np.minimum(places, LAST_COUNT).astype("<u2")
-        cut = np.searchsorted(h, edges)
-        out = [(r, unit, _packed(h[a:b]), texts[a:b].tobytes(), places[a:b].tobytes()) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        columns = zip(*out, strict=True) if out else ([], [], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["range", "unit", "grams", "texts", "places"])
+        same = np.full(len(h), unit)
+        table = _Grams.rows(range_of(h, n_ranges) // stride, same, same, h, np.minimum(texts, 2), np.minimum(places, LAST_COUNT))
+        return table.combine_chunks().to_batches()[0]
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found = None, []
@@ -130,28 +178,59 @@ def _gram_blobs(n_ranges: int):
     return blobs
 
 
-def _shared_grams(hot_rows: int):
+def _to_ranges(n_ranges: int, stride: int):
+    """A family's part of a wide range, cut into its narrower ranges."""
+
+    def cut(group: pa.Table) -> pa.Table:
+        unit, h, texts, places = _Grams.read(group)
+        return _Grams.rows(range_of(h, n_ranges) // stride, np.full(len(h), group["family"][0].as_py()), unit, h, texts, places)
+
+    return cut
+
+
+def _to_families(stride: int):
+    """A wide family's part of several ranges, cut into its narrower families."""
+
+    def cut(group: pa.Table) -> pa.Table:
+        unit, h, texts, places = _Grams.read(group)
+        return _Grams.rows(np.full(len(h), group["range"][0].as_py()), unit.astype(np.int64) // stride, unit, h, texts, places)
+
+    return cut
+
+
+def _shared_grams(hot_rows: int, stride: int):
+    """Of a range's q-grams those of two texts or more, by family of units; ``texts`` is now 1 for hot ones, ``places`` 0."""
+
     def shared(group: pa.Table) -> pa.Table:
-        units = group["unit"].to_pylist()
-        parts = [_unpacked(c) for c in group["grams"].to_pylist()]
-        h, at = np.unique(np.concatenate(parts), return_inverse=True)
-        n_texts, n_places = (
-            np.bincount(at, weights=np.concatenate([np.frombuffer(c, t) for c in group[k].to_pylist()]), minlength=len(h)) for k, t in (("texts", np.uint8), ("places", "<u2"))
-        )
-        out, start = [], 0
-        for unit, part in zip(units, parts, strict=True):
-            mine = at[start : start + len(part)]
-            start += len(part)
-            common, many = n_texts[mine] > 1, n_places[mine] > hot_rows
-            keep, hot = common & ~many, common & many
-            if keep.any() or hot.any():
-                out.append((unit, _packed(part[keep]), _packed(part[hot])))
-        columns = zip(*out, strict=True) if out else ([], [], [])
-        return pa.table({k: pa.array(list(c), t) for k, c, t in zip(("unit", "shared", "hot"), columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)})
+        unit, h, texts, places = _Grams.read(group)
+        _, at = np.unique(h, return_inverse=True)
+        n_texts, n_places = np.bincount(at, weights=texts)[at], np.bincount(at, weights=places)[at]
+        keep = n_texts > 1
+        unit, h, hot = unit[keep], h[keep], (n_places > hot_rows)[keep]
+        return _Grams.rows(np.full(len(h), group["range"][0].as_py()), unit.astype(np.int64) // stride, unit, h, hot, np.zeros(len(h)))
 
     return shared
 
 
+def shared_grams(texts: DataFrame, n_units: int, hot_rows: int) -> DataFrame:
+    """Rows of ``_Grams`` whose family is one unit: its q-grams that occur in two texts, hot ones marked.
+
+    Units and ranges are met in passes: a row is cut into at most ``FAN`` pieces, and pieces of ``FAN`` units (on the way
+    back: ranges) are one row again, so rows stay large and few at every size. Up to ``FAN`` ranges one pass each way does.
+    """
+    n_ranges = max(1, n_units * UNIT_BYTES // RANGE_BYTES)
+    levels = fan_levels(max(n_ranges, n_units))
+    blobs = texts.select("unit", "text").mapInArrow(_gram_blobs(n_ranges, FAN ** (levels - 1)), _Grams.DDL)
+    for level in range(1, levels):
+        families = blobs.withColumn("family", F.floor(F.col("family") / FAN))
+        blobs = families.groupBy("range", "family").applyInArrow(_to_ranges(n_ranges, FAN ** (levels - 1 - level)), _Grams.DDL)
+    found = blobs.groupBy("range").applyInArrow(_shared_grams(hot_rows, FAN ** (levels - 1)), _Grams.DDL)
+    for level in range(1, levels):
+        ranges = found.withColumn("range", F.floor(F.col("range") / FAN))
+        found = ranges.groupBy("range", "family").applyInArrow(_to_families(FAN ** (levels - 1 - level)), _Grams.DDL)
+    return found
+
+
 # ---------------------------------------------------------------- windows of shared q-grams
 
 
@@ -161,9 +240,11 @@ def _ordered(texts: pa.Table) -> list[tuple[int, int, bytes, bytes]]:
     return [(i, doc_id, digest, text.encode("utf-8", "surrogatepass")) for i, (digest, doc_id, text) in enumerate(rows)]
 
 
-def _cells(table: pa.Table, column: str) -> np.ndarray:
-    parts = [_unpacked(c) for c in table[column].to_pylist()]
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+def _known(grams: pa.Table, hot: bool) -> np.ndarray:
+    if not grams.num_rows:
+        return np.empty(0, np.uint64)
+    _, h, marked, _ = _Grams.read(grams)
+    return np.unique(h[marked.astype(bool) == hot])
 
 
 def _inside(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -173,7 +254,7 @@ def _inside(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _segments(texts: pa.Table, grams: pa.Table) -> pa.Table:
-    known, unit = _cells(grams, "shared"), texts["unit"][0].as_py() if texts.num_rows else 0
+    known, unit = _known(grams, False), texts["unit"][0].as_py() if texts.num_rows else 0
     out_h, out_ord, out_id, out_start, out_bytes = [], [], [], [], []
     for place, doc_id, _, data in _ordered(texts) if len(known) else ():
         h, first, last = minimizers(np.frombuffer(data, np.uint8))
@@ -195,7 +276,7 @@ def _segments(texts: pa.Table, grams: pa.Table) -> pa.Table:
 
 
 def _hot_windows(texts: pa.Table, grams: pa.Table) -> pa.Table:
-    known, unit = _cells(grams, "hot"), texts["unit"][0].as_py() if texts.num_rows else 0
+    known, unit = _known(grams, True), texts["unit"][0].as_py() if texts.num_rows else 0
     ords, ids, starts, digests = [], [], [], []
     for place, doc_id, _, data in _ordered(texts) if len(known) else ():
         h, first, last = minimizers(np.frombuffer(data, np.uint8))
@@ -399,34 +480,56 @@ def _identified(docs: DataFrame) -> DataFrame:
     )
 
 
-def text_table(docs: DataFrame) -> tuple[str, int]:
-    """Distinct texts with their smallest id in a table bucketed by unit; the table's name and its number of units."""
+@contextmanager
+def text_table(docs: DataFrame, unit_bytes: int = UNIT_BYTES) -> Iterator[tuple[DataFrame, int, int]]:
+    """Distinct texts with their smallest id, in a table bucketed by ``bucket``, dropped in the end; its units and buckets.
+
+    A bucket holds the units with one remainder, so the number of buckets is bounded while units keep their size.
+    """
+    spark = docs.sparkSession
     rows = _identified(docs)
-    n_units = partitions_for(docs, text_bytes(docs), UNIT_BYTES)
-    unit = F.pmod(F.hash("digest"), F.lit(n_units)).cast("int")
+    n_units = partitions_for(docs, text_bytes(docs), unit_bytes)
+    n_buckets = min(n_units, MAX_BUCKETS)
+    unit = F.pmod(F.xxhash64("digest"), F.lit(n_units)).cast("int")
     once = rows.select(unit.alias("unit"), "doc_id", "digest", "text").mapInArrow(_first_copies, "unit int, doc_id bigint, digest binary, text string")
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("unit", "digest").orderBy("doc_id"))
-    kept = once.repartition(n_units, "unit").withColumn("_place", first).filter("_place = 1").drop("_place")
+    first = F.row_number().over(Window.partitionBy("bucket", "unit", "digest").orderBy("doc_id"))
+    kept = once.withColumn("bucket", _bucket(n_buckets)).repartition(n_buckets, "bucket").withColumn("_place", first).filter("_place = 1").drop("_place")
     name = f"scorewell_texts_{uuid.uuid4().hex}"
-    kept.write.bucketBy(n_units, "unit").sortBy("unit").format("parquet").saveAsTable(name)
-    return name, n_units
+    try:
+        kept.write.bucketBy(n_buckets, "bucket").sortBy("bucket", "unit").format("parquet").saveAsTable(name)
+        yield spark.table(name), n_units, n_buckets
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _bucket(n_buckets: int) -> Column:
+    return F.pmod(F.col("unit"), F.lit(n_buckets)).cast("int")
 
 
-def flagged(texts: DataFrame, n_units: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+@contextmanager
+def _met_by_bucket(spark: SparkSession) -> Iterator[None]:
+    """Within this block a cogroup by (bucket, unit) takes the table of texts as it lies, by bucket."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def flagged(texts: DataFrame, n_units: int, n_buckets: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(unit, ord, start, length): byte runs of the distinct texts that start in a document with a smaller id."""
-    n_bytes = n_units * UNIT_BYTES
-    n_ranges = max(1, n_bytes // RANGE_BYTES)
-    blobs = texts.select("unit", "text").mapInArrow(_gram_blobs(n_ranges), "range int, unit int, grams binary, texts binary, places binary")
-    grams = materialize(blobs.groupBy("range").applyInArrow(_shared_grams(hot_rows), "unit int, shared binary, hot binary"), "repeat-grams")
-    by_unit = texts.groupBy("unit")
-    segments = by_unit.cogroup(grams.filter(F.octet_length("shared") > 0).select("unit", "shared").groupBy("unit")).applyInArrow(_segments, SEGMENT_DDL)
+    marked = F.instr(F.hex("texts"), "01")  # a flag is one byte, 00 or 01
+    grams = shared_grams(texts, n_units, hot_rows).select(F.col("family").cast("int").alias("unit"), "units", "sizes", "grams", "texts", "places", (marked > 0).alias("some_hot"))
+    grams = materialize(grams.withColumn("bucket", _bucket(n_buckets)), "repeat-grams")
+    by_unit = texts.groupBy("bucket", "unit")
+    segments = by_unit.cogroup(grams.groupBy("bucket", "unit")).applyInArrow(_segments, SEGMENT_DDL)
     dealt = segments.repartition(max(n_units, partitions_for(texts, 0)), "h").sortWithinPartitions("h")
     flags = dealt.mapInArrow(_flag, FLAG_DDL)
-    hot = grams.filter(F.octet_length("hot") > 0)
+    hot = grams.filter("some_hot")
     if hot.limit(1).count():
-        windows = by_unit.cogroup(hot.select("unit", "hot").groupBy("unit")).applyInArrow(_hot_windows, "unit int, ord int, doc_id bigint, starts array<int>, digest binary")
+        windows = by_unit.cogroup(hot.groupBy("bucket", "unit")).applyInArrow(_hot_windows, "unit int, ord int, doc_id bigint, starts array<int>, digest binary")
         windows = materialize(windows, "repeat-windows")
         smallest = materialize(windows.groupBy("digest").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).filter("smallest < largest"), "repeat-smallest")
         late = windows.join(smallest, "digest").filter("smallest < doc_id").select("unit", "ord", "starts")
@@ -435,14 +538,11 @@ def flagged(texts: DataFrame, n_units: int, hot_rows: int = HOT_ROWS) -> DataFra
 
 
 def _per_text(docs: DataFrame, fn, ddl: str, hot_rows: int) -> DataFrame:
-    """``fn`` over every unit's texts and flagged runs, stored; the table of texts is dropped again."""
+    """``fn`` over every unit's texts and flagged runs, stored."""
     spark = docs.sparkSession
-    with arrow_rows(spark, BATCH_ROWS):
-        name, n_units = text_table(docs)
-        texts = spark.table(name)
-        out = materialize(texts.groupBy("unit").cogroup(flagged(texts, n_units, hot_rows).groupBy("unit")).applyInArrow(fn, ddl), "repeat-texts")
-        spark.sql(f"DROP TABLE {name}")
-    return out
+    with arrow_rows(spark, BATCH_ROWS), _met_by_bucket(spark), text_table(docs) as (texts, n_units, n_buckets):
+        flags = flagged(texts, n_units, n_buckets, hot_rows).withColumn("bucket", _bucket(n_buckets))
+        return materialize(texts.groupBy("bucket", "unit").cogroup(flags.groupBy("bucket", "unit")).applyInArrow(fn, ddl), "repeat-texts")
 
 
 def report(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

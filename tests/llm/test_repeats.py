@@ -78,12 +78,12 @@ PERIODIC = [(1, "abcdefghij klmno " * 400), (2, "xyz " + "abcdefghij klmno " * 3
 
 def test_a_gram_is_hot_by_its_places():
     batch = pa.RecordBatch.from_pydict({"unit": pa.array([0, 0, 1, 1], pa.int32()), "text": [text for _, text in PERIODIC]})
-    made = pa.Table.from_batches(repeats._gram_blobs(1)(iter([batch])))
-    out = repeats._shared_grams(100)(made)
+    made = pa.Table.from_batches(repeats._gram_blobs(1, 1)(iter([batch])))
+    out = repeats._shared_grams(100, 1)(made)
     texts = pa.table({"unit": pa.array([0, 0], pa.int32()), "doc_id": [1, 2], "digest": [b"a", b"b"], "text": [text for _, text in PERIODIC[:2]]})
     rows = repeats._segments(texts, out)["h"].to_numpy()
     assert len(rows) == 0 or np.unique(rows, return_counts=True)[1].max() <= 100
-    assert any(out["hot"].to_pylist())
+    assert repeats._Grams.read(out)[2].any()
     windows = repeats._hot_windows(texts, out)
     assert 0 < windows.num_rows < 200
 
@@ -92,3 +92,44 @@ def test_a_gram_is_hot_by_its_places():
 def test_short_periods_equal_brute_force(docs, hot_rows):
     got = sorted(tuple(r) for r in repeats.report(docs(PERIODIC), hot_rows).collect())
     assert got == sorted(removal(PERIODIC))
+
+
+@pytest.mark.parametrize("fan", [2, 5, 512])
+def test_many_units_few_buckets_and_several_passes(docs, spark, monkeypatch, fan):
+    monkeypatch.setattr(repeats, "UNIT_BYTES", 200)
+    monkeypatch.setattr(repeats, "RANGE_BYTES", 300)
+    monkeypatch.setattr(repeats, "MAX_BUCKETS", 7)
+    monkeypatch.setattr(repeats, "FAN", fan)
+    rows = make(8, 50)
+    with repeats.text_table(docs(rows), 200) as (texts, n_units, n_buckets):
+        assert n_units > 40 and n_buckets == 7 and texts.select("unit").distinct().count() > 20
+        assert repeats.fan_levels(n_units) >= (2 if fan < 512 else 1)
+    real = repeats.text_table
+    monkeypatch.setattr(repeats, "text_table", lambda d: real(d, 200))
+    got = sorted((tuple(r) for r in repeats.report(docs(rows), 3).collect()), key=repr)
+    assert got == sorted(removal(rows), key=repr)
+
+
+def test_texts_stay_where_they_lie(docs, spark):
+    with repeats.arrow_rows(spark, 100), repeats._met_by_bucket(spark), repeats.text_table(docs(make(8, 50)), 200) as (texts, n_units, n_buckets):
+        flags = spark.createDataFrame([], repeats.FLAG_DDL).withColumn("bucket", repeats._bucket(n_buckets))
+        met = texts.groupBy("bucket", "unit").cogroup(flags.groupBy("bucket", "unit")).applyInArrow(repeats._summary, "doc_id bigint, digest binary, n_removed bigint, n_spans bigint, kept_sha256 string")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+    left = plan[: plan.index("Scan parquet")]
+    assert "Exchange" not in left.split("FlatMapCoGroups")[1]
+
+
+def test_a_failed_run_leaves_no_table(docs, spark):
+    before = len(spark.catalog.listTables())
+    with pytest.raises(RuntimeError), repeats.text_table(docs(make(8, 5))):
+        raise RuntimeError
+    assert len(spark.catalog.listTables()) == before
+
+
+def test_ranges_hold_equally_many_grams():
+    data = np.random.default_rng(3).integers(97, 123, 2_000_000, dtype=np.uint8)
+    h = np.unique(repeats._short(repeats.minimizers(data)[0]))
+    assert len(h) > 100_000 and len(h) == len(np.unique(repeats.minimizers(data)[0] >> np.uint64(16)))
+    for n in (8, 64, 256):
+        counts = np.bincount(repeats.range_of(h, n), minlength=n)
+        assert counts.max() < 1.3 * counts.mean()
