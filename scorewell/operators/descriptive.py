@@ -138,11 +138,14 @@ def count_by_cohort(demographics: DataFrame, cohort_map: DataFrame) -> DataFrame
 
 
 def participant_summary(demographics: DataFrame, cohort_map: DataFrame | None = None) -> DataFrame:
-    """Total and every breakdown in one pass with grouping sets: ``breakdown, label, n, pct``."""
+    """Total and every breakdown in one pass with grouping sets: ``breakdown, label, grade, n, pct``.
+
+    Grade levels are broken down by the grade as it was answered, too (``grade``; NULL in other breakdowns).
+    """
     df = demographics.select(
         "user_id",
         F.coalesce("gender", F.lit("Unknown")).alias("gender"),
-        F.coalesce("grade_level", F.lit("Unknown")).alias("grade_level"),
+        F.coalesce("grade_level", F.lit("Unknown")).alias("grade_level"), F.coalesce("grade", F.lit("Unknown")).alias("grade"),
         language_label(F.col("first_language_english")).alias("language"),
     )
     dims = ["gender", "grade_level", "language"]
@@ -152,16 +155,16 @@ def participant_summary(demographics: DataFrame, cohort_map: DataFrame | None =
         )
         dims.append("cohort_id")
     # one row per user first: the distinct count becomes a plain count inside the grouping sets
-    users = df.groupBy("user_id").agg(*[F.max(d).alias(d) for d in dims])
-    sets = [[F.col(d)] for d in dims] + [[]]
-    cube = users.groupingSets(sets, *dims).agg(
+    users = df.groupBy("user_id").agg(F.max(F.struct("grade_level", "grade")).alias("_l"), *[F.max(d).alias(d) for d in dims if d != "grade_level"]).select("*", "_l.*")
+    sets = [[F.col("grade_level"), F.col("grade")] if d == "grade_level" else [F.col(d)] for d in dims] + [[]]
+    cube = users.groupingSets(sets, *dims, "grade").agg(
         F.count(F.lit(1)).alias("n"), *[F.grouping(d).alias(f"_g_{d}") for d in dims]
     )
     breakdown, label = F.lit("total"), F.lit("all")
     for d in dims:
         breakdown = F.when(F.col(f"_g_{d}") == 0, d).otherwise(breakdown)
         label = F.when(F.col(f"_g_{d}") == 0, F.col(d)).otherwise(label)
-    flat = cube.select(breakdown.alias("breakdown"), label.alias("label"), "n")
+    flat = cube.select(breakdown.alias("breakdown"), label.alias("label"), "grade", "n")
     total = users.agg(F.count(F.lit(1)).alias("_total"))
     return _share(flat, total)
 

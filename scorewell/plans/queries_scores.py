@@ -298,6 +298,15 @@ def _(spark, sf):
     return df.groupBy("instrument_key", "module_id", "question_id", "construct").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("unresolved_items", sql("SELECT CASE WHEN module_num = 6 THEN 'unknown_test' ELSE concat('module', CAST(module_num AS VARCHAR), '_', base) END AS instrument_key, CASE WHEN module_num = 6 THEN question_id ELSE 'Q9' END AS question_id, CASE WHEN module_num = 6 THEN 'instrument' ELSE 'question' END AS reason, count(*) AS n_rows FROM scored WHERE module_num = 6 OR question_id = 'Q3' GROUP BY ALL", "scored"))
+def _(spark, sf):
+    """Answers of module 6 under an undefined instrument, and Q3 of the others under a question that is not listed."""
+    df = cn.normalize_schema(t.responses(spark, sf))
+    lost = F.col("instrument_key").startswith("module6")
+    df = df.withColumn("question_id", F.when(~lost & (F.col("question_id") == "Q3"), " Q9").otherwise(F.col("question_id"))).withColumn("instrument_key", F.when(lost, "unknown_test ").otherwise(F.col("instrument_key")))
+    return cn.unresolved_items(df, t.rulebook(spark).item_dim)
+
+
 @query("attach_grade", sql("SELECT r.user_id, question_id, instrument_name, grade FROM responses r LEFT JOIN demographics d ON r.user_id = d.user_id", "responses", "demographics"))
 def _(spark, sf):
     return cn.attach_grade(t.responses(spark, sf), t.demographics(spark, sf)).select("user_id", "question_id", "instrument_name", "grade")
@@ -607,11 +616,11 @@ def _(spark, sf):
 
 @query(
     "participant_summary",
-    sql(f"""WITH d AS (SELECT user_id, coalesce(gender, 'Unknown') AS gender, coalesce(grade_level, 'Unknown') AS grade_level, {LANG} AS language,
+    sql(f"""WITH d AS (SELECT user_id, coalesce(gender, 'Unknown') AS gender, coalesce(grade_level, 'Unknown') AS grade_level, coalesce(grade, 'Unknown') AS grade, {LANG} AS language,
           coalesce(cohort_id, 'Unassigned') AS cohort_id FROM demographics LEFT JOIN cohort_map USING (user_id)),
-        u AS (SELECT 'gender' AS breakdown, gender AS label, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'grade_level', grade_level, count(*) FROM d GROUP BY 2
-          UNION ALL SELECT 'language', language, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'cohort_id', cohort_id, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM d)
-        SELECT breakdown, label, n, round(n / {TOTAL} * 100, 2) AS pct FROM u""", "demographics", "cohort_map"),
+        u AS (SELECT 'gender' AS breakdown, gender AS label, NULL AS grade, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'grade_level', grade_level, grade, count(*) FROM d GROUP BY 2, 3
+          UNION ALL SELECT 'language', language, NULL, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'cohort_id', cohort_id, NULL, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'total', 'all', NULL, count(*) FROM d)
+        SELECT breakdown, label, grade, n, round(n / {TOTAL} * 100, 2) AS pct FROM u""", "demographics", "cohort_map"),
 )
 def _(spark, sf):
     return de.participant_summary(t.demographics(spark, sf), t.cohort_map(spark, sf))

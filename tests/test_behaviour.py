@@ -464,3 +464,37 @@ def test_readers(spark, tmp_path):
     log = t.responses(spark, "/root/testdata/sf0.001").withColumn("extra", F.lit(1))
     log.write.parquet(str(tmp_path / "log"))
     assert src.read_responses(spark, str(tmp_path / "log")).columns == list(src.RESPONSE_COLUMNS)
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    log = t.responses(spark, "/root/testdata/sf0.001").withColumn("instrument_name", F.concat(F.when(F.col("question_id") == "Q2", " ").otherwise(""), "instrument_name"))
+    log.write.parquet(str(tmp_path / "log"))
+    raw, book = src.read_responses(spark, str(tmp_path / "log")), t.rulebook(spark)
+    specs = [
+        (cn.FilterSpec(module_ids=["module_2"], submitted_after="1996-01-01"), ["StringStartsWith(instrument_name,module2_", "GreaterThan(submitted_at"]),
+        (cn.FilterSpec(constructs=["effort", "amotivation"]), ["StringStartsWith(instrument_name,module1_engagement_survey", "StringStartsWith(question_id,Q4)"]),
+        (cn.FilterSpec(instrument_keys=["module3_content_mcq_assessment"], question_ids=["Q1", "Q2"]), ["StringStartsWith(instrument_name,module3_content", "StringStartsWith(question_id,Q1)"]),
+        (cn.FilterSpec(module_ids=["survey"]), []),
+        (cn.FilterSpec(module_ids=["module_2"], constructs=["no such"]), []),
+        (cn.FilterSpec(grades=["Adult"], module_ids=["module_1"], constructs=["task"]), ["StringStartsWith(instrument_name,module1_engagement_survey)"]),
+    ]
+    demo = t.demographics(spark, "/root/testdata/sf0.001")
+    whole = cn.canonical_dataset(raw, book, demo)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    for spec, wanted in specs:
+        df = cn.canonical_dataset(raw, book, demo, spec=spec)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans = " ".join(x for x in plan.splitlines() if "PushedFilters" in x and "instrument_name" in x)
+        assert all(w in scans for w in wanted), (wanted, scans)
+        key = lambda r: repr(tuple(r))
+        assert sorted(df.collect(), key=key) == sorted(spec.apply(whole).collect(), key=key)
+    many = cn.FilterSpec(instrument_keys=[f"module{i}_content_mcq_assessment" for i in range(1, 60)])
+    assert cn.canonical_dataset(raw, book, spec=many).count() == many.apply(cn.canonical_dataset(raw, book)).count() > 0
+
+
+def test_strict_metadata(spark):
+    raw = spark.createDataFrame([("u", "module1_engagement_survey", "Q1", "Agree"), ("u", "module1_engagement_survey", "Q99", "x"), ("u", "new_test", "Q1", "x")], "user_id string, instrument_name string, question_id string, response_value string")
+    book = t.rulebook(spark)
+    with pytest.raises(ContractError, match="module1_engagement_survey/Q99 .question, 1 rows., new_test/Q1 .instrument"):
+        cn.canonical_dataset(raw, book, strict=True)
+    assert cn.canonical_dataset(raw.limit(1), book, strict=True).count() == 1
