@@ -614,7 +614,27 @@ def _(spark, sf):
 # -- validation --------------------------------------------------------------------------------
 
 
-@query("validate_import")
+IMPORT_FAULTS = f"""{IMP}, nb AS (SELECT *, CAST(regexp_extract(user_id, '(\\d+)\\D*$', 1) AS INT) % 100 AS nn FROM imp),
+   br AS (SELECT CASE WHEN nn = 13 THEN concat(user_id, ' !') ELSE user_id END AS user_id, instrument_key, question_id, response_value, construct, cohort_id, CASE WHEN nn <> 17 THEN item_score END AS score FROM nb
+     UNION ALL SELECT user_id, instrument_key, question_id, response_value, construct, cohort_id, 9.0 FROM nb WHERE nn = 11),
+   us AS (SELECT user_id, count(DISTINCT cohort_id) AS k FROM br GROUP BY 1),
+   gp AS (SELECT (g.grade IS NULL)::INT + (g.gender IS NULL)::INT + (g.first_language_english IS NULL)::INT AS gaps FROM us LEFT JOIN demographics g ON g.user_id = us.user_id),
+   fd AS (SELECT 'bad_user_id' AS "check", 1 AS w, user_id AS v FROM us WHERE NOT regexp_matches(user_id, '^[A-Za-z0-9][A-Za-z0-9_-]{{1,39}}$')
+     UNION ALL SELECT 'id_of_platform_user', 1, user_id FROM us WHERE user_id IN (SELECT user_id FROM canon WHERE module_id <> 'module_2')
+     UNION ALL SELECT 'user_in_several_cohorts', 1, user_id FROM us WHERE k > 1
+     UNION ALL SELECT 'cohort_already_registered', 1, cohort_id FROM (SELECT DISTINCT cohort_id FROM br) WHERE cohort_id IN ('C3', 'Z')
+     UNION ALL SELECT 'unknown_instrument', 1, instrument_key FROM (SELECT DISTINCT instrument_key FROM br) WHERE instrument_key NOT IN ('module2_engagement_survey', 'module2_motivation_survey')
+     UNION ALL SELECT 'duplicate_rows', n - 1, NULL FROM (SELECT count(*) AS n FROM br GROUP BY user_id, instrument_key, question_id) WHERE n > 1
+     UNION ALL SELECT 'several_scores_for_one_answer', 1, NULL FROM (SELECT count(DISTINCT score) AS k FROM br GROUP BY instrument_key, question_id, response_value) WHERE k > 1),
+   sm AS (SELECT "check", string_agg(v, ',' ORDER BY v) AS sample FROM (SELECT "check", v, row_number() OVER (PARTITION BY "check" ORDER BY v) AS p FROM fd WHERE v IS NOT NULL) WHERE p <= 8 GROUP BY 1),
+   fi AS (SELECT fd."check", 'error' AS severity, sum(w)::BIGINT AS n, any_value(sm.sample) AS sample FROM fd LEFT JOIN sm ON sm."check" = fd."check" GROUP BY 1
+     UNION ALL SELECT 'empty_construct', 'error', count(*) FILTER (coalesce(trim(construct), '') = ''), NULL FROM br
+     UNION ALL SELECT 'score_not_numeric', 'warning', count(*) FILTER (score IS NULL), NULL FROM br
+     UNION ALL SELECT 'no_demographics', 'warning', count(*) FILTER (gaps = 3), NULL FROM gp
+     UNION ALL SELECT 'partial_demographics', 'warning', count(*) FILTER (gaps IN (1, 2)), NULL FROM gp)"""
+
+
+@query("validate_import", sql(f"WITH {IMPORT_FAULTS} SELECT * FROM fi WHERE n > 0", "canon", "demographics"))
 def _(spark, sf):
     """An import with planted faults: blanks, bad ids, clashes, repeats and unknown instruments."""
     df = imported(spark, sf).select(*va.REQUIRED_IMPORT)
