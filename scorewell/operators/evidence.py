@@ -34,8 +34,8 @@ def valence_matrix(evidence: DataFrame, constructs: Sequence[str], order: str) -
     return first.groupBy("participant_id").agg(*[F.max(F.when(F.col("construct_name") == c, F.col("_v"))).alias(c) for c in constructs])
 
 
-def summary_by_construct(evidence: DataFrame) -> DataFrame:
-    return evidence.groupBy("construct_name", "construct_group").agg(
+def summary_by_construct(evidence: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return evidence.groupBy(*by, "construct_name", "construct_group").agg(
         F.sum("evidence_count").alias("total_evidence"), F.count_if(F.col("evidence_count") > 0).alias("n_participants_with_evidence"),
         F.sum("valence_positive").alias("total_positive"), F.sum("valence_negative").alias("total_negative"), F.sum("valence_neutral").alias("total_neutral"),
     )
@@ -48,22 +48,22 @@ def summary_by_participant(evidence: DataFrame) -> DataFrame:
     )
 
 
-def participant_profiles(evidence: DataFrame, order: str) -> DataFrame:
-    """Per participant a map construct -> last evidence struct, and totals over all rows.
+def participant_profiles(evidence: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per participant (and ``by``) a map construct -> last evidence struct, and totals over all rows.
 
     Cells are reduced to one struct per construct first, so the map is bounded by the code book.
     """
     from ..core import last_row
 
     fields = ["evidence_count", "valence_positive", "valence_negative", "valence_neutral"]
-    last = last_row(evidence, ["participant_id", "construct_name"], [F.col(order)], fields)
-    maps = last.groupBy("participant_id").agg(
+    last = last_row(evidence, [*by, "participant_id", "construct_name"], [F.col(order)], fields)
+    maps = last.groupBy(*by, "participant_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("construct_name", F.struct(*fields).alias("v"))))).alias("constructs")
     )
-    totals = evidence.groupBy("participant_id").agg(
+    totals = evidence.groupBy(*by, "participant_id").agg(
         F.sum("evidence_count").alias("total_evidence"), F.sum("valence_positive").alias("total_positive"), F.sum("valence_negative").alias("total_negative")
     )
-    return maps.join(totals, "participant_id")
+    return maps.join(totals, [*by, "participant_id"])
 
 
 def low_evidence_flag(evidence: DataFrame, threshold: int = 0) -> DataFrame:

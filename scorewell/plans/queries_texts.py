@@ -12,6 +12,7 @@ from ..functions import numbers as nb
 from ..functions import replies as rp
 from ..functions import text as tx
 from ..functions.vectors import cosine
+from ..operators import analysis as an
 from ..operators import codes as cd
 from ..operators import coding as co
 from ..operators import ratings as ra
@@ -488,6 +489,42 @@ def _(spark, sf):
     return df.drop("prompt", "reply", "matched_indicators").withColumn("quotes", F.array_join("instances.quote", ",")).drop("instances")
 
 
+def stub_echo(prompt: str) -> dict:
+    return {"text": "; ".join(prompt.split("\n")[1:]), "error": None, "tokens_used": 1}
+
+
+EVIDENCED = f"""b AS (SELECT unnest(['self_efficacy', 'interest']) AS construct_name, unnest(['motivation', 'engagement']) AS construct_group,
+     unnest([length('Self Efficacy') + length('belief in oneself') + {len("; ".join(INDICATORS[:2]))}, length('Interest') + length('curiosity') + {len(INDICATORS[2])}]) AS k),
+   u AS (SELECT concat('run', CAST(doc_id % 3 AS VARCHAR)) AS run, construct_name, construct_group, (length('Find evidence.') + length('Look for: ') + 5 + k + length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) % 4 AS n
+     FROM documents, b WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+   ct AS (SELECT run, construct_name, sum(n) AS e, count(*) FILTER (n >= 1) AS p, count(*) FILTER (n >= 2) AS g, count(*) FILTER (n >= 3) AS o FROM u GROUP BY 1, 2)"""
+
+
+# the model's stand-in repeats its prompt, so the narrative is the construct table
+@query("deductive_report", f"""WITH {EVIDENCED} SELECT run, 2 AS n_constructs, 2 AS n_rows, string_agg(concat(construct_name, ': evidence=', CAST(e AS VARCHAR), ', positive=', CAST(p AS VARCHAR), ', negative=', CAST(g AS VARCHAR), ', neutral=', CAST(o AS VARCHAR), ', participants=', CAST(p AS VARCHAR)), '; ' ORDER BY construct_name) AS report_text,
+   CAST(NULL AS VARCHAR) AS error, 0 AS failed_parts FROM ct GROUP BY run""")
+def _(spark, sf):
+    found = co.extract_evidence(documents(spark, sf), BOOK, stub_evidence, "Find evidence.")
+    runs = found.withColumn("run", F.concat(F.lit("run"), (F.substring("participant_id", 2, 20).cast("bigint") % 3).cast("string")))
+    return an.deductive_report(runs, stub_echo, "Write it.").withColumn("n_rows", F.size("construct_table")).drop("construct_table")
+
+
+def letters(text):
+    """A stand-in for a sentence encoder: how often the text has each letter."""
+    return F.array(*[F.length(F.regexp_replace(F.lower(text), f"[^{c}]", "")).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+
+
+MODELS = {"code": stub_codes, "group": stub_themes, "define": stub_summary, "report": stub_report}
+TASKS = {"code": "Name the codes.", "group": "Group the codes.", "define": "Define the theme.", "report": "Write it."}
+
+
+@query("inductive_analysis")
+def _(spark, sf):
+    """Documents to report in one chain: counts of every step and the narrative."""
+    found = an.inductive_analysis(documents(spark, sf), MODELS, TASKS, letters, threshold=0.95)
+    return found["summary"].join(found["report"].select("run", "n_themes", "report_text", "error").withColumnRenamed("n_themes", "n_reported"), "run")
+
+
 @query("objective_evidence", """WITH t AS (SELECT concat('d', CAST(doc_id AS VARCHAR)) AS participant_id, doc_id % 9 AS m, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS c FROM documents),
    u AS (SELECT *, substr(string_split(c, chr(10))[-1], 1, 5) AS tail FROM t WHERE c <> '' AND m <> 8)
    SELECT participant_id, concat('module_', CAST(m AS VARCHAR)) AS module_id, i AS lo_index, CASE i WHEN 1 THEN 'name parts' ELSE 'compare parts' END AS lo_text, CAST(contains(tail, 'a') AS INT) AS evidence_present, CAST(NULL AS VARCHAR) AS error FROM u, (SELECT CAST(unnest([1, 2]) AS INT) AS i)""")

@@ -309,6 +309,55 @@ def test_failed_parts_are_told(spark):
     assert whole["error"] == "down" and whole["failed_parts"] == 0
 
 
+def test_inductive_chain(spark):
+    import json
+
+    from scorewell.operators import analysis as an
+
+    def code(prompt):
+        words = prompt.split("\n")[-1].split()
+        if "boom" in words:
+            return {"text": None, "error": "down"}
+        return {"text": json.dumps({"codes": [{"name": w, "description": "", "quote": f"about {w}"} for w in words]}), "error": None}
+
+    def group(prompt):
+        rows = [x.split(" | ")[:2] for x in prompt.split("\n")[2:]]
+        by = {}
+        for number, name in rows:
+            by.setdefault(name[0], []).append(int(number))
+        return {"text": json.dumps({"themes": [{"name": k, "description": "", "code_indices": sorted(set(v))} for k, v in sorted(by.items())]}), "error": None}
+
+    texts = ["apple pear apple", "avocado plum", "boom", "pear peach"]
+    docs = spark.createDataFrame([(i, f"p{i}", x) for i, x in enumerate(texts)], "doc_order bigint, participant_id string, content string")
+    models = {
+        "code": code, "group": group, "define": lambda p: {"text": json.dumps({"name": "x", "summary": ",".join(x.split(" | ")[0][2:] for x in p.split("\n")[1:])}), "error": None},
+        "report": lambda p: {"text": p.split("\n", 1)[1], "error": None},
+    }
+    vectors = lambda c: F.array(*[(c.startswith(w)).cast("double") for w in ("apple", "avocado", "pear", "peach", "plum")])
+    found = an.inductive_analysis(docs, models, dict.fromkeys(models, "x"), vectors)
+    s = found["summary"].first()
+    assert (s.n_chunks, s.n_failed_chunks, s.n_codes, s.n_kept, s.n_themes) == (4, 1, 7, 5, 2)
+    assert sorted(r["name"] for r in found["kept"].collect()) == ["apple", "avocado", "peach", "pear", "plum"]
+    assert {r.theme: r.summary for r in found["definitions"].collect()} == {"a": "apple,pear,avocado,plum", "p": "apple,pear,avocado,plum,peach"}  # by chunk
+    report = found["report"].first()
+    assert report["n_themes"] == 2 and report["report_text"].startswith("# a | apple,pear,avocado,plum\n> about apple") and report["error"] is None
+
+
+def test_deductive_chain(spark):
+    import json
+
+    from scorewell.operators import analysis as an
+
+    book = [{"name": "interest", "group": "g", "definition": "d", "indicators": ["really keen learner"]}, {"name": "worry", "group": "g", "definition": "d", "indicators": []}]
+    evidence = lambda p: {"text": json.dumps({"evidence_count": p.count("keen"), "instances": [{"quote": "keen", "valence": "positive"}] * p.split("\n")[-1].count("keen")}), "error": None}
+    docs = spark.createDataFrame([("p1", "keen and keen"), ("p2", "bored"), ("p3", " ")], "participant_id string, content string")
+    found = an.deductive_analysis(docs, book, {"evidence": evidence, "report": lambda p: {"text": p, "error": None}}, {"evidence": "x", "report": "Tell."}, run="r1")
+    report = found["report"].first()
+    assert report["n_constructs"] == 2 and [r["construct_name"] for r in report["construct_table"]] == ["interest", "worry"]
+    assert report["report_text"].split("\n")[2] == "worry: evidence=2, positive=2, negative=0, neutral=0, participants=1"
+    assert {r["participant_id"]: r["total_positive"] for r in found["profiles"].collect()} == {"p1": 4, "p2": 0}
+
+
 def test_names_that_are_null_stay_in_the_prompt(spark):
     df = spark.createDataFrame([("r", "T", 1, None, "d", "q"), ("r", "T", 2, "n", None, None)], "run string, theme string, code_id bigint, name string, description string, quote string")
     reply = lambda p: {"text": '{"name": "x", "summary": "%d"}' % sum(x.startswith("* ") for x in p.splitlines()), "error": None}
