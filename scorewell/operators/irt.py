@@ -7,7 +7,7 @@ summed by Spark; the M-step works on that items x nodes table on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,7 @@ from .ordered import cumulative_histogram
 MIN_N_HARD, MIN_N_WARN, FEW_ITEMS = 10, 100, 10  # fixed values
 EAP_GRID = np.linspace(-4, 4, 41)  # fixed value
 CLIP = 1e-10  # fixed value
+LOW_SLOPE, HIGH_SLOPE = 0.02, 8.0  # slopes end here, where answers do not (or perfectly) follow the ability
 
 
 def item_order(matrix: DataFrame, item: str = "question_id") -> list[str]:
@@ -30,14 +31,20 @@ def item_order(matrix: DataFrame, item: str = "question_id") -> list[str]:
     return [r[0] for r in matrix.select(item).distinct().orderBy(natural_key(F.col(item)), item).collect()]
 
 
-def response_patterns(matrix: DataFrame, items: Sequence[str], missing: str = "skip") -> DataFrame:
-    """``pattern array<double>`` (one slot per item, NULL = no answer), ``n`` persons."""
-    slots = F.array(*[F.lit(i) for i in items])
+def response_patterns(matrix: DataFrame, items: Sequence[str] | Mapping[str, Sequence[str]], missing: str = "skip") -> DataFrame:
+    """``pattern array<double>`` (one slot per item, NULL = no answer), ``n`` persons.
+
+    With a mapping of groups to items, ``matrix`` has a column ``g`` and patterns are made per group.
+    """
+    grouped = isinstance(items, Mapping)
+    by = ["g"] if grouped else []
     cells = matrix.filter(F.col("item_score").isNotNull())
-    persons = cells.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("question_id", "item_score"))).alias("m"))
+    persons = cells.groupBy(*by, "user_id").agg(F.map_from_entries(F.collect_list(F.struct("question_id", "item_score"))).alias("m"))
+    listed = lambda names: F.array(*[F.lit(i) for i in names])
+    slots = F.element_at(F.create_map(*[x for g, names in items.items() for x in (F.lit(g), listed(names))]), F.col("g")) if grouped else listed(items)
     fill = F.lit(0.0) if missing == "wrong" else F.lit(None).cast("double")
     pattern = F.transform(slots, lambda q: F.coalesce(F.try_element_at("m", q), fill))
-    return persons.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    return persons.groupBy(*by, pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -68,34 +75,73 @@ def _log_categories(model: str, params: dict, theta: np.ndarray) -> np.ndarray:
 
 def _expected_counts(patterns: DataFrame, logp: np.ndarray, log_prior: np.ndarray) -> tuple[np.ndarray, float]:
     """Expected persons per (item, category, node) and the marginal log-likelihood."""
-    n_items, n_cats, n_nodes = logp.shape
+    return _expected_counts_of(patterns.select(F.lit("").alias("g"), "pattern", "n"), {"": logp}, log_prior)[""]
+
+
+def _expected_counts_of(patterns: DataFrame, models: Mapping[str, np.ndarray], log_prior: np.ndarray) -> dict[str, tuple[np.ndarray, float]]:
+    """The same for several groups' models in one pass over their patterns."""
 
     def e_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, loglik = np.zeros((n_items, n_cats, n_nodes)), 0.0
+        total, loglik = {g: np.zeros(m.shape) for g, m in models.items()}, dict.fromkeys(models, 0.0)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x, c = _matrix(pdf["pattern"]), pdf["n"].to_numpy(dtype=float)
-            picks = [(x == k).astype(float) for k in range(n_cats)]
-            ll = sum(picks[k] @ logp[:, k, :] for k in range(n_cats)) + log_prior
-            top = ll.max(1, keepdims=True)
-            post = np.exp(ll - top)
-            norm = post.sum(1, keepdims=True)
-            post = post / norm * c[:, None]
-            loglik += float((c * (np.log(norm[:, 0]) + top[:, 0])).sum())
-            for k in range(n_cats):
-                total[:, k, :] += picks[k].T @ post
-        i, k, q = np.meshgrid(range(n_items), range(n_cats), range(n_nodes), indexing="ij")
-        yield pd.DataFrame({"i": np.append(i.ravel(), -1), "k": np.append(k.ravel(), 0), "q": np.append(q.ravel(), 0), "v": np.append(total.ravel(), loglik)})
-
-    parts = patterns.mapInPandas(e_step, "i int, k int, q int, v double")
-    out, loglik = np.zeros(logp.shape), 0.0
-    for r in parts.groupBy("i", "k", "q").agg(F.sum("v").alias("v")).collect():  # items x categories x nodes rows
+            for g, part in pdf.groupby("g"):
+                logp = models[g]
+                x, c = _matrix(part["pattern"]), part["n"].to_numpy(dtype=float)
+                picks = [(x == k).astype(float) for k in range(logp.shape[1])]
+                ll = sum(pick @ logp[:, k, :] for k, pick in enumerate(picks)) + log_prior
+                top = ll.max(1, keepdims=True)
+                post = np.exp(ll - top)
+                norm = post.sum(1, keepdims=True)
+                post = post / norm * c[:, None]
+                loglik[g] += float((c * (np.log(norm[:, 0]) + top[:, 0])).sum())
+                for k, pick in enumerate(picks):
+                    total[g][:, k, :] += pick.T @ post
+        for g, sums in total.items():
+            i, k, q = (np.append(x.ravel(), last) for x, last in zip(np.indices(sums.shape), (-1, 0, 0), strict=True))
+            yield pd.DataFrame({"g": g, "i": i, "k": k, "q": q, "v": np.append(sums.ravel(), loglik[g])})
+
+    parts = patterns.filter(F.col("g").isin(list(models))).select("g", "pattern", "n").mapInPandas(e_step, "g string, i int, k int, q int, v double")
+    out, loglik = {g: np.zeros(m.shape) for g, m in models.items()}, dict.fromkeys(models, 0.0)
+    for r in parts.groupBy("g", "i", "k", "q").agg(F.sum("v").alias("v")).collect():  # items x categories x nodes rows
         if r["i"] < 0:
-            loglik = r["v"]
+            loglik[r["g"]] = r["v"]
         else:
-            out[r["i"], r["k"], r["q"]] = r["v"]
-    return out, loglik
+            out[r["g"]][r["i"], r["k"], r["q"]] = r["v"]
+    return {g: (out[g], loglik[g]) for g in models}
+
+
+class Accelerated:
+    """Where the next EM step is taken: after two steps the rest of the way is extrapolated from how they shrank.
+
+    An extrapolation that lowers the likelihood is taken back. ``at`` is the point to step from; ``feed`` takes the step's
+    result and the log-likelihood at ``at``.
+    """
+
+    def __init__(self, start: np.ndarray, tol: float) -> None:
+        self.at, self.tol, self.steps, self.converged, self.loglik = start, tol, 0, False, float("nan")
+        self._trail: list[np.ndarray] = []
+        self._safe: tuple[np.ndarray, float] | None = None
+
+    def feed(self, new: np.ndarray, loglik: float) -> None:
+        self.steps += 1
+        if self._safe is not None:
+            (back, floor), self._safe = self._safe, None
+            if not loglik >= floor - 1e-10 * abs(floor):
+                self.at = back
+                return
+        self.loglik = loglik
+        if np.abs(new - self.at).max() < self.tol:
+            self.at, self.converged = new, True
+            return
+        self._trail.append(self.at)
+        self.at = new
+        if len(self._trail) == 2:
+            (first, second), self._trail = self._trail, []
+            step = second - first
+            bend = (new - second) - step
+            ahead = float(np.linalg.norm(step) / max(np.linalg.norm(bend), 1e-12))
+            if 1.0 < ahead < 100.0:
+                self.at, self._safe = first + 2 * ahead * step + ahead**2 * bend, (new, loglik)
 
 
 def _newton(value: Callable[[np.ndarray], float], start: np.ndarray, steps: int = 8) -> np.ndarray:
@@ -141,15 +187,13 @@ class Fit:
     converged: bool
     dropped: list[str]
     error: str | None = None
+    group: str = ""
 
     def item_params(self, spark) -> DataFrame:
         if self.model == "grm":
-            rows = [(i, float(a), [float(c) for c in cs]) for i, a, cs in zip(self.items, self.params["a"], self.params["cuts"])]
-            return spark.createDataFrame(rows, "item_id string, a double, thresholds array<double>")
-        a = self.params["a"]
-        return spark.createDataFrame(
-            [(i, float(s), float(d / s)) for i, s, d in zip(self.items, a, self.params["d"])], "item_id string, a double, b double"
-        )
+            return graded_params(spark, {self.group: self}).drop("g", "error")
+        rows = [(i, float(s), float(d / s), self.converged, self.iterations) for i, s, d in zip(self.items, self.params["a"], self.params["d"], strict=True)]
+        return spark.createDataFrame(rows, "item_id string, a double, b double, converged boolean, iterations int")
 
     def summary(self, spark) -> DataFrame:
         note = {"rasch": rasch_size_note, "2pl": twopl_size_note}.get(self.model)
@@ -180,13 +224,13 @@ def fit_binary(matrix: DataFrame, model: str = "rasch", missing: str = "skip", m
         reason = "fewer than 2 items with variance" if len(items) < 2 else f"fewer than {MIN_N_HARD} persons"
         return Fit(model, items, {"a": np.ones(len(items)), "d": np.zeros(len(items))}, float("nan"), n, 0, False, dropped, reason)
     z, log_prior = _grid()
-    a = np.full(len(items), 1.0 if sd is None else sd)
-    d, mu, tau2 = np.zeros(len(items)), 0.0, 1.0
-    loglik, it, converged, info = float("nan"), 0, False, np.ones(len(items))
-    for it in range(1, max_iter + 1):
+    k = len(items)
+    state = Accelerated(np.concatenate([np.full(k, 1.0 if sd is None else sd), np.zeros(k + 2)]), tol)  # slopes, difficulties, their mean and log variance
+    info = np.ones(k)
+    while state.steps < max_iter and not state.converged:
+        a, d, mu, tau2 = np.clip(state.at[:k], LOW_SLOPE, HIGH_SLOPE), state.at[k : 2 * k].copy(), state.at[-2], float(np.exp(np.clip(state.at[-1], -9, 9)))
         counts, loglik = _expected_counts(patterns, _log_categories("binary", {"a": a, "d": d}, z), log_prior)
         right, total = counts[:, 1, :], counts.sum(1)
-        old = np.concatenate([a, d])
         for _ in range(6):
             p = _logistic(a[:, None] * z[None, :] - d[:, None])
             gap, w = right - total * p, total * p * (1 - p)
@@ -195,21 +239,20 @@ def fit_binary(matrix: DataFrame, model: str = "rasch", missing: str = "skip", m
             if model == "2pl":
                 ga, haa, had = (gap * z).sum(1), (w * z * z).sum(1), (w * z).sum(1)
                 det = np.maximum(info * haa - had**2, 1e-9)
-                a = np.clip(a + np.clip((info * ga + had * grad_d) / det, -0.5, 0.5), 0.05, 6.0)
+                a = np.clip(a + np.clip((info * ga + had * grad_d) / det, -0.5, 0.5), LOW_SLOPE, HIGH_SLOPE)
                 d = d + np.clip((haa * grad_d + had * ga) / det, -1.0, 1.0)
             else:
                 d = d + np.clip(grad_d / info, -1.0, 1.0)
                 if sd is None:
                     step = (gap * z).sum() / max(1e-9, (w * z * z).sum())
-                    a = np.full(len(items), np.clip(a[0] + np.clip(step, -0.25, 0.25), 0.02, 8.0))
+                    a = np.full(k, np.clip(a[0] + np.clip(step, -0.25, 0.25), LOW_SLOPE, HIGH_SLOPE))
         if item_prior:
             mu = float(d.mean())
-            tau2 = float(max(1e-4, ((d - mu) ** 2 + 1 / info).mean()))
-        if np.abs(np.concatenate([a, d]) - old).max() < tol:
-            converged = True
-            break
+            tau2 = float(max(2e-4, ((d - mu) ** 2 + 1 / info).mean()))
+        state.feed(np.concatenate([a, d, [mu, np.log(tau2)]]), loglik)
+    a, d, tau2 = np.clip(state.at[:k], LOW_SLOPE, HIGH_SLOPE), state.at[k : 2 * k], float(np.exp(state.at[-1]))
     params = {"a": a, "d": d, "se": 1 / np.sqrt(info), "sigma_item": float(np.sqrt(tau2)) if item_prior else None, "sigma_person": float(a[0])}
-    return Fit(model, items, params, float(loglik), n, it, converged, dropped)
+    return Fit(model, items, params, float(state.loglik), n, state.steps, state.converged, dropped)
 
 
 def rasch_fit(matrix: DataFrame, missing: str = "skip", **kw) -> Fit:
@@ -220,39 +263,83 @@ def twopl_fit(matrix: DataFrame, missing: str = "skip", **kw) -> Fit:
     return fit_binary(matrix, "2pl", missing, **kw)
 
 
-def grm_fit(matrix: DataFrame, n_categories: int = 4, missing: str = "skip", max_iter: int = 60, tol: float = 1e-3) -> Fit:
+def grm_fit(matrix: DataFrame, n_categories: int = 4, missing: str = "skip", max_iter: int = 100, tol: float = 1e-3) -> Fit:
     """Graded response model for scores 1..n_categories: slope and ordered thresholds per item."""
-    shifted = matrix.select("user_id", "question_id", (F.col("item_score") - 1).alias("item_score"))
-    shifted, dropped = _varying(shifted)
-    items = item_order(shifted)
-    patterns = materialize(response_patterns(shifted, items, missing), "patterns")
-    n = patterns.agg(F.sum("n")).first()[0] or 0
-    k = n_categories - 1
-    params = {"a": np.ones(len(items)), "cuts": np.tile(np.linspace(-1, 1, k), (len(items), 1))}
-    if n < MIN_N_HARD:
-        return Fit("grm", items, params, float("nan"), n, 0, False, dropped, f"fewer than {MIN_N_HARD} persons")
+    fits = grm_fits(matrix.withColumn("g", F.lit("")), n_categories, missing, max_iter, tol)
+    return fits.get("") or Fit("grm", [], {"a": np.ones(0), "cuts": np.ones((0, n_categories - 1))}, float("nan"), 0, 0, False, [], f"fewer than {MIN_N_HARD} persons")
+
+
+def _graded(x: np.ndarray) -> dict:
+    """Slopes and thresholds from free parameters by item: slope, first intercept, log gaps between intercepts."""
+    a = np.clip(x[:, 0], LOW_SLOPE, HIGH_SLOPE)
+    gaps = np.cumsum(np.exp(np.clip(x[:, 2:], -6, 3)), axis=1)
+    return {"a": a, "cuts": (x[:, 1:2] + np.concatenate([np.zeros((len(x), 1)), gaps], axis=1)) / a[:, None]}
+
+
+def grm_fits(matrix: DataFrame, n_categories: int = 4, missing: str = "skip", max_iter: int = 100, tol: float = 1e-3) -> dict[str, Fit]:
+    """A graded response model for each group ``g`` of a matrix, all fitted in the same passes; groups by name.
+
+    A pass serves the groups that have not converged; items without variance are dropped from their group.
+    """
+    cells = matrix.select("g", "user_id", "question_id", (F.col("item_score") - 1).alias("item_score")).filter(F.col("item_score").isNotNull())
+    items = cells.groupBy("g", "question_id").agg(F.min("item_score").alias("low"), F.max("item_score").alias("high"))
+    listed = items.orderBy("g", natural_key(F.col("question_id")), "question_id").collect()  # the models have some numbers per item on the driver
+    kept, dropped = ({g: [r["question_id"] for r in listed if r["g"] == g and (r["low"] < r["high"]) == varies] for g in {r["g"] for r in listed}} for varies in (True, False))
+    patterns = materialize(response_patterns(cells, kept, missing), "patterns") if kept else None
+    persons = {r["g"]: r["n"] for r in patterns.groupBy("g").agg(F.sum("n").alias("n")).collect()} if kept else {}
     z, log_prior = _grid()
-    loglik, it, converged = float("nan"), 0, False
-    for it in range(1, max_iter + 1):
-        counts, loglik = _expected_counts(patterns, _log_categories("grm", params, z), log_prior)
-        a, cuts = params["a"].copy(), params["cuts"].copy()
-        for i in range(len(items)):
-            # free parameters: log slope, first threshold, log gaps
-            def value(x, c=counts[i]):
-                cut = x[1] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(x[2:], -6, 3)))])
-                lp = _log_categories("grm", {"a": np.array([np.exp(np.clip(x[0], -3, 2))]), "cuts": cut[None, :]}, z)
-                return float((c * lp[0]).sum())
-
-            start = np.concatenate([[np.log(a[i]), cuts[i, 0]], np.log(np.maximum(np.diff(cuts[i]), 1e-3))])
-            x = _newton(value, start, steps=3)
-            a[i] = np.exp(np.clip(x[0], -3, 2))
-            cuts[i] = x[1] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(x[2:], -6, 3)))])
-        change = max(np.abs(a - params["a"]).max(), np.abs(cuts - params["cuts"]).max())
-        params = {"a": a, "cuts": cuts}
-        if change < tol:
-            converged = True
-            break
-    return Fit("grm", items, params, float(loglik), n, it, converged, dropped)
+    states: dict[str, Accelerated] = {}
+    start = np.concatenate([[1.0, -1.0], np.full(n_categories - 2, np.log(2 / max(1, n_categories - 2)))])
+    for g, names in kept.items():
+        if persons.get(g, 0) >= MIN_N_HARD and names:
+            states[g] = Accelerated(np.tile(start, len(names)), tol)
+    shape = (-1, n_categories)
+    while active := {g: s for g, s in states.items() if not s.converged and s.steps < max_iter}:
+        models = {g: _log_categories("grm", _graded(s.at.reshape(shape)), z) for g, s in active.items()}
+        for g, (counts, loglik) in _expected_counts_of(patterns, models, log_prior).items():
+            new = []
+            for x, count in zip(active[g].at.reshape(shape), counts, strict=True):
+                new.append(_newton(lambda y, c=count: float((c * _log_categories("grm", _graded(y[None, :]), z)[0]).sum()), x, steps=3))
+            active[g].feed(np.concatenate(new), loglik)
+    out = {}
+    for g, names in kept.items():
+        if g in states:
+            s = states[g]
+            out[g] = Fit("grm", names, _graded(s.at.reshape(shape)), float(s.loglik), persons[g], s.steps, s.converged, dropped[g], group=g)
+        else:
+            reason = f"fewer than {MIN_N_HARD} persons" if names else "no item with variance"
+            out[g] = Fit("grm", names, _graded(np.tile(start, (len(names), 1))), float("nan"), persons.get(g, 0), 0, False, dropped[g], reason, g)
+    return out
+
+
+def graded_params(spark, fits: Mapping[str, Fit]) -> DataFrame:
+    """Item parameters of several groups in one frame, with each fit's convergence."""
+    rows = [(g, i, float(a), [float(c) for c in cs], f.converged, f.iterations, f.error) for g, f in sorted(fits.items()) for i, a, cs in zip(f.items, f.params["a"], f.params["cuts"], strict=True)]
+    return spark.createDataFrame(rows, "g string, item_id string, a double, thresholds array<double>, converged boolean, iterations int, error string")
+
+
+def score_residuals(matrix: DataFrame, params: DataFrame) -> DataFrame:
+    """Per binary item the two sides of its likelihood equations at ``params`` (item_id, a, b), divided by its answers.
+
+    At a maximum the mean of answer minus expected answer (``gap``) is zero for every item, and for items with a slope of their
+    own also its mean product with the ability (``slope_gap``); expectations are over each person's posterior.
+    """
+    z, log_prior = _grid()
+    nodes, prior = F.array(*[F.lit(float(t)) for t in z]), F.array(*[F.lit(float(w)) for w in log_prior])
+    eta = F.transform(nodes, lambda t: F.col("a") * (t - F.col("b")))
+    dim = params.select(F.col("item_id").alias("question_id"), F.transform(eta, lambda e: 1 / (1 + F.exp(-e))).alias("p"))
+    cells = matrix.filter(F.col("item_score").isNotNull()).join(dim, "question_id")
+    lp = F.transform("p", lambda p: F.log(F.when(F.col("item_score") == 1, p).otherwise(1 - p)))
+    each = cells.withColumn("_l", lp).groupBy("user_id").agg(*[F.sum(F.element_at("_l", q + 1)).alias(f"s{q}") for q in range(len(z))])
+    ll = F.zip_with(F.array(*[f"s{q}" for q in range(len(z))]), prior, lambda x, y: x + y)
+    weight = each.select("user_id", ll.alias("ll")).select("user_id", F.transform("ll", lambda x: F.exp(x - F.array_max("ll"))).alias("w"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    weight = weight.select("user_id", F.transform("w", lambda x: x / total(F.col("w"))).alias("w"))
+    off = F.transform("p", lambda p: F.col("item_score") - p)
+    terms = cells.join(weight, "user_id").withColumn("_t", F.zip_with("w", off, lambda w, o: w * o))
+    return terms.groupBy(F.col("question_id").alias("item_id")).agg(
+        F.avg(total(F.col("_t"))).alias("gap"), F.avg(total(F.zip_with("_t", nodes, lambda x, t: x * t))).alias("slope_gap")
+    )
 
 
 # -- abilities ---------------------------------------------------------------------------------
@@ -269,7 +356,8 @@ def _eap(weighted: DataFrame) -> DataFrame:
     df = weighted.withColumn("_p", post).withColumn("_s", total(F.col("_p")))
     df = df.withColumn("theta", total(F.zip_with("_p", grid, lambda a, b: a * b)) / F.col("_s"))
     spread = F.zip_with("_p", grid, lambda a, b: a * (b - F.col("theta")) * (b - F.col("theta")))
-    return df.select("user_id", "theta", F.sqrt(total(spread) / F.col("_s")).alias("theta_se"))
+    keys = [c for c in weighted.columns if c != "ll"]
+    return df.select(*keys, "theta", F.sqrt(total(spread) / F.col("_s")).alias("theta_se"))
 
 
 def ability_eap(matrix: DataFrame, params: DataFrame, missing: str = "skip") -> DataFrame:
@@ -295,17 +383,18 @@ def ability_eap(matrix: DataFrame, params: DataFrame, missing: str = "skip") ->
     return _eap(summed.select("user_id", F.array(*[F.col(f"s{q}") for q in range(len(EAP_GRID))]).alias("ll")))
 
 
-def ability_eap_graded(matrix: DataFrame, params: DataFrame) -> DataFrame:
-    """EAP for graded items; ``params``: item_id, a, thresholds; scores count from 1."""
+def ability_eap_graded(matrix: DataFrame, params: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """EAP for graded items; ``params``: item_id, a, thresholds; scores count from 1. ``by`` are columns of both, say a
+    construct, within which a person has an ability each."""
     nodes = F.array(*[F.lit(float(t)) for t in EAP_GRID])
     edges = F.concat(F.array(F.lit(float("-inf"))), F.col("thresholds"), F.array(F.lit(float("inf"))))
     above = lambda t, cut: 1 / (1 + F.exp(-F.col("a") * (t - cut)))
-    by_score = params.select(F.col("item_id").alias("question_id"), "a", F.posexplode(F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda low, i: F.struct(low.alias("low"), F.get(edges, i + 1).alias("high")))).alias("_k", "_cut"))
+    by_score = params.select(*by, F.col("item_id").alias("question_id"), "a", F.posexplode(F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda low, i: F.struct(low.alias("low"), F.get(edges, i + 1).alias("high")))).alias("_k", "_cut"))
     p = F.transform(nodes, lambda t: F.log(F.greatest(F.lit(CLIP), above(t, F.col("_cut.low")) - above(t, F.col("_cut.high")))))
-    dim = by_score.select("question_id", (F.col("_k") + 1).cast("int").alias("_score"), p.alias("lp"))
-    cells = matrix.withColumn("_score", F.col("item_score").cast("int")).join(dim, ["question_id", "_score"])
-    summed = cells.groupBy("user_id").agg(*[F.sum(F.element_at("lp", q + 1)).alias(f"s{q}") for q in range(len(EAP_GRID))])
-    return _eap(summed.select("user_id", F.array(*[F.col(f"s{q}") for q in range(len(EAP_GRID))]).alias("ll")))
+    dim = by_score.select(*by, "question_id", (F.col("_k") + 1).cast("int").alias("_score"), p.alias("lp"))
+    cells = matrix.withColumn("_score", F.col("item_score").cast("int")).join(dim, [*by, "question_id", "_score"])
+    summed = cells.groupBy(*by, "user_id").agg(*[F.sum(F.element_at("lp", q + 1)).alias(f"s{q}") for q in range(len(EAP_GRID))])
+    return _eap(summed.select(*by, "user_id", F.array(*[F.col(f"s{q}") for q in range(len(EAP_GRID))]).alias("ll")))
 
 
 def _residuals(matrix: DataFrame, abilities: DataFrame, params: DataFrame) -> DataFrame:

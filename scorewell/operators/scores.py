@@ -233,6 +233,14 @@ def likert_matrix(canonical: DataFrame, base: str, construct: str) -> DataFrame:
     return df.groupBy("user_id", "question_id").agg(F.bround(F.avg(F.bround("item_score"))).alias("item_score"))
 
 
+def likert_matrices(canonical: DataFrame, bases: Sequence[str]) -> DataFrame:
+    """``likert_matrix`` of every construct of several surveys at once; ``g`` names survey and construct."""
+    hits = [F.when(matches_base(F.col("instrument_key"), b), F.lit(b)) for b in bases]
+    df = canonical.withColumn("_b", F.coalesce(*hits)).filter("_b IS NOT NULL AND construct IS NOT NULL AND item_score IS NOT NULL")
+    named = df.groupBy(F.concat_ws(":", "_b", "construct").alias("g"), "user_id", "question_id")
+    return named.agg(F.bround(F.avg(F.bround("item_score"))).alias("item_score"))
+
+
 def response_forms(matrix: DataFrame) -> DataFrame:
     """Groups of users who answered the same set of items, largest first, labelled ``Form 1..``.
 

@@ -101,21 +101,57 @@ def _(spark, sf):
 
 @query("twopl_fit")
 def _(spark, sf):
-    return rounded(irt.twopl_fit(matrix(spark, sf), max_iter=60, tol=1e-3).item_params(spark), 2)
+    return rounded(irt.twopl_fit(matrix(spark, sf)).item_params(spark), 2)
+
+
+SOLVED = f"WITH {BINARY} SELECT question_id AS item_id, true AS solved, true AS converged FROM bin GROUP BY 1 HAVING min(item_score) < max(item_score)"
+
+
+def solved(spark, sf, fit, slopes):
+    """Whether the likelihood equations of each item hold at the fitted parameters, computed apart from the fit."""
+    m = matrix(spark, sf)
+    f = fit(m)
+    p = f.item_params(spark)
+    at_end = F.col("a") <= irt.LOW_SLOPE  # a slope at its lower end may only want to fall
+    free = (F.abs("slope_gap") < 2e-4) | at_end & (F.col("slope_gap") < 0) if slopes else F.lit(True)
+    return irt.score_residuals(m, p).join(p, "item_id").select("item_id", ((F.abs("gap") < 2e-4) & free).alias("solved"), "converged")
+
+
+@query("rasch_score_equations", sql(SOLVED, "scored"))
+def _(spark, sf):
+    return solved(spark, sf, irt.rasch_fit, False)
+
+
+@query("twopl_score_equations", sql(SOLVED, "scored"))
+def _(spark, sf):
+    return solved(spark, sf, irt.twopl_fit, True)
 
 
 @query("grm_fit")
 def _(spark, sf):
-    m = sc.likert_matrix(t.scored(spark, sf), "engagement_survey", "task")
-    fit = irt.grm_fit(m, max_iter=25)
-    return fit.item_params(spark).select("item_id", F.round("a", 2).alias("a"), F.transform("thresholds", lambda x: F.round(x, 2)).alias("thresholds"))
+    """Every construct of both surveys in the same passes."""
+    fits = irt.grm_fits(sc.likert_matrices(t.scored(spark, sf), t.SURVEYS))
+    return irt.graded_params(spark, fits).withColumn("a", F.round("a", 2)).withColumn("thresholds", F.transform("thresholds", lambda x: F.round(x, 2)))
+
+
+@query("grm_convergence", sql("SELECT concat(base, ':', construct) AS g, count(DISTINCT question_id) AS n_items, true AS converged, true AS ordered FROM scored WHERE construct IS NOT NULL AND item_score IS NOT NULL GROUP BY 1", "scored"))
+def _(spark, sf):
+    fits = irt.grm_fits(sc.likert_matrices(t.scored(spark, sf), t.SURVEYS))
+    p = irt.graded_params(spark, fits)
+    rising = F.forall(F.sequence(F.lit(1), F.size("thresholds") - 1), lambda i: F.element_at("thresholds", i) < F.element_at("thresholds", i + 1))
+    return p.groupBy("g").agg(F.count(F.lit(1)).alias("n_items"), F.bool_and("converged").alias("converged"), F.bool_and(rising).alias("ordered"))
 
 
-@query("ability_eap_graded")
+@query("ability_eap_graded", sql("""WITH it AS (SELECT concat(base, ':', construct) AS g, user_id, question_id, round_even(avg(round_even(item_score, 0)), 0) AS x FROM scored WHERE construct IS NOT NULL AND item_score IS NOT NULL GROUP BY 1, 2, 3),
+   ip AS (SELECT g, question_id, avg(x) - 4.0 AS t1, avg(x) - 2.5 AS t2, avg(x) - 1.0 AS t3 FROM it GROUP BY 1, 2), gr AS (SELECT -4 + 0.2 * i AS th, exp(-0.5 * (-4 + 0.2 * i) * (-4 + 0.2 * i)) AS w FROM range(0, 41) t(i)),
+   lc AS (SELECT g, question_id, th, w, 1 / (1 + exp(-1.2 * (th - t1))) AS u1, 1 / (1 + exp(-1.2 * (th - t2))) AS u2, 1 / (1 + exp(-1.2 * (th - t3))) AS u3 FROM ip, gr),
+   ll AS (SELECT it.g, user_id, th, w, sum(ln(greatest(1e-10, CASE x WHEN 1 THEN 1 - u1 WHEN 2 THEN u1 - u2 WHEN 3 THEN u2 - u3 ELSE u3 END))) AS l FROM it JOIN lc ON lc.g = it.g AND lc.question_id = it.question_id GROUP BY ALL),
+   ea AS (SELECT g, user_id, sum(exp(l) * w * th) / sum(exp(l) * w) AS theta FROM ll GROUP BY 1, 2)
+   SELECT ll.g, ll.user_id, round(theta, 6) AS theta, round(sqrt(sum(exp(l) * w * (th - theta) * (th - theta)) / sum(exp(l) * w)), 6) AS theta_se FROM ll JOIN ea ON ea.g = ll.g AND ea.user_id = ll.user_id GROUP BY 1, 2, theta""", "scored"))
 def _(spark, sf):
-    m = sc.likert_matrix(t.scored(spark, sf), "engagement_survey", "task")
-    params = m.groupBy(F.col("question_id").alias("item_id")).agg(F.lit(1.2).alias("a"), F.array((F.avg("item_score") - 4.0), (F.avg("item_score") - 2.5), (F.avg("item_score") - 1.0)).alias("thresholds"))
-    return rounded(irt.ability_eap_graded(m, params))
+    m = sc.likert_matrices(t.scored(spark, sf), t.SURVEYS)
+    params = m.groupBy("g", F.col("question_id").alias("item_id")).agg(F.lit(1.2).alias("a"), F.array((F.avg("item_score") - 4.0), (F.avg("item_score") - 2.5), (F.avg("item_score") - 1.0)).alias("thresholds"))
+    return rounded(irt.ability_eap_graded(m, params, ["g"]))
 
 
 @query("cpi_quant_irt")
@@ -125,6 +161,13 @@ def _(spark, sf):
     return rounded(ix.quant_irt(irt.ability_eap(m, fit.item_params(spark))), 3)
 
 
+@query("cpi_quant_irt_closed_form", sql(f"WITH {BINARY}, {GRID} SELECT user_id, round(theta, 6) AS theta, round(se, 6) AS theta_se, round(round(1 / (1 + exp(-theta)), 10), 4) AS cpi_quant_irt FROM es", "scored"))
+def _(spark, sf):
+    """The index at item difficulties that have a closed form, so that SQL can say the same."""
+    m = matrix(spark, sf)
+    return rounded(ix.quant_irt(irt.ability_eap(m, logit_params(m))))
+
+
 @query("item_difficulty_glmm")
 def _(spark, sf):
     return rounded(irt.item_difficulty_glmm(matrix(spark, sf))[0], 3)
