@@ -10,7 +10,7 @@ from ..streaming import jobs
 from ..streaming.tables import KeyedTable
 from . import tables as t
 from .queries_admin import PROGRESS, REQUIRED, ROLL
-from .registry import query
+from .registry import ORACLES, query
 from .sqltext import sql
 
 
@@ -74,6 +74,36 @@ def _(spark, sf):
     return state.read().drop("as_of")
 
 
+def _unlocks(spark, sf, earlier: bool = False) -> DataFrame:
+    """The log of ``stream_unlocks`` over answers that come out of order, and some of them twice."""
+    jobs.use_rocksdb(spark)
+    r = t.responses(spark, sf)
+    when, cut = F.col("submitted_at"), lambda d: F.lit(d).cast("timestamp_ntz")
+    odd = F.substring("question_id", 2, 9).cast("int") % 2 == 1
+    slices = [(when >= cut("1997-01-01")) & odd, when < cut("1998-01-01"), (when >= cut("1997-01-01"))]
+    stream = as_stream(spark, r, slices[1:] if earlier else slices)
+    start = jobs.submissions(r.filter(slices[0])) if earlier else None
+    path = shared_dir(spark, "unlocks")
+    jobs.run_to_table(jobs.stream_unlocks(stream, REQUIRED, start), path, shared_dir(spark, "ckpt"), "update")
+    return spark.read.schema(jobs.PROGRESS_DDL).parquet(path)
+
+
+@query("stream_unlocks", ORACLES["stream_progress"])
+def _(spark, sf):
+    return jobs.progress_of(_unlocks(spark, sf))
+
+
+@query("stream_unlocks_resumed", sql(COMPLETIONS, "parsed"))
+def _(spark, sf):
+    """State that starts with earlier completions; with those, the log has every first submission."""
+    r = t.responses(spark, sf)
+    odd = F.substring("question_id", 2, 9).cast("int") % 2 == 1
+    known = jobs.submissions(r.filter((F.col("submitted_at") >= F.lit("1997-01-01").cast("timestamp_ntz")) & odd))
+    both = known.unionByName(jobs.completions_of(_unlocks(spark, sf, earlier=True)))
+    first = both.groupBy("user_id", "module_id", "instrument_key").agg(F.min("completed_at").alias("completed_at"))
+    return first.withColumn("completed_at", F.col("completed_at").cast("timestamp_ntz"))
+
+
 @query("stream_lockouts", "WITH " + ROLL.format(us=172_800_000_000).replace("SELECT user_id, event_id, ts, failed, n_failures, n_failures >= 3", "SELECT user_id, event_id, ts, n_failures, n_failures >= 3"))
 def _(spark, sf):
     jobs.use_rocksdb(spark)

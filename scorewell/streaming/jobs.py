@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..core import last_row
+from ..functions.text import infer_module
 from ..operators.canonical import normalize_schema
 from ..operators.progress import module_progress
 from ..operators.scoring import score_items
@@ -40,19 +42,20 @@ def stream_scores(responses: DataFrame, rules: DataFrame, table: KeyedTable, che
     return responses.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def submissions(responses: DataFrame) -> DataFrame:
+    """(user_id, module_id, instrument_key, completed_at) of raw answers; a ``moduleN`` prefix names the module, else it is inferred."""
+    module = F.concat(F.lit("module_"), F.regexp_extract("instrument_key", r"^module(\d+)", 1))
+    named = F.when(F.col("instrument_key").rlike(r"^module\d+"), module).otherwise(infer_module(F.col("instrument_key")))
+    return normalize_schema(responses).select("user_id", named.alias("module_id"), "instrument_key", F.col("submitted_at").cast("timestamp").alias("completed_at"))
+
+
 def stream_completions(responses: DataFrame, table: KeyedTable, checkpoint: str, watermark: str | None = None) -> StreamingQuery:
     """Record each (user, module, instrument) once, at its first submission.
 
     With a watermark, repeats inside it are dropped in bounded state before they reach the table; the
     table itself ignores keys it already has.
     """
-    from ..functions.text import infer_module
-
-    df = normalize_schema(responses).select(
-        "user_id", infer_module(F.col("instrument_key")).alias("_inferred"), "instrument_key", F.col("submitted_at").cast("timestamp").alias("completed_at")
-    )
-    module = F.concat(F.lit("module_"), F.regexp_extract("instrument_key", r"^module(\d+)", 1))
-    df = df.select("user_id", F.when(F.col("instrument_key").rlike(r"^module\d+"), module).otherwise(F.col("_inferred")).alias("module_id"), "instrument_key", "completed_at")
+    df = submissions(responses)
     keys = ["user_id", "module_id", "instrument_key"]
     if watermark:
         df = df.withWatermark("completed_at", watermark).dropDuplicatesWithinWatermark(keys)
@@ -63,10 +66,7 @@ def stream_progress(responses: DataFrame, completions: KeyedTable, progress: Key
     """Completions plus the unlock state of the users a batch touches."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = normalize_schema(batch).select(
-            "user_id", F.concat(F.lit("module_"), F.regexp_extract("instrument_key", r"^module(\d+)", 1)).alias("module_id"),
-            "instrument_key", F.col("submitted_at").cast("timestamp").alias("completed_at"),
-        )
+        rows = submissions(batch)
         completions.insert(rows, batch_id)
         done = completions.read()
         if done is None:
@@ -78,6 +78,77 @@ def stream_progress(responses: DataFrame, completions: KeyedTable, progress: Key
     return responses.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+PROGRESS_DDL = "kind string, user_id string, module_id string, instrument_key string, completed_us bigint, position int, complete boolean, unlocked boolean, version bigint"
+
+
+def _progress_processor(required: Sequence[tuple[str, Sequence[str]]]) -> StatefulProcessor:
+    """In this function for the same reason as ``_bucket_processor``."""
+
+    class ProgressProcessor(StatefulProcessor):
+        """One user's first submission per (module, instrument), and what follows for the modules."""
+
+        def __init__(self, required):
+            self.required = [(module, sorted(set(instruments))) for module, instruments in required]
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.done = handle.getMapState("done", "module_id string, instrument_key string", "us bigint")
+            self.version = handle.getValueState("version", "n bigint")
+
+        def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+            for module, instrument, us in initialState[["module_id", "instrument_key", "completed_us"]].itertuples(index=False):
+                self._first((module, instrument), int(us))
+
+        def _first(self, name: tuple, us: int) -> bool:
+            if self.done.containsKey(name) and self.done.getValue(name)[0] <= us:
+                return False
+            self.done.updateValue(name, (us,))
+            return True
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            came = pd.concat(list(rows)).dropna(subset=["module_id", "instrument_key", "completed_us"])
+            least = came.groupby(["module_id", "instrument_key"])["completed_us"].min()
+            fresh = self.version.exists()
+            n = int(self.version.get()[0]) + 1 if fresh else 1
+            out = [("completion", key[0], *name, int(us), None, None, None, n) for name, us in least.items() if self._first(name, int(us))]
+            if out or not fresh:
+                self.version.update((n,))
+                done = {tuple(name) for name in self.done.keys()}
+                open_ = True
+                for position, (module, wanted) in enumerate(self.required, 1):
+                    complete = bool(wanted) and all((module, w) in done for w in wanted)
+                    out.append(("module", key[0], module, None, None, position, complete, open_, n))
+                    open_ = complete
+            frame = pd.DataFrame(out, columns=["kind", "user_id", "module_id", "instrument_key", "completed_us", "position", "complete", "unlocked", "version"])
+            yield frame.astype({"completed_us": "Int64", "position": "Int32", "complete": "boolean", "unlocked": "boolean", "version": "int64"})
+
+        def close(self) -> None:
+            pass
+
+    return ProgressProcessor(required)
+
+
+def stream_unlocks(responses: DataFrame, required: Sequence[tuple[str, Sequence[str]]], earlier: DataFrame | None = None) -> DataFrame:
+    """Completions and module states as a stream, from state kept per user; no table is read.
+
+    Each batch brings, for the users it changes, ``completion`` rows (new, or earlier than known) and a ``module`` row per module
+    under a higher version, so repeated answers bring nothing and late ones correct what was said. ``completions_of`` and
+    ``progress_of`` read the rows as tables. A user's state is as large as the instruments. ``earlier`` are completions
+    (user_id, module_id, instrument_key, completed_at) that the state starts with. Needs the RocksDB state store.
+    """
+    timed = lambda df: df.select(F.col("user_id").cast("string").alias("user_id"), "module_id", "instrument_key", F.unix_micros(F.col("completed_at").cast("timestamp")).alias("completed_us"))
+    start = timed(earlier).groupBy("user_id") if earlier is not None else None
+    return timed(submissions(responses)).groupBy("user_id").transformWithStateInPandas(_progress_processor(required), PROGRESS_DDL, "Update", "None", start)
+
+
+def completions_of(log: DataFrame) -> DataFrame:
+    first = log.filter("kind = 'completion'").groupBy("user_id", "module_id", "instrument_key").agg(F.min("completed_us").alias("us"))
+    return first.select("user_id", "module_id", "instrument_key", F.timestamp_micros("us").alias("completed_at"))
+
+
+def progress_of(log: DataFrame) -> DataFrame:
+    return last_row(log.filter("kind = 'module'"), ["user_id", "module_id"], [F.col("version")], ["position", "complete", "unlocked"])
+
+
 def _bucket_processor(window_us: int, bucket_us: int) -> StatefulProcessor:
     """The processor class lives in this function so that it travels by value: the streaming runner of
     the driver does not see files added for executors."""
@@ -148,9 +219,15 @@ def stream_lockouts(attempts: DataFrame, window_s: int = 300, threshold: int = 3
     )
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Drain a stream into an append-only Parquet table."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Drain a stream into a Parquet table that only grows; rows of an update stream go into a folder per batch, so a batch
+    that runs twice writes the same folder."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"))
+    query = writer.start()
     query.awaitTermination()
 
 
