@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core import materialize
 from ..functions.numbers import kappa_band
 from .ordered import cumulative_histogram
 
@@ -98,8 +99,8 @@ def krippendorff_alpha(ratings_a: DataFrame, ratings_b: DataFrame, unit: Sequenc
     """Krippendorff's alpha of two raters: one row with alpha, unit counts, and an error if untestable.
 
     Observed disagreement is a sum over units. Expected disagreement needs the pooled value counts:
-    closed forms in sums for nominal and interval, running totals for ordinal and ratio, so value
-    pairs are never enumerated for the first two and only per distinct value for ordinal.
+    closed forms in sums for nominal and interval, running totals for ordinal; for ratio distinct values
+    meet in blocks.
     """
     a = ratings_a.select(*unit, F.col(value).alias("x"))
     b = ratings_b.select(*unit, F.col(value).alias("y"))
@@ -142,35 +143,46 @@ def krippendorff_alpha(ratings_a: DataFrame, ratings_b: DataFrame, unit: Sequenc
     )
 
 
+VALUE_BLOCK = 2048  # distinct values that meet as many others at once
+
+
 def _ratio_expected(pooled: DataFrame) -> DataFrame:
     """Sum over unordered value pairs of n_c n_k ((c - k) / (c + k))^2.
 
-    The distance does not split into sums per value, so this reads the histogram of distinct rating
-    values: codes of a closed code book. It is bounded by an explicit check, not by truncation.
+    The distance does not split into sums per value, so the histogram of distinct values meets itself: in blocks dealt by a
+    hash, each pair of blocks once, a pair being one small matrix of which only its sum leaves a task.
     """
-    limit = 2000
-    values = [(float(r["v"]), float(r["n_v"])) for r in pooled.limit(limit + 1).collect()]
-    if len(values) > limit:
-        raise ValueError(f"ratio level supports up to {limit} distinct codes; treat the measure as interval")
-    v, w = np.array([x for x, _ in values]), np.array([y for _, y in values])
-    total = v[:, None] + v[None, :]
-    d = np.divide(v[:, None] - v[None, :], total, out=np.zeros((len(v), len(v))), where=total != 0) ** 2
-    e = float((w[:, None] * w[None, :] * d).sum() / 2)
-    return pooled.sparkSession.createDataFrame([(float(w.sum()), e)], "n double, e double")
+    values = materialize(pooled.select(F.col("v").cast("double").alias("v"), "n_v"), "values")
+    n_blocks = max(1, -(-values.count() // VALUE_BLOCK))
+    item = F.struct("v", "n_v")
+    blocks = values.groupBy(F.pmod(F.xxhash64("v"), F.lit(n_blocks)).alias("i")).agg(F.collect_list(item).alias("x"))
+    other = blocks.select(F.col("i").alias("j"), F.col("x").alias("y"))
+    met = blocks.withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n_blocks - 1).cast("bigint")))).join(other, "j")
+
+    def add(batches):
+        for pdf in batches:
+            sums = []
+            for i, j, x, y in zip(pdf["i"], pdf["j"], pdf["x"], pdf["y"], strict=True):
+                (a, m), (b, n) = (np.array([(r["v"], r["n_v"]) for r in side], dtype=float).T for side in (x, y))
+                total = a[:, None] + b[None, :]
+                d = np.divide(a[:, None] - b[None, :], total, out=np.zeros(total.shape), where=total != 0) ** 2
+                sums.append(float(m @ d @ n) / (2 if i == j else 1))
+            yield pd.DataFrame({"e": sums}, dtype="float64")
+
+    e = met.select("i", "j", "x", "y").mapInPandas(add, "e double").agg(F.sum("e").alias("e"))
+    return values.agg(F.sum("n_v").alias("n")).join(F.broadcast(e))  # two single rows
 
 
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """Cumulative true and false positives by descending score, ties merged."""
     y = F.col(label).cast("double")
     neg = df.filter(F.col(score).isNotNull() & y.isNotNull()).select((-F.col(score).cast("double")).alias("_s"), y.alias("_y"))
-    pos = cumulative_histogram(neg, [], "_s", F.col("_y"))
-    all_ = cumulative_histogram(neg, [], "_s")
-    joined = all_.join(pos.select("_s", F.col("n").alias("tp_here"), F.col("n_before").alias("tp_before"), F.col("n_total").alias("p")), "_s")
-    tp = F.col("tp_before") + F.col("tp_here")
+    hist = cumulative_histogram(neg, [], "_s", also=F.col("_y"))
+    tp = F.col("m_before") + F.col("m")
     fp = F.col("n_before") + F.col("n") - tp
-    return joined.select(
-        (-F.col("_s")).alias("threshold"), tp.alias("tp"), fp.alias("fp"), "p", (F.col("n_total") - F.col("p")).alias("q"),
-        F.col("tp_here"), (F.col("n") - F.col("tp_here")).alias("fp_here"),
+    return hist.select(
+        (-F.col("_s")).alias("threshold"), tp.alias("tp"), fp.alias("fp"), F.col("m_total").alias("p"), (F.col("n_total") - F.col("m_total")).alias("q"),
+        F.col("m").alias("tp_here"), (F.col("n") - F.col("m")).alias("fp_here"),
     )
 
 

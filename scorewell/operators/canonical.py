@@ -266,8 +266,11 @@ def canonical_dataset(
 
 
 def dataset_fingerprint(canonical: DataFrame, config_hash: str = "") -> DataFrame:
-    """Order-free hash of all rows plus the configuration hash: one row, no sort, no collect."""
-    row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in canonical.columns])), 256)
+    """Order-free hash of all rows plus the configuration hash: one row, no sort, no collect.
+
+    A row's text is its values as strings, ``\\N`` for NULL, joined by U+0001, so other engines can say the same.
+    """
+    row = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in canonical.columns]), 256)
     lanes = [F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(5)]
     sums = canonical.agg(
         F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(l), F.lit(0)).alias(f"s{i}") for i, l in enumerate(lanes)]

@@ -25,26 +25,23 @@ def ranged(df: DataFrame, value: str, name: str = "ranged") -> DataFrame:
     return materialize(df.repartitionByRange(n, value).withColumn("_range", F.spark_partition_id()), name)
 
 
-def cumulative_histogram(df: DataFrame, by: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
+def cumulative_histogram(df: DataFrame, by: Sequence[str], value: str, weight: Column | None = None, also: Column | None = None) -> DataFrame:
     """One row per (by, value): ``n`` rows there, ``n_before`` rows with a smaller value, ``n_total``.
 
-    The histogram is stored once: it is read several times below, and the input plan behind it must not run again.
+    ``also`` is a second weight, summed in the same pass into ``m``, ``m_before`` and ``m_total``. The histogram is stored once: it is read several times below, and the input plan behind it must not run again.
     """
     by = list(by)
-    total = (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")
-    hist = ranged(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(total), value, "histogram")
-    per_range = hist.groupBy(*by, "_range").agg(F.sum("n").alias("_in_range"))
-    ordered = W.partitionBy(*by).orderBy("_range")
+    sums = {"n": F.count(F.lit(1)) if weight is None else F.sum(weight)} | ({} if also is None else {"m": F.sum(also)})
+    hist = ranged(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[x.alias(c) for c, x in sums.items()]), value, "histogram")
+    per_range = hist.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_in_{c}") for c in sums])
+    ordered, inside = W.partitionBy(*by).orderBy("_range"), W.partitionBy(*by, "_range").orderBy(value)
     offsets = per_range.select(
-        *by,
-        "_range",
-        (F.sum("_in_range").over(ordered) - F.col("_in_range")).alias("_offset"),
-        F.sum("_in_range").over(W.partitionBy(*by)).alias("n_total"),
+        *by, "_range", *[(F.sum(f"_in_{c}").over(ordered) - F.col(f"_in_{c}")).alias(f"_offset_{c}") for c in sums],
+        *[F.sum(f"_in_{c}").over(W.partitionBy(*by)).alias(f"{c}_total") for c in sums],
     )
-    inside = W.partitionBy(*by, "_range").orderBy(value)
-    local = hist.withColumn("_local", F.sum("n").over(inside) - F.col("n"))
+    local = hist.withColumns({f"_local_{c}": F.sum(c).over(inside) - F.col(c) for c in sums})
     joined = _join_null_safe(local, offsets, [*by, "_range"])
-    return joined.select(*by, value, "n", (F.col("_offset") + F.col("_local")).alias("n_before"), "n_total")
+    return joined.select(*by, value, *[x for c in sums for x in (c, (F.col(f"_offset_{c}") + F.col(f"_local_{c}")).alias(f"{c}_before"), f"{c}_total")])
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -58,8 +55,26 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Mid-rank of ``value`` within ``by`` (ties share their mean rank)."""
     hist = cumulative_histogram(df, by, value)
-    ranks = hist.select(*by, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out))
-    return _join_null_safe(df.filter(F.col(value).isNotNull()), ranks, [*by, value])
+    ranks = hist.select(*by, value, "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias(out))
+    return carry_back(df.filter(F.col(value).isNotNull()), ranks, [*by, value], out)
+
+
+HOT_SHARE = 1000  # a value with more than one in so many rows is hot; there are at most so many hot values
+
+
+def carry_back(df: DataFrame, facts: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """``df`` with the column ``out`` of ``facts``, which has one row per ``keys`` and the number ``n`` of its rows in ``df``.
+
+    Hot keys, at most ``HOT_SHARE`` whatever the data, are looked up in a broadcast table; their rows then go through the join
+    of the others scattered by a salt, so a key that holds a third of the rows is no single task.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = facts.filter(F.col("n") * HOT_SHARE > total).select(*keys, F.col(out).alias("_hot"))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
+    told = _join_null_safe(df, F.broadcast(hot), keys, "left").withColumn("_salt", salt.cast("bigint"))
+    others = facts.filter(F.col("n") * HOT_SHARE <= total).select(*keys, F.col(out).alias("_cold"), F.lit(0).cast("bigint").alias("_salt"))
+    joined = _join_null_safe(told, others, [*keys, "_salt"], "left")
+    return joined.withColumn(out, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt")
 
 
 def ordinal_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str = "position") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import last_row
+from .ordered import ordinal_rank
 
 
 def users_by(users: DataFrame, cohort: str | None = None, status: str | None = None) -> DataFrame:
@@ -153,32 +154,39 @@ def rolling_failures(attempts: DataFrame, user: str, ts: str, failed: str, windo
     )
 
 
-def question_draw(users: DataFrame, bank: DataFrame, n: int, mode: str = "random", ids: Sequence[str] | None = None, seed: int = 7) -> DataFrame:
-    """Questions per user: ``random`` n of the bank, a ``fixed`` id list, or the ``first`` n.
+def draw_positions(user: Column, n: int, size: int, seed: int) -> Column:
+    """``n`` different numbers below ``size`` in random order, the same for the same (seed, user), any set equally likely.
 
-    The bank is configuration (id, position) and travels as one array literal per row, so a user's
-    draw is a sort of that array by a hash of (seed, user, question): no join, no window, repeatable.
+    The k-th draw is a hash modulo the numbers that are left; it becomes a number by skipping the drawn ones in order.
     """
-    from ..core import MAX_CONFIG_ROWS
 
-    rows = bank.select("question_id", "position").orderBy("position").limit(MAX_CONFIG_ROWS + 1).collect()
-    if len(rows) > MAX_CONFIG_ROWS:
-        raise ValueError("a question bank is configuration; this table is too large to be one")
-    order = [r["question_id"] for r in rows]
+    def draw(drawn: Column, k: Column) -> Column:
+        digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), user, k.cast("string"))), 1, 12)
+        start = F.conv(digits, 16, 10).cast("bigint") % (F.lit(size).cast("bigint") - k)
+        return F.concat(drawn, F.array(F.aggregate(F.array_sort(drawn), start, lambda x, taken: x + F.when(taken <= x, 1).otherwise(0))))
+
+    steps = F.sequence(F.lit(0), F.lit(min(n, size) - 1)) if min(n, size) > 0 else F.array().cast("array<int>")
+    return F.aggregate(steps, F.array().cast("array<bigint>"), draw)
+
+
+def question_draw(users: DataFrame, bank: DataFrame, n: int, mode: str = "random", ids: Sequence[str] | None = None, seed: int = 7) -> DataFrame:
+    """Questions per user: ``random`` n of the bank, a ``fixed`` id list (those the bank has), or the ``first`` n.
+
+    A random draw is n positions per user, made without the bank, and a join that looks them up, so work grows with the
+    questions drawn and a bank may have any size.
+    """
+    listed = None
     if mode == "fixed" and ids:
-        chosen = [q for q in ids if q in set(order)]
-        picked = F.array(*[F.lit(q) for q in (chosen or order[:n])])
-    elif mode == "random":
-        keyed = F.array_sort(F.transform(
-            F.array(*[F.lit(q) for q in order]),
-            lambda q: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("user_id"), q)).alias("h"), q.alias("q")),
-        ))
-        picked = F.transform(F.slice(keyed, 1, n), lambda s: s["q"])
-    else:
-        picked = F.array(*[F.lit(q) for q in order[:n]])
-    return users.select("user_id", F.posexplode(picked).alias("_p", "question_id")).select(
-        "user_id", (F.col("_p") + 1).alias("position"), "question_id"
-    )
+        known = {r[0] for r in bank.filter(F.col("question_id").isin(list(ids))).select("question_id").distinct().collect()}  # at most ids
+        listed = [q for q in ids if q in known]
+    if mode != "random" and not listed:
+        listed = [r["question_id"] for r in bank.orderBy("position").limit(n).select("question_id").collect()]  # n ids
+    if listed is not None:
+        drawn = users.select("user_id", F.posexplode(F.array(*[F.lit(q) for q in listed]).cast("array<string>")).alias("_p", "question_id"))
+        return drawn.select("user_id", (F.col("_p") + 1).alias("position"), "question_id")
+    places = ordinal_rank(bank.select("question_id", "position"), [], "position", "question_id", "_at").select((F.col("_at") - 1).cast("bigint").alias("_q"), "question_id")
+    drawn = users.select("user_id", F.posexplode(draw_positions(F.col("user_id"), n, bank.count(), seed)).alias("_p", "_q"))
+    return drawn.join(places, "_q").select("user_id", (F.col("_p") + 1).alias("position"), "question_id")
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], run: str, order: Sequence[str]) -> DataFrame:

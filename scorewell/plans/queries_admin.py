@@ -212,7 +212,10 @@ def bank(spark, sf):
     return t.table(spark, sf, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("question_id"), F.col("item_id").alias("position"))
 
 
-@query("question_draw_random", sql("SELECT user_id, CAST(r AS INT) AS position, question_id FROM (SELECT user_id, concat('B', CAST(item_id AS VARCHAR)) AS question_id, row_number() OVER (PARTITION BY user_id ORDER BY md5(concat('7|', user_id, '|B', CAST(item_id AS VARCHAR)))) AS r FROM cohort_map, benchmark) WHERE r <= 5", "cohort_map"))
+@query("question_draw_random", sql("""WITH RECURSIVE nn AS (SELECT count(*) AS n FROM benchmark), dr AS (SELECT user_id, 0 AS k, []::BIGINT[] AS c FROM cohort_map UNION ALL
+     SELECT user_id, k + 1, list_append(c, list_reduce(list_prepend(CAST(concat('0x', substr(md5(concat('7|', user_id, '|', CAST(k AS VARCHAR))), 1, 12)) AS BIGINT) % (n - k), list_sort(c)), lambda x, y: x + CASE WHEN y <= x THEN 1 ELSE 0 END)) FROM dr, nn WHERE k < 5),
+   bk AS (SELECT concat('B', CAST(item_id AS VARCHAR)) AS question_id, row_number() OVER (ORDER BY item_id) - 1 AS q FROM benchmark)
+   SELECT user_id, CAST(p AS INT) AS position, bk.question_id FROM (SELECT user_id, unnest(c) AS q, unnest(range(1, 6)) AS p FROM dr WHERE k = 5) x JOIN bk ON bk.q = x.q""", "cohort_map"))
 def _(spark, sf):
     return rg.question_draw(t.cohort_map(spark, sf), bank(spark, sf), 5)
 

@@ -284,6 +284,19 @@ def _(spark, sf):
     return rounded(ag.agreement_summary(raters(spark, sf), "a", "b"))
 
 
+POINT = """SELECT n::BIGINT AS n, round(ex, 6) AS exact, round(near, 6) AS within1, round(k, 6) AS kappa_w, CASE WHEN k > 0.8 THEN 'almost perfect' WHEN k > 0.6 THEN 'substantial' WHEN k > 0.4 THEN 'moderate' WHEN k > 0.2 THEN 'fair' WHEN k > 0 THEN 'slight' ELSE 'poor' END AS band,
+   true AS in_interval, true AS narrow FROM (SELECT *, 1 - o / (e / n) AS k FROM x)"""
+
+
+@query("agreement_point", f"""WITH {RATERS}, m AS (SELECT count(*)::DOUBLE AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS ex, avg(CASE WHEN abs(a - b) <= 1 THEN 1.0 ELSE 0 END) AS near, sum((a - b) * (a - b) / 25.0) AS o FROM rt),
+   ma AS (SELECT a, count(*)::DOUBLE AS ca FROM rt GROUP BY 1), mb AS (SELECT b, count(*)::DOUBLE AS cb FROM rt GROUP BY 1), ex AS (SELECT sum(ca * cb * (a - b) * (a - b) / 25.0) AS e FROM ma, mb), x AS (SELECT * FROM m, ex) {POINT}""")
+def _(spark, sf):
+    """The summary without its random interval, of which it is told that it holds the point and is narrow."""
+    s = ag.agreement_summary(raters(spark, sf), "a", "b")
+    inside = (F.col("kappa_lo") <= F.col("kappa_w")) & (F.col("kappa_w") <= F.col("kappa_hi"))
+    return rounded(s.withColumn("in_interval", inside).withColumn("narrow", F.col("kappa_hi") - F.col("kappa_lo") < 8 / F.sqrt("n")).drop("kappa_lo", "kappa_hi"))
+
+
 def _rating(spark, sf, which):
     p = t.table(spark, sf, "part")
     if which == "a":

@@ -314,3 +314,44 @@ def test_fdr_matches_definition(spark):
         running = min(running, s[i - 1][0] * len(s) / i)
         want[s[i - 1][1]] = running
     assert got["h4"] is None and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_draws_are_uniform_and_without_repeats(spark):
+    from scorewell.operators import registry as rg
+
+    users = spark.range(6000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("user_id"))
+    bank = spark.createDataFrame([(f"q{i}", 10 * i) for i in range(7)], "question_id string, position int")
+    rows = rg.question_draw(users, bank, 3).toPandas()
+    assert len(rows) == 18_000 and rows.groupby("user_id")["question_id"].nunique().eq(3).all()
+    for _, part in rows.groupby("position"):
+        counts = part["question_id"].value_counts()
+        assert len(counts) == 7 and (counts - 6000 / 7).abs().max() < 5 * (6000 / 7) ** 0.5
+    sets = rows.groupby("user_id")["question_id"].agg(lambda q: tuple(sorted(q))).value_counts()
+    assert len(sets) == 35 and (sets - 6000 / 35).abs().max() < 5 * (6000 / 35) ** 0.5
+    assert rg.question_draw(users.limit(2), bank, 9).groupBy("user_id").count().collect()[0]["count"] == 7
+    assert rg.question_draw(users.limit(2), bank.limit(0), 3).count() == 0
+
+
+def test_hot_values_are_looked_up_in_a_small_table(spark):
+    from scorewell.operators import ordered
+
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 3 == 1, F.col("id").cast("double")).alias("x"), F.when(F.col("id") % 2 == 0, "a").alias("g"))
+    got = ordered.average_rank(df, ["g"], "x").toPandas()
+    assert len(got) == 4000
+    want = got["x"].groupby(got["g"].fillna("-")).rank(method="average")
+    assert (got["rank"] == want).all()
+
+
+def test_ratio_level_beyond_one_block(spark, monkeypatch):
+    from scorewell.operators import agreement as ag
+
+    monkeypatch.setattr(ag, "VALUE_BLOCK", 40)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 300, 400)
+    y = np.maximum(0, x + rng.integers(-20, 20, 400))
+    sides = [spark.createDataFrame([(i, int(v)) for i, v in enumerate(c)], "u bigint, v bigint") for c in (x, y)]
+    (row,) = ag.krippendorff_alpha(*sides, ["u"], "v", "ratio").collect()
+    pool = np.concatenate([x, y]).astype(float)
+    d = lambda a, b: np.where(a + b > 0, (a - b) ** 2 / np.maximum(a + b, 1) ** 2, 0.0)
+    expected = d(pool[:, None], pool[None, :]).sum() / (800 * 799)
+    assert row["alpha"] == pytest.approx(1 - d(x.astype(float), y.astype(float)).mean() / expected, abs=1e-9)
