@@ -17,6 +17,7 @@ from .ordered import cumulative_histogram, quantiles_of
 
 ALPHA = 0.05
 LOW_N_NORMALITY = 20  # fixed value
+MAX_N_NORMALITY = 5000  # fixed value
 LOW_N = 30  # fixed value
 POSITIONS_PER_TASK_STEP = 100_000
 
@@ -100,7 +101,11 @@ def _shapiro_wilk(
 
 
 def normality(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Shapiro-Wilk W and p, population skewness and excess kurtosis, verdict, per group."""
+    """Shapiro-Wilk W and p, population skewness and excess kurtosis, verdict, per group.
+
+    ``large_n_warning`` marks groups above 5,000 values, where the p-value's approximation was not fitted and the test rejects
+    for deviations that do not matter.
+    """
     by = list(by)
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     for k in by:
@@ -142,7 +147,7 @@ def normality(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
         *by, "n", "statistic", "p_value",
         F.when(tested, (F.col("_s3") / n) / F.pow(var, F.lit(1.5))).alias("skewness"),
         F.when(tested, (F.col("_s4") / n) / (var * var) - 3).alias("kurtosis"),
-        verdict.alias("verdict"), (tested & low).alias("low_n_warning"), error.alias("error"),
+        verdict.alias("verdict"), (tested & low).alias("low_n_warning"), (tested & (n > MAX_N_NORMALITY)).alias("large_n_warning"), error.alias("error"),
     )
 
 

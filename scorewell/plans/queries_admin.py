@@ -367,6 +367,17 @@ def _(spark, sf):
     return back.groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_name") == "").alias("empty_names"), two.alias("two_lines"))
 
 
+@query("read_item_bank", """SELECT 'bank' AS instrument_key, concat('B', CAST(item_id AS VARCHAR)) AS question_id, concat('What is "', CAST(item_id AS VARCHAR), '"?') AS question, concat('A) ', left(text, 20), '|', 'B: none') AS options FROM benchmark""")
+def _(spark, sf):
+    """Item banks as files of one JSON array each, read side by side."""
+    path = shared_dir(spark, "bank")
+    i = F.col("item_id").cast("string")
+    item = F.struct(F.concat(F.lit("B"), i).alias("id"), F.concat(F.lit('What is "'), i, F.lit('"?')).alias("question"), F.array(F.concat(F.lit("A) "), F.substring("text", 1, 20)), F.lit("B: none")).alias("options"))
+    banks = t.table(spark, sf, "benchmark").groupBy((F.col("item_id") % 8).alias("part")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    banks.write.partitionBy("part").text(path)
+    return src.read_item_bank(spark, path, "bank").withColumn("options", F.array_join("options", "|"))
+
+
 @query("import_summary", sql(f"WITH {IMP} SELECT cohort_id, count(DISTINCT user_id) AS students, count(*) AS rows, count(DISTINCT module_id) AS modules FROM imp GROUP BY 1", "canon"))
 def _(spark, sf):
     return rg.import_summary(imported(spark, sf))

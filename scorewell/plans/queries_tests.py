@@ -37,6 +37,12 @@ def _(spark, sf):
     return rounded(inf.normality(assess(spark, sf), "pct_correct", ["instrument_key"]))
 
 
+@query("normality_flags", sql(f"WITH {ASSESS} SELECT left(instrument_key, 12) AS part, count(*) AS n, count(*) < 20 AS low_n_warning, count(*) > 5000 AS large_n_warning FROM assess GROUP BY 1", "canon"))
+def _(spark, sf):
+    df = assess(spark, sf).withColumn("part", F.substring("instrument_key", 1, 12))
+    return inf.normality(df, "pct_correct", ["part"]).select("part", "n", "low_n_warning", "large_n_warning")
+
+
 @query(
     "normality_moments",
     sql(

@@ -432,6 +432,16 @@ def _(spark, sf):
     return co.code_chunks(co.chunk_transcripts(documents(spark, sf), 2500), stub_codes, "Name the codes.")
 
 
+@query("code_documents", r"""WITH w AS (SELECT concat('d', CAST(doc_id AS VARCHAR)) AS participant_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents WHERE trim(text) <> ''),
+   c AS (SELECT participant_id, ws, unnest(range(1, least(3, len(ws)) + 1)) AS p FROM w WHERE len(ws) % 13 <> 0)
+   SELECT participant_id, CAST(p - 1 AS INT) AS position, concat('code ', lower(substr(ws[p], 1, 6))) AS name, concat('about ', ws[p]) AS description, ws[p] AS quote, CAST(NULL AS VARCHAR) AS error FROM c
+   UNION ALL SELECT participant_id, NULL, NULL, NULL, NULL, 'overloaded' FROM w WHERE len(ws) % 13 = 0""")
+def _(spark, sf):
+    """Every document is one chunk; some calls fail and stay as rows."""
+    coded = co.code_chunks(co.chunk_transcripts(documents(spark, sf), 100_000_000), stub_codes, "Name the codes.")
+    return coded.select("participant_id", "position", "name", "description", "quote", "error")
+
+
 @query("group_codes")
 def _(spark, sf):
     base, _ = themed(spark, sf)
@@ -576,9 +586,11 @@ def rated(spark, sf):
     return co.rate_items(src.item_records(bank, keys), stub_rating, "Rate it.", ["m1", "m2"], 2, created_at="2024-01-01")
 
 
-@query("summarize_corpus", "SELECT source, least(5, count(*)) AS n_texts, source IN ('src1', 'src2') AS from_cache FROM documents GROUP BY 1")
+@query("summarize_corpus", """WITH f AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
+   SELECT source, count(*) AS n_texts, source IN ('src1', 'src2') AS from_cache, replace(string_agg(concat('(', CAST(r AS VARCHAR), ') ', text), chr(10) || chr(10) ORDER BY r), chr(10), '; ') AS summary FROM f WHERE r <= 5 GROUP BY 1""")
 def _(spark, sf):
+    """The model's stand-in repeats the texts, so the summary shows which were sent, and in which order."""
     docs = documents(spark, sf)
-    first = co.summarize_corpus(docs.filter(F.col("source").isin("src1", "src2")), 5, stub_report, "Sum up.", by="source")
-    again = co.summarize_corpus(docs, 5, stub_report, "Sum up.", stored=first, by="source")
-    return again.select("source", "n_texts", "from_cache")
+    first = co.summarize_corpus(docs.filter(F.col("source").isin("src1", "src2")), 5, stub_echo, "Sum up.", by="source")
+    again = co.summarize_corpus(docs, 5, stub_echo, "Sum up.", stored=first, by="source")
+    return again.select("source", "n_texts", "from_cache", "summary")
