@@ -97,11 +97,14 @@ def bundles(texts: list[str], owners: np.ndarray, n_owners: int) -> np.ndarray:
     if not len(owner):
         return out
     words, word_no = np.unique(codes, return_inverse=True)
-    dense = np.zeros((n_owners, len(words)), dtype=np.float32)
+    order = np.argsort(word_no, kind="stable")
+    owner, word_no, counts = owner[order], word_no[order], counts[order]
     step = 1 << 13
-    dense[owner, word_no] = counts  # pairs are distinct
-    for i in range(0, len(words), step):
-        out += dense[:, i : i + step] @ letters().trigram_vectors(words[i : i + step]).astype(np.float32)
+    for i in range(0, len(words), step):  # a block of trigrams at a time: texts x step counts, however many trigrams there are
+        a, b = np.searchsorted(word_no, [i, i + step])
+        block = np.zeros((n_owners, min(step, len(words) - i)), dtype=np.float32)
+        block[owner[a:b], word_no[a:b] - i] = counts[a:b]  # pairs are distinct
+        out += block @ letters().trigram_vectors(words[i : i + step]).astype(np.float32)
     return out
 
 

@@ -25,6 +25,19 @@ def test_bundle_is_the_sum_of_bound_trigrams():
     assert (li.bundles([text, "", "xyz"], np.array([0, 1, 2]), 3)[0] == want).all()
 
 
+def test_many_trigrams_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 1000))) for _ in range(64)]
+    one = li.bundles(texts[:1], np.array([0]), 1)
+    tracemalloc.start()
+    out = li.bundles(texts, np.arange(64), 64)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20  # 64 texts x 64,000 trigrams x 4 bytes alone were 16 MB, growing with the square
+    tracemalloc.stop()
+    assert (out[0] == one[0]).all()
+
+
 def test_edges(docs, spark):
     rows = [(i, "the cat sat on the mat and the dog", "en", "s") for i in range(8)] + [(i, "der hund und die katze auf dem tisch", "de", "s") for i in range(8, 16)]
     rows += [(20, None, "en", "s"), (21, "123 !!", "en", "s"), (22, "und die katze", None, None), (22, "und die katze", None, None), (None, "the dog", "en", None), (23, "日本", None, None)]
