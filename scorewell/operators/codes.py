@@ -292,27 +292,24 @@ def _assignment(score: np.ndarray) -> np.ndarray:
 
 
 MAX_THEMES_PER_RUN = 5000
-MAX_RUNS = 1000
+RUN_BLOCK = 32  # runs that meet another run at a time
 
 
 def compare_runs(themes: DataFrame, ordered: bool = True, w_cos: float = COSINE_WEIGHT, w_jac: float = JACCARD_WEIGHT) -> DataFrame:
     """Optimal one-to-one theme matching for every ordered pair of runs, one row per theme of run a.
 
     ``themes`` has ``run, pos, name, embedding, words``. A run's themes are a model's answer (about a
-    dozen), so a run is one array and a run pair one small matrix; that bound is checked here.
+    dozen), so a run is one array and a run pair one small matrix; that bound is checked here. Any number of runs is compared.
     """
     sizes = themes.groupBy("run").count().agg(F.max("count").alias("m")).first()["m"] or 0
     if sizes > MAX_THEMES_PER_RUN:
         raise ValueError(f"a run has {sizes} themes; matching is defined for theme lists up to {MAX_THEMES_PER_RUN}")
     entry = F.struct("pos", "name", F.col("embedding").cast("array<double>").alias("e"), "words")
-    runs = themes.groupBy("run").agg(F.sort_array(F.collect_list(entry)).alias("t"))
-    a = runs.select(F.col("run").alias("run_a"), F.col("t").alias("a"))
-    b = runs.select(F.col("run").alias("run_b"), F.col("t").alias("b"))
-    names = [r["run"] for r in runs.select("run").limit(MAX_RUNS + 1).collect()]
-    if len(names) > MAX_RUNS:
-        raise ValueError(f"more than {MAX_RUNS} runs; compare them in groups")
-    partners = F.filter(F.array(*[F.lit(x) for x in sorted(names)]), lambda x: (x != F.col("run_a")) if ordered else (x > F.col("run_a")))
-    pairs = a.withColumn("run_b", F.explode(partners)).join(b, "run_b")
+    runs = materialize(themes.groupBy("run").agg(F.sort_array(F.collect_list(entry)).alias("t")), "runs")
+    blocks = max(1, -(-runs.count() // RUN_BLOCK))
+    a = runs.select(F.col("run").alias("run_a"), F.col("t").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    b = runs.select(F.col("run").alias("run_b"), F.col("t").alias("b"), F.pmod(F.xxhash64("run"), F.lit(blocks)).cast("int").alias("_block"))
+    pairs = a.join(b, "_block").filter(F.col("run_a") != F.col("run_b") if ordered else F.col("run_a") < F.col("run_b")).drop("_block")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -249,6 +249,18 @@ def test_compare_runs_unmatched_and_floor(spark):
     assert cd.compare_all_runs(cd.compare_runs(th)).first()["agreement"] == pytest.approx(0.75)
 
 
+def test_all_runs_meet_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cd, "RUN_BLOCK", 2)
+    rng = np.random.default_rng(4)
+    rows = [(f"r{r}", i, f"t{i}", [float(x) for x in rng.normal(size=5)], [f"w{w}" for w in rng.integers(0, 4, 2)]) for r in range(7) for i in range(1 + r % 4)]
+    th = spark.createDataFrame(rows, "run string, pos bigint, name string, embedding array<double>, words array<string>")
+    got = {(r["run_a"], r["run_b"]): r["n_themes_a"] for r in cd.run_agreement(cd.compare_runs(th)).collect()}
+    assert got == {(f"r{a}", f"r{b}"): 1 + a % 4 for a in range(7) for b in range(7) if a != b}
+    one = cd.run_agreement(cd.compare_runs(th.filter("run IN ('r2', 'r3')"))).collect()
+    whole = {(r["run_a"], r["run_b"]): r["overall_agreement"] for r in cd.run_agreement(cd.compare_runs(th)).collect()}
+    assert all(whole[r["run_a"], r["run_b"]] == r["overall_agreement"] for r in one)
+
+
 def test_chunks_keep_every_word_and_numbering(spark):
     docs = [(3, "p1", "One two. Three four five! " * 20), (1, "p2", "word " * 400 + "end. Short one."), (2, "p1", "  "), (5, "p1", "Tail? Yes.")]
     df = spark.createDataFrame(docs, "doc_order bigint, participant_id string, content string")
