@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..core import materialize, shared_dir, ship_package
 
 __all__ = [
-    "ASCII_SPACE", "SPACE_CLASS", "arrow_rows", "barrier", "documents", "fold", "fresh", "materialize", "shared_dir", "ship_package", "text_bytes", "whole_text",
+    "ASCII_SPACE", "SPACE_CLASS", "arrow_rows", "barrier", "documents", "fold", "fresh", "give_back", "materialize", "shared_dir", "ship_package", "text_bytes", "whole_text",
 ]
 
 # The characters between words.
@@ -62,6 +62,21 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Freed memory of this Python worker goes back to the system: workers stay for later stages, which need the room."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column: one number from one scan."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0

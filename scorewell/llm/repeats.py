@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_rows, materialize, partitions_for, text_bytes, whole_text
+from .base import arrow_rows, give_back, materialize, partitions_for, text_bytes, whole_text
 
 WINDOW = 50
 GRAM = 16
@@ -53,6 +53,17 @@ SEGMENT_DDL = "h bigint, unit int, ord int, doc_id bigint, start int, bytes bina
 FLAG_DDL = "unit int, ord int, start int, length int"
 
 
+def _lean_pair(fn):
+    """A function of two groups after which the worker gives its freed memory back."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = fn(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 # ---------------------------------------------------------------- minimizers
 
 
@@ -409,6 +420,7 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows += len(h) - start
     if held:
         yield solve(held)
+    give_back()
 
 
 # ---------------------------------------------------------------- the operator
@@ -524,12 +536,12 @@ def flagged(texts: DataFrame, n_units: int, n_buckets: int, hot_rows: int = HOT_
     grams = shared_grams(texts, n_units, hot_rows).select(F.col("family").cast("int").alias("unit"), "units", "sizes", "grams", "texts", "places", (marked > 0).alias("some_hot"))
     grams = materialize(grams.withColumn("bucket", _bucket(n_buckets)), "repeat-grams")
     by_unit = texts.groupBy("bucket", "unit")
-    segments = by_unit.cogroup(grams.groupBy("bucket", "unit")).applyInArrow(_segments, SEGMENT_DDL)
+    segments = by_unit.cogroup(grams.groupBy("bucket", "unit")).applyInArrow(_lean_pair(_segments), SEGMENT_DDL)
     dealt = segments.repartition(max(n_units, partitions_for(texts, 0)), "h").sortWithinPartitions("h")
     flags = dealt.mapInArrow(_flag, FLAG_DDL)
     hot = grams.filter("some_hot")
     if hot.limit(1).count():
-        windows = by_unit.cogroup(hot.groupBy("bucket", "unit")).applyInArrow(_hot_windows, "unit int, ord int, doc_id bigint, starts array<int>, digest binary")
+        windows = by_unit.cogroup(hot.groupBy("bucket", "unit")).applyInArrow(_lean_pair(_hot_windows), "unit int, ord int, doc_id bigint, starts array<int>, digest binary")
         windows = materialize(windows, "repeat-windows")
         smallest = materialize(windows.groupBy("digest").agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest")).filter("smallest < largest"), "repeat-smallest")
         late = windows.join(smallest, "digest").filter("smallest < doc_id").select("unit", "ord", "starts")
@@ -542,7 +554,7 @@ def _per_text(docs: DataFrame, fn, ddl: str, hot_rows: int) -> DataFrame:
     spark = docs.sparkSession
     with arrow_rows(spark, BATCH_ROWS), _met_by_bucket(spark), text_table(docs) as (texts, n_units, n_buckets):
         flags = flagged(texts, n_units, n_buckets, hot_rows).withColumn("bucket", _bucket(n_buckets))
-        return materialize(texts.groupBy("bucket", "unit").cogroup(flags.groupBy("bucket", "unit")).applyInArrow(fn, ddl), "repeat-texts")
+        return materialize(texts.groupBy("bucket", "unit").cogroup(flags.groupBy("bucket", "unit")).applyInArrow(_lean_pair(fn), ddl), "repeat-texts")
 
 
 def report(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
