@@ -84,6 +84,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by ``keys`` over all cores, for slow work on rows that come out of a few small files."""
+    spark = df.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def all_of(conditions: Iterable[Column]) -> Column:
     conditions = list(conditions)
     return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)

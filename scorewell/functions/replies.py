@@ -76,22 +76,27 @@ def schema_errors(reply: Column, required: Sequence[str], types: dict[str, str],
     """
     enums = enums or {}
     shapes = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "array": "ARRAY"}
-    tree, keys = F.try_parse_json(reply), F.json_object_keys(reply)
     known = F.array(*[F.lit(k) for k in types])
     tagged = lambda code, names: F.transform(names, lambda k: F.concat(F.lit(f"{code}:"), k))
-    found = [tagged("missing", F.array_except(F.array(*[F.lit(k) for k in required]), keys)), tagged("unexpected", F.array_except(keys, known))]
-    for key, kind in types.items():
-        at = f"$.{key}"
-        right = F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get(tree, at, "variant")), F.lit(shapes[kind])), F.lit(False))
-        if key not in enums:
-            good = F.lit(True)
-        elif kind == "array":
-            good = F.size(F.array_except(F.try_variant_get(tree, at, "array<string>"), F.array(*[F.lit(str(x)) for x in enums[key]]))) == 0
-        else:
-            good = F.try_variant_get(tree, at, "string").isin([str(x) for x in enums[key]])
-        fault = F.when(~right, f"type:{key}").when(~F.coalesce(good, F.lit(False)), f"value:{key}")
-        found.append(F.array_compact(F.array(F.when(F.array_contains(keys, key), fault))))
-    return F.when(keys.isNull(), F.array(F.lit("no_object"))).otherwise(F.concat(*found))
+
+    def faults(keys: Column, tree: Column) -> Column:
+        found = [tagged("missing", F.array_except(F.array(*[F.lit(k) for k in required]), keys)), tagged("unexpected", F.array_except(keys, known))]
+        for key, kind in types.items():
+            at = f"$.{key}"
+            right = F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get(tree, at, "variant")), F.lit(shapes[kind])), F.lit(False))
+            if key not in enums:
+                good = F.lit(True)
+            elif kind == "array":
+                good = F.size(F.array_except(F.try_variant_get(tree, at, "array<string>"), F.array(*[F.lit(str(x)) for x in enums[key]]))) == 0
+            else:
+                good = F.try_variant_get(tree, at, "string").isin([str(x) for x in enums[key]])
+            fault = F.when(~right, f"type:{key}").when(~F.coalesce(good, F.lit(False)), f"value:{key}")
+            found.append(F.array_compact(F.array(F.when(F.array_contains(keys, key), fault))))
+        return F.when(keys.isNull(), F.array(F.lit("no_object"))).otherwise(F.concat(*found))
+
+    # bound in an array of one, so that a reply is parsed once and not once for each of its uses above
+    one = F.array(F.struct(F.json_object_keys(reply).alias("keys"), F.try_parse_json(reply).alias("tree")))
+    return F.get(F.transform(one, lambda r: faults(r["keys"], r["tree"])), F.lit(0))
 
 
 def rubric_scores(reply: Column, dimensions: Sequence[str], low: int = 1, high: int = 4) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from ..core import materialize, strip
+from ..core import materialize, spread, strip
 
 from ..functions.replies import reply_json, rubric_justification, rubric_scores, schema_errors
 from ..functions.text import matched_indicators, reflection_module, token_estimate
@@ -401,7 +401,8 @@ def call_checked(df: DataFrame, prompt: Column, model_fn: ModelFn, faults: Calla
     def judged(called: DataFrame) -> DataFrame:
         return called.withColumn("json", reply_json(F.col("reply"))).withColumn("faults", F.when(F.col("error").isNull(), F.coalesce(faults(F.col("json")), F.array(F.lit("no_object")))))
 
-    first = judged(call_model(df, prompt, model_fn))
+    # a reply is judged once: as a view, the check would run again for the filter and for each of the two uses
+    first = materialize(judged(call_model(df, prompt, model_fn)), "judged")
     bad = F.coalesce(F.size("faults"), F.lit(0)) > 0
     asked = first.filter(bad).withColumn("_before", F.col("tokens_used")).withColumn("_prompt", F.concat("prompt", F.lit("\n"), F.array_join("faults", "; ")))
     again = judged(call_model(asked.drop("prompt", "reply", "error", "tokens_used", "json", "faults"), F.col("_prompt"), model_fn))
@@ -427,7 +428,7 @@ def rate_items(
     units = items.select(*names[:3], "text", "key", F.explode(fan).alias("f")).select(*names[:3], "text", "key", "f.*")
     shown = F.when(F.col("step") == "key", F.col("key"))
     prompt = fill(template, instruction=F.lit(instruction), key=shown, **{c: F.col(c) for c in ("step", "model", "repeat_no", "text")})
-    asked = units.filter((F.col("step") == "blind") | F.col("key").isNotNull())
+    asked = spread(units.filter((F.col("step") == "blind") | F.col("key").isNotNull()), *names)
 
     def faults(reply: Column) -> Column:
         blind = schema_errors(reply, ["bloom_level"], RATING_TYPES, {"bloom_level": ["1", "2", "3", "4", "5", "6"]})
