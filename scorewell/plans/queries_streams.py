@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import shared_dir
+from ..core import materialize, shared_dir
 from ..streaming import jobs
 from ..streaming.tables import KeyedTable
 from . import tables as t
@@ -14,10 +14,17 @@ from .registry import ORACLES, query
 from .sqltext import sql
 
 
+ROWS_PER_FILE = 500_000
+
+
 def as_stream(spark: SparkSession, df: DataFrame, slices: list, tail: DataFrame | None = None) -> DataFrame:
-    """``df`` as a file stream of several micro-batches, one per slice condition."""
+    """``df`` as a file stream of several micro-batches, one per slice condition.
+
+    ``df`` is derived once and stored; a slice has as many files as the whole needs, two at least.
+    """
     folder = shared_dir(spark, "incoming")
-    files = 2
+    df = materialize(df, "derived")
+    files = max(2, -(-df.count() // ROWS_PER_FILE))
     for condition in slices:
         df.filter(condition).repartition(files).write.mode("append").parquet(folder)
     if tail is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -83,6 +83,7 @@ PROGRESS_DDL = "kind string, user_id string, module_id string, instrument_key st
 
 def _progress_processor(required: Sequence[tuple[str, Sequence[str]]]) -> StatefulProcessor:
     """In this function for the same reason as ``_bucket_processor``."""
+    told = Row(*[column.split()[0] for column in PROGRESS_DDL.split(", ")])
 
     class ProgressProcessor(StatefulProcessor):
         """One user's first submission per (module, instrument), and what follows for the modules."""
@@ -91,35 +92,34 @@ def _progress_processor(required: Sequence[tuple[str, Sequence[str]]]) -> Statef
             self.required = [(module, sorted(set(instruments))) for module, instruments in required]
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.done = handle.getMapState("done", "module_id string, instrument_key string", "us bigint")
-            self.version = handle.getValueState("version", "n bigint")
-
-        def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-            for module, instrument, us in initialState[["module_id", "instrument_key", "completed_us"]].itertuples(index=False):
-                self._first((module, instrument), int(us))
-
-        def _first(self, name: tuple, us: int) -> bool:
-            if self.done.containsKey(name) and self.done.getValue(name)[0] <= us:
-                return False
-            self.done.updateValue(name, (us,))
-            return True
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            came = pd.concat(list(rows)).dropna(subset=["module_id", "instrument_key", "completed_us"])
-            least = came.groupby(["module_id", "instrument_key"])["completed_us"].min()
-            fresh = self.version.exists()
-            n = int(self.version.get()[0]) + 1 if fresh else 1
-            out = [("completion", key[0], *name, int(us), None, None, None, n) for name, us in least.items() if self._first(name, int(us))]
-            if out or not fresh:
-                self.version.update((n,))
-                done = {tuple(name) for name in self.done.keys()}
-                open_ = True
-                for position, (module, wanted) in enumerate(self.required, 1):
-                    complete = bool(wanted) and all((module, w) in done for w in wanted)
-                    out.append(("module", key[0], module, None, None, position, complete, open_, n))
-                    open_ = complete
-            frame = pd.DataFrame(out, columns=["kind", "user_id", "module_id", "instrument_key", "completed_us", "position", "complete", "unlocked", "version"])
-            yield frame.astype({"completed_us": "Int64", "position": "Int32", "complete": "boolean", "unlocked": "boolean", "version": "int64"})
+            # one value, read and written once a batch: every access is a round trip to the JVM
+            self.state = handle.getValueState("state", "modules array<string>, instruments array<string>, us array<bigint>, version bigint")
+
+        def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+            found = initialState.done
+            self.state.update(([d.module_id for d in found], [d.instrument_key for d in found], [d.us for d in found], 0))
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            least: dict[tuple, int] = {}
+            for row in rows:
+                name, us = (row.module_id, row.instrument_key), row.completed_us
+                if None not in name and us is not None and us < least.get(name, us + 1):
+                    least[name] = us
+            modules, instruments, times, n = self.state.get() or ([], [], [], 0)
+            done = dict(zip(zip(modules, instruments), times))
+            new = {name: us for name, us in least.items() if us < done.get(name, us + 1)}
+            if not new and n:
+                return
+            done.update(new)
+            n += 1
+            self.state.update(([m for m, _ in done], [i for _, i in done], list(done.values()), n))
+            for (module, instrument), us in new.items():
+                yield told("completion", key[0], module, instrument, us, None, None, None, n)
+            open_ = True
+            for position, (module, wanted) in enumerate(self.required, 1):
+                complete = bool(wanted) and all((module, w) in done for w in wanted)
+                yield told("module", key[0], module, None, None, position, complete, open_, n)
+                open_ = complete
 
         def close(self) -> None:
             pass
@@ -136,8 +136,12 @@ def stream_unlocks(responses: DataFrame, required: Sequence[tuple[str, Sequence[
     (user_id, module_id, instrument_key, completed_at) that the state starts with. Needs the RocksDB state store.
     """
     timed = lambda df: df.select(F.col("user_id").cast("string").alias("user_id"), "module_id", "instrument_key", F.unix_micros(F.col("completed_at").cast("timestamp")).alias("completed_us"))
-    start = timed(earlier).groupBy("user_id") if earlier is not None else None
-    return timed(submissions(responses)).groupBy("user_id").transformWithStateInPandas(_progress_processor(required), PROGRESS_DDL, "Update", "None", start)
+    start = None
+    if earlier is not None:  # a row per user
+        names = ["user_id", "module_id", "instrument_key"]
+        first = timed(earlier).dropna(subset=[*names[1:], "completed_us"]).groupBy(*names).agg(F.min("completed_us").alias("us"))
+        start = first.groupBy("user_id").agg(F.collect_list(F.struct("module_id", "instrument_key", "us")).alias("done")).groupBy("user_id")
+    return timed(submissions(responses)).groupBy("user_id").transformWithState(_progress_processor(required), PROGRESS_DDL, "Update", "None", start)
 
 
 def completions_of(log: DataFrame) -> DataFrame:

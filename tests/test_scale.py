@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scorewell.operators import coding as co
+from scorewell.plans.queries_streams import as_stream
+from scorewell.streaming import jobs
 
 
 def plan(df) -> str:
@@ -28,3 +31,46 @@ def test_ratings_of_one_small_file_are_asked_on_all_cores(spark, tmp_path):
     assert rated.filter("step = 'key'").select("key_defensible").distinct().count() >= spark.sparkContext.defaultParallelism
     judged = co.call_checked(spark.range(3), F.col("id").cast("string"), where, lambda reply: F.array_compact(F.array(F.when(F.length(F.sha1(reply)) < 40, "short"))))
     assert plan(judged).count("sha1") == 1  # of the second call alone; the first is stored
+
+
+class Value:
+    def __init__(self):
+        self.now, self.reads, self.writes = None, 0, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.reads += 1
+        return self.now
+
+    def update(self, value):
+        self.now, self.writes = value, self.writes + 1
+
+
+def test_a_batch_reads_and_writes_a_users_state_once():
+    """However many instruments: each access to the state is a round trip between Python and the JVM."""
+    value = Value()
+    user = jobs._progress_processor([("m1", ["a", "b"]), ("m2", ["c"])])
+    user.init(value)
+    came = lambda *rows: [tuple(r) for r in user.handleInputRows(("u",), iter([Row(module_id=m, instrument_key=i, completed_us=us) for m, i, us in rows]), None)]
+    first = came(("m1", "a", 5), ("m1", "a", 3), ("m1", None, 1), ("m2", "c", None), ("m2", "c", 0))
+    assert first == [
+        ("completion", "u", "m1", "a", 3, None, None, None, 1), ("completion", "u", "m2", "c", 0, None, None, None, 1),
+        ("module", "u", "m1", None, None, 1, False, True, 1), ("module", "u", "m2", None, None, 2, True, False, 1),
+    ]
+    assert (value.reads, value.writes) == (1, 1)
+    assert came(("m1", "a", 3), ("m2", "c", 9)) == [] and (value.reads, value.writes) == (2, 1)
+    assert came(("m1", "b", 7), ("m1", "a", 2))[2:] == [("module", "u", "m1", None, None, 1, True, True, 2), ("module", "u", "m2", None, None, 2, True, True, 2)]
+
+
+def test_answers_of_a_stream_are_derived_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(x):
+        calls.add(1)
+        return x
+
+    as_stream(spark, spark.range(50).withColumn("y", seen("id")), [F.col("id") < 20, F.col("id") >= 20, F.col("id") >= 0])
+    assert calls.value == 50
