@@ -97,7 +97,7 @@ def _progress_processor(required: Sequence[tuple[str, Sequence[str]]]) -> Statef
 
         def handleInitialState(self, key, initialState: Row, timerValues) -> None:
             found = initialState.done
-            self.state.update(([d.module_id for d in found], [d.instrument_key for d in found], [d.us for d in found], 0))
+            self.state.update(([d["module_id"] for d in found], [d["instrument_key"] for d in found], [d["us"] for d in found], 0))
 
         def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
             least: dict[tuple, int] = {}

@@ -61,6 +61,11 @@ def test_a_batch_reads_and_writes_a_users_state_once():
     ]
     assert (value.reads, value.writes) == (1, 1)
     assert came(("m1", "a", 3), ("m2", "c", 9)) == [] and (value.reads, value.writes) == (2, 1)
+    late = Value()
+    user.init(late)
+    user.handleInitialState(("u",), Row(user_id="u", done=[{"module_id": "m1", "instrument_key": "a", "us": 3}]), None)  # a struct comes as a dict
+    assert [tuple(r)[:5] for r in user.handleInputRows(("u",), iter([Row(module_id="m1", instrument_key="a", completed_us=4)]), None)] == [("module", "u", "m1", None, None), ("module", "u", "m2", None, None)]
+    user.init(value)
     assert came(("m1", "b", 7), ("m1", "a", 2))[2:] == [("module", "u", "m1", None, None, 1, True, True, 2), ("module", "u", "m2", None, None, 2, True, True, 2)]
 
 
