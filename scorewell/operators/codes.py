@@ -9,10 +9,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import materialize, strip
+from ..core import materialize, spread, strip
 from ..functions.numbers import agreement_label
 from ..functions.vectors import dot, unit
 from .pairs import RECALL, indexed_pairs, ordered_leaders
@@ -60,62 +61,70 @@ def similar_pairs(codes: DataFrame, threshold: float, key: str = "code_id", vect
 def pivot_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     """All pairs of unit vectors (``rep, n_copies, u``) at or above the threshold.
 
-    Pivots cut the sphere into cells. By the triangle inequality on angles, a vector can only have a
-    partner whose home cell is c if its angle to c's pivot is at most the angle to its own pivot plus
-    twice the threshold angle; only those cells receive a copy of it. A cell is split into blocks, and
-    a (home block, visiting block) pair is one row-sized task of a matrix product, so neither a cell
-    nor a pair list is ever gathered, and only pairs over the threshold leave a task.
+    Pivots cut the sphere into cells, and a cell into blocks of about ``BLOCK`` vectors, a row each. Two blocks need not meet
+    if the angle of their pivots exceeds the threshold angle by more than the widest angles in them (triangle inequality).
+    All others are paired by a Cartesian product of the stored blocks, whose tasks read them from shared storage: vectors are
+    shuffled into blocks once, nothing is copied per pair. A pair of blocks is one matrix product, and only pairs over the
+    threshold leave a task.
     """
     n = reps.count()
     k = int(max(1, min(512, round((n / BLOCK) ** 0.5))))
     # k pivots, k <= 512: the smallest hashes, the same in every run
     pivots = [np.asarray(r["u"], dtype=np.float64) for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(k).select("u").collect()]
-    slack = 2 * float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-9
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
     grid = np.vstack(pivots) if pivots else np.zeros((1, 1))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             angles = np.arccos(np.clip(_stack(pdf["u"]) @ grid.T, -1.0, 1.0))
-            home = angles.argmin(1)
-            visits = angles <= angles[np.arange(len(home)), home][:, None] + slack
-            yield pd.DataFrame({
-                "rep": pdf["rep"], "n_copies": pdf["n_copies"], "u": pdf["u"], "home": home.astype("int32"),
-                "cells": [np.flatnonzero(v).astype("int32") for v in visits],
-            })
-
-    placed = reps.mapInPandas(assign, "rep bigint, n_copies bigint, u array<double>, home int, cells array<int>")
+            yield pd.DataFrame({"rep": pdf["rep"], "n_copies": pdf["n_copies"], "u": pdf["u"], "home": angles.argmin(1).astype("int32"), "angle": angles.min(1)})
+
+    placed = reps.mapInPandas(assign, "rep bigint, n_copies bigint, u array<double>, home int, angle double")
     placed = materialize(placed, "placed")
     # blocks per cell follow the cell's size, so a hot cell has more blocks, not larger ones
     per_cell = {r["home"]: max(1, -(-r["count"] // BLOCK)) for r in placed.groupBy("home").count().collect()}  # <= 512 rows
     counts = F.create_map(*[F.lit(x) for pair in (per_cell or {0: 1}).items() for x in pair])
     placed = placed.withColumn("blk", F.pmod(F.xxhash64("rep"), F.element_at(counts, F.col("home"))).cast("int"))
-    item = F.struct("rep", "n_copies", "u").alias("x")
-    homes = placed.select(F.col("home").alias("cell"), F.col("blk").alias("hb"), item).groupBy("cell", "hb").agg(F.collect_list("x").alias("h"))
-    guests = placed.select(F.explode("cells").alias("cell"), F.col("blk").alias("gb"), F.col("home"), item)
-    # a pair of two cells would meet twice (each visits the other): the larger home cell keeps it
-    guests = guests.filter(F.col("home") <= F.col("cell")).groupBy("cell", "gb", F.col("home").alias("gh")).agg(F.collect_list("x").alias("g"))
-    guests = guests.withColumn("hb", F.explode(F.sequence(F.lit(0), F.coalesce(F.try_element_at(counts, F.col("cell")), F.lit(1)) - 1)))
-    meet = homes.join(guests, ["cell", "hb"]).filter((F.col("gh") < F.col("cell")) | (F.col("gb") <= F.col("hb")))
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                h, g = row.h, row.g
-                sims = _stack(pd.Series([x["u"] for x in h])) @ _stack(pd.Series([x["u"] for x in g])).T
-                hid, gid = np.array([x["rep"] for x in h]), np.array([x["rep"] for x in g])
-                hc, gc = np.array([x["n_copies"] for x in h]), np.array([x["n_copies"] for x in g])
-                same = row.gh == row.cell and row.gb == row.hb
+
+    def pack(table: pa.Table) -> pa.Table:
+        reps, copies = (np.ascontiguousarray(table[c].to_numpy(), dtype=np.int64) for c in ("rep", "n_copies"))
+        home = table["home"][0].as_py()
+        cells = {
+            "home": [home], "blk": [table["blk"][0].as_py()], "pivot": [grid[home].tolist()], "radius": [float(table["angle"].to_numpy().max())],
+            "reps": [reps.tobytes()], "copies": [copies.tobytes()], "u": [_stack(table["u"].to_pandas()).tobytes()],
+        }
+        return pa.table(cells, schema=pa.schema([
+            ("home", pa.int32()), ("blk", pa.int32()), ("pivot", pa.list_(pa.float64())), ("radius", pa.float64()),
+            ("reps", pa.binary()), ("copies", pa.binary()), ("u", pa.binary()),
+        ]))
+
+    packed = placed.groupBy("home", "blk").applyInArrow(pack, "home int, blk int, pivot array<double>, radius double, reps binary, copies binary, u binary")
+    blocks = materialize(spread(packed, "home", "blk"), "blocks")
+    side = lambda s: blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in blocks.columns])
+    once = (F.col("home_g") < F.col("home_h")) | ((F.col("home_g") == F.col("home_h")) & (F.col("blk_g") <= F.col("blk_h")))
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("pivot_h"), F.col("pivot_g")))))
+    near = (F.col("home_g") == F.col("home_h")) | (apart <= F.col("radius_h") + F.col("radius_g") + F.lit(reach))
+    meet = side("h").join(side("g"), once & near)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {c: batch[c][at] for c in batch.schema.names}
+                hid, gid, hc, gc = (np.frombuffer(row[c].as_buffer(), np.int64) for c in ("reps_h", "reps_g", "copies_h", "copies_g"))
+                h, g = (np.frombuffer(row[f"u_{s}"].as_buffer(), np.float64).reshape(m, -1) for s, m in (("h", len(hid)), ("g", len(gid))))
+                sims = h @ g.T
                 hit = sims >= threshold
-                if same:
+                if row["home_h"] == row["home_g"] and row["blk_h"] == row["blk_g"]:
                     hit &= hid[:, None] < gid[None, :]
                 i, j = np.nonzero(hit)
                 first = hid[i] < gid[j]
-                yield pd.DataFrame({
+                yield pa.RecordBatch.from_pydict({
                     "a": np.where(first, hid[i], gid[j]), "b": np.where(first, gid[j], hid[i]), "similarity": sims[i, j],
                     "n_a": np.where(first, hc[i], gc[j]), "n_b": np.where(first, gc[j], hc[i]),
                 })
 
-    return meet.select("cell", "hb", "gb", "gh", "h", "g").mapInPandas(multiply, "a bigint, b bigint, similarity double, n_a bigint, n_b bigint")
+    needed = [f"{c}_{s}" for s in ("h", "g") for c in ("home", "blk", "reps", "copies", "u")]
+    return meet.select(*needed).mapInArrow(multiply, "a bigint, b bigint, similarity double, n_a bigint, n_b bigint")
 
 
 def dedup_links(

@@ -1,10 +1,10 @@
 """A candidate index for dense vectors, and the ordered leaders of a similarity graph.
 
 Signs of a vector's products with fixed random directions agree for two vectors with probability 1 - angle / pi each. The first
-256 signs are a sketch; further ones are cut into bands, and two vectors are candidates if a whole band agrees. How many
-bands there are follows from the threshold and the wanted recall, how wide they are from the number of vectors, so
-a random bucket stays small at every size. Only numbers and sketches meet in the buckets; a pair goes on if its sketches
-differ little enough for the threshold, and is then verified on the vectors.
+512 signs are a sketch; further ones are cut into bands, and two vectors are candidates if a whole band agrees. How many
+bands there are follows from the threshold and the wanted recall, how wide they are from the number of vectors up to a limit,
+so that a vector is shuffled a bounded number of times at every size. Only numbers and sketches meet in the buckets; a pair goes
+on if its sketches differ little enough for the threshold, and is then verified on the vectors.
 """
 
 from __future__ import annotations
@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from ..core import materialize
 from ..functions.vectors import dot
 
-SKETCH_BITS = 256
+SKETCH_BITS = 512
+FIRST_WORDS = 2  # 64-bit words of two sketches that are compared first
 RECALL = 0.999  # wanted for pairs exactly at the threshold; pairs above it are safer
 BUCKET = 32  # vectors of other directions that may share a bucket by chance
-HOT_BUCKET = 1024  # larger buckets are met slice by slice
+PLAN_VECTORS = 1 << 16  # the index of a larger table has the bands of this many vectors
+GROUP = 1 << 16  # rows of buckets that are compared in one group
+HOT_BUCKET = 8192  # larger buckets are met slice by slice
 SKETCH_SIGMAS = 5.0
 MIN_ANGLE = 0.05  # thresholds next to 1 are indexed as if a little lower
 SEED = 20_260
@@ -36,19 +39,25 @@ def band_plan(n: int, threshold: float, recall: float = RECALL) -> tuple[int, in
     return max(1, math.ceil(math.log(1 - recall) / math.log1p(-(agree**bits)))), bits
 
 
-def sketch_limit(threshold: float) -> int:
+def sketch_limit(threshold: float, signs: int = SKETCH_BITS) -> int:
     """Signs of two sketches that may differ at the threshold, five standard deviations up."""
     p = max(MIN_ANGLE, math.acos(max(-1.0, min(1.0, threshold)))) / math.pi
-    return math.ceil(SKETCH_BITS * p + SKETCH_SIGMAS * math.sqrt(SKETCH_BITS * p * (1 - p)))
+    return math.ceil(signs * p + SKETCH_SIGMAS * math.sqrt(signs * p * (1 - p)))
 
 
 def _directions(count: int, dimensions: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((count, dimensions), dtype=np.float32)
 
 
+def index_plan(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bands, bits per band) of the index: those of at most ``PLAN_VECTORS`` vectors, so a vector has no more buckets in a
+    larger table; its buckets are fuller then, which costs comparisons inside a task but no shuffled bytes."""
+    return band_plan(min(n, PLAN_VECTORS), threshold, recall)
+
+
 def sign_keys(vectors: DataFrame, threshold: float, n: int, recall: float = RECALL) -> DataFrame:
-    """(rep, s0 .. s3, keys): a sketch in four longs and a bucket number per band; zero vectors have none."""
-    bands, bits = band_plan(n, threshold, recall)
+    """(rep, sketch, keys): a sketch of ``SKETCH_BITS`` signs and a bucket number per band; zero vectors have none."""
+    bands, bits = index_plan(n, threshold, recall)
     step = max(1, (1 << 20) // bits)  # directions are applied in parts of about a million numbers per vector block
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +75,7 @@ def sign_keys(vectors: DataFrame, threshold: float, n: int, recall: float = RECA
                 if d not in grid:
                     grid[d] = _directions(SKETCH_BITS + bands * bits, d).T
                 per = max(1, step // max(1, len(rows)))
-                sketch = np.packbits(x @ grid[d][:, :SKETCH_BITS] > 0, axis=1).view(">i8").astype(np.int64)
+                sketch = np.packbits(x @ grid[d][:, :SKETCH_BITS] > 0, axis=1)
                 keys = np.empty((len(rows), bands), np.int64)
                 for first in range(0, bands, per):
                     last = min(bands, first + per)
@@ -75,29 +84,74 @@ def sign_keys(vectors: DataFrame, threshold: float, n: int, recall: float = RECA
                     keys[:, first:last] = numbers + (np.arange(first, last, dtype=np.int64) << bits)
                 offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["rep"].take(pa.array(rows)), *[pa.array(sketch[:, i].copy()) for i in range(4)], pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
-                    names=["rep", "s0", "s1", "s2", "s3", "keys"],
+                    [batch["rep"].take(pa.array(rows)), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
+                    names=["rep", "sketch", "keys"],
                 )
 
-    return vectors.select("rep", "u").mapInArrow(sign, "rep bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, keys array<bigint>")
+    return vectors.select("rep", "u").mapInArrow(sign, "rep bigint, sketch binary, keys array<bigint>")
+
+
+def _close(x: np.ndarray, y: np.ndarray, threshold: float, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of sketches (columns of 64-bit words) of both sides that differ little enough; few words drop most pairs first.
+
+    ``once``: both sides are the same, and a pair is met in one order only (or twice).
+    """
+    first, whole = sketch_limit(threshold, 64 * FIRST_WORDS), sketch_limit(threshold)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    per = max(1, min(64, (1 << 20) // max(1, y.shape[1])))
+    for at in range(0, x.shape[1], per):
+        part, base = x[:, at : at + per], at if once else 0
+        rest = y[:, base:]
+        differing = np.bitwise_count(part[0][:, None] ^ rest[0])
+        for w in range(1, FIRST_WORDS):
+            differing += np.bitwise_count(part[w][:, None] ^ rest[w])
+        i, j = np.divmod(np.flatnonzero(differing <= first), rest.shape[1])
+        near = np.bitwise_count(part[:, i] ^ rest[:, j]).sum(axis=0, dtype=np.int64) <= whole
+        found.append((i[near] + at, j[near] + base))
+    return tuple(np.concatenate(side) for side in zip(*found, strict=True))
 
 
 def candidates(vectors: DataFrame, threshold: float, n: int, recall: float = RECALL) -> DataFrame:
     """Distinct ``a < b`` that share a band and whose sketches are close enough.
 
-    A bucket above ``HOT_BUCKET`` is cut into slices; its rows meet every slice in a task of its own.
+    A vector enters the shuffle once per band. Neighbouring buckets share a group, in which sketches are compared bucket by
+    bucket; a bucket above ``HOT_BUCKET`` is cut into slices, and each two slices meet in a group of their own. There are at
+    most bands * 2^bits buckets, bounded by the plan, so the list of large ones is broadcast.
     """
-    keyed = sign_keys(vectors, threshold, n, recall).select("rep", "s0", "s1", "s2", "s3", F.explode("keys").alias("key"))
-    keyed = materialize(keyed, "bands")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    slices = F.ceil(F.col("m") / HOT_BUCKET).cast("int")
-    shared = keyed.join(sizes.select("key", slices.alias("n_slices")), "key")
-    left = shared.withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("n_slices")).cast("int"))
-    right = shared.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)))
-    pick = lambda df, side: df.select("key", "slice", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "s0", "s1", "s2", "s3")])
-    met = pick(left, "a").join(pick(right, "b"), ["key", "slice"]).filter("rep_a < rep_b")
-    differing = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-    return met.filter(differing <= sketch_limit(threshold)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    _, bits = index_plan(n, threshold, recall)
+    shift = max(0, min(bits, bits - math.ceil(math.log2(max(1, n) / GROUP))))  # buckets of a group, as a power of two
+    signed = materialize(sign_keys(vectors, threshold, n, recall), "bands")
+    keyed = signed.select("rep", "sketch", F.explode("keys").alias("key"))
+    hot = signed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT_BUCKET)
+    hot = materialize(hot.select("key", F.ceil(F.col("m") / HOT_BUCKET).cast("int").alias("n_slices")), "hot")
+    dealt = keyed.join(F.broadcast(hot), "key", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("n_slices")).cast("int"), F.lit(0)))
+    others = F.when(F.col("n_slices").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("n_slices") - 1))
+    dealt = dealt.withColumn("other", F.explode(others)).select(
+        F.when(F.col("other") < 0, F.shiftright("key", shift)).otherwise(F.col("key")).alias("box"),
+        F.when(F.col("other") < 0, -1).otherwise(F.least("slice", "other")).alias("low"),
+        F.when(F.col("other") < 0, -1).otherwise(F.greatest("slice", "other")).alias("high"),
+        "key", "slice", "rep", "sketch",
+    )
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, part, rep = (table[c].to_numpy() for c in ("key", "slice", "rep"))
+        words = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(key), -1)
+        order = np.lexsort((part, key))
+        key, part, rep, words, sliced = key[order], part[order], rep[order], np.ascontiguousarray(words[order].T), table["low"][0].as_py() >= 0
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        found = [np.empty((0, 2), np.int64)]
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+            if e - s < 2:
+                continue
+            cut = s + int(np.searchsorted(part[s:e], part[s], side="right"))  # two slices meet each other, one meets itself
+            left, right = (slice(s, cut), slice(cut, e)) if sliced and cut < e else (slice(s, e), slice(s, e))
+            i, j = _close(words[:, left], words[:, right], threshold, left == right)
+            a, b = rep[left][i], rep[right][j]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.groupBy("box", "low", "high").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def indexed_pairs(vectors: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from scorewell.operators import codes as cd
 from scorewell.operators import coding as co
+from scorewell.operators import pairs as pa
 from scorewell.plans.queries_streams import as_stream
 from scorewell.streaming import jobs
 
@@ -79,3 +82,23 @@ def test_answers_of_a_stream_are_derived_once(spark):
 
     as_stream(spark, spark.range(50).withColumn("y", seen("id")), [F.col("id") < 20, F.col("id") >= 20, F.col("id") >= 0])
     assert calls.value == 50
+
+
+def unit_vectors(spark, n=300):
+    u = F.array(F.cos(F.col("id").cast("double")), F.sin(F.col("id").cast("double")))
+    return spark.range(n).select(F.col("id").alias("rep"), F.lit(1).cast("bigint").alias("n_copies"), u.alias("u"))
+
+
+def test_a_vector_of_a_large_table_enters_no_more_buckets(spark):
+    """Rows of the index grow with the vectors, not faster."""
+    buckets = lambda n: pa.sign_keys(unit_vectors(spark, 3), 0.75, n).agg(F.max(F.size("keys"))).first()[0]
+    assert buckets(1 << 10) < buckets(1 << 17) == buckets(10**8)
+
+
+def test_blocks_of_all_pairs_are_not_shuffled_to_each_other(spark, monkeypatch):
+    monkeypatch.setattr(cd, "BLOCK", 16)
+    found = cd.pivot_pairs(unit_vectors(spark), 0.3)
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in executed and "collect_list" not in executed
+    want = sum(math.cos(b - a) >= 0.3 for a in range(300) for b in range(a + 1, 300))
+    assert found.select("a", "b").distinct().count() == found.count() == want
