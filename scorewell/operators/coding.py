@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from string import Formatter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +31,16 @@ UNREADABLE, EMPTY = "unreadable_reply", "empty_reply"
 RUBRIC_MAX = 12.0  # fixed value: three dimensions of at most 4
 
 
+ROWS_AT_ONCE = 64  # texts of a batch that are Python objects at a time
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows, so a worker's memory follows a few texts, not those of a whole batch; nothing is copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 # -- chunks ------------------------------------------------------------------------------------
 
 
@@ -77,11 +87,16 @@ def chunk_transcripts(transcripts: DataFrame, chunk_size: int = 2500, order: str
     counts, so documents are processed independently.
     """
 
-    @F.pandas_udf("array<struct<content:string, within:boolean>>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"content": c, "within": w} for c, w in pack_text(t.strip(), chunk_size)])
+    chunk = pa.list_(pa.struct([("content", pa.string()), ("within", pa.bool_())]))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            chunks = [[{"content": c, "within": w} for c, w in pack_text(t.as_py().strip(), chunk_size)] for t in part["content"]]
+            yield pa.RecordBatch.from_arrays([part["_doc"], part["participant_id"], pa.array(chunks, chunk)], ["_doc", "participant_id", "_chunks"])
 
-    docs = transcripts.filter(strip("content") != "").select(F.col(order).alias("_doc"), "participant_id", pack("content").alias("_chunks"))
+    texts = transcripts.filter(strip("content") != "").select(F.col(order).alias("_doc"), "participant_id", "content")
+    fields = [T.StructField("_chunks", T._parse_datatype_string("array<struct<content:string, within:boolean>>"))]
+    docs = texts.mapInArrow(pack, T.StructType([*texts.schema.fields[:2], *fields]))
     docs = materialize(docs.withColumn("_n", F.size("_chunks")), "chunks")  # texts are packed once for the three uses below
     # only the counts go through the prefix sums, not the texts
     counts = docs.select("_doc", "participant_id", "_n")
@@ -110,20 +125,21 @@ def call_model(df: DataFrame, prompt: Column, model_fn: ModelFn) -> DataFrame:
         + [T.StructField("reply", T.StringType()), T.StructField("error", T.StringType()), T.StructField("tokens_used", T.LongType())]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
             replies, errors, tokens = [], [], []
-            for p in pdf["prompt"]:
+            for p in part["prompt"]:
                 try:
-                    r = model_fn(p)
+                    r = model_fn(p.as_py())
                 except Exception as ex:  # an outage of the model is a row, not a failed job
                     r = {"text": None, "error": f"{type(ex).__name__}: {ex}"}
                 errors.append(r.get("error"))
                 replies.append(None if r.get("error") else r.get("text"))
                 tokens.append(int(r.get("tokens_used") or 0))
-            yield pdf.assign(reply=replies, error=errors, tokens_used=tokens)
+            told = [pa.array(replies, pa.string()), pa.array(errors, pa.string()), pa.array(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *told], [*part.schema.names, "reply", "error", "tokens_used"])
 
-    return materialize(withp.mapInPandas(run, schema), "replies")
+    return materialize(withp.mapInArrow(run, schema), "replies")
 
 
 def fill(template: str, **values: Column) -> Column:

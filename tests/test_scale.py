@@ -102,3 +102,16 @@ def test_blocks_of_all_pairs_are_not_shuffled_to_each_other(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in executed and "collect_list" not in executed
     want = sum(math.cos(b - a) >= 0.3 for a in range(300) for b in range(a + 1, 300))
     assert found.select("a", "b").distinct().count() == found.count() == want
+
+
+def test_texts_become_python_objects_a_few_at_a_time(spark):
+    """Whatever the size of a batch."""
+    import pyarrow
+
+    batch = pyarrow.RecordBatch.from_pydict({"prompt": ["x" * 10] * 1000})
+    handed = [p.num_rows for p in co._parts(iter([batch, batch]))]
+    assert max(handed) <= 64 and sum(handed) == 2000
+    docs = spark.range(500).select(F.col("id").alias("doc_order"), F.concat(F.lit("p"), "id").alias("participant_id"), F.lit("One two. Three four.").alias("content"))
+    chunks = co.chunk_transcripts(docs, 2)
+    asked = co.call_model(chunks, F.col("content"), lambda p: {"text": p.upper(), "error": None, "tokens_used": len(p)})
+    assert asked.filter("reply = upper(content) AND tokens_used = char_count AND error IS NULL").count() == chunks.count() == 1000
