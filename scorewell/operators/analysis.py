@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import materialize
+from ..core import materialize, spread
 from . import codes as cd
 from . import coding as co
 from .evidence import participant_profiles, summary_by_construct
@@ -34,8 +34,7 @@ def inductive_analysis(
     chunks = materialize(co.chunk_transcripts(transcripts, chunk_budget), "chunks")
     coded = materialize(co.code_chunks(chunks, *step("code"), n_codes=n_codes, run=run, model=model), "codes")
     codes = coded.filter(F.col("code_id").isNotNull())
-    text = F.concat_ws(" ", "name", "description")
-    links = materialize(cd.dedup_links(codes.select("code_id", encode(text).alias("embedding")), threshold), "links")
+    links = materialize(_code_links(codes, encode, threshold), "links")
     kept = materialize(codes.join(links.filter("code_id = leader_id").select("code_id"), "code_id", "left_semi"), "kept")
     themes = materialize(co.group_codes(kept, *step("group"), budget=budget), "themes")
     found = themes.filter(F.col("theme_index").isNotNull()).select("run", F.col("name").alias("theme"), "theme_index", "code_indices")
@@ -57,6 +56,17 @@ def inductive_analysis(
     }
 
 
+def _code_links(codes: DataFrame, encode: Callable[[Column], Column], threshold: float) -> DataFrame:
+    """``code_id, leader_id`` of every code. Codes of the same text have the same vector, so a text is encoded once, and the
+    first code of each text is linked for all of them; a code whose vector is zero stands for itself."""
+    named = codes.select("code_id", F.concat_ws(" ", "name", "description").alias("text"))
+    texts = spread(named.groupBy("text").agg(F.min("code_id").alias("first")), "first")
+    encoded = materialize(texts.select("text", "first", encode(F.col("text")).cast("array<double>").alias("embedding")), "encoded")
+    led = cd.dedup_links(encoded, threshold, key="first").withColumnRenamed("code_id", "first")
+    told = encoded.select("text", "first", cd._like_none(F.col("embedding")).alias("alone")).join(led, "first")
+    return named.join(told, "text").select("code_id", F.when(F.col("alone"), F.col("code_id")).otherwise(F.col("leader_id")).alias("leader_id"))
+
+
 def deductive_report(
     evidence: DataFrame, model_fn: co.ModelFn, instruction: str, budget: int = 100_000, template: str = co.LIST_PROMPT, line: str = CONSTRUCT_LINE
 ) -> DataFrame:

@@ -5,12 +5,21 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from scorewell import core
+from scorewell.operators import analysis as an
 from scorewell.operators import codes as cd
 from scorewell.operators import coding as co
+from scorewell.operators import irt
 from scorewell.operators import pairs as pa
+from scorewell.operators import scores as sc
+from scorewell.operators import validation as va
+from scorewell.plans import tables as t
+from scorewell.plans.registry import QUERIES, load_all
+from scorewell.sources import sinks as sk
 from scorewell.plans.queries_streams import as_stream
 from scorewell.streaming import jobs
 
@@ -115,3 +124,43 @@ def test_texts_become_python_objects_a_few_at_a_time(spark):
     chunks = co.chunk_transcripts(docs, 2)
     asked = co.call_model(chunks, F.col("content"), lambda p: {"text": p.upper(), "error": None, "tokens_used": len(p)})
     assert asked.filter("reply = upper(content) AND tokens_used = char_count AND error IS NULL").count() == chunks.count() == 1000
+
+
+def counted(spark, kind):
+    """A column function that hands its values on, and how many it was given."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def give(value):
+        seen.add(1)
+        return value
+
+    return F.udf(give, kind).asNondeterministic(), seen
+
+
+def test_a_text_is_encoded_once_and_linked_for_all_its_codes(spark):
+    give, seen = counted(spark, "string")
+    names = ["apple", "pear", "apple", "zero", "apples", "zero", "pear", "apple"]
+    codes = spark.createDataFrame([(i + 1, n, "") for i, n in enumerate(names)], "code_id bigint, name string, description string")
+
+    def encode(text):
+        text = give(text)
+        return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in "apl"])
+
+    links = an._code_links(codes, encode, 0.9).collect()
+    assert {r["code_id"]: r["leader_id"] for r in links} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 1, 6: 6, 7: 2, 8: 1}
+    assert seen.value == 4 * 6  # four texts; the function occurs twice per letter
+
+
+def test_short_vectors_are_verified_where_they_meet(spark):
+    rows = np.random.default_rng(3).normal(size=(400, 6)) + 1.2
+    rows[200:] = rows[:200] + np.random.default_rng(4).normal(size=(200, 6)) * 0.1
+    units = rows / np.linalg.norm(rows, axis=1)[:, None]
+    df = spark.createDataFrame([(i, 1 + i % 3, u.tolist()) for i, u in enumerate(units)] + [(900, 1, [0.6, 0.8]), (901, 1, [0.6, 0.8])], "rep bigint, n_copies bigint, u array<double>")
+    found = pa.indexed_pairs(df, 0.95)
+    assert "Join" not in plan(found.select("a", "b", "similarity")).replace("LeftOuter", "").split("FlatMapGroupsInArrow")[0]  # no vector is fetched for a pair
+    got = {(r["a"], r["b"]): r for r in found.collect()}
+    sims = units @ units.T
+    true = {(i, j) for i in range(400) for j in range(i + 1, 400) if sims[i, j] >= 0.95}
+    assert len(got) == found.count() and set(got) <= true | {(900, 901)} and (900, 901) in got
+    assert len(got) >= 0.99 * len(true) and len(true) > 200
+    assert all(abs(r["similarity"] - sims[a, b]) < 1e-12 and (r["n_a"], r["n_b"]) == (1 + a % 3, 1 + b % 3) for (a, b), r in got.items() if a < 900)
