@@ -91,6 +91,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+ROWS_PER_TASK = 250_000  # rows that a task sorts or aggregates at a time
+
+
+def place(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most ``rows`` rows dealt out by ``keys`` in as many parts as their number asks for.
+
+    Sizes of shuffled bytes say little about rows that compress well: parts merged by bytes hold more and more rows as a table
+    grows, and sorts and aggregations of them as much memory. Joins and aggregations by ``keys`` keep these parts.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)), *keys)
+
+
 def all_of(conditions: Iterable[Column]) -> Column:
     conditions = list(conditions)
     return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import first_row
+from ..core import first_row, place
 from ..operators.canonical import FilterSpec, Rulebook, canonical_dataset
 from ..sources.responses import DEFINITION_SCHEMA, SCORING_SCHEMA, flatten_definitions
 
@@ -156,9 +156,14 @@ def cohort_map(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def by_user(spark: SparkSession, sf: str, df: DataFrame, times: int = 1) -> DataFrame:
+    """Answers (``times`` per row of the log at most) dealt out by user, for joins and aggregations per user."""
+    return place(df, times * table(spark, sf, "lineitem").count(), "user_id")
+
+
 def canonical(spark: SparkSession, sf: str, spec: FilterSpec | None = None) -> DataFrame:
     return canonical_dataset(
-        responses(spark, sf), rulebook(spark), demographics(spark, sf), cohort_map(spark, sf), spec
+        by_user(spark, sf, responses(spark, sf)), rulebook(spark), demographics(spark, sf), cohort_map(spark, sf), spec
     )
 
 

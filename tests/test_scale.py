@@ -164,3 +164,26 @@ def test_short_vectors_are_verified_where_they_meet(spark):
     assert len(got) == found.count() and set(got) <= true | {(900, 901)} and (900, 901) in got
     assert len(got) >= 0.99 * len(true) and len(true) > 200
     assert all(abs(r["similarity"] - sims[a, b]) < 1e-12 and (r["n_a"], r["n_b"]) == (1 + a % 3, 1 + b % 3) for (a, b), r in got.items() if a < 900)
+
+
+def tables(spark, path) -> str:
+    """A study of 40 users with 30 orders each."""
+    n = 1200
+    line = spark.range(n * 2).select(
+        (F.col("id") % n).alias("l_orderkey"), (F.col("id") % 11).alias("l_partkey"), F.lit(1).cast("bigint").alias("l_suppkey"), (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"),
+        (F.col("id") % 5).cast("double").alias("l_quantity"), F.col("id").cast("double").alias("l_extendedprice"), F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("id") % 3 + 1).cast("int")).alias("l_returnflag"),
+        F.lit("1997-03-01").cast("timestamp_ntz").alias("l_shipdate"))
+    line.write.parquet(f"{path}/lineitem.parquet")
+    spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") % 40).alias("o_custkey")).write.parquet(f"{path}/orders.parquet")
+    spark.range(40).select(F.col("id").alias("c_custkey"), (F.col("id") % 4).cast("int").alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment")).write.parquet(f"{path}/customer.parquet")
+    spark.range(4).select(F.col("id").cast("int").alias("n_nationkey"), F.concat(F.lit("NATION_"), F.col("id")).alias("n_name")).write.parquet(f"{path}/nation.parquet")
+    return str(path)
+
+
+def test_parts_of_answers_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    """Merged by bytes, a part held ever more of the rows, which compress well."""
+    sf = tables(spark, tmp_path)
+    monkeypatch.setattr(core, "ROWS_PER_TASK", 100)
+    means = sc.aggregate_construct_means(sc.construct_means(t.canonical(spark, sf), t.SURVEYS))
+    assert means.rdd.getNumPartitions() == 24  # 2400 rows of the log
+    assert means.count() > 0
