@@ -402,12 +402,18 @@ def _(spark, sf):
     return ix.quant_ctt(t.scored(spark, sf), t.MCQ, {"Q1": 2.0, "Q2": 0.5})
 
 
-def outcome(spark, sf):
-    df = t.canonical(spark, sf)
+def answers(spark, sf):
+    """What the indices read of the answers, stored: they are used several times."""
+    columns = ["user_id", "module_id", "instrument_key", "question_id", "item_score", "construct", "submitted_at"]
+    return materialize(t.canonical(spark, sf).select(*columns), "answers")
+
+
+def outcome(spark, sf, df=None):
+    df = df or answers(spark, sf)
     tests = t.pre_post(df)
     early = F.col("submitted_at") < F.lit("1997-01-01").cast("timestamp_ntz")
     concept = tests.filter(F.col("question_id").isin("Q1", "Q2", "Q3")).withColumn("instrument_key", F.when(early, "pre_concept_inventory").otherwise("post_concept_inventory"))
-    scores = sc.assessment_scores(df.unionByName(tests).unionByName(concept), S)
+    scores = sc.assessment_scores(t.by_user(spark, sf, df.unionByName(tests).unionByName(concept), 3), S)
     return ix.outcome_index(scores, t.MCQ, [("g_knowledge", t.PRE, t.POST), ("g_concept", "pre_concept", "post_concept")])
 
 
@@ -434,8 +440,9 @@ PROCESS = f"""{MEANS}, pr0 AS (SELECT user_id, (avg(mean_score) FILTER (instrume
    pr AS (SELECT user_id, e, m, CASE WHEN e IS NULL THEN m WHEN m IS NULL THEN e ELSE (e + m) / 2 END AS p FROM pr0)"""
 
 
-def process(spark, sf):
-    return ix.process_index(means(spark, sf), "engagement", "motivation", FLIPPED)
+def process(spark, sf, df=None):
+    scores = means(spark, sf) if df is None else sc.construct_means(t.by_user(spark, sf, df), S)
+    return ix.process_index(scores, "engagement", "motivation", FLIPPED)
 
 
 @query("cpi_process", sql(f"WITH {PROCESS} SELECT user_id, round(CAST(e AS DECIMAL(18,10)), 4)::DOUBLE AS engagement_mean, round(CAST(m AS DECIMAL(18,10)), 4)::DOUBLE AS motivation_mean, round(CAST(p AS DECIMAL(18,10)), 4)::DOUBLE AS cpi_process FROM pr", "canon"))
@@ -484,7 +491,8 @@ PLUS = f"""{OUTCOME}, {PROCESS}, {QUAL}, oi2 AS (SELECT user_id, round(CAST(cpi_
 
 @query("cpi_plus", sql(f"WITH {PLUS} SELECT user_id, o AS cpi_outcome, p AS cpi_process, c AS cpi_qual, cpi_plus, CASE WHEN cpi_plus >= 0.75 THEN '🟢 High (≥0.75)' WHEN cpi_plus >= 0.5 THEN '🟡 Moderate (0.50–0.74)' WHEN cpi_plus >= 0.25 THEN '🟠 Developing (0.25–0.49)' ELSE '🔴 Emerging (<0.25)' END AS band FROM pl", "canon"))
 def _(spark, sf):
-    df = ix.plus_index(outcome(spark, sf), process(spark, sf), qual(spark, sf))
+    stored = answers(spark, sf)
+    df = ix.plus_index(outcome(spark, sf, stored), process(spark, sf, stored), qual(spark, sf))
     return df.select("user_id", "cpi_outcome", "cpi_process", "cpi_qual", "cpi_plus", "band")
 
 
