@@ -32,17 +32,19 @@ def validate_import(
 ) -> DataFrame:
     """The import checks as ``check, severity, n, sample``; only findings (n > 0) are returned.
 
-    The file is read three times, whatever the number of checks: for counts over its rows, for the demographics of its users,
-    and for checks on groups. For these each row enters one aggregation under a key per kind of group (user, cohort,
-    instrument, answer slot, answer), combined before the shuffle; what is wrong with a group are rows, of which a check
-    shows the first ``SAMPLE`` values.
+    The file is cleaned and stored once, and read three times, whatever the number of checks: for counts over its rows, for the
+    demographics of its users, and for checks on groups. For these each row enters one aggregation under a key per kind of group
+    (user, cohort, instrument, answer slot, answer), combined before the shuffle. The known users enter it, too, as rows without
+    weight, so no group is shuffled again to be looked up; a user's cohorts are told apart by their hashes, whose minimum needs
+    no sort. What is wrong with a group are rows, of which a check shows the first ``SAMPLE`` values.
     """
     require_columns(canonical, REQUIRED_IMPORT, "import file")
     text = ("user_id", "module_id", "instrument_key", "question_id", "construct", "cohort_id")
-    c = canonical.select(
+    cleaned = canonical.select(
         *[F.coalesce(strip(F.col(x).cast("string")), F.lit("")).alias(x) for x in text], "response_value",
         F.col("item_score").try_cast("double").alias("score"),
     )
+    c = materialize(cleaned, "import")
     blank = {f"empty_{x}": F.count_if(F.col(x).isin("", "nan", "None")) for x in text}
     rows = c.agg(*[n.alias(check) for check, n in {**blank, "score_not_numeric": F.count_if(F.col("score").isNull())}.items()])
 
@@ -53,15 +55,19 @@ def validate_import(
     if known_instruments is not None:
         kinds.append(key("instrument", "instrument_key"))
     by = ["kind", "k0", "k1", "k2"]
-    groups = c.select(F.explode(F.array(*kinds)).alias("g"), "cohort_id", "score").select("g.*", "cohort_id", "score").groupBy(*by).agg(
-        F.count(F.lit(1)).alias("m"), F.min("cohort_id").alias("c0"), F.max("cohort_id").alias("c1"), F.min("score").alias("s0"), F.max("score").alias("s1")
+    one = F.lit(1).cast("bigint")
+    rated = c.select(F.explode(F.array(*kinds)).alias("g"), F.xxhash64("cohort_id").alias("cohort"), "score").select("g.*", "cohort", "score", one.alias("weight"))
+    known = known_users.select(
+        F.lit("user").alias("kind"), strip("user_id").cast("string").alias("k0"), F.lit("").alias("k1"), F.lit("").alias("k2"),
+        F.lit(None).cast("bigint").alias("cohort"), F.lit(None).cast("double").alias("score"), F.lit(0).cast("bigint").alias("weight"),
     )
-    known = known_users.select(F.lit("user").alias("kind"), strip("user_id").alias("k0")).distinct().withColumn("_known", F.lit(True))
-    groups = groups.join(known, ["kind", "k0"], "left")
-    user, one = F.col("kind") == "user", F.lit(1).cast("bigint")
+    groups = rated.unionByName(known).groupBy(*by).agg(
+        F.sum("weight").alias("m"), F.min("weight").alias("least"), F.min("cohort").alias("c0"), F.max("cohort").alias("c1"), F.min("score").alias("s0"), F.max("score").alias("s1")
+    ).filter(F.col("m") > 0)
+    user = F.col("kind") == "user"
     faults = [
         ("bad_user_id", user & ~F.col("k0").rlike(STUDENT_ID_PATTERN), one, True),
-        ("id_of_platform_user", user & F.col("_known").isNotNull(), one, True),
+        ("id_of_platform_user", user & (F.col("least") == 0), one, True),
         ("user_in_several_cohorts", user & (F.col("c0") < F.col("c1")), one, True),
         ("cohort_already_registered", (F.col("kind") == "cohort") & F.col("k0").isin(list(registered_cohorts)), one, True),
         ("unknown_instrument", (F.col("kind") == "instrument") & ~F.col("k0").isin(list(known_instruments or [])), one, True),

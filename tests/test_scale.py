@@ -196,3 +196,17 @@ def test_indices_derive_the_answers_once(spark, tmp_path, monkeypatch):
     spark.range(40).select(F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.lit("click").alias("event_type"), F.lit(2.0).alias("value"), F.lit('{"k": 3}').alias("props")).write.parquet(f"{sf}/events.parquet")
     load_all()
     assert QUERIES["cpi_plus"](spark, sf).count() == 40 and len(made) == 1
+
+
+def test_an_import_is_cleaned_once_and_its_groups_are_not_joined(spark):
+    give, seen = counted(spark, "string")
+    rows = [(f"user{i % 7}", "module_1", "module1_x", f"Q{i % 3}", "a", "1", "k", f"C{i % 2}") for i in range(42)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in va.REQUIRED_IMPORT)).withColumn("question_id", give("question_id"))
+    demographics = spark.createDataFrame([], "user_id string, grade string, gender string, first_language_english string")
+    known = spark.createDataFrame([("user3 ",), ("user3",), ("other",), (None,)], "user_id string")
+    found = {r["check"]: (r["n"], r["sample"]) for r in va.validate_import(df, demographics, known, ["C1"]).collect()}
+    assert seen.value == 42
+    assert found == {
+        "id_of_platform_user": (1, ["user3"]), "user_in_several_cohorts": (7, [f"user{i}" for i in range(7)]), "cohort_already_registered": (1, ["C1"]),
+        "duplicate_rows": (21, None), "no_demographics": (7, None),
+    }
