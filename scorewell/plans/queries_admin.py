@@ -289,7 +289,9 @@ def _(spark, sf):
     path = shared_dir(spark, "imports")
     df = t.canonical(spark, sf).filter(F.col("cohort_id").isNotNull())
     sk.replace_partitions(df, path, "cohort_id")
-    sk.replace_partitions(df.filter(F.col("cohort_id").isin("NATION_1", "NATION_2") & (F.col("module_id") == "module_1")), path, "cohort_id")
+    back = spark.read.schema(df.schema).parquet(path)
+    again = back.filter(F.col("cohort_id").isin("NATION_1", "NATION_2") & (F.col("module_id") == "module_1"))
+    sk.replace_partitions(materialize(again, "again"), path, "cohort_id")  # the rows of the first import, not derived once more
     back = spark.read.schema(df.schema).parquet(path)
     return back.groupBy("cohort_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 

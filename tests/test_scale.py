@@ -189,6 +189,17 @@ def test_parts_of_answers_hold_a_bounded_number_of_rows(spark, tmp_path, monkeyp
     assert means.count() > 0
 
 
+def test_a_second_import_is_not_derived_again(spark, tmp_path, monkeypatch):
+    sf, written = tables(spark, tmp_path), []
+    real = sk.replace_partitions
+    monkeypatch.setattr(sk, "replace_partitions", lambda df, path, *columns: (written.append(plan(df).count("Join")), real(df, path, *columns)))
+    load_all()
+    rows = {r["cohort_id"]: (r["n"], r["users"]) for r in QUERIES["replace_partitions"](spark, sf).collect()}
+    assert written[0] > 0 and written[1:] == [0]
+    canon = t.canonical(spark, sf).filter("cohort_id IS NOT NULL AND (cohort_id NOT IN ('NATION_1', 'NATION_2') OR module_id = 'module_1')")
+    assert rows == {r["cohort_id"]: (r["n"], r["users"]) for r in canon.groupBy("cohort_id").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")).collect()}
+
+
 def test_indices_derive_the_answers_once(spark, tmp_path, monkeypatch):
     sf, made = tables(spark, tmp_path), []
     real = t.canonical
