@@ -216,7 +216,7 @@ def fit_binary(matrix: DataFrame, model: str = "rasch", missing: str = "skip", m
     ``rasch``: common slope (fixed at ``sd``, or estimated when ``sd`` is None); ``2pl``: a slope per
     item. ``item_prior`` treats item difficulties as normal random effects.
     """
-    matrix, dropped = _varying(matrix.select("user_id", "question_id", "item_score"))
+    matrix, dropped = _varying(materialize(matrix.select("user_id", "question_id", "item_score"), "matrix"))  # read several times
     items = item_order(matrix)
     patterns = materialize(response_patterns(matrix, items, missing), "patterns")
     n = patterns.agg(F.sum("n")).first()[0] or 0
@@ -464,6 +464,7 @@ def item_difficulty_glmm(matrix: DataFrame, item_effects: str = "auto", max_iter
     Persons are random with an estimated sd; items are fixed or, from ten items on, random.
     """
     spark = matrix.sparkSession
+    matrix = materialize(matrix.select("user_id", "question_id", "item_score"), "matrix")
     cells = matrix.filter(F.col("item_score").isNotNull())
     stats = cells.groupBy(F.col("question_id").alias("item")).agg(F.count(F.lit(1)).alias("n"), F.avg("item_score").alias("p"))
     size = cells.agg(F.count_distinct("user_id").alias("u"), F.count_distinct("question_id").alias("i"), F.count(F.lit(1)).alias("o")).first()

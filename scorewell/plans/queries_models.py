@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..core import materialize
 from ..operators import indices as ix
 from ..operators import irt
 from ..operators import mixed as mx
@@ -109,7 +110,7 @@ SOLVED = f"WITH {BINARY} SELECT question_id AS item_id, true AS solved, true AS
 
 def solved(spark, sf, fit, slopes):
     """Whether the likelihood equations of each item hold at the fitted parameters, computed apart from the fit."""
-    m = matrix(spark, sf)
+    m = materialize(matrix(spark, sf), "matrix")
     f = fit(m)
     p = f.item_params(spark)
     at_end = F.col("a") <= irt.LOW_SLOPE  # a slope at its lower end may only want to fall

@@ -221,3 +221,13 @@ def test_an_import_is_cleaned_once_and_its_groups_are_not_joined(spark):
         "id_of_platform_user": (1, ["user3"]), "user_in_several_cohorts": (7, [f"user{i}" for i in range(7)]), "cohort_already_registered": (1, ["C1"]),
         "duplicate_rows": (21, None), "no_demographics": (7, None),
     }
+
+
+def test_a_model_reads_its_matrix_once(spark):
+    give, seen = counted(spark, "double")
+    rng = np.random.default_rng(5)
+    rows = [(f"u{p}", f"Q{i}", float(rng.random() < 0.3 + 0.1 * i)) for p in range(60) for i in range(4)]
+    matrix = spark.createDataFrame(rows, "user_id string, question_id string, item_score double").withColumn("item_score", give("item_score"))
+    assert irt.fit_binary(matrix, "rasch", max_iter=3).n_persons == 60 and seen.value == 240
+    items, _ = irt.item_difficulty_glmm(matrix, max_iter=3)
+    assert items.count() == 4 and seen.value == 480
