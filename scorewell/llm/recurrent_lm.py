@@ -23,11 +23,11 @@ from __future__ import annotations
 import ctypes
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +40,11 @@ TRAIN_LANES, TRAIN_WINDOW, SCORE_WINDOW = 512, 16, 64
 LEAST_WINDOWS = 64  # a stream too short for all lanes gets fewer, so that it still makes this many windows
 LEARNING_RATE = 0.01
 FAN_IN = 64
-FLUSH_WORDS = 400_000
 BATCH_TOKENS = 1 << 21
+SLICE_BYTES = 8 << 20  # text that is cut into words at a time
+COUNT_BYTES = 16 << 20  # words that are counted at a time
+BLOCK = 2048  # columns of a softmax that fit a core's cache
+TRAILING = ".,;:!?#*$%&|<>\"')"
 END = b""
 
 
@@ -52,29 +55,54 @@ def words_of(text: str | None) -> list[bytes]:
 
 def class_of(word: bytes) -> int:
     """Class by the last three bytes of a word's letters; punctuation at the end does not matter."""
-    core = word.rstrip(b".,;:!?#*$%&|<>\"')") or word
+    core = word.rstrip(TRAILING.encode()) or word
     return zlib.crc32(core[-3:]) % CLASSES
 
 
+def classes_of(words: pa.Array) -> np.ndarray:
+    """``class_of`` of each word; every ending is hashed once."""
+    core = pc.ascii_rtrim(words, characters=TRAILING)
+    core = pc.if_else(pc.equal(pc.binary_length(core), 0), words, core)
+    endings = pc.binary_slice(core.cast(pa.binary()), -3).dictionary_encode()
+    found = np.array([zlib.crc32(x) % CLASSES for x in endings.dictionary.to_pylist()], np.int32)
+    return found[endings.indices.to_numpy()] if len(words) else np.empty(0, np.int32)
+
+
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts with the end (an empty word) after each text's, and where each text begins and the last one stops."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    closed = pc.if_else(pc.equal(pc.binary_length(trimmed), 0), trimmed, pc.binary_join_element_wise(trimmed, " ", ""))
+    lists = pc.ascii_split_whitespace(closed)
+    return lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some ``SLICE_BYTES`` of text, of whole rows."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 # ---------------------------------------------------------------- counts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(counts: Counter) -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array([class_of(k) for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "cls", "c"]
-        )
-
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch["text"].to_pylist():
-            counts.update(words_of(text))
-            counts[END] += 1
-            if len(counts) > FLUSH_WORDS:
-                yield rows(counts)
-                counts = Counter()
-    yield rows(counts)
+    def rows() -> pa.RecordBatch:
+        counts = pc.value_counts(pa.chunked_array(held))
+        words = counts.field("values")
+        return pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(classes_of(words), pa.int32()), counts.field("counts")], names=["word", "cls", "c"])
+
+    held, size = [], 0
+    for part in (p for batch in batches for p in slices(batch)):
+        held.append(tokens_of(part["text"])[0])
+        size += held[-1].nbytes
+        if size >= COUNT_BYTES:
+            yield rows()
+            held, size = [], 0
+    if held:
+        yield rows()
 
 
 def count_words(training: DataFrame) -> DataFrame:
@@ -129,36 +157,21 @@ class Vocabulary:
         }
 
 
-class RareNumbers(dict):
-    """Word outside the head -> number of its class's rare slot; a bounded memory of words seen before."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = class_of(word) * WIDTH
-        if len(word) <= HEAD_BYTES:
-            if len(self) >= HEAD_WORDS:
-                self.clear()
-            self[word] = number
-        return number
-
-
 class Lookup:
     """Word -> place in the head, and the model's input and output number of any word."""
 
-    def __init__(self, words: list[bytes], cls: np.ndarray, slot: np.ndarray) -> None:
-        self.place = dict(zip(words, range(len(words)), strict=True))
-        self.number = (cls.astype(np.int64) * WIDTH + slot).astype(np.int32)
-        self.rare = RareNumbers()
-        end = self.place.get(END)
-        self.end = int(self.number[end]) if end is not None else class_of(END) * WIDTH
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place or -1, number) of each word and of the end after them."""
-        get = self.place.get
-        places = np.array([get(w, -1) for w in words] + [get(END, -1)], dtype=np.int64)
-        numbers = self.number[places] if len(self.number) else np.zeros(len(places), np.int32)
-        rare = np.flatnonzero(places[:-1] < 0)
-        numbers[rare] = [self.rare[words[i]] for i in rare.tolist()]
-        numbers[-1] = self.end
+    def __init__(self, words: pa.Array, cls: np.ndarray, slot: np.ndarray) -> None:
+        self.words = words
+        self.number = np.append(cls.astype(np.int64) * WIDTH + slot, 0).astype(np.int32)
+        end = pc.index(words, END).as_py()
+        self.end = int(self.number[end]) if end >= 0 else class_of(END) * WIDTH
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place or -1, number) of each word."""
+        places = pc.fill_null(pc.index_in(words.cast(pa.binary()), value_set=self.words), -1).to_numpy()
+        numbers = self.number[places]
+        rare = places < 0
+        numbers[rare] = classes_of(words.filter(pa.array(rare))) * WIDTH
         return places, numbers
 
 
@@ -175,12 +188,26 @@ def keep_memory() -> None:
 def _columns(x: np.ndarray, h: np.ndarray, u: np.ndarray, bu: np.ndarray) -> tuple[np.ndarray, ...]:
     """One step with a column per lane, so that every gate is one block of memory."""
     m = HIDDEN
-    hw = u.T @ h + bu[:, None]
+    hw = u.T @ h
+    hw += bu[:, None]
     with np.errstate(over="ignore"):
-        gates = 1 / (1 + np.exp(-(x[: 2 * m] + hw[: 2 * m])))
+        gates = x[: 2 * m] + hw[: 2 * m]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.divide(1, gates, out=gates)
         z, r = gates[:m], gates[m:]
-        n = 2 / (1 + np.exp(-2 * (x[2 * m :] + r * hw[2 * m :]))) - 1
-    return n + z * (h - n), z, r, n, hw[2 * m :]
+        n = r * hw[2 * m :]
+        n += x[2 * m :]
+        n *= -2
+        np.exp(n, out=n)
+        n += 1
+        np.divide(2, n, out=n)
+        n -= 1
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, hw[2 * m :]
 
 
 def _step(x: np.ndarray, h: np.ndarray, u: np.ndarray, bu: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -190,17 +217,31 @@ def _step(x: np.ndarray, h: np.ndarray, u: np.ndarray, bu: np.ndarray) -> tuple[
 
 def _inputs(w: dict[str, np.ndarray], inputs: np.ndarray) -> np.ndarray:
     """Input terms of a window (steps x lanes), columns by step."""
-    return np.ascontiguousarray(w["x"][inputs].transpose(0, 2, 1))
+    return np.ascontiguousarray(np.take(w["x"], inputs, axis=0).transpose(0, 2, 1))
 
 
 def _softmax(a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of each column and the log of its entry ``at``; works in ``a``."""
+    logs, total = _own_logs(a, at)
+    a /= total
+    return a, logs
+
+
+def _own_logs(a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the probability of each column's entry ``at``, and the sums by which ``a`` then is to be divided."""
     a -= a.max(axis=0)
     own = a[at, np.arange(a.shape[1])]
     np.exp(a, out=a)
     total = a.sum(axis=0)
-    a /= total
-    return a, own - np.log(total)
+    return own - np.log(total), total
+
+
+def _block_logs(w: np.ndarray, b: np.ndarray, states: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+    """``_own_logs`` of an affine layer over the columns of ``states``, a block at a time, into ``out``."""
+    for k in range(0, len(at), BLOCK):
+        a = w.T @ states[:, k : k + BLOCK]
+        a += b[:, None]
+        out[k : k + BLOCK] = _own_logs(a, at[k : k + BLOCK])[0]
 
 
 def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -211,14 +252,19 @@ def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
 def token_logs(w: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of P(class) * P(slot | class) per row of ``states``."""
+    return _column_logs(w, states.T, targets)
+
+
+def _column_logs(w: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """The same with a column per token."""
     cls, slot = targets // WIDTH, targets % WIDTH
-    out = _softmax(w["wc"].T @ states.T + w["bc"][:, None], cls)[1].astype(np.float64)
+    out, inside = np.empty(len(cls)), np.empty(len(cls))
+    _block_logs(w["wc"], w["bc"], states, cls, out)
     order, ends = _by_class(cls)
-    rows, slot, inside = states[order], slot[order], np.empty(len(cls))
+    columns, slot = np.take(states, order, axis=1), slot[order]
     for k in range(CLASSES):
-        a, b = ends[k], ends[k + 1]
-        if a < b:
-            inside[a:b] = _softmax(w["ws"][k].T @ rows[a:b].T + w["bs"][k][:, None], slot[a:b])[1]
+        at = slice(ends[k], ends[k + 1])
+        _block_logs(w["ws"][k], w["bs"][k], columns[:, at], slot[at], inside[at])
     out[order] += inside
     return out
 
@@ -240,9 +286,11 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     cls, slot = y // WIDTH, y % WIDTH
     count = np.float32(len(y))
     at = np.arange(len(y))
-    d, own = _softmax(w["wc"].T @ flat.T + w["bc"][:, None], cls)
+    d = w["wc"].T @ flat.T
+    d += w["bc"][:, None]
+    d, own = _softmax(d, cls)
     loss = -own.sum()
-    d[cls, at] -= 1
+    d.reshape(-1)[cls * len(y) + at] -= 1
     d /= count
     g = {"wc": flat.T @ d.T, "bc": d.sum(axis=1), "ws": np.zeros_like(w["ws"]), "bs": np.zeros_like(w["bs"])}
     dflat = d.T @ w["wc"].T
@@ -252,7 +300,9 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         a, b = ends[k], ends[k + 1]
         if a == b:
             continue
-        d, own = _softmax(w["ws"][k].T @ rows[a:b].T + w["bs"][k][:, None], slot[a:b])
+        d = w["ws"][k].T @ rows[a:b].T
+        d += w["bs"][k][:, None]
+        d, own = _softmax(d, slot[a:b])
         loss -= own.sum()
         d[slot[a:b], at[: b - a]] -= 1
         d /= count
@@ -260,25 +310,34 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         drows[a:b] = d.T @ w["ws"][k].T
     dflat[order] += drows
     dstates = np.ascontiguousarray(dflat.reshape(steps, lanes, m).transpose(0, 2, 1))
-    dx, dhw = (np.empty((steps, 3 * m, lanes), dflat.dtype) for _ in range(2))
+    dx, dhw = np.empty((3 * m, steps, lanes), np.float64), np.empty((steps, 3 * m, lanes), dflat.dtype)
     back = np.zeros((m, lanes), dflat.dtype)
     for t in range(steps - 1, -1, -1):
         h, z, r, n, c = kept[t]
-        dh = dstates[t] + back
-        dn = dh * (1 - z) * (1 - n * n)
-        dx[t, :m] = dh * (h - n) * z * (1 - z)
-        dx[t, m : 2 * m] = dn * c * r * (1 - r)
-        dx[t, 2 * m :] = dn
-        dhw[t, : 2 * m] = dx[t, : 2 * m]
-        dhw[t, 2 * m :] = dn * r
-        back = dh * z + w["u"] @ dhw[t]
+        dh, rest, dgates = dstates[t], 1 - z, dhw[t]
+        dh += back
+        dn = n * n
+        np.subtract(1, dn, out=dn)
+        dn *= dh * rest
+        dz = np.subtract(h, n, out=dgates[:m])
+        dz *= dh
+        dz *= z
+        dz *= rest
+        dr = np.multiply(dn, c, out=dgates[m : 2 * m])
+        dr *= r
+        dr *= np.subtract(1, r, out=rest)
+        dx[: 2 * m, t], dx[2 * m :, t] = dgates[: 2 * m], dn
+        np.multiply(dn, r, out=dgates[2 * m :])
+        back = w["u"] @ dgates
+        dh *= z
+        back += dh
         if begins[t]:
             back = np.where(fresh[t], np.float32(0), back)
     g["u"] = np.matmul(before, dhw.transpose(0, 2, 1)).sum(axis=0)
     g["bu"] = dhw.sum(axis=(0, 2))
-    ids = inputs.reshape(-1)
+    ids = inputs.reshape(-1).astype(np.intp)
     g["x"] = np.empty_like(w["x"])
-    for j, column in enumerate(dx.transpose(1, 0, 2).reshape(3 * m, -1)):
+    for j, column in enumerate(dx.reshape(3 * m, -1)):
         g["x"][:, j] = np.bincount(ids, weights=column, minlength=len(w["x"]))
     return g, states[-1].T, float(loss) / len(y)
 
@@ -347,7 +406,7 @@ def train_round(rows: DataFrame, weights: dict[str, np.ndarray], vocabulary: Voc
     """Every task trains from ``weights`` on its rows; the average by tokens comes back."""
     context = rows.sparkSession.sparkContext
     slotted = np.flatnonzero(vocabulary.slot > 0)
-    shared = context.broadcast((weights, [vocabulary.words[i] for i in slotted], vocabulary.cls[slotted], vocabulary.slot[slotted]))
+    shared = context.broadcast((weights, pa.array([vocabulary.words[i] for i in slotted], pa.binary()), vocabulary.cls[slotted], vocabulary.slot[slotted]))
     schema = "place bigint, tokens bigint, weights binary"
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,10 +416,11 @@ def train_round(rows: DataFrame, weights: dict[str, np.ndarray], vocabulary: Voc
         start, words, cls, slot = shared.value
         lookup, trainer = Lookup(words, cls, slot), Trainer(start)
         held, size = [], 0
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                held.append(lookup(words_of(text))[1])
-                size += len(held[-1])
+        for part in (p for batch in batches for p in slices(batch)):
+            words_in, begins = tokens_of(part["text"])
+            for numbers in np.split(lookup(words_in)[1], begins[1:-1]):
+                held.append(numbers)
+                size += len(numbers)
                 if size >= BATCH_TOKENS:
                     trainer.stream(held, lookup.end)
                     held, size = [], 0
@@ -419,17 +479,18 @@ def text_logs(w: dict[str, np.ndarray], numbers: list[np.ndarray], end: int) ->
         b = min(a + SCORE_WINDOW, length)
         m = int((alive > a).sum())
         h = h[:, :m]
-        states = np.empty((b - a, HIDDEN, m), np.float32)
+        states = np.empty((HIDDEN, b - a, m), np.float32)
         terms, begins = _inputs(w, x[a:b, :m]), fresh[a:b, :m].any(axis=1)
         for t in range(b - a):
             if begins[t]:
                 h = np.where(fresh[a + t, :m], np.float32(0), h)
             h = _columns(terms[t], h, w["u"], w["bu"])[0]
-            states[t] = h
-        who = owner[a:b, :m].reshape(-1)
+            states[:, t] = h
+        who, states, targets = owner[a:b, :m].reshape(-1), states.reshape(HIDDEN, -1), y[a:b, :m].reshape(-1)
         real = who >= 0
-        logs = token_logs(w, states.transpose(0, 2, 1).reshape(-1, HIDDEN)[real], y[a:b, :m].reshape(-1)[real])
-        out += np.bincount(who[real], weights=logs, minlength=len(out))
+        if not real.all():
+            who, states, targets = who[real], states[:, real], targets[real]
+        out += np.bincount(who, weights=_column_logs(w, states, targets), minlength=len(out))
     return out
 
 
@@ -439,12 +500,25 @@ SCORE_DDL = (
 )
 
 
+def _rare_words(tokens: pa.Array, rare: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Per text the words that are ``rare``, each once with its class and how often the text has it."""
+    coded = tokens.filter(pa.array(rare)).dictionary_encode()
+    many = max(1, len(coded.dictionary))
+    text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[rare]
+    keys, n = np.unique(text * many + coded.indices.to_numpy(), return_counts=True)
+    codes = keys % many
+    cells = pa.StructArray.from_arrays(
+        [coded.dictionary.take(pa.array(codes)).cast(pa.binary()), pa.array(classes_of(coded.dictionary)[codes], pa.int32()), pa.array(n, pa.int32())], names=["word", "cls", "n"]
+    )
+    ends = np.concatenate([[0], np.cumsum(np.bincount(keys // many, minlength=len(begins) - 1))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
+
+
 def _score_rows(rows: DataFrame, weights: dict[str, np.ndarray], vocabulary: Vocabulary) -> DataFrame:
     v = vocabulary
-    base = np.log10((v.c + 1) / (v.n + v.v + 1))
-    inside = np.where(v.slot > 0, 0.0, np.log10((v.c + 1) / (v.rare_n[v.cls] + v.rare_v[v.cls] + 1)))
-    shared = rows.sparkSession.sparkContext.broadcast((weights, v.words, v.cls, v.slot, base, inside))
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("cls", pa.int32()), ("n", pa.int32())]))
+    base = np.append(np.log10((v.c + 1) / (v.n + v.v + 1)), 0.0)  # the last entry is that of words outside the head
+    inside = np.append(np.where(v.slot > 0, 0.0, np.log10((v.c + 1) / (v.rare_n[v.cls] + v.rare_v[v.cls] + 1))), 0.0)
+    shared = rows.sparkSession.sparkContext.broadcast((weights, pa.array(v.words, pa.binary()), v.cls, v.slot, base, inside))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -454,30 +528,39 @@ def _score_rows(rows: DataFrame, weights: dict[str, np.ndarray], vocabulary: Voc
         lookup = Lookup(words, cls, slot)
         row = TaskContext.get().partitionId() << 40
 
-        def finish(held: list[tuple]) -> pa.RecordBatch:
+        def finish() -> Iterator[pa.RecordBatch]:
             nonlocal row
-            model = text_logs(w, [x[3] for x in held], lookup.end) / math.log(10)
-            out = [(row + i, d, f, len(x), k, bl, il + model[i], rare) for i, (d, f, (k, bl, il, rare), x) in enumerate(held)]
-            row += len(held)
-            names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_log", "model_log", "rare"]
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            model = text_logs(w, [x for _, numbers in held for x in numbers], lookup.end) / math.log(10)
+            at = 0
+            for columns, numbers in held:
+                n = len(numbers)
+                made = {"row": np.arange(row, row + n), **columns, "model_log": columns["inside_log"] + model[at : at + n]}
+                names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_log", "model_log", "rare"]
+                yield pa.RecordBatch.from_arrays([made[k] if isinstance(made[k], pa.Array) else pa.array(made[k]) for k in names], names=names)
+                row, at = row + n, at + n
 
         held, size = [], 0
-        for batch in batches:
-            for doc_id, out_fold, text in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                tokens = words_of(text)
-                places, numbers = lookup(tokens)
-                known = places[places >= 0]
-                others = Counter([(tokens[i] if i < len(tokens) else END) for i in np.flatnonzero(places < 0).tolist()])
-                rare = [{"word": k, "cls": class_of(k), "n": n} for k, n in others.items()]
-                held.append((doc_id, out_fold, (len(known), float(base_logs[known].sum()), float(inside_logs[known].sum()), rare), numbers))
-                size += len(numbers)
+        for part in (p for batch in batches for p in slices(batch)):
+            tokens, begins = tokens_of(part["text"])
+            places, numbers = lookup(tokens)
+            n_known, base_log, inside_log = (np.add.reduceat(x, begins[:-1]) for x in ((places >= 0).astype(np.int64), base_logs[places], inside_logs[places]))
+            columns = {
+                "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": np.diff(begins), "n_known": n_known,
+                "base_log": base_log, "inside_log": inside_log, "rare": _rare_words(tokens, places < 0, begins),
+            }
+            numbers = np.split(numbers, begins[1:-1])
+            del tokens, places
+            a = 0
+            for b, x in enumerate(numbers, 1):
+                size += len(x)
+                if size >= BATCH_TOKENS or b == len(numbers):
+                    held.append(({k: c[a:b] for k, c in columns.items()}, numbers[a:b]))
+                    a = b
                 if size >= BATCH_TOKENS:
-                    yield finish(held)
+                    yield from finish()
                     held, size = [], 0
         if held:
-            yield finish(held)
+            yield from finish()
 
     return rows.select("doc_id", "held_out", "text").mapInArrow(score, SCORE_DDL)
 

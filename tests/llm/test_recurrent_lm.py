@@ -1,9 +1,11 @@
 import math
 import random
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scorewell.llm import recurrent_lm as lm
@@ -124,3 +126,61 @@ def test_a_lone_window_trains():
     trainer = lm.Trainer(start)
     trainer.stream([np.arange(lm.TRAIN_WINDOW, dtype=np.int32)], 7)
     assert trainer.steps == 1 and not np.array_equal(trainer.w["bs"], start["bs"])
+
+
+ODD_TEXTS = ["a  b. c,\t", None, "", " \n", "ÄB cd\x85 e\x1cf Été!?", "...", "x", "\x0b\x0c y ...'", "AbC abc. ABC!", "12345 45) 345\x00", "　 🙂🙂 🙂."]
+
+
+def test_words_of_whole_batches_equal_words_of_single_texts():
+    flat, begins = lm.tokens_of(pa.array(ODD_TEXTS, pa.string()))
+    words = flat.cast(pa.binary()).to_pylist()
+    assert [words[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)] == [[*lm.words_of(t), lm.END] for t in ODD_TEXTS]
+    assert lm.classes_of(flat).tolist() == [lm.class_of(w) for w in words]
+    assert lm.classes_of(flat.slice(0, 0)).tolist() == []
+
+
+def test_lookup_numbers_known_rare_and_no_words():
+    flat, _ = lm.tokens_of(pa.array(ODD_TEXTS, pa.string()))
+    words = flat.cast(pa.binary()).to_pylist()
+    for head in ([b"abc", lm.END, b"x"], [b"x"], []):
+        cls, slot = np.array([lm.class_of(w) for w in head], np.int32), np.array([2, 1, 0][: len(head)], np.int32)
+        lookup = lm.Lookup(pa.array(head, pa.binary()), cls, slot)
+        places, numbers = lookup(flat)
+        assert places.tolist() == [head.index(w) if w in head else -1 for w in words]
+        assert numbers.tolist() == [lm.class_of(w) * lm.WIDTH + (int(slot[head.index(w)]) if w in head else 0) for w in words]
+        assert lookup.end == numbers[words.index(lm.END)]
+
+
+def test_slices_change_no_counts(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([*ODD_TEXTS, "alpha " * 500, *ODD_TEXTS], pa.string())})
+
+    def counted():
+        found = Counter()
+        for part in lm._count(iter([batch, batch.slice(0, 0), batch])):
+            for r in part.to_pylist():
+                found[r["word"], r["cls"]] += r["c"]
+        return found
+
+    whole = counted()
+    assert whole == Counter((w, lm.class_of(w)) for t in batch["text"].to_pylist() * 2 for w in [*lm.words_of(t), lm.END])
+    monkeypatch.setattr(lm, "SLICE_BYTES", 10)
+    monkeypatch.setattr(lm, "COUNT_BYTES", 100)
+    assert counted() == whole
+    parts = list(lm.slices(batch))
+    assert len(parts) > 3 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+
+
+def test_words_are_counted_without_a_call_for_each():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([" ".join(f"w{i}_{j}ing" for j in range(100)) for i in range(200)], pa.string())})
+    calls = 0
+
+    def watch(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(watch)
+    try:
+        rows = sum(len(b) for b in lm._count(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    assert rows == 20_001 and calls < 2_000
