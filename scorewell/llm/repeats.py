@@ -41,7 +41,7 @@ CHUNK_ROWS = 20_000
 BATCH_ROWS = 1_000
 UNIT_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20  # of text: the hashes of so much text, spread over all units, are one range
-FAN = 512  # pieces that a row of hashes is cut into at once
+FAN = 512  # pieces that a row of hashes is cut into at once, at most
 MAX_BUCKETS = 20_000  # of the table of texts; Spark allows 100,000
 LAST_ID = (1 << 63) - 1
 _POSITION_BITS = 26
@@ -131,6 +131,15 @@ def fan_levels(n: int) -> int:
     return max(1, math.ceil(math.log(max(n, 2)) / math.log(FAN) - 1e-9))
 
 
+def fan_out(n: int) -> int:
+    """Pieces of a row in each of these passes: as even as they go, so that between two passes there are some ``n`` groups, too."""
+    levels = fan_levels(n)
+    fan = max(2, round(n ** (1 / levels)) - 1)
+    while fan**levels < n:
+        fan += 1
+    return fan
+
+
 class _Grams:
     """Packed q-grams: unit, hash, and two small numbers each (before the merge texts and places, after it a flag)."""
 
@@ -226,19 +235,20 @@ def _shared_grams(hot_rows: int, stride: int):
 def shared_grams(texts: DataFrame, n_units: int, hot_rows: int) -> DataFrame:
     """Rows of ``_Grams`` whose family is one unit: its q-grams that occur in two texts, hot ones marked.
 
-    Units and ranges are met in passes: a row is cut into at most ``FAN`` pieces, and pieces of ``FAN`` units (on the way
-    back: ranges) are one row again, so rows stay large and few at every size. Up to ``FAN`` ranges one pass each way does.
+    Units and ranges are met in passes: a row is cut into ``fan`` pieces (``fan_out``), and pieces of ``fan`` units (on the way
+    back: ranges) are one group again, so rows stay large and few at every size, and a group holds the hashes of some
+    ``RANGE_BYTES`` of text in every pass. Up to ``FAN`` ranges one pass each way does.
     """
     n_ranges = max(1, n_units * UNIT_BYTES // RANGE_BYTES)
-    levels = fan_levels(max(n_ranges, n_units))
-    blobs = texts.select("unit", "text").mapInArrow(_gram_blobs(n_ranges, FAN ** (levels - 1)), _Grams.DDL)
+    levels, fan = fan_levels(max(n_ranges, n_units)), fan_out(max(n_ranges, n_units))
+    blobs = texts.select("unit", "text").mapInArrow(_gram_blobs(n_ranges, fan ** (levels - 1)), _Grams.DDL)
     for level in range(1, levels):
-        families = blobs.withColumn("family", F.floor(F.col("family") / FAN))
-        blobs = families.groupBy("range", "family").applyInArrow(_to_ranges(n_ranges, FAN ** (levels - 1 - level)), _Grams.DDL)
-    found = blobs.groupBy("range").applyInArrow(_shared_grams(hot_rows, FAN ** (levels - 1)), _Grams.DDL)
+        families = blobs.withColumn("family", F.floor(F.col("family") / fan))
+        blobs = families.groupBy("range", "family").applyInArrow(_to_ranges(n_ranges, fan ** (levels - 1 - level)), _Grams.DDL)
+    found = blobs.groupBy("range").applyInArrow(_shared_grams(hot_rows, fan ** (levels - 1)), _Grams.DDL)
     for level in range(1, levels):
-        ranges = found.withColumn("range", F.floor(F.col("range") / FAN))
-        found = ranges.groupBy("range", "family").applyInArrow(_to_families(FAN ** (levels - 1 - level)), _Grams.DDL)
+        ranges = found.withColumn("range", F.floor(F.col("range") / fan))
+        found = ranges.groupBy("range", "family").applyInArrow(_to_families(fan ** (levels - 1 - level)), _Grams.DDL)
     return found
 
 

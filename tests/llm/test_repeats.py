@@ -1,4 +1,5 @@
 import random
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -133,3 +134,37 @@ def test_ranges_hold_equally_many_grams():
     for n in (8, 64, 256):
         counts = np.bincount(repeats.range_of(h, n), minlength=n)
         assert counts.max() < 1.3 * counts.mean()
+
+
+@pytest.mark.parametrize("fan", [4, 39, 512])
+def test_no_group_between_passes_holds_many_hashes(docs, spark, monkeypatch, tmp_path, fan):
+    """Just above ``FAN`` units a row of ``FAN`` pieces had nearly all hashes of the table meet in a few groups."""
+
+    def counted(fn, name):
+        def run(group):
+            (tmp_path / f"{name}-{uuid.uuid4().hex}").write_text(str(len(repeats._Grams.read(group)[1])))
+            return fn(group)
+
+        return run
+
+    for name in ("_to_ranges", "_shared_grams", "_to_families"):
+        make_fn = getattr(repeats, name)
+        monkeypatch.setattr(repeats, name, lambda *a, f=make_fn, n=name: counted(f(*a), n))
+    monkeypatch.setattr(repeats, "UNIT_BYTES", 2_000)
+    monkeypatch.setattr(repeats, "RANGE_BYTES", 2_000)
+    monkeypatch.setattr(repeats, "FAN", fan)
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=500))) for i in range(160)]
+    with repeats.text_table(docs(rows + [(i + 1_000, text + "z") for i, text in rows]), 2_000) as (texts, n_units, _):
+        assert n_units > 39 * 2 and repeats.fan_levels(n_units) == {4: 4, 39: 2, 512: 1}[fan]
+        assert repeats.shared_grams(texts, n_units, 10**6).count() > 0
+    for name in {"_shared_grams"} | ({"_to_ranges", "_to_families"} if fan < 512 else set()):
+        sizes = [int(p.read_text()) for p in tmp_path.glob(f"{name}-*")]
+        levels = 1 if name == "_shared_grams" else repeats.fan_levels(n_units) - 1
+        assert max(sizes) < 8 * sum(sizes) / levels / n_units, name
+
+
+@pytest.mark.parametrize("n", [1, 2, 511, 512, 513, 770, 1_290, 40_000, 512**2, 512**2 + 1, 10**7])
+def test_passes_are_as_even_as_they_go(n):
+    levels, fan = repeats.fan_levels(n), repeats.fan_out(n)
+    assert fan <= repeats.FAN and n <= fan**levels and (fan - 1) ** levels < max(n, 2)
