@@ -168,3 +168,21 @@ def test_no_group_between_passes_holds_many_hashes(docs, spark, monkeypatch, tmp
 def test_passes_are_as_even_as_they_go(n):
     levels, fan = repeats.fan_levels(n), repeats.fan_out(n)
     assert fan <= repeats.FAN and n <= fan**levels and (fan - 1) ** levels < max(n, 2)
+
+
+def test_cut_texts_in_several_passes(docs, monkeypatch):
+    """The stage of the pipeline, above ``FAN`` units."""
+    monkeypatch.setattr(repeats, "UNIT_BYTES", 300)
+    monkeypatch.setattr(repeats, "RANGE_BYTES", 300)
+    monkeypatch.setattr(repeats, "FAN", 20)
+    real, seen = repeats.text_table, []
+
+    def small(df):
+        seen.append(repeats.partitions_for(df, repeats.text_bytes(df), 300))
+        return real(df, 300)
+
+    monkeypatch.setattr(repeats, "text_table", small)
+    rows = make(6, 40)
+    got = sorted((r.doc_id, r.text) for r in repeats.cut(docs(rows)).collect() if r.text is not None)
+    assert repeats.fan_levels(seen[0]) == 2 and repeats.fan_out(seen[0]) < 10
+    assert got == sorted((d, text_without(data, c)) for (d, data, c), (_, t) in zip(covered_bytes(rows), rows, strict=True) if t is not None)
