@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..core import last_row
+from ..core import last_row, ship_package
 from ..functions.text import infer_module
 from ..operators.canonical import normalize_schema
 from ..operators.progress import module_progress
 from ..operators.scoring import score_items
+from . import packed
 from .tables import KeyedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -127,21 +128,73 @@ def _progress_processor(required: Sequence[tuple[str, Sequence[str]]]) -> Statef
     return ProgressProcessor(required)
 
 
-def stream_unlocks(responses: DataFrame, required: Sequence[tuple[str, Sequence[str]]], earlier: DataFrame | None = None) -> DataFrame:
-    """Completions and module states as a stream, from state kept per user; no table is read.
+UNLOCK_BUCKETS = 1024
+
+
+def _unlock_processor(required: Sequence[tuple[str, Sequence[str]]]) -> StatefulProcessor:
+    """What ``_progress_processor`` does, for all users of a bucket at a time; in this function for the same reason."""
+    told = Row(*[column.split()[0] for column in packed.TOLD_DDL.split(", ")])
+    state_ddl = packed.STATE_DDL
+
+    class UnlockProcessor(StatefulProcessor):
+        """The first submissions of a bucket's users as one value, and what a batch changes as one row of cells."""
+
+        def __init__(self, required):
+            self.required = [(module, sorted(set(instruments))) for module, instruments in required]
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("state", state_ddl)
+
+        def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+            from scorewell.streaming.packed import start
+
+            self.state.update(start(self.state.get(), initialState.cell))
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            from scorewell.streaming.packed import merge
+
+            found = merge(self.state.get(), [row.cell for row in rows], self.required)
+            if found:
+                self.state.update(found[0])
+                yield told(*found[1:])
+
+        def close(self) -> None:
+            pass
+
+    return UnlockProcessor(required)
+
+
+def stream_unlocks(
+    responses: DataFrame, required: Sequence[tuple[str, Sequence[str]]], earlier: DataFrame | None = None, buckets: int | None = UNLOCK_BUCKETS
+) -> DataFrame:
+    """Completions and module states as a stream, from state kept of every user; no table is read.
 
     Each batch brings, for the users it changes, ``completion`` rows (new, or earlier than known) and a ``module`` row per module
     under a higher version, so repeated answers bring nothing and late ones correct what was said. ``completions_of`` and
     ``progress_of`` read the rows as tables. A user's state is as large as the instruments. ``earlier`` are completions
     (user_id, module_id, instrument_key, completed_at) that the state starts with. Needs the RocksDB state store.
+
+    Users are dealt into ``buckets``, a number that stays for the life of a checkpoint: a batch reads and writes the state of a
+    bucket it touches once, as a whole. With None each user has a state of its own, read and written apart, in rows: that is
+    less to write if a batch touches few of very many users, and much slower if it touches most.
     """
     timed = lambda df: df.select(F.col("user_id").cast("string").alias("user_id"), "module_id", "instrument_key", F.unix_micros(F.col("completed_at").cast("timestamp")).alias("completed_us"))
-    start = None
-    if earlier is not None:  # a row per user
-        names = ["user_id", "module_id", "instrument_key"]
+    came, start, first = timed(submissions(responses)), None, None
+    names = ["user_id", "module_id", "instrument_key"]
+    if earlier is not None:
         first = timed(earlier).dropna(subset=[*names[1:], "completed_us"]).groupBy(*names).agg(F.min("completed_us").alias("us"))
-        start = first.groupBy("user_id").agg(F.collect_list(F.struct("module_id", "instrument_key", "us")).alias("done")).groupBy("user_id")
-    return timed(submissions(responses)).groupBy("user_id").transformWithState(_progress_processor(required), PROGRESS_DDL, "Update", "None", start)
+    if buckets is None:
+        if first is not None:  # a row per user
+            start = first.groupBy("user_id").agg(F.collect_list(F.struct("module_id", "instrument_key", "us")).alias("done")).groupBy("user_id")
+        return came.groupBy("user_id").transformWithState(_progress_processor(required), PROGRESS_DDL, "Update", "None", start)
+    ship_package(responses.sparkSession)
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int").alias("bucket")
+    if first is not None:  # few cells per bucket
+        dealt = first.select(bucket, *names, F.col("us").alias("completed_us")).repartition("bucket").sortWithinPartitions("bucket")
+        start = dealt.mapInArrow(packed.pack, packed.PACKED_DDL).groupBy("bucket")
+    cells = came.select(bucket, *names, "completed_us").mapInArrow(packed.pack, packed.PACKED_DDL)
+    told = cells.groupBy("bucket").transformWithState(_unlock_processor(required), packed.TOLD_DDL, "Update", "None", start)
+    return told.mapInArrow(packed.unpack([module for module, _ in required]), PROGRESS_DDL)
 
 
 def completions_of(log: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import math
+import random
 
 import numpy as np
+import pyarrow
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ from scorewell.plans import tables as t
 from scorewell.plans.registry import QUERIES, load_all
 from scorewell.sources import sinks as sk
 from scorewell.plans.queries_streams import as_stream
-from scorewell.streaming import jobs
+from scorewell.streaming import jobs, packed
 
 
 def plan(df) -> str:
@@ -231,3 +235,80 @@ def test_a_model_reads_its_matrix_once(spark):
     assert irt.fit_binary(matrix, "rasch", max_iter=3).n_persons == 60 and seen.value == 240
     items, _ = irt.item_difficulty_glmm(matrix, max_iter=3)
     assert items.count() == 4 and seen.value == 480
+
+
+REQUIRED = [("m1", ["a", "b"]), ("m2", ["c"]), ("m4", []), ("m3", ["a"])]
+ROWS_DDL = "user_id string, module_id string, instrument_key string, completed_us bigint"
+
+
+def submitted(rng, n):
+    pick = rng.choice
+    return [(pick([None, "", "u", "v", "w"]), pick(["m1", "m2", "m3", "x", None, ""]), pick(["a", "b", "c", None]), pick([None, *range(-3, 9)])) for _ in range(n)]
+
+
+def cells_of(rows):
+    columns = dict(zip(["user_id", "module_id", "instrument_key"], zip(*[r[:3] for r in rows], strict=True), strict=True))
+    batch = pyarrow.RecordBatch.from_pydict({
+        "bucket": pyarrow.array([0] * len(rows), pyarrow.int32()), **{k: pyarrow.array(v, pyarrow.string()) for k, v in columns.items()},
+        "completed_us": pyarrow.array([r[3] for r in rows], pyarrow.int64()),
+    })
+    return [cell for out in packed.pack(iter([batch])) for cell in out["cell"].to_pylist()]
+
+
+def log_of(told):
+    batch = pyarrow.RecordBatch.from_pylist([t.asDict() for t in told], pyarrow.schema([("completions", pyarrow.binary()), ("modules", pyarrow.binary())]))
+    return [tuple(r.values()) for out in packed.unpack([m for m, _ in REQUIRED])(iter([batch])) for r in out.to_pylist()]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_a_bucket_of_users_tells_what_its_users_told(seed):
+    """NULL users, names and times, repeats, late answers, earlier completions; the state of all users is read and written once a batch."""
+    rng = random.Random(seed)
+    users, bucket = {u: Value() for u in (None, "", "u", "v", "w")}, Value()
+    one, many = jobs._progress_processor(REQUIRED), jobs._unlock_processor(REQUIRED)
+    many.init(bucket)
+    first = {}
+    for user, *name, us in submitted(rng, 12) if seed % 2 else ():
+        if None not in name and us is not None:
+            first.setdefault(user, {}).setdefault(tuple(name), []).append(us)
+    for user, done in first.items():
+        one.init(users[user])
+        one.handleInitialState((user,), Row(user_id=user, done=[{"module_id": m, "instrument_key": i, "us": min(us)} for (m, i), us in done.items()]), None)
+        for cell in cells_of([(user, *name, us) for name, times in done.items() for us in times]):
+            many.handleInitialState((0,), Row(bucket=0, cell=cell), None)
+    for _ in range(5):
+        rows = submitted(rng, rng.choice([1, 3, 10]))
+        want = []
+        for user in {r[0] for r in rows}:
+            one.init(users[user])
+            came = [Row(module_id=m, instrument_key=i, completed_us=us) for u, m, i, us in rows if u == user]
+            want += [tuple(r) for r in one.handleInputRows((user,), iter(came), None)]
+        reads, writes = bucket.reads, bucket.writes
+        cells = [cell for part in (rows[::2], rows[1::2]) if part for cell in cells_of(part)]
+        told = list(many.handleInputRows((0,), iter([Row(bucket=0, cell=cell) for cell in cells]), None))
+        assert sorted(log_of(told), key=repr) == sorted(want, key=repr)
+        assert (bucket.reads - reads, bucket.writes - writes) == (1, int(bool(want)))
+
+
+def test_unlocks_of_buckets_and_of_users(spark, tmp_path):
+    """The same tables and the same log, with earlier completions, over two batches; state keys are buckets, however many users."""
+    jobs.use_rocksdb(spark)
+    raw = lambda rows: spark.createDataFrame(rows, "user_id string, instrument_name string, question_id string, response_value string, submitted_at timestamp")
+    at = lambda day: dt.datetime(2024, 1, day)
+    rows = [(f"u{i % 40}" if i % 41 else None, f"module{1 + i % 2}_t{i % 3}", "Q1", "A", at(2 + i * 7 % 20) if i % 13 else None) for i in range(300)]
+    for k, part in enumerate((rows[:200], rows[150:])):
+        raw(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    earlier = jobs.submissions(raw([("u1", "module1_t0", "Q1", "A", at(1)), ("new", "module2_t1", "Q1", "A", at(1))]))
+    required = [("module_1", ["module1_t0", "module1_t2"]), ("module_2", ["module2_t1"])]
+    logs = {}
+    for buckets in (None, 3):
+        stream = spark.readStream.schema(raw([]).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        path = f"{tmp_path}/out{buckets}"
+        jobs.run_to_table(jobs.stream_unlocks(stream, required, earlier, buckets), path, f"{path}-ckpt", "update")
+        logs[buckets] = spark.read.schema(jobs.PROGRESS_DDL).parquet(path)
+        if buckets:
+            assert spark.read.format("statestore").option("stateVarName", "state").load(f"{path}-ckpt").count() <= 3
+    same = lambda of: sorted(map(tuple, of(logs[None]).collect()), key=repr) == sorted(map(tuple, of(logs[3]).collect()), key=repr)
+    assert same(lambda log: log) and same(jobs.progress_of) and same(jobs.completions_of)
+    assert logs[3].filter("user_id = 'u1' and instrument_key = 'module1_t0'").count() == 0  # known from the start
+    assert logs[3].filter("user_id is null").count() and not logs[3].filter("user_id = 'new'").count()
