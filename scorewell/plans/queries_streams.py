@@ -22,8 +22,12 @@ def as_stream(spark: SparkSession, df: DataFrame, slices: list, tail: DataFrame
 
     ``df`` is derived once and stored; a slice has as many files as the whole needs, two at least.
     """
+    return _sliced(spark, materialize(df, "derived"), slices, tail)
+
+
+def _sliced(spark: SparkSession, df: DataFrame, slices: list, tail: DataFrame | None = None) -> DataFrame:
+    """``as_stream`` of a frame that is stored already."""
     folder = shared_dir(spark, "incoming")
-    df = materialize(df, "derived")
     files = max(2, -(-df.count() // ROWS_PER_FILE))
     for condition in slices:
         df.filter(condition).repartition(files).write.mode("append").parquet(folder)
@@ -81,14 +85,13 @@ def _(spark, sf):
     return state.read().drop("as_of")
 
 
-def _unlocks(spark, sf, earlier: bool = False) -> DataFrame:
-    """The log of ``stream_unlocks`` over answers that come out of order, and some of them twice."""
+def _unlocks(spark, r: DataFrame, earlier: bool = False) -> DataFrame:
+    """The log of ``stream_unlocks`` over stored answers that come out of order, and some of them twice."""
     jobs.use_rocksdb(spark)
-    r = t.responses(spark, sf)
     when, cut = F.col("submitted_at"), lambda d: F.lit(d).cast("timestamp_ntz")
     odd = F.substring("question_id", 2, 9).cast("int") % 2 == 1
     slices = [(when >= cut("1997-01-01")) & odd, when < cut("1998-01-01"), (when >= cut("1997-01-01"))]
-    stream = as_stream(spark, r, slices[1:] if earlier else slices)
+    stream = _sliced(spark, r, slices[1:] if earlier else slices)
     start = jobs.submissions(r.filter(slices[0])) if earlier else None
     path = shared_dir(spark, "unlocks")
     jobs.run_to_table(jobs.stream_unlocks(stream, REQUIRED, start), path, shared_dir(spark, "ckpt"), "update")
@@ -97,16 +100,16 @@ def _unlocks(spark, sf, earlier: bool = False) -> DataFrame:
 
 @query("stream_unlocks", ORACLES["stream_progress"])
 def _(spark, sf):
-    return jobs.progress_of(_unlocks(spark, sf))
+    return jobs.progress_of(_unlocks(spark, materialize(t.responses(spark, sf), "derived")))
 
 
 @query("stream_unlocks_resumed", sql(COMPLETIONS, "parsed"))
 def _(spark, sf):
     """State that starts with earlier completions; with those, the log has every first submission."""
-    r = t.responses(spark, sf)
+    r = materialize(t.responses(spark, sf), "derived")
     odd = F.substring("question_id", 2, 9).cast("int") % 2 == 1
     known = jobs.submissions(r.filter((F.col("submitted_at") >= F.lit("1997-01-01").cast("timestamp_ntz")) & odd))
-    both = known.unionByName(jobs.completions_of(_unlocks(spark, sf, earlier=True)))
+    both = known.unionByName(jobs.completions_of(_unlocks(spark, r, earlier=True)))
     first = both.groupBy("user_id", "module_id", "instrument_key").agg(F.min("completed_at").alias("completed_at"))
     return first.withColumn("completed_at", F.col("completed_at").cast("timestamp_ntz"))
 
